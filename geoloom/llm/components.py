@@ -1,0 +1,38 @@
+"""Connected components of an edge list by large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from geoloom.llm.tables import cut
+
+#: Far above the logarithm of any number of nodes; a guard against a graph that never settles.
+MOST_ROUNDS = 60
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (the smallest node reachable) of every node of edges (u, v), both bigint and not null.
+
+    Each round hangs the larger neighbours of a node on its smallest (large star), then the smaller ones (small
+    star); the rounds grow with the logarithm of a component's width. A hub's minimum is aggregated before the
+    shuffle, and its edges meet it in a join that AQE may split. Each round is written to the shared folder."""
+    kept = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    for _ in range(MOST_ROUNDS):
+        both = kept.union(kept.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.filter("u <> v").distinct()
+        # Every edge now points from the larger node down; what a node points to meets at the least of it.
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        after = cut(small.select("e.u", "e.v").filter("u <> v").distinct(), "edges")
+        changed = after.join(kept, ["u", "v"], "left_anti").limit(1).count() or kept.join(after, ["u", "v"], "left_anti").limit(1).count()
+        kept = after
+        if not changed:
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
+    return kept.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(
+        kept.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    )

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from geoloom.llm import quality
+from geoloom.llm import mixing, quality, simhash, urls
 
 
 def queries() -> dict:
     return {
+        "op2_mixing": mixing.op2_mixing,
         "op6_quality_rules": quality.op6_quality_rules,
+        "op9_simhash": simhash.op9_simhash,
+        "op10_url_filters": urls.op10_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_mixing": mixing.OP2_SQL,
+        "op10_url_filters": urls.OP10_SQL,
+    }
