@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from geoloom.llm import mixing, quality, simhash, urls
+from geoloom.llm import edits, mixing, pieces, quality, simhash, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op2_mixing": mixing.op2_mixing,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op6_quality_rules": quality.op6_quality_rules,
+        "op7_sentencepiece": pieces.op7_sentencepiece,
+        "op8_edit_fingerprints": edits.op8_edit_fingerprints,
         "op9_simhash": simhash.op9_simhash,
         "op10_url_filters": urls.op10_url_filters,
     }
