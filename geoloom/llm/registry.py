@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from geoloom.llm import edits, mixing, pieces, quality, simhash, toxicity, urls
+from geoloom.llm import edits, fixity, mixing, pieces, quality, secrets, simhash, toxicity, training_order, urls
 
 
 def queries() -> dict:
     return {
+        "op1_warc_fixity": fixity.op1_warc_fixity,
         "op2_mixing": mixing.op2_mixing,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_training_order": training_order.op4_training_order,
+        "op5_secrets": secrets.op5_secrets,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_sentencepiece": pieces.op7_sentencepiece,
         "op8_edit_fingerprints": edits.op8_edit_fingerprints,
