@@ -236,4 +236,4 @@ def disk_line(lon: Column, lat: Column, lines: int = 5500) -> Column:
 def segment(lon: Column, lat: Column, lines: int = 5500) -> Column:
     """The strip of the disk (1 is the northernmost of ten) that shows a point."""
     strip = F.floor((disk_line(lon, lat, lines) - 1) / (lines // SEGMENTS)) + 1
-    return F.least(strip, F.lit(SEGMENTS)).cast("int")
+    return F.when(strip > SEGMENTS, SEGMENTS).otherwise(strip).cast("int")
