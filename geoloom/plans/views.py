@@ -38,7 +38,7 @@ FROM {{orders}}""",
         ("events",),
         """SELECT event_id AS ord, event_id, ts, user_id, event_type AS satellite,
   CAST((event_id * 7919) % 36000 - 18000 AS DOUBLE) / 100 AS lon, CAST((event_id * 5471 + user_id * 97) % 18000 - 9000 AS DOUBLE) / 100 AS lat,
-  CAST(value * 100 AS BIGINT) AS frp_cents, props
+  CAST(floor(value * 100) AS BIGINT) AS frp_cents, props
 FROM {events}""",
     ),
     "stored": (

@@ -36,3 +36,9 @@ def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "in
     """big joined to small, which is broadcast only if its rows, counted first, are few."""
     few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return big.join(F.broadcast(small) if few else small, on, how)
+
+
+def once(df: DataFrame, *columns) -> DataFrame:
+    """df.select(*columns), worked out once a row: a later filter on dear columns isn't pushed below, where it would work
+    them out again."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
