@@ -224,11 +224,11 @@ def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def filter_kept(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs; rows are judged where they stand."""
-    measured = measure(docs, rules)
-    name = measured.columns[-1]
-    counts = cut(measured.select(F.col(name).alias("counts")), "quality-counts")
-    judged = judge(measured.withColumnRenamed(name, "counts"), fit(counts, rules), rules)
-    return judged.filter("kept").select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    measured = measure(docs.select(row, "text", "lang"), rules)
+    counts = F.col(measured.columns[-1]).alias("counts")
+    known = fit(cut(measured.select(counts), "quality-counts"), rules)
+    return judge(measured.select("doc", counts), known, rules).filter("kept").select("doc.*")
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
