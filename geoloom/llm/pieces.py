@@ -18,6 +18,7 @@ back every text exactly. Rows repeated are encoded alike; giant texts that repea
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -25,6 +26,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +36,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = "▁", "\ud800"
 #: Characters over which a text is dealt out in chunks of CHUNK; matrices combine in blocks of BLOCK.
 GIANT, CHUNK, BLOCK = 65_536, 16_384, 64
-#: Segments remembered by a worker, and the longest of them.
-MEMO, MEMO_CHARS = 400_000, 48
+#: Segments remembered by a worker, and the longest of them; segments worked out at once, and characters of a slice
+#: of texts that is held at once.
+MEMO, MEMO_CHARS = 200_000, 48
+ROWS, SLICE = 8_192, 1 << 21
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
 LOW = -(1 << 62)
 #: Ways of equal sums are told apart by what stands below this bit: a hash of each piece's length and its place in
 #: its segment. So a text has one best way, however it is dealt out.
@@ -94,14 +99,27 @@ class Encoder:
         own = re.escape(vocabulary.cuts)
         self.segments = re.compile(f"[{own}]|{SPACE}+[^{SPACE}{own}]*|[^{SPACE}{own}]+")
         self.memo: dict[str, bytes] = {}
+        by: dict[int, list[str]] = {}
+        for piece, w in vocabulary.weight.items():
+            if w is not None:
+                by.setdefault(len(piece), []).append(piece)
+        #: For each length of a piece the sorted hashes of the pieces, and their weights.
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n, own in by.items():
+            h = _columns(own, n)
+            keys = h[0]
+            for k in range(1, n):
+                keys = keys * _PRIME + h[k]
+            order = np.argsort(keys)
+            self.tables[n] = keys[order], np.array([vocabulary.weight[p] for p in own], np.int64)[order]
 
     def arcs(self, text: str, i: int, origin: int = 0) -> Iterator[tuple[int, int]]:
         """(end, weight) of every piece that begins at i; the bare character, if it is no piece. origin: the place
         of text in its segment."""
         get, some, salt = self.v.weight.get, False, (origin + i) * 40_503
         for j in range(i + 1, min(len(text), i + self.v.longest) + 1):
-            w = get(text[i:j], 0)
-            if w == 0:
+            w = get(text[i:j], False)
+            if w is False:
                 break
             if w is not None:
                 some = some or j == i + 1
@@ -131,12 +149,14 @@ class Encoder:
             piece = text[i:end]
             one = self.v.ids.get(piece)
             if one is None:
+                if len(piece) > 1:
+                    raise LookupError(piece)
                 raw = SPACE if piece == LITERAL else piece
                 found.extend(self.v.byte[b] for b in reversed(raw.encode()))
             else:
                 found.append(one)
             end = i
-        return np.array(found[::-1], "<i4").tobytes()
+        return array("i", found[::-1]).tobytes()
 
     def segment(self, text: str) -> bytes:
         found = self.memo.get(text)
@@ -149,11 +169,65 @@ class Encoder:
                 self.memo[text] = found
         return found
 
+    def learn(self, segments: list[str]) -> None:
+        """Puts the ids of segments into the memo, those of one length at once."""
+        by: dict[int, list[str]] = {}
+        for x in segments:
+            by.setdefault(len(x), []).append(x)
+        for n, own in by.items():
+            for at in range(0, len(own), ROWS):
+                part = own[at : at + ROWS]
+                for x, back in zip(part, self._backs(part, n), strict=True):
+                    try:
+                        self.memo[x] = self.spell(x, back, 0, n)
+                    except LookupError:  # two pieces of one hash
+                        self.memo[x] = self.spell(x, self.best(x, 0, n)[1], 0, n)
+
+    def _backs(self, own: list[str], n: int) -> list[list[int]]:
+        """What best() gives as the place before each, for segments of n characters: substrings are looked up by their
+        hashes, and the sums of all segments grow together, place by place."""
+        columns, width = _columns(own, n), min(n, self.v.longest)
+        arcs, h = [], columns
+        for k in range(1, width + 1):
+            if k > 1:
+                h = h[:-1] * _PRIME + columns[k - 1 :]
+            keys, weights = self.tables.get(k, (np.zeros(1, np.uint64), np.full(1, LOW, np.int64)))
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            ties = [(i * 40_503 + k * 30_011) * 48_271 % TIES for i in range(len(h))]
+            none = self.v.unknown if k == 1 else LOW
+            arcs.append(np.where(keys[at] == h, weights[at] + np.array(ties, np.int64)[:, None], none))
+        sums = np.zeros((n + 1, len(own)), np.int64)
+        back = np.zeros((n + 1, len(own)), np.int64)
+        for j in range(1, n + 1):
+            sums[j] = LOW
+            for k in range(min(j, width), 0, -1):
+                reached = sums[j - k] + arcs[k - 1][j - k]
+                better = reached > sums[j]
+                sums[j][better] = reached[better]
+                back[j][better] = j - k
+        return back.T.tolist()
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; what their segments have in common is worked out once."""
+        cut = [self.segments.findall(normal(t)) if t else [] for t in texts]
+        every = {x for own in cut for x in own}
+        new = every - self.memo.keys()
+        if len(self.memo) + len(new) > MEMO:
+            self.memo.clear()
+            new = every
+        self.learn([x for x in new if len(x) <= MEMO_CHARS])
+        memo, found = self.memo, []
+        for own in cut:
+            try:
+                ids = b"".join([memo[x] for x in own])
+            except KeyError:
+                ids = b"".join(map(self.segment, own))
+            found.append(np.frombuffer(ids, "<i4"))
+        return found
+
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text of any length, in one piece."""
-        if not text:
-            return np.empty(0, "<i4")
-        return np.frombuffer(b"".join(map(self.segment, self.segments.findall(normal(text)))), "<i4")
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.v.spelled.__getitem__, ids.tolist()))[1:].decode() if len(ids) else ""
@@ -225,6 +299,24 @@ class Encoder:
             at = end
 
 
+def _columns(own: list[str], n: int) -> np.ndarray:
+    """The characters of strings of one length, as numbers from 1: one row for each place."""
+    points = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.ascontiguousarray(points.reshape(-1, n).T).astype(np.uint64) + np.uint64(1)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of about SLICE bytes of the text column at most, or of one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + SLICE, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def normal(text: str) -> str:
     return SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)
 
@@ -343,21 +435,29 @@ def _giant(texts: DataFrame, shared, chunk: int) -> DataFrame:
 
 def encode(docs: DataFrame, path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """docs (doc_id, text) with token_ids: the ids of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(load(path))
+    short, long = _encoded(docs, docs.sparkSession.sparkContext.broadcast(load(path)), giant, chunk, check=False)
+    return short.union(long)
+
+
+def _encoded(docs: DataFrame, shared, giant: int, chunk: int, check: bool) -> tuple[DataFrame, DataFrame]:
+    """The ordinary texts and the giant ones: doc_id, text, token_ids; with check, instead of the text of the ordinary ones
+    whether their ids spell it."""
     own = docs.select("doc_id", "text")
-    schema = "doc_id bigint, text string, token_ids array<int>"
+    schema = "doc_id bigint, " + ("round_trip boolean" if check else "text string") + ", token_ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(shared)
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = batch.column(1).to_pylist()
-            ids = pa.array([None if t is None else e.encode(t) for t in texts], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["doc_id", "text", "token_ids"])
+            found = e.encode_all([t or "" for t in texts])
+            ids = [None if t is None else x for t, x in zip(texts, found, strict=True)]
+            said = pa.array([t is None or e.decode(x) == t for t, x in zip(texts, found, strict=True)]) if check else batch.column(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), said, pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "round_trip" if check else "text", "token_ids"])
 
     long = own.filter(F.length("text") > giant).withColumn("key", F.sha2("text", 256))
     short = own.filter(F.coalesce(F.length("text") <= giant, F.lit(True))).mapInArrow(run, schema)
     found = _giant(long.select("key", "text").dropDuplicates(["key"]), shared, chunk)
-    return short.union(long.join(found, "key").select("doc_id", "text", F.col("ids").alias("token_ids")))
+    return short, long.join(found, "key").select("doc_id", "text", F.col("ids").alias("token_ids"))
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -375,12 +475,11 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
 
 def tokens(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, token_ids and round_trip (decoding gives the text back) of every row of docs."""
-    return decode(encode(docs, path), path).select(
-        "doc_id",
-        F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).cast("bigint").alias("n_tokens"),
-        "token_ids",
-        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
-    )
+    shared = docs.sparkSession.sparkContext.broadcast(load(path))
+    short, long = _encoded(docs, shared, GIANT, CHUNK, check=True)
+    checked = decode(long, path).select("doc_id", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"), "token_ids")
+    n = F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).cast("bigint").alias("n_tokens")
+    return short.union(checked).select("doc_id", n, "token_ids", "round_trip")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
