@@ -230,7 +230,8 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     The bounds are quantiles of doc_id, one number a range; each partition holds whole ranges in order."""
     spark = docs.sparkSession
     ranges = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / ranges for i in range(1, ranges)], 0.2 / ranges)
+    shares = [i / ranges for i in range(1, ranges)]
+    bounds = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", shares, 0.2 / ranges) if shares else []
     # Range 0 has the largest ids; a null id lies in the last range.
     cuts = sorted({int(b) for b in bounds}, reverse=True)
     last = len(cuts)
