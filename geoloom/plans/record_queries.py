@@ -215,7 +215,11 @@ def f20_local_data(spark, sf_dir):
 
 
 def _log(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
+    return event_log(read(spark, sf_dir, "events"))
+
+
+def event_log(e):
+    """Puts and lookups of cards: one of each event."""
     t = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1_704_067_200_000_000)) / F.lit(20_000_000.0)
     return e.select(F.col("event_id").alias("seq"), F.floor(t).cast("double").alias("t"), F.when(F.col("event_id") % 3 == 0, "put").otherwise("lookup").alias("op"), F.concat(F.lit("sc_"), (F.col("user_id") % 300).cast("string")).alias("index_id"))
 
