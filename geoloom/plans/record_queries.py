@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geoloom.functions import geo, text
+from geoloom.functions import text
 from geoloom.operators import assets as A
 from geoloom.operators import cards as C
 from geoloom.operators import identity as I
