@@ -10,8 +10,16 @@ from geoloom.functions import geo, text, times
 from geoloom.plans.views import oracle, view
 from geoloom.tables import read
 
-B = geo.Box.col()
-AREA = geo.Box.of(150, -45, -140, 45)
+
+
+def _b() -> geo.Box:
+    return geo.Box.col()
+
+
+def _area() -> geo.Box:
+    return geo.Box.of(150, -45, -140, 45)
+
+
 SPAN = "CASE WHEN east < west THEN east - west + 360 ELSE east - west END"
 
 
@@ -27,7 +35,7 @@ def _over(names: str, *columns, where: str | None = None):
 
 
 def g02_parts(spark, sf_dir):
-    return view(spark, sf_dir, "scenes").filter("ord % 5 = 0").select("ord", F.explode(geo.parts(B)).alias("p")).select("ord", "p.west", "p.south", "p.east", "p.north")
+    return view(spark, sf_dir, "scenes").filter("ord % 5 = 0").select("ord", F.explode(geo.parts(_b())).alias("p")).select("ord", "p.west", "p.south", "p.east", "p.north")
 
 
 def a21_enclosing(spark, sf_dir):
@@ -42,7 +50,7 @@ def g19_model_bounds(spark, sf_dir):
     shares = spark.createDataFrame([(i / 2, j / 2) for i in range(3) for j in range(3)], "fx double, fy double")
     # Nine literal rows.
     points = s.crossJoin(F.broadcast(shares))
-    x, y = geo.mercator(B.west + (B.east - B.west) * F.col("fx"), B.south + (B.north - B.south) * F.col("fy"))
+    x, y = geo.mercator(_b().west + (_b().east - _b().west) * F.col("fx"), _b().south + (_b().north - _b().south) * F.col("fy"))
     out = points.withColumn("x", x).withColumn("y", y).groupBy("ord").agg(*[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("min", F.min), ("max", F.max))])
     return out.select("ord", *[F.round(f"{n}_{c}", 3).alias(f"{n}_{c}") for c in "xy" for n in ("min", "max")])
 
@@ -136,14 +144,14 @@ def f10_extent_overlap(spark, sf_dir):
     """Catalog nodes whose declared extent may meet the area: an unknown one passes."""
     s = view(spark, sf_dir, "scenes")
     known = F.col("ord") % 13 != 0
-    return s.filter(~known | geo.intersects(B, AREA)).groupBy("collection").agg(F.count("*").alias("n"))
+    return s.filter(~known | geo.intersects(_b(), _area())).groupBy("collection").agg(F.count("*").alias("n"))
 
 
 def f25_product(spark, sf_dir):
     """Product and side of a geostationary request."""
     conus = geo.Box.of(-130.0, 20.0, -60.0, 55.0)
-    inside = (B.west <= B.east) & (B.west >= conus.west) & (B.east <= conus.east) & (B.south >= conus.south) & (B.north <= conus.north)
-    lon, _ = geo.centre(B)
+    inside = (_b().west <= _b().east) & (_b().west >= conus.west) & (_b().east <= conus.east) & (_b().south >= conus.south) & (_b().north <= conus.north)
+    lon, _ = geo.centre(_b())
     return view(spark, sf_dir, "scenes").select(
         F.when(inside, "MCMIPC").otherwise("MCMIPF").alias("product"), F.when(lon >= -105, "east").otherwise("west").alias("side")
     ).groupBy("product", "side").agg(F.count("*").alias("n"))
@@ -170,7 +178,7 @@ _REDACT_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({x
   '([A-Za-z][A-Za-z0-9+.-]*://[^\s"''<>#]*)#[^\s"''<>]+', '\1#***', 'g'), '(?i)(^|[^a-z0-9_-])(token|api_key|key)=[^&\s"''<>]+', '\1\2=***', 'g'), '(?i)\b(bearer|basic)\s+[A-Za-z0-9._~+/=-]+', '\1 ***', 'g')"""
 
 QUERIES = {
-    "g01_lon_span": (_over("scenes", "ord", lambda: geo.lon_span(B).alias("span")), oracle("scenes", f"SELECT ord, {SPAN} AS span FROM scenes")),
+    "g01_lon_span": (_over("scenes", "ord", lambda: geo.lon_span(_b()).alias("span")), oracle("scenes", f"SELECT ord, {SPAN} AS span FROM scenes")),
     "g02_antimeridian_parts": (
         g02_parts,
         oracle("scenes", """SELECT ord, west, south, east, north FROM scenes WHERE ord % 5 = 0 AND west <= east
@@ -178,14 +186,14 @@ UNION ALL SELECT ord, west, south, 180, north FROM scenes WHERE ord % 5 = 0 AND
 UNION ALL SELECT ord, -180, south, east, north FROM scenes WHERE ord % 5 = 0 AND west > east AND -180 < east"""),
     ),
     "g03_overlap_area": (
-        _over("scenes", "ord", lambda: geo.area(B).alias("area"), lambda: geo.overlap_area(B, AREA).alias("shared")),
+        _over("scenes", "ord", lambda: geo.area(_b()).alias("area"), lambda: geo.overlap_area(_b(), _area()).alias("shared")),
         oracle("scenes", f""", lat AS (SELECT *, greatest(0, least(north, 45) - greatest(south, -45)) AS high FROM scenes)
 SELECT ord, ({SPAN}) * (north - south) AS area, high * (
   greatest(0, least(CASE WHEN west > east THEN 180 ELSE east END, 180) - greatest(west, 150)) + greatest(0, least(CASE WHEN west > east THEN 180 ELSE east END, -140) - greatest(west, -180))
   + CASE WHEN west > east THEN greatest(0, least(east, 180) - 150) + greatest(0, least(east, -140) + 180) ELSE 0 END) AS shared FROM lat"""),
     ),
     "g04_iou": (
-        _over("scenes", "ord", lambda: _r(geo.iou(B, geo.Box(B.west, B.south + 1, B.east, B.north + 1)), "iou")),
+        _over("scenes", "ord", lambda: _r(geo.iou(_b(), geo.Box(_b().west, _b().south + 1, _b().east, _b().north + 1)), "iou")),
         oracle("scenes", """SELECT ord, round(CASE WHEN north - south <= 1 THEN 0 ELSE (north - south - 1) / (north - south + 1) END, 6) AS iou FROM scenes"""),
     ),
     "g05_from_point": (
@@ -212,7 +220,7 @@ SELECT user_id, satellite, w AS west, min(lat) AS south, e AS east, max(lat) AS
         oracle("detections", """SELECT event_id, round(CASE WHEN lon * 3 < -540 THEN lon * 3 + 720 WHEN lon * 3 < -180 THEN lon * 3 + 360 WHEN lon * 3 >= 540 THEN lon * 3 - 720 WHEN lon * 3 > 180 THEN lon * 3 - 360 ELSE lon * 3 END, 6) AS lon FROM detections"""),
     ),
     "g14_box_centre": (
-        _over("scenes", "ord", lambda: geo.centre(B)[0].alias("lon"), lambda: geo.centre(B)[1].alias("lat")),
+        _over("scenes", "ord", lambda: geo.centre(_b())[0].alias("lon"), lambda: geo.centre(_b())[1].alias("lat")),
         oracle("scenes", f"SELECT ord, CASE WHEN west + ({SPAN}) / 2 > 180 THEN west + ({SPAN}) / 2 - 360 ELSE west + ({SPAN}) / 2 END AS lon, (south + north) / 2 AS lat FROM scenes"),
     ),
     "g15_disk_segment": (
@@ -256,7 +264,7 @@ FROM scenes WHERE ord % 10 = 0 AND west <= east"""),
     ),
     "g20_pixel_window": (
         lambda spark, sf_dir: view(spark, sf_dir, "scenes").filter("west <= east").select(
-            "ord", geo.pixel_window(B, F.lit(-100.0), F.lit(60.0), F.lit(0.3), F.lit(0.3), F.lit(600), F.lit(400)).alias("w")
+            "ord", geo.pixel_window(_b(), F.lit(-100.0), F.lit(60.0), F.lit(0.3), F.lit(0.3), F.lit(600), F.lit(400)).alias("w")
         ).filter("w IS NOT NULL").select("ord", "w.*"),
         oracle("scenes", """, raw AS (SELECT ord, (west + 100) / 0.3 AS a, (60 - north) / 0.3 AS b, (east + 100) / 0.3 AS c, (60 - south) / 0.3 AS d FROM scenes WHERE west <= east),
 snap AS (SELECT ord, CASE WHEN abs(a - round_even(a, 0)) <= 1e-8 THEN round_even(a, 0) ELSE floor(a) END AS a, CASE WHEN abs(b - round_even(b, 0)) <= 1e-8 THEN round_even(b, 0) ELSE floor(b) END AS b,
@@ -272,7 +280,7 @@ runs AS (SELECT *, sum(fresh) OVER (PARTITION BY file ORDER BY start, stop ROWS
 SELECT file, min(start) AS start, max(stop) AS stop, count(*) AS n FROM runs GROUP BY file, run""",
     ),
     "g23_smaller_overlap": (
-        _over("scenes", "ord", lambda: _r(geo.overlap_of_smaller(B, geo.Box(B.west, B.south + 1, B.east, B.north + 3)), "share")),
+        _over("scenes", "ord", lambda: _r(geo.overlap_of_smaller(_b(), geo.Box(_b().west, _b().south + 1, _b().east, _b().north + 3)), "share")),
         oracle("scenes", "SELECT ord, round(greatest(0, north - south - 1) / (north - south), 6) AS share FROM scenes"),
     ),
     "d02_written_utc": (

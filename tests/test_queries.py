@@ -31,3 +31,12 @@ def test_flagship_has_rows(spark):
 def test_plans_stay_in_the_jvm(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_names_without_a_session():
+    """The driver lists the queries before there is a session."""
+    import subprocess
+
+    root = Path(__file__).resolve().parents[1]
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0 and int(said.stdout.split()[0]) > 100
