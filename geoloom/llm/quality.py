@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.tables import cut, fresh, read
+from geoloom.llm.tables import cut, fresh, once, read
 
 #: Frequent function words of the languages that have a reference of their own.
 COMMON_WORDS = {
@@ -228,7 +228,7 @@ def filter_kept(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     measured = measure(docs.select(row, "text", "lang"), rules)
     counts = F.col(measured.columns[-1]).alias("counts")
     known = fit(cut(measured.select(counts), "quality-counts"), rules)
-    return judge(measured.select("doc", counts), known, rules).filter("kept").select("doc.*")
+    return judge(once(measured, "doc", counts), known, rules).filter("kept").select("doc.*")
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -42,6 +42,12 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left
     return big.join(F.broadcast(small) if few else small, on, how)
 
 
+def once(df: DataFrame, *columns) -> DataFrame:
+    """df.select(*columns), worked out once a row: later filters on dear columns aren't pushed below, where they would
+    write them out again and again."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def fresh(taken: list[str], stem: str) -> str:
     """A column name that is not taken (case-insensitively)."""
     names = {c.lower() for c in taken}
