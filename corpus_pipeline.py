@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import mixing, pieces, quality, secrets, simhash
+from geoloom.llm import likeness, mixing, pieces, quality, secrets
 from geoloom.llm.tables import cut, read
 
 
@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies (five-word shingles, likeness 0.8 or more) the document with the smallest doc_id."""
+    return likeness.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -173,10 +173,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     best = named.groupBy("component_id").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best")
     )
-    return _matching(docs, best.select(F.col("best.doc_id").alias("keep_id"), F.col("best.h").alias("keep_h")))
+    return matching(docs, best.select(F.col("best.doc_id").alias("keep_id"), F.col("best.h").alias("keep_h")))
 
 
-def _matching(docs: DataFrame, best: DataFrame) -> DataFrame:
+def matching(docs: DataFrame, best: DataFrame) -> DataFrame:
     """One row of docs for each (keep_id, keep_h)."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     own = docs.select(row, F.col("doc_id").alias("keep_id"), F.xxhash64("text").alias("keep_h"))
