@@ -1,13 +1,16 @@
-"""SentencePiece encoding and decoding by best-scoring segmentation, with a max-plus scan over giant documents.
+"""SentencePiece encoding and decoding: merges by rank for models trained by merges, else the best-scoring
+segmentation, with a max-plus scan over giant documents.
 
-The vocabulary and scores come from a SentencePiece model file (a parameter). A text gets a space in front, spaces
-become U+2581, and of all ways to cut it into pieces the one with the largest sum of scores is taken. A character
-of no piece costs the least score less 10 and is spelled in byte pieces. (A model trained by merges ranks its
-pieces by score; it is read here as such a table, so ids can differ from those of the merge procedure.)
+The vocabulary and scores come from a SentencePiece model file (a parameter). A text gets a space in front and spaces
+become U+2581. Under a model trained by merges (BPE), neighbours whose union is a piece are merged, the best score
+first and of equal ones the leftmost, as the tokenizer does (MergeEncoder). Under any other, of all ways to cut the
+text into pieces the one with the largest sum of scores is taken, and a character of no piece costs the least score
+less 10 (Encoder). A character that is left and no piece is spelled in byte pieces.
 
 No piece crosses the border in front of a run of U+2581, so an ordinary text is cut there and the ids of its
 segments are looked up, or worked out once, in each Python worker. A text over GIANT characters is dealt out in
-chunks: each yields the matrix of best scores from every way a piece can reach in over its left border to every
+chunks. Merges stay within segments, so their chunks end at borders of segments and are encoded by themselves (a
+segment longer than a chunk is one chunk). For best sums, each chunk yields the matrix of best scores from every way a piece can reach in over its left border to every
 way one can reach out over its right border. These matrices combine associatively in the max-plus semiring, in
 blocks and then over blocks; once each chunk's two borders are known, it is traced back by itself.
 
@@ -17,6 +20,7 @@ back every text exactly. Rows repeated are encoded alike; giant texts that repea
 
 from __future__ import annotations
 
+import heapq
 import re
 from array import array
 from collections.abc import Iterator
@@ -58,13 +62,16 @@ class Vocabulary(NamedTuple):
     byte: list
     longest: int
     cuts: str
+    merges: bool = False
 
 
 def load(path: str = MODEL) -> Vocabulary:
     """The vocabulary of a model file, read on the driver and sent to the workers: a fixed size."""
     import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = sentencepiece_model_pb2.ModelProto.FromString(sp.serialized_model_proto())
     n = sp.get_piece_size()
     plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
     scores = {i: sp.get_score(i) for i in plain}
@@ -88,7 +95,7 @@ def load(path: str = MODEL) -> Vocabulary:
     inside = {c for p in ids if len(p) > 1 for c in p}
     cuts = "".join(c for c in map(chr, range(128)) if c not in inside) + LITERAL
     assert not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in ids), "a piece crosses a segment's border"
-    return Vocabulary(weight, ids, unit(low - 10) << SHIFT, spelled, byte, max(map(len, ids)), cuts)
+    return Vocabulary(weight, ids, unit(low - 10) << SHIFT, spelled, byte, max(map(len, ids)), cuts, model.trainer_spec.model_type == model.trainer_spec.BPE)
 
 
 class Encoder:
@@ -299,6 +306,91 @@ class Encoder:
             at = end
 
 
+class MergeEncoder(Encoder):
+    """An encoder for models trained by merges: a segment's neighbours are merged by rank."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__(vocabulary)
+        self.ranks = {p: w for p, w in vocabulary.weight.items() if w is not None and len(p) > 1}
+
+    def merged(self, text: str) -> list[str]:
+        """The pieces of a segment."""
+        if len(text) > MEMO_CHARS:
+            return self._merged_long(text)
+        rank, parts = self.ranks.get, list(text)
+        ranks = [rank(a + b, LOW) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks:
+            top = max(ranks)
+            if top == LOW:
+                break
+            at = ranks.index(top)
+            parts[at] += parts.pop(at + 1)
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = rank(parts[at] + parts[at + 1], LOW)
+            if at:
+                ranks[at - 1] = rank(parts[at - 1] + parts[at], LOW)
+        return parts
+
+    def _merged_long(self, text: str) -> list[str]:
+        """The same with a heap: a long segment's steps do not look through all of it."""
+        rank, parts, n = self.ranks.get, list(text), len(text)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[int, int, str]] = []
+
+        def offer(a: int, b: int) -> None:
+            if a >= 0 and b < n:
+                both = parts[a] + parts[b]
+                w = rank(both)
+                if w is not None:
+                    heapq.heappush(heap, (-w, a, both))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while heap:
+            _, a, both = heapq.heappop(heap)
+            b = after[a]
+            if not parts[a] or b >= n or parts[a] + parts[b] != both:
+                continue
+            parts[a], parts[b], after[a] = both, "", after[b]
+            if after[b] < n:
+                before[after[b]] = a
+            offer(before[a], a)
+            offer(a, after[a])
+        return [x for x in parts if x]
+
+    def segment(self, text: str) -> bytes:
+        found = self.memo.get(text)
+        if found is None:
+            ids: list[int] = []
+            for piece in self.merged(text):
+                one = self.v.ids.get(piece)
+                if one is None:
+                    ids.extend(self.v.byte[b] for b in (SPACE if piece == LITERAL else piece).encode())
+                else:
+                    ids.append(one)
+            found = array("i", ids).tobytes()
+            if len(text) <= MEMO_CHARS:
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                self.memo[text] = found
+        return found
+
+    def learn(self, segments: list[str]) -> None:
+        for x in segments:
+            self.segment(x)
+
+    def parts(self, text: str, size: int) -> Iterator[str]:
+        """A normal text in parts that end at the first border of segments behind size characters."""
+        at = 0
+        for m in self.segments.finditer(text):
+            if m.end() - at >= size:
+                yield text[at : m.end()]
+                at = m.end()
+        if at < len(text):
+            yield text[at:]
+
+
 def _columns(own: list[str], n: int) -> np.ndarray:
     """The characters of strings of one length, as numbers from 1: one row for each place."""
     points = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -349,7 +441,7 @@ def _encoder(shared) -> Encoder:
     key = id(shared.value)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(shared.value)
+        _encoders[key] = (MergeEncoder if shared.value.merges else Encoder)(shared.value)
     return _encoders[key]
 
 
@@ -381,8 +473,43 @@ def _scan(table: DataFrame) -> DataFrame:
     return blocks.join(ends, ["key", "block"]).groupBy("key", "block").applyInPandas(within, "key string, chunk int, a int, b int")
 
 
+def _joined(pieces: DataFrame) -> DataFrame:
+    """key, ids of (key, chunk, ids)."""
+    return pieces.groupBy("key").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids")
+    )
+
+
+def _giant_merged(texts: DataFrame, shared, chunk: int) -> DataFrame:
+    """_giant for models trained by merges."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = _encoder(shared)
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for k, part in enumerate(e.parts(normal(text), chunk)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([key]), pa.array([k], pa.int32()), pa.array([part.encode("utf-8", "surrogatepass")])],
+                        names=["key", "chunk", "own"],
+                    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = _encoder(shared)
+        for batch in batches:
+            own = [b.decode("utf-8", "surrogatepass") for b in batch.column(2).to_pylist()]
+            found = [np.frombuffer(b"".join(map(e.segment, e.segments.findall(x))), "<i4") for x in own]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["key", "chunk", "ids"]
+            )
+
+    dealt = texts.mapInArrow(deal, "key string, chunk int, own binary").repartition("key", "chunk")
+    return _joined(dealt.mapInArrow(run, "key string, chunk int, ids array<int>"))
+
+
 def _giant(texts: DataFrame, shared, chunk: int) -> DataFrame:
     """key, ids of (key, text): distinct texts over GIANT characters."""
+    if shared.value.merges:
+        return _giant_merged(texts, shared, chunk)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(shared)
@@ -428,9 +555,7 @@ def _giant(texts: DataFrame, shared, chunk: int) -> DataFrame:
     pieces = dealt.join(states, ["key", "chunk"]).select("key", "chunk", "left", "own", "right", "origin", "a", "b").mapInArrow(
         traced, "key string, chunk int, ids array<int>"
     )
-    return pieces.groupBy("key").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids")
-    )
+    return _joined(pieces)
 
 
 def encode(docs: DataFrame, path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
