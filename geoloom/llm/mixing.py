@@ -26,6 +26,8 @@ MOST = 3
 #: Bits of the hash by which each level of the histograms tells rows apart; their sum is HASH_BITS.
 LEVELS = (12, 16, 16, 16)
 HASH_BITS = 60
+#: Above every hash: the threshold of a source all of whose rows fit.
+ALL = 1 << HASH_BITS
 #: The threshold of all the words that fit, then rounds that fill the gap that is left.
 ROUNDS = 3
 
@@ -73,9 +75,12 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def _threshold(pool: DataFrame, budgets: DataFrame, step: str) -> DataFrame:
     """key, threshold and taken words of (key, hash, size) under (key, budget): all rows whose hash is below the
-    threshold are taken. A key without a threshold takes all its rows."""
+    threshold are taken. A key whose rows all fit has a threshold above every hash."""
     shift, rows, left = HASH_BITS, pool, budgets.select("key", "budget", F.lit(0).cast("bigint").alias("low"))
-    done = None
+    fits = (
+        pool.groupBy("key").agg(F.sum("size").alias("n")).join(budgets, "key").filter(F.col("n") <= F.col("budget"))
+        .select("key", F.lit(ALL).alias("threshold"), (F.col("budget") - F.col("n")).alias("gap"))
+    )
     for level, bits in enumerate(LEVELS):
         shift -= bits
         sums = rows.groupBy("key", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("n"))
@@ -97,7 +102,7 @@ def _threshold(pool: DataFrame, budgets: DataFrame, step: str) -> DataFrame:
                 inner.filter(F.shiftright("hash", shift) == F.col("bucket")).select("key", "hash", "size"),
                 f"mix-{step}-rows{level}",
             )
-    return left.select("key", F.col("bucket").alias("threshold"), F.col("budget").alias("gap"))
+    return left.select("key", F.col("bucket").alias("threshold"), F.col("budget").alias("gap")).union(fits)
 
 
 def plan(rows: DataFrame) -> DataFrame:
