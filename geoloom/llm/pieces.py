@@ -436,7 +436,7 @@ def borders(ms: list[np.ndarray], a: int, b: int) -> list[int]:
 _encoders: dict[int, Encoder] = {}
 
 
-def _encoder(shared) -> Encoder:
+def worker_encoder(shared) -> Encoder:
     """This worker's encoder of a vocabulary."""
     key = id(shared.value)
     if key not in _encoders:
@@ -484,7 +484,7 @@ def _giant_merged(texts: DataFrame, shared, chunk: int) -> DataFrame:
     """_giant for models trained by merges."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(shared)
+        e = worker_encoder(shared)
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for k, part in enumerate(e.parts(normal(text), chunk)):
@@ -494,7 +494,7 @@ def _giant_merged(texts: DataFrame, shared, chunk: int) -> DataFrame:
                     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(shared)
+        e = worker_encoder(shared)
         for batch in batches:
             own = [b.decode("utf-8", "surrogatepass") for b in batch.column(2).to_pylist()]
             found = [np.frombuffer(b"".join(map(e.segment, e.segments.findall(x))), "<i4") for x in own]
@@ -512,7 +512,7 @@ def _giant(texts: DataFrame, shared, chunk: int) -> DataFrame:
         return _giant_merged(texts, shared, chunk)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(shared)
+        e = worker_encoder(shared)
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for k, (*parts, origin) in enumerate(e.chunks(text, chunk)):
@@ -526,7 +526,7 @@ def _giant(texts: DataFrame, shared, chunk: int) -> DataFrame:
     text = lambda b: b.decode("utf-8", "surrogatepass")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(shared)
+        e = worker_encoder(shared)
         for batch in batches:
             found = [
                 e.transfer(text(a), text(b), text(c), o)
@@ -541,7 +541,7 @@ def _giant(texts: DataFrame, shared, chunk: int) -> DataFrame:
     states = _scan(spread.mapInArrow(matrices, "key string, chunk int, rows int, m binary"))
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(shared)
+        e = worker_encoder(shared)
         for batch in batches:
             found = []
             for left, own, right, origin, a, b in zip(*(batch.column(i).to_pylist() for i in range(2, 8)), strict=True):
@@ -571,7 +571,7 @@ def _encoded(docs: DataFrame, shared, giant: int, chunk: int, check: bool) -> tu
     schema = "doc_id bigint, " + ("round_trip boolean" if check else "text string") + ", token_ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(shared)
+        e = worker_encoder(shared)
         for batch in slices(batches, 1):
             texts = batch.column(1).to_pylist()
             found = e.encode_all([t or "" for t in texts])
@@ -592,7 +592,7 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
 
     @F.pandas_udf("string")
     def spell(ids: pd.Series) -> pd.Series:
-        e = _encoder(shared)
+        e = worker_encoder(shared)
         return ids.map(lambda x: None if x is None else e.decode(x))
 
     return encoded.withColumn(name, spell("token_ids"))

@@ -1,11 +1,13 @@
 """Training-order materialisation: a keyed permutation gives every sequence a global slot; shards of fixed stride.
 
-Token ids are a text's UTF-8 bytes plus RESERVED, or what another encoder gives; a document ends with END and is cut
+Token ids are those of the tokenizer in the query and in materialise() (its ids 0 and 1 are control pieces that no text
+has: PAD and END here); order() alone takes a text's UTF-8 bytes plus RESERVED, or what another encoder gives. A document ends with END and is cut
 into sequences of `length` ids, the last filled up with PAD. Sequences are numbered as they stand in the input:
 partitions in order, rows within them. A balanced Feistel network over the least even number of bits that hold all
-numbers, walked on until it lands among them, permutes the numbers: that is a sequence's slot. A range shuffle
-puts slots in order; slot s is the (s mod per_shard)-th record of shard s div per_shard, so its place in the shard
-is a product, and reading can begin at any slot.
+numbers, walked on until it lands among them, permutes the numbers: that is a sequence's slot. A range shuffle by shards
+puts slots in order and no shard into two tasks; slot s is the (s mod per_shard)-th record of shard s div per_shard,
+so its place in the shard is a product. A shard is one binary file of records of 2 * length bytes and nothing else,
+written under another name and renamed when it is whole; records() reads on from any slot.
 
 Numbering needs the input to be read twice alike: a scan of files is; what else comes in is first written to the
 shared folder. What the driver holds is one count a partition.
@@ -17,15 +19,18 @@ an empty table gives none. The slots of n sequences are exactly 0 to n - 1.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.tables import cut, read
+from geoloom.llm import pieces
+from geoloom.llm.tables import cut, read, shared_dir
 
 PAD, END, RESERVED = 0, 1, 2
 LENGTH, PER_SHARD, ROUNDS = 2_048, 4_096, 6
@@ -160,7 +165,7 @@ def order(
             yield out()
 
     dealt = own.mapInArrow(deal, SCHEMA)
-    return dealt.repartitionByRange("slot").sortWithinPartitions("slot")
+    return dealt.repartitionByRange("shard").sortWithinPartitions("slot")
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:
@@ -173,5 +178,102 @@ def resume(spark: SparkSession, path: str, slot: int, per_shard: int = PER_SHARD
     return spark.read.parquet(path).filter((F.col("shard") >= slot // per_shard) & (F.col("slot") >= slot)).orderBy("slot")
 
 
+def shard_file(shard: int) -> str:
+    return f"shard-{shard:08d}.bin"
+
+
+def _place(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def _encoded(docs: DataFrame, model: str) -> DataFrame:
+    """doc_id, text of docs, where text is the tokenizer's ids as two bytes each: worked out once, in the shared folder."""
+    shared = docs.sparkSession.sparkContext.broadcast(pieces.load(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = pieces.worker_encoder(shared)
+        for batch in pieces.slices(batches, 1):
+            texts = batch.column(1).to_pylist()
+            found = e.encode_all([t or "" for t in texts])
+            ids = [None if t is None else x.astype("<u2").tobytes() for t, x in zip(texts, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "text"])
+
+    return cut(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, text binary"), "order-ids")
+
+
+def _ids(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u2")
+
+
+def write_files(ordered: DataFrame, path: str) -> DataFrame:
+    """Writes what order() gives as one binary file a shard to path, a folder that all executors share; returns its rows
+    without tokens, by slot."""
+    where, folder = _place(path)
+    where.create_dir(folder, recursive=True)
+    names = [c for c in ordered.columns if c != "tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, folder = _place(path)
+        shard, out, part = None, None, ""
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                own.move(part, f"{folder}/{shard_file(shard)}")
+
+        for batch in batches:
+            for k, tokens in zip(batch.column("shard").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                if k != shard:
+                    close()
+                    shard, part = k, f"{folder}/.{shard_file(k)}.{uuid.uuid4().hex}"
+                    out = own.open_output_stream(part)
+                out.write(tokens)
+            yield batch.select(names)
+        close()
+
+    return cut(ordered.mapInArrow(run, ordered.select(*names).schema), "order-index")
+
+
+def read_tokens(index: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
+    """SCHEMA of rows of write_files: the tokens read from the shards at each byte_offset."""
+    stride = 2 * length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, folder = _place(path)
+        shard, source = None, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                some, tokens = batch.slice(at, 1024), []
+                for k, offset in zip(some.column("shard").to_pylist(), some.column("byte_offset").to_pylist(), strict=True):
+                    if k != shard:
+                        if source is not None:
+                            source.close()
+                        shard, source = k, own.open_input_file(f"{folder}/{shard_file(k)}")
+                    tokens.append(source.read_at(stride, offset))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(tokens, pa.binary())], names=[*some.schema.names, "tokens"])
+        if source is not None:
+            source.close()
+
+    return index.mapInArrow(run, SCHEMA)
+
+
+def records(path: str, slot: int = 0, length: int = LENGTH, per_shard: int = PER_SHARD) -> Iterator[np.ndarray]:
+    """The sequences of the files in path from a slot on, in order: one seek, then sequential reads."""
+    own, folder = _place(path)
+    stride, shard, skip = 2 * length, slot // per_shard, slot % per_shard * (2 * length)
+    while own.get_file_info(f"{folder}/{shard_file(shard)}").type == fs.FileType.File:
+        with own.open_input_file(f"{folder}/{shard_file(shard)}") as source:
+            source.seek(min(skip, source.size()))
+            while raw := source.read(stride):
+                yield np.frombuffer(raw, "<u2")
+        shard, skip = shard + 1, 0
+
+
+def materialise(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: str = KEY, model: str = pieces.MODEL) -> DataFrame:
+    """Writes docs as the tokenizer's ids to shards in path; SCHEMA of every sequence, its tokens as the files have them."""
+    ordered = order(_encoded(docs, model), length, per_shard, key, _ids)
+    return read_tokens(write_files(ordered, path), path, length)
+
+
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order(read(spark, sf_dir, "documents"))
+    return materialise(read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/order-shards-{uuid.uuid4().hex}")
