@@ -1,19 +1,20 @@
 """Training-order materialisation: a keyed permutation gives every sequence a global slot; shards of fixed stride.
 
-Token ids are those of the tokenizer in the query and in materialise() (its ids 0 and 1 are control pieces that no text
-has: PAD and END here); order() alone takes a text's UTF-8 bytes plus RESERVED, or what another encoder gives. A document ends with END and is cut
-into sequences of `length` ids, the last filled up with PAD. Sequences are numbered as they stand in the input:
-partitions in order, rows within them. A balanced Feistel network over the least even number of bits that hold all
-numbers, walked on until it lands among them, permutes the numbers: that is a sequence's slot. A range shuffle by shards
-puts slots in order and no shard into two tasks; slot s is the (s mod per_shard)-th record of shard s div per_shard,
-so its place in the shard is a product. A shard is one binary file of records of 2 * length bytes and nothing else,
-written under another name and renamed when it is whole; records() reads on from any slot.
-
-Numbering needs the input to be read twice alike: a scan of files is; what else comes in is first written to the
-shared folder. What the driver holds is one count a partition.
-
-Defined results: a null text gives no sequence, an empty one the sequence END; repeated rows give a sequence each;
-an empty table gives none. The slots of n sequences are exactly 0 to n - 1.
+Token ids are a tokenizer's; PAD and END are the two numbers above its ids, and ids take two bytes, or four where two
+do not hold them. A document ends with END and is cut into sequences of `length` ids, the last filled up with PAD.
+
+Sequences are numbered in order of a hash of doc_id and text, then doc_id, then their place in the document, so numbers
+depend on the rows alone, never on files, partitions or cores. The top bits of the hash deal documents to buckets; the
+sequences of each bucket are counted (BUCKETS numbers at most reach the driver), and a bucket's task numbers its own on
+from the sum of those before. A balanced Feistel network over the least even number of bits that hold all numbers,
+walked on until it lands among them, permutes the numbers: that is a sequence's slot. Slot s is the (s mod per_shard)-th
+record of shard s div per_shard, so its place in the shard is a product, and each task gets a range of whole shards,
+worked out from the number of sequences. A shard is one binary file of records of one stride and nothing else, written
+under another name and renamed when it is whole; records() reads on from any slot.
+
+Defined results: a null text gives no sequence, an empty one the sequence END; repeated rows give a sequence each, in
+slots of their own (which of two equal rows has which does not show); a null doc_id is numbered like any other; an empty
+table gives none. The slots of n sequences are exactly 0 to n - 1.
 """
 
 from __future__ import annotations
@@ -21,26 +22,73 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm import pieces
 from geoloom.llm.tables import cut, read, shared_dir
 
-PAD, END, RESERVED = 0, 1, 2
 LENGTH, PER_SHARD, ROUNDS = 2_048, 4_096, 6
 KEY = "order-1"
+#: Bits of the hash that deal documents to buckets.
+BUCKET_BITS = 16
+#: Whole shards that one task writes at most, if there are more than tasks.
+SHARDS_A_TASK = 8
+#: Sequences of a batch that a task holds at once.
+HELD = 1_024
 SCHEMA = "slot bigint, shard bigint, byte_offset bigint, doc_id bigint, part int, n_tokens int, tokens binary"
 
 
-def byte_ids(text: str) -> np.ndarray:
-    """Ids of a text's UTF-8 bytes: one of 256, above the reserved ids."""
-    return np.frombuffer(text.encode(), np.uint8).astype("<u2") + np.uint16(RESERVED)
+class Coder(NamedTuple):
+    """encode: the ids of each of some texts, all below size."""
+
+    encode: Callable[[list[str]], list[np.ndarray]]
+    size: int
+
+    @property
+    def pad(self) -> int:
+        return self.size
+
+    @property
+    def end(self) -> int:
+        return self.size + 1
+
+    @property
+    def kind(self) -> str:
+        return "<u2" if self.end < 1 << 16 else "<u4"
+
+    def stride(self, length: int) -> int:
+        return length * np.dtype(self.kind).itemsize
+
+
+#: The ids of a text's UTF-8 bytes.
+BYTES = Coder(lambda texts: [np.frombuffer(t.encode(), np.uint8) for t in texts], 256)
+
+_readers: dict[str, object] = {}
+
+
+def tokenizer(model: str = pieces.MODEL) -> Coder:
+    """The coder of a SentencePiece model file: the file's bytes go to the workers, which need no path."""
+    import sentencepiece
+
+    raw = sentencepiece.SentencePieceProcessor(model_file=model).serialized_model_proto()
+    name, size = hashlib.sha256(raw).hexdigest(), sentencepiece.SentencePieceProcessor(model_proto=raw).get_piece_size()
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        if name not in _readers:
+            import sentencepiece
+
+            _readers.clear()
+            _readers[name] = sentencepiece.SentencePieceProcessor(model_proto=raw)
+        own = _readers[name]
+        return [np.array(own.encode(t), np.int32) for t in texts]
+
+    return Coder(encode, size)
 
 
 def _round_keys(key: str) -> list[np.uint64]:
@@ -75,107 +123,99 @@ def slots(numbers: np.ndarray, n: int, key: str = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _sequences(encode: Callable[[str], np.ndarray], text: str, length: int) -> np.ndarray:
-    """A text's sequences, one a row."""
-    ids = encode(text)
+def _sequences(ids: np.ndarray, coder: Coder, length: int) -> np.ndarray:
+    """A document's sequences, one a row."""
     n = len(ids) // length + 1
-    out = np.full(n * length, PAD, "<u2")
+    out = np.full(n * length, coder.pad, coder.kind)
     out[: len(ids)] = ids
-    out[len(ids)] = END
+    out[len(ids)] = coder.end
     return out.reshape(n, length)
 
 
-def _counts(docs: DataFrame, encode: Callable | None, length: int) -> list[int]:
-    """Sequences of each partition, in order. Byte ids are counted without being made."""
-    own = docs.select("doc_id", "text")
-    if encode is None:
-        n = F.floor(F.octet_length("text") / F.lit(length)) + 1
-        counted = own.select(F.spark_partition_id().alias("p"), n.cast("bigint").alias("n")).groupBy("p").agg(F.sum("n").alias("n"))
-    else:
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n = sum(len(encode(t)) // length + 1 for b in batches for t in b.column(1).to_pylist() if t is not None)
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n])], names=["p", "n"])
-
-        counted = own.mapInArrow(count, "p int, n bigint")
-    found = {r["p"]: r["n"] or 0 for r in counted.collect()}
-    return [found.get(p, 0) for p in range(max(found, default=-1) + 1)]
-
-
-def _scan_alone(docs: DataFrame) -> bool:
-    """Whether docs is files read row by row: then its partitions come out alike each time."""
-    return not any(x in docs._jdf.queryExecution().optimizedPlan().toString() for x in ("Join", "Aggregate", "Repartition", "Sort", "Window", "LogicalRDD", "Limit", "Sample", "Generate"))
-
-
-def order(
-    docs: DataFrame,
-    length: int = LENGTH,
-    per_shard: int = PER_SHARD,
-    key: str = KEY,
-    encode: Callable[[str], np.ndarray] | None = None,
-) -> DataFrame:
-    """SCHEMA of every sequence, in order of slots: each partition holds a range of them."""
-    own = docs.select("doc_id", "text")
-    if not _scan_alone(own):
-        own = cut(own, "order-docs")
-    counts = _counts(own, encode, length)
-    starts, n = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), int(sum(counts))
-    shared = docs.sparkSession.sparkContext.broadcast(starts)
-    stride, ids = 2 * length, encode or byte_ids
+def _encoded(docs: DataFrame, coder: Coder, length: int) -> DataFrame:
+    """h, bucket, doc_id, n (sequences) and ids (their bytes) of every row with a text: worked out once, in the shared
+    folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces.slices(batches, 2):
+            found = coder.encode(batch.column(2).to_pylist())
+            for x in found:
+                if len(x) and (int(x.min()) < 0 or int(x.max()) >= coder.size):
+                    raise ValueError(f"an id outside 0 to {coder.size - 1}")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(1), pa.array([len(x) // length + 1 for x in found], pa.int64()),
+                    pa.array([x.astype(coder.kind).tobytes() for x in found], pa.binary()),
+                ],
+                names=["h", "doc_id", "n", "ids"],
+            )
+
+    own = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text")
+    done = cut(own.mapInArrow(run, "h bigint, doc_id bigint, n bigint, ids binary"), "order-ids")
+    return done.withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS).cast("int"))
+
+
+def _starts(encoded: DataFrame) -> tuple[np.ndarray, int]:
+    """The number of each bucket's first sequence, and of all sequences."""
+    sums = np.zeros((1 << BUCKET_BITS) + 1, np.int64)
+    for r in encoded.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        sums[r["bucket"] + 1] = r["n"]
+    at = np.cumsum(sums)
+    return at[:-1], int(at[-1])
+
+
+def order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: str = KEY, coder: Coder = BYTES) -> DataFrame:
+    """SCHEMA of every sequence: each partition holds the slots of a range of whole shards, in order."""
+    spark = docs.sparkSession
+    encoded = _encoded(docs, coder, length)
+    starts, n = _starts(encoded)
+    if not n:
+        return spark.createDataFrame([], SCHEMA)
+    shared, stride = spark.sparkContext.broadcast(starts), coder.stride(length)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows, held = None, [], 0
+        own, at, rows, held = None, 0, [], 0
 
         def out():
             parts = [r[2] for r in rows]
             where = slots(np.concatenate([np.arange(r[1], r[1] + len(r[2])) for r in rows]), n, key)
-            doc = np.concatenate([np.full(len(p), i) for i, p in enumerate(parts)])
-            tokens = [line.tobytes() for p in parts for line in p]
-            batch = pa.RecordBatch.from_arrays(
+            doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            return pa.RecordBatch.from_arrays(
                 [
                     pa.array(where),
                     pa.array(where // per_shard),
                     pa.array(where % per_shard * stride),
                     pa.array([rows[i][0] for i in doc], pa.int64()),
                     pa.array(np.concatenate([np.arange(r[3], r[3] + len(r[2]), dtype=np.int32) for r in rows])),
-                    pa.array(np.concatenate([(p != PAD).sum(axis=1).astype(np.int32) for p in parts])),
-                    pa.array(tokens, pa.binary()),
+                    pa.array(np.concatenate([(p != coder.pad).sum(axis=1).astype(np.int32) for p in parts])),
+                    pa.array([line.tobytes() for p in parts for line in p], pa.binary()),
                 ],
                 names=["slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", "tokens"],
             )
-            rows.clear()
-            return batch
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if at is None:
-                    at = int(shared.value[TaskContext.get().partitionId()])
-                if text is None:
-                    continue
+            for bucket, doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if bucket != own:
+                    own, at = bucket, int(shared.value[bucket])
                 # A giant document goes out in pieces of bounded size.
-                seqs = _sequences(ids, text, length)
-                for k in range(0, len(seqs), 1024):
-                    rows.append((doc_id, at + k, seqs[k : k + 1024], k))
+                seqs = _sequences(np.frombuffer(raw.as_buffer(), coder.kind), coder, length)
+                for k in range(0, len(seqs), HELD):
+                    rows.append((doc_id, at + k, seqs[k : k + HELD], k))
                     held += len(rows[-1][2])
+                    if held >= HELD:
+                        yield out()
+                        rows, held = [], 0
                 at += len(seqs)
-                if held >= 1024:
-                    yield out()
-                    held = 0
         if rows:
             yield out()
 
-    dealt = own.mapInArrow(deal, SCHEMA)
-    return dealt.repartitionByRange("shard").sortWithinPartitions("slot")
-
-
-def write_shards(ordered: DataFrame, path: str) -> None:
-    """The sequences as Parquet, a folder a shard, each in order of slots: the records of a shard have one stride."""
-    ordered.write.partitionBy("shard").parquet(path)
-
-
-def resume(spark: SparkSession, path: str, slot: int, per_shard: int = PER_SHARD) -> DataFrame:
-    """What is to be read from a slot on: earlier shards are pruned by their folders, the first one by its slots."""
-    return spark.read.parquet(path).filter((F.col("shard") >= slot // per_shard) & (F.col("slot") >= slot)).orderBy("slot")
+    ranged = encoded.repartition("bucket").sortWithinPartitions("bucket", "h", "doc_id", "n").select("bucket", "doc_id", "ids")
+    dealt = ranged.mapInArrow(deal, SCHEMA)
+    # As many ranges of shards as the session has shuffle partitions, more if a range would hold too many shards.
+    shards = -(-n // per_shard)
+    tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // SHARDS_A_TASK)))
+    place = F.floor(F.col("shard") * F.lit(tasks) / F.lit(shards)).cast("int")
+    return dealt.repartitionById(tasks, F.least(place, F.lit(tasks - 1))).sortWithinPartitions("slot")
 
 
 def shard_file(shard: int) -> str:
@@ -186,25 +226,6 @@ def _place(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def _encoded(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, text of docs, where text is the tokenizer's ids as two bytes each: worked out once, in the shared folder."""
-    shared = docs.sparkSession.sparkContext.broadcast(pieces.load(model))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = pieces.worker_encoder(shared)
-        for batch in pieces.slices(batches, 1):
-            texts = batch.column(1).to_pylist()
-            found = e.encode_all([t or "" for t in texts])
-            ids = [None if t is None else x.astype("<u2").tobytes() for t, x in zip(texts, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "text"])
-
-    return cut(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, text binary"), "order-ids")
-
-
-def _ids(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u2")
-
-
 def write_files(ordered: DataFrame, path: str) -> DataFrame:
     """Writes what order() gives as one binary file a shard to path, a folder that all executors share; returns its rows
     without tokens, by slot."""
@@ -234,9 +255,8 @@ def write_files(ordered: DataFrame, path: str) -> DataFrame:
     return cut(ordered.mapInArrow(run, ordered.select(*names).schema), "order-index")
 
 
-def read_tokens(index: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
+def read_tokens(index: DataFrame, path: str, stride: int) -> DataFrame:
     """SCHEMA of rows of write_files: the tokens read from the shards at each byte_offset."""
-    stride = 2 * length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, folder = _place(path)
@@ -257,22 +277,23 @@ def read_tokens(index: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     return index.mapInArrow(run, SCHEMA)
 
 
-def records(path: str, slot: int = 0, length: int = LENGTH, per_shard: int = PER_SHARD) -> Iterator[np.ndarray]:
-    """The sequences of the files in path from a slot on, in order: one seek, then sequential reads."""
+def records(path: str, slot: int, stride: int, per_shard: int = PER_SHARD) -> Iterator[bytes]:
+    """The records of the files in path from a slot on, in order: one seek, then sequential reads."""
     own, folder = _place(path)
-    stride, shard, skip = 2 * length, slot // per_shard, slot % per_shard * (2 * length)
+    shard, skip = slot // per_shard, slot % per_shard * stride
     while own.get_file_info(f"{folder}/{shard_file(shard)}").type == fs.FileType.File:
         with own.open_input_file(f"{folder}/{shard_file(shard)}") as source:
             source.seek(min(skip, source.size()))
             while raw := source.read(stride):
-                yield np.frombuffer(raw, "<u2")
+                yield raw
         shard, skip = shard + 1, 0
 
 
 def materialise(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: str = KEY, model: str = pieces.MODEL) -> DataFrame:
     """Writes docs as the tokenizer's ids to shards in path; SCHEMA of every sequence, its tokens as the files have them."""
-    ordered = order(_encoded(docs, model), length, per_shard, key, _ids)
-    return read_tokens(write_files(ordered, path), path, length)
+    coder = tokenizer(model)
+    ordered = order(docs, length, per_shard, key, coder)
+    return read_tokens(write_files(ordered, path), path, coder.stride(length))
 
 
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

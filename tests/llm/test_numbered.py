@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from geoloom.llm import edits, fixity, mixing, pieces, quality, secrets, simhash, toxicity, training_order, urls
+from geoloom.llm import edits, fixity, mixing, pieces, quality, secrets, simhash, toxicity, urls
 from geoloom.llm.tables import read
 
 SF = "/root/testdata/sf0.001"
@@ -339,29 +339,6 @@ def test_fixity(spark):
     assert fixity.audit(fixity.records_of(pages), fixity.records_of(pages)).count() == 0
 
 
-def test_training_order(spark, odd, docs, none, tmp_path):
-    for df in (odd, docs):
-        rows = training_order.order(df, length=256, per_shard=64).collect()
-        n = sum(len((r.text).encode()) // 256 + 1 for r in df.collect() if r.text is not None)
-        assert [r.slot for r in rows] == list(range(n))
-        assert all(r.shard == r.slot // 64 and r.byte_offset == r.slot % 64 * 512 and len(r.tokens) == 512 for r in rows)
-        texts: dict = {}
-        for r in sorted(rows, key=lambda r: (r.doc_id, r.part)):
-            ids = np.frombuffer(r.tokens, "<u2")
-            texts.setdefault(r.doc_id, []).append(bytes((ids[ids >= training_order.RESERVED] - training_order.RESERVED).astype(np.uint8)))
-        assert {i: b"".join(x).decode() for i, x in texts.items()} == {r.doc_id: r.text for r in df.collect() if r.text is not None}
-    assert training_order.order(none).count() == 0
-    ordered = training_order.order(docs, length=256, per_shard=64)
-    training_order.write_shards(ordered, str(tmp_path / "shards"))
-    assert [r.slot for r in training_order.resume(spark, str(tmp_path / "shards"), 100, 64).collect()] == list(range(100, len(ordered.collect())))
-
-
-@pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000, 4097])
-def test_slots_are_a_permutation(n):
-    assert sorted(training_order.slots(np.arange(n), n).tolist()) == list(range(n))
-    assert n < 64 or training_order.slots(np.arange(n), n, "a").tolist() != training_order.slots(np.arange(n), n, "b").tolist()
-
-
 def slow_verdict(url):
     if url is None or "://" not in url:
         return "", "", None, "allow"
