@@ -17,9 +17,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a local master gets a temporary one; a cluster's
+    executors would not see that, so there it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="geoloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -32,9 +35,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """big joined to small, which is broadcast only if its rows, counted first, are few."""
-    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """big joined to small, which is broadcast only if its rows, counted first, are no more than most: a number for the
+    width of its rows."""
+    few = small.limit(most + 1).count() <= most
     return big.join(F.broadcast(small) if few else small, on, how)
 
 
