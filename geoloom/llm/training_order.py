@@ -1,47 +1,50 @@
 """Training-order materialisation: a keyed permutation gives every sequence a global slot; shards of fixed stride.
 
 Token ids are a tokenizer's; PAD and END are the two numbers above its ids, and ids take two bytes, or four where two
-do not hold them. A document ends with END and is cut into sequences of `length` ids, the last filled up with PAD.
-
-Sequences are numbered in order of a hash of doc_id and text, then doc_id, then their place in the document, so numbers
-depend on the rows alone, never on files, partitions or cores. The top bits of the hash deal documents to buckets; the
-sequences of each bucket are counted (BUCKETS numbers at most reach the driver), and a bucket's task numbers its own on
-from the sum of those before. A balanced Feistel network over the least even number of bits that hold all numbers,
-walked on until it lands among them, permutes the numbers: that is a sequence's slot. Slot s is the (s mod per_shard)-th
-record of shard s div per_shard, so its place in the shard is a product, and each task gets a range of whole shards,
-worked out from the number of sequences. A shard is one binary file of records of one stride and nothing else, written
-under another name and renamed when it is whole; records() reads on from any slot.
-
-Defined results: a null text gives no sequence, an empty one the sequence END; repeated rows give a sequence each, in
-slots of their own (which of two equal rows has which does not show); a null doc_id is numbered like any other; an empty
-table gives none. The slots of n sequences are exactly 0 to n - 1.
+do not hold them. A document ends with END. The top bits of a hash of doc_id and text deal documents to buckets, of
+DOCS_A_BUCKET on average; a bucket's documents, in order of that hash, are packed one behind the other into sequences of
+`length` ids, of which only a bucket's last is filled up with PAD.
+
+Sequences are numbered by bucket and by place in it, so numbers depend on the rows alone, never on files, partitions or
+cores: sequences are counted by bucket, and a bucket's task numbers its own on from the sum of those before. A balanced
+Feistel network over the least even number of bits that hold all numbers, walked on until it lands among them, permutes
+the numbers: that is a sequence's slot. Slot s is the (s mod per_shard)-th record of shard s div per_shard, so its place
+in the shard is a product, and each task gets a range of whole shards, worked out from the number of sequences. A shard
+is one binary file of records of one stride and nothing else, written under another name and renamed when it is whole;
+records() reads on from any slot. Texts are encoded once, and ids move compressed.
+
+Defined results: a null text gives nothing, an empty one END; repeated rows are packed each; a null doc_id is packed like
+any other and null in doc_ids; an empty table gives no sequence. The slots of n sequences are exactly 0 to n - 1.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import uuid
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoloom.llm import pieces
-from geoloom.llm.tables import cut, read, shared_dir
+from geoloom.llm.tables import NARROW_ROWS, cut, join_small, read, shared_dir
 
 LENGTH, PER_SHARD, ROUNDS = 2_048, 4_096, 6
 KEY = "order-1"
-#: Bits of the hash that deal documents to buckets.
-BUCKET_BITS = 16
-#: Whole shards that one task writes at most, if there are more than tasks.
-SHARDS_A_TASK = 8
+#: Documents of a bucket, on average, at most.
+DOCS_A_BUCKET = 4_096
 #: Sequences of a batch that a task holds at once.
 HELD = 1_024
-SCHEMA = "slot bigint, shard bigint, byte_offset bigint, doc_id bigint, part int, n_tokens int, tokens binary"
+SCHEMA = "slot bigint, shard bigint, byte_offset bigint, doc_ids array<bigint>, n_tokens int, tokens binary"
+#: How a row's hash, whether it has a doc_id, and that are packed.
+HEAD = ">QBQ"
 
 
 class Coder(NamedTuple):
@@ -123,99 +126,117 @@ def slots(numbers: np.ndarray, n: int, key: str = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _sequences(ids: np.ndarray, coder: Coder, length: int) -> np.ndarray:
-    """A document's sequences, one a row."""
-    n = len(ids) // length + 1
-    out = np.full(n * length, coder.pad, coder.kind)
-    out[: len(ids)] = ids
-    out[len(ids)] = coder.end
-    return out.reshape(n, length)
-
-
-def _encoded(docs: DataFrame, coder: Coder, length: int) -> DataFrame:
-    """h, bucket, doc_id, n (sequences) and ids (their bytes) of every row with a text: worked out once, in the shared
-    folder."""
+def _encoded(docs: DataFrame, coder: Coder) -> DataFrame:
+    """bucket, n (ids and END) and own (its hash, its doc_id and its ids, packed) of every row with a text. own orders
+    rows by hash, then doc_id, then ids."""
+    bits = max(0, (max(1, docs.count()) - 1) // DOCS_A_BUCKET).bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in pieces.slices(batches, 2):
+            hashes, ids = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_pylist()
             found = coder.encode(batch.column(2).to_pylist())
-            for x in found:
+            own = []
+            for h, i, x in zip(hashes.tolist(), ids, found, strict=True):
                 if len(x) and (int(x.min()) < 0 or int(x.max()) >= coder.size):
                     raise ValueError(f"an id outside 0 to {coder.size - 1}")
+                own.append(struct.pack(HEAD, h, i is not None, (i or 0) + (1 << 63)) + pack(x.astype(coder.kind).tobytes()))
+            bucket = hashes >> np.uint64(64 - bits) if bits else np.zeros(len(hashes), np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), pa.array([len(x) // length + 1 for x in found], pa.int64()),
-                    pa.array([x.astype(coder.kind).tobytes() for x in found], pa.binary()),
-                ],
-                names=["h", "doc_id", "n", "ids"],
+                [pa.array(bucket.astype(np.int64)), pa.array([len(x) + 1 for x in found], pa.int64()), pa.array(own, pa.binary())],
+                names=["bucket", "n", "own"],
             )
 
     own = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text")
-    done = cut(own.mapInArrow(run, "h bigint, doc_id bigint, n bigint, ids binary"), "order-ids")
-    return done.withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS).cast("int"))
-
+    return own.mapInArrow(run, "bucket bigint, n bigint, own binary").repartition("bucket")
 
-def _starts(encoded: DataFrame) -> tuple[np.ndarray, int]:
-    """The number of each bucket's first sequence, and of all sequences."""
-    sums = np.zeros((1 << BUCKET_BITS) + 1, np.int64)
-    for r in encoded.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        sums[r["bucket"] + 1] = r["n"]
-    at = np.cumsum(sums)
-    return at[:-1], int(at[-1])
 
+def _packed(docs: DataFrame, length: int, coder: Coder) -> DataFrame:
+    """bucket, k, doc_ids, n_tokens and tokens (compressed) of every sequence, in the shared folder."""
 
-def order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: str = KEY, coder: Coder = BYTES) -> DataFrame:
-    """SCHEMA of every sequence: each partition holds the slots of a range of whole shards, in order."""
-    spark = docs.sparkSession
-    encoded = _encoded(docs, coder, length)
-    starts, n = _starts(encoded)
-    if not n:
-        return spark.createDataFrame([], SCHEMA)
-    shared, stride = spark.sparkContext.broadcast(starts), coder.stride(length)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, at, rows, held = None, 0, [], 0
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_, unzip = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        bucket, at, tail, owners = None, 0, np.empty(0, coder.kind), []
+        rows: list[tuple] = []
 
         def out():
-            parts = [r[2] for r in rows]
-            where = slots(np.concatenate([np.arange(r[1], r[1] + len(r[2])) for r in rows]), n, key)
-            doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            columns = [*zip(*rows, strict=True)]
+            rows.clear()
+            types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
             return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(where),
-                    pa.array(where // per_shard),
-                    pa.array(where % per_shard * stride),
-                    pa.array([rows[i][0] for i in doc], pa.int64()),
-                    pa.array(np.concatenate([np.arange(r[3], r[3] + len(r[2]), dtype=np.int32) for r in rows])),
-                    pa.array(np.concatenate([(p != coder.pad).sum(axis=1).astype(np.int32) for p in parts])),
-                    pa.array([line.tobytes() for p in parts for line in p], pa.binary()),
-                ],
-                names=["slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", "tokens"],
+                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["bucket", "k", "doc_ids", "n_tokens", "tokens"]
             )
 
+        def close():
+            if len(tail):
+                full = np.concatenate([tail, np.full(length - len(tail), coder.pad, coder.kind)])
+                rows.append((bucket, at, owners, len(tail), zip_(full.tobytes())))
+
         for batch in batches:
-            for bucket, doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if bucket != own:
-                    own, at = bucket, int(shared.value[bucket])
-                # A giant document goes out in pieces of bounded size.
-                seqs = _sequences(np.frombuffer(raw.as_buffer(), coder.kind), coder, length)
-                for k in range(0, len(seqs), HELD):
-                    rows.append((doc_id, at + k, seqs[k : k + HELD], k))
-                    held += len(rows[-1][2])
-                    if held >= HELD:
+            for here, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if here != bucket:
+                    close()
+                    bucket, at, tail, owners = here, 0, np.empty(0, coder.kind), []
+                _, some, doc_id = struct.unpack_from(HEAD, own)
+                ids = np.frombuffer(unzip(own[struct.calcsize(HEAD) :]), coder.kind)
+                tail = np.concatenate([tail, ids, np.array([coder.end], coder.kind)])
+                owners = [*owners, doc_id - (1 << 63) if some else None]
+                whole = len(tail) // length
+                for i in range(whole):
+                    rows.append((bucket, at, owners if i == 0 else owners[-1:], length, zip_(tail[i * length : (i + 1) * length].tobytes())))
+                    at += 1
+                    if len(rows) >= HELD:
                         yield out()
-                        rows, held = [], 0
-                at += len(seqs)
+                if whole:
+                    tail = tail[whole * length :]
+                    owners = owners[-1:] if len(tail) else []
+        close()
         if rows:
             yield out()
 
-    ranged = encoded.repartition("bucket").sortWithinPartitions("bucket", "h", "doc_id", "n").select("bucket", "doc_id", "ids")
-    dealt = ranged.mapInArrow(deal, SCHEMA)
-    # As many ranges of shards as the session has shuffle partitions, more if a range would hold too many shards.
-    shards = -(-n // per_shard)
-    tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // SHARDS_A_TASK)))
-    place = F.floor(F.col("shard") * F.lit(tasks) / F.lit(shards)).cast("int")
-    return dealt.repartitionById(tasks, F.least(place, F.lit(tasks - 1))).sortWithinPartitions("slot")
+    ranged = _encoded(docs, coder).sortWithinPartitions("bucket", "own")
+    return cut(ranged.mapInArrow(pack, "bucket bigint, k bigint, doc_ids array<bigint>, n_tokens int, tokens binary"), "order-packed")
+
+
+def _dealt(docs: DataFrame, length: int, per_shard: int, key: str, coder: Coder) -> DataFrame:
+    """SCHEMA of every sequence, tokens compressed: each partition holds the slots of a range of whole shards, in order."""
+    packed = _packed(docs, length, coder)
+    counts = packed.groupBy("bucket").agg(F.count("*").alias("many"))
+    ahead = F.sum("many").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    starts = cut(counts.select("bucket", F.coalesce(ahead, F.lit(0)).alias("start"), "many"), "order-starts")
+    n = starts.agg(F.sum("many")).first()[0] or 0
+    tasks, stride, shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), coder.stride(length), -(-n // per_shard)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where = slots(batch.column(0).to_numpy(), n, key)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array((where // per_shard * tasks // shards).astype(np.int32)), pa.array(where),
+                    pa.array(where // per_shard), pa.array(where % per_shard * stride), *batch.columns[1:],
+                ],
+                names=["place", "slot", "shard", "byte_offset", *batch.schema.names[1:]],
+            )
+
+    numbered = join_small(packed, starts.drop("many"), ["bucket"], "inner", NARROW_ROWS)
+    numbered = numbered.select((F.col("start") + F.col("k")).alias("number"), "doc_ids", "n_tokens", "tokens")
+    found = numbered.mapInArrow(deal, f"place int, {SCHEMA}")
+    return found.repartitionById(tasks, F.col("place")).sortWithinPartitions("slot").drop("place")
+
+
+def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(x) for x in batch.column("tokens").to_pylist()]
+
+
+def order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: str = KEY, coder: Coder = BYTES) -> DataFrame:
+    """SCHEMA of every sequence: each partition holds the slots of a range of whole shards, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(_unpacked(batch), pa.binary())], names=batch.schema.names)
+
+    return _dealt(docs, length, per_shard, key, coder).mapInArrow(run, SCHEMA)
 
 
 def shard_file(shard: int) -> str:
@@ -226,8 +247,8 @@ def _place(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def write_files(ordered: DataFrame, path: str) -> DataFrame:
-    """Writes what order() gives as one binary file a shard to path, a folder that all executors share; returns its rows
+def _written(ordered: DataFrame, path: str) -> DataFrame:
+    """Writes what _dealt() gives as one binary file a shard to path, a folder that all executors share; returns its rows
     without tokens, by slot."""
     where, folder = _place(path)
     where.create_dir(folder, recursive=True)
@@ -243,7 +264,7 @@ def write_files(ordered: DataFrame, path: str) -> DataFrame:
                 own.move(part, f"{folder}/{shard_file(shard)}")
 
         for batch in batches:
-            for k, tokens in zip(batch.column("shard").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+            for k, tokens in zip(batch.column("shard").to_pylist(), _unpacked(batch), strict=True):
                 if k != shard:
                     close()
                     shard, part = k, f"{folder}/.{shard_file(k)}.{uuid.uuid4().hex}"
@@ -256,7 +277,7 @@ def write_files(ordered: DataFrame, path: str) -> DataFrame:
 
 
 def read_tokens(index: DataFrame, path: str, stride: int) -> DataFrame:
-    """SCHEMA of rows of write_files: the tokens read from the shards at each byte_offset."""
+    """SCHEMA of rows of _written: the tokens read from the shards at each byte_offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, folder = _place(path)
@@ -292,8 +313,8 @@ def records(path: str, slot: int, stride: int, per_shard: int = PER_SHARD) -> It
 def materialise(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: str = KEY, model: str = pieces.MODEL) -> DataFrame:
     """Writes docs as the tokenizer's ids to shards in path; SCHEMA of every sequence, its tokens as the files have them."""
     coder = tokenizer(model)
-    ordered = order(docs, length, per_shard, key, coder)
-    return read_tokens(write_files(ordered, path), path, coder.stride(length))
+    ordered = _dealt(docs, length, per_shard, key, coder)
+    return read_tokens(_written(ordered, path), path, coder.stride(length))
 
 
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

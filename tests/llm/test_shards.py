@@ -40,33 +40,48 @@ def test_slots(n):
     assert n < 64 or got != training_order.slots(np.arange(n), n, "other").tolist()
 
 
-def slow_order(df, length, key):
-    """(doc_id, part, ids) by slot, of byte ids; rows of one hash and doc_id are alike."""
+def slow_order(df, length, key, a_bucket=4096):
+    """(doc_ids, ids) by slot, of byte ids."""
+    n_rows = df.count()
     rows = df.filter("text IS NOT NULL").select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text").collect()
-    every = []
+    bits = ((max(1, n_rows) - 1) // a_bucket).bit_length()
+    every, last, tail = [], None, []
+
+    def close():
+        for k in range(0, len(tail), length):
+            part = tail[k : k + length]
+            owners = [d for i, (d, _) in enumerate(part) if k + i == 0 or i == 0 or tail[k + i - 1][1] == 257]
+            ids = [x for _, x in part]
+            every.append((owners, tuple(ids + [256] * (length - len(ids)))))
+
     for r in sorted(rows, key=lambda r: (r.h & M64, r.doc_id is not None, r.doc_id or 0)):
-        ids = [*r.text.encode(), 257]
-        every += [(r.doc_id, k // length, tuple(ids[k : k + length] + [256] * (length - len(ids[k : k + length])))) for k in range(0, len(ids), length)]
+        bucket = (r.h & M64) >> (64 - bits) if bits else 0
+        if bucket != last:
+            close()
+            last, tail = bucket, []
+        tail += [(r.doc_id, x) for x in [*r.text.encode(), 257]]
+    close()
     return {slow_slot(i, len(every), key): x for i, x in enumerate(every)}
 
 
-def test_order_is_of_the_data_alone(spark):
+def test_order_is_of_the_data_alone(spark, monkeypatch):
     docs = read(spark, SF, "documents").select("doc_id", "text")
     odd = spark.createDataFrame([(None, "null id"), (None, ""), (3, None), (4, "twice"), (4, "twice"), (5, "x" * 3000), (5, "é😀" * 700)], docs.schema)
     df = docs.limit(40).union(odd)
-    want = slow_order(df, 256, "k")
+    monkeypatch.setattr(training_order, "DOCS_A_BUCKET", 8)
+    want = slow_order(df, 256, "k", 8)
     for own in (df, df.repartition(7), df.coalesce(1).orderBy("text")):
-        rows = training_order.order(own.withColumn("h", F.lit(1)), length=256, per_shard=8, key="k").collect()
-        assert {r.slot: (r.doc_id, r.part, tuple(np.frombuffer(r.tokens, "<u2").tolist())) for r in rows} == want
+        rows = training_order.order(own.withColumn("h", F.lit(1)).withColumn("own", F.lit(2)), length=256, per_shard=8, key="k").collect()
+        assert {r.slot: (r.doc_ids, tuple(np.frombuffer(r.tokens, "<u2").tolist())) for r in rows} == want
         assert all(r.shard == r.slot // 8 and r.byte_offset == r.slot % 8 * 512 for r in rows)
-        assert all(r.n_tokens == sum(x != 256 for x in want[r.slot][2]) for r in rows)
+        assert all(r.n_tokens == sum(x != 256 for x in want[r.slot][1]) for r in rows)
     assert training_order.order(df.limit(0)).count() == 0
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
         found = []
         for size in ("128m", "64k"):
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-            found.append(sorted((r.slot, r.doc_id, r.part) for r in training_order.order(read(spark, SF, "documents")).collect()))
+            found.append(sorted((r.slot, r.doc_ids) for r in training_order.order(read(spark, SF, "documents")).collect()))
         assert found[0] == found[1]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
@@ -110,10 +125,16 @@ def test_byte_offsets_point_into_the_files(spark, tmp_path, scheme):
         assert list(training_order.records(f"{scheme}{path}", slot, 512, 64)) == [by[s] for s in range(slot, n)]
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     pad, end = sp.get_piece_size(), sp.get_piece_size() + 1
-    own: dict = {}
-    for r in sorted(rows, key=lambda r: (r.doc_id, r.part)):
-        own.setdefault(r.doc_id, []).append(np.frombuffer(r.tokens, "<u2"))
-    for r in docs.collect():
-        ids = np.concatenate(own[r.doc_id])
-        at = ids.tolist().index(end)
-        assert ids[:at].tolist() == sp.encode(r.text) and (ids[at + 1 :] == pad).all()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    first: dict = {}
+    for r in rows:
+        for i in r.doc_ids:
+            first.setdefault(i, []).append(r)
+    assert first.keys() == texts.keys()
+    for i, text in texts.items():
+        ids = [*sp.encode(text), end]
+        held = [np.frombuffer(r.tokens, "<u2").tolist() for r in first[i]]
+        if len(held) == 1:
+            assert any(held[0][k : k + len(ids)] == ids for k in range(len(held[0])))
+    assert sum(r.n_tokens for r in rows) == sum(len(sp.encode(t)) + 1 for t in texts.values())
+    assert all((np.frombuffer(r.tokens, "<u2")[r.n_tokens :] == pad).all() for r in rows)
