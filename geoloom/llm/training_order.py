@@ -127,7 +127,7 @@ def slots(numbers: np.ndarray, n: int, key: str = KEY) -> np.ndarray:
 
 
 def _encoded(docs: DataFrame, coder: Coder) -> DataFrame:
-    """bucket, n (ids and END) and own (its hash, its doc_id and its ids, packed) of every row with a text. own orders
+    """bucket and own (its hash, its doc_id and its ids, packed) of every row with a text. own orders
     rows by hash, then doc_id, then ids."""
     bits = max(0, (max(1, docs.count()) - 1) // DOCS_A_BUCKET).bit_length()
 
@@ -143,12 +143,11 @@ def _encoded(docs: DataFrame, coder: Coder) -> DataFrame:
                 own.append(struct.pack(HEAD, h, i is not None, (i or 0) + (1 << 63)) + pack(x.astype(coder.kind).tobytes()))
             bucket = hashes >> np.uint64(64 - bits) if bits else np.zeros(len(hashes), np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket.astype(np.int64)), pa.array([len(x) + 1 for x in found], pa.int64()), pa.array(own, pa.binary())],
-                names=["bucket", "n", "own"],
+                [pa.array(bucket.astype(np.int64)), pa.array(own, pa.binary())], names=["bucket", "own"]
             )
 
     own = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text")
-    return own.mapInArrow(run, "bucket bigint, n bigint, own binary").repartition("bucket")
+    return own.mapInArrow(run, "bucket bigint, own binary").repartition("bucket")
 
 
 def _packed(docs: DataFrame, length: int, coder: Coder) -> DataFrame:
