@@ -1,16 +1,22 @@
-"""Near-dedup by exact likeness: texts link when the Jaccard index of their sets of five-word shingles is 0.8 or more.
+"""SimHash near-dedup at a likeness: texts link when the Jaccard index of their sets of five-word shingles is 0.8 or more.
 
-Sets of n shingles that reach the bound against each other share at least ceil(0.8 n) of them, so they meet in the
-first n - ceil(0.8 n) + 1 of each in any order that all texts use. Only texts with such a shingle in common are
-candidates, and every candidate is verified by its whole set: nothing is estimated and no group is capped. The order
-puts shingles that are frequent in a sample last; the sample decides the work alone, never the result.
+Each distinct set has a SimHash of 128 bits. Sets of n shingles that reach the bound against each other share at least
+ceil(0.8 n) of them, so they meet in the first n - ceil(0.8 n) + 1 of each in any order that all texts use: such a
+shingle is a block. A block's fingerprints are compared in tiles, by exclusive-or and bit counts, and tile pairs whose
+population counts differ beyond the radius are skipped (simhash.tile_pairs). What lies within RADIUS bits is verified by
+the whole sets. Sets at the bound differ in a bit with odds of 0.15 to 0.19, in 20 to 24 bits of 128 then; RADIUS is six
+standard deviations above (odds of 10^-9 that a link at the bound is passed over), and two sets that share little
+lie beyond it 98 times of 100.
 
-Copies have one set and are compared once. Two rounds verify each shingle's group against a single member, which
-joins large groups of near copies with as many pairs as members; after them only pairs of different components are
-candidates.
+The order of shingles puts those that are frequent in a sample last; the sample decides the work alone, never the result.
+
+Copies have one set and are compared once. Two rounds hold each block's sets against a single one of them, which
+joins large groups of near copies with as many pairs as members; after them only sets of different components are
+compared, and no group's pairs are written out.
 
 Defined results: texts without words have the empty set and are alike; a text of fewer words than a shingle has one,
-all its words. Sets are told apart by 64-bit hashes, as shingles are.
+all its words. Sets are told apart by 64-bit hashes, as shingles are. Rows alike in doc_id and text are one; a null
+doc_id stays only if no other of its group has one.
 """
 
 from __future__ import annotations
@@ -21,20 +27,20 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.components import components
-from geoloom.llm.simhash import SEED, matching
-from geoloom.llm.tables import cut
+from geoloom.llm.simhash import BLOCK, SEED, tile_pairs
+from geoloom.llm.tables import NARROW_ROWS, cut, join_small
+from geoloom.operators.graph import components
 
 SHINGLE = 5
 #: The least likeness, as a fraction.
 UP, DOWN = 4, 5
+#: Bits of the 128 in which the fingerprints of a link differ at most; fingerprints of a tile.
+RADIUS, TILE = 52, 512
 #: Texts of the sample, about; shingles it must show in so many to be put last, and the most of them that are kept.
-SAMPLE, OFTEN, MOST = 20_000, 4, 200_000
-#: Lists that the members of a component are dealt to.
-LISTS = 256
+SAMPLE, OFTEN, MOST = 5_000, 3, 100_000
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -50,6 +56,27 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in spans), np.uint64, len(words) - shingle + 1))
 
 
+def _again(h: np.ndarray) -> np.ndarray:
+    """Another 64 bits of each hash."""
+    x = h ^ (h >> np.uint64(33))
+    with np.errstate(over="ignore"):
+        x *= np.uint64(0xFF51AFD7ED558CCD)
+        x ^= x >> np.uint64(33)
+        x *= np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def fingerprint(own: np.ndarray) -> tuple[int, int]:
+    """Two words of 64 bits: a bit is 1 if it is set in over half of a set's hashes."""
+    words = []
+    for h in (own, _again(own)):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(h), BLOCK):
+            ones += np.unpackbits(h[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        words.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]))
+    return words[0], words[1]
+
+
 def _often(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are frequent in a sample of the distinct texts, sorted, and their counts."""
     parts = max(1, texts.count() // SAMPLE)
@@ -67,11 +94,11 @@ def _often(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], rows["count"].to_numpy(np.int64)[order]
 
 
-def _sets(shared):
+def _prints(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, counts = shared.value
         for batch in batches:
-            keys, sizes, heads, sets = [], [], [], []
+            keys, sizes, heads, firsts, seconds = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 own = shingles(text)
                 n = len(own)
@@ -80,22 +107,30 @@ def _sets(shared):
                     at = np.minimum(np.searchsorted(often, own), len(often) - 1)
                     rank = np.where(often[at] == own, counts[at], 0)
                 first = np.lexsort((own, rank))[: n - -(-UP * n // DOWN) + 1 if n else 0]
-                raw = own.tobytes()
-                keys.append(xxhash.xxh64_intdigest(raw, SEED))
+                keys.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 sizes.append(n)
                 heads.append(own[first].view(np.int64))
-                sets.append(raw)
+                f0, f1 = fingerprint(own)
+                firsts.append(f0)
+                seconds.append(f1)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()),
-                    pa.array(heads, pa.list_(pa.int64())), pa.array(sets, pa.binary()),
+                    pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(heads, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "h", "key", "n", "head", "set"],
+                names=["doc_id", "h", "key", "n", "f0", "f1", "head"],
             )
 
     return run
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [shingles(t) for t in batch.column(0).to_pylist()]
+        keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([x.tobytes() for x in found], pa.binary())], names=["key", "set"])
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         same = []
@@ -114,9 +149,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     return cut(met.select("u", "v", "set_a", "set_b").mapInArrow(_alike, "u bigint, v bigint"), name)
 
 
-def _near(a, b):
-    """Sizes that allow the bound."""
-    return (DOWN * F.least(a, b)) >= (UP * F.greatest(a, b))
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of a tile (left, right null), or of two, that the bound allows: of different components, of sizes near
+    enough and within RADIUS bits."""
+    fields = ("key", "root", "n", "f0", "f1")
+
+    def columns(list_) -> list[np.ndarray]:
+        found = [list_.values.field(x).to_numpy(zero_copy_only=False) for x in fields]
+        return [*found[:3], found[3].view(np.uint64), found[4].view(np.uint64)]
+
+    for batch in batches:
+        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
+            a = columns(left)
+            b = columns(right) if right.is_valid else a
+            apart = np.bitwise_count(a[3][:, None] ^ b[3][None, :]) + np.bitwise_count(a[4][:, None] ^ b[4][None, :])
+            sizes = DOWN * np.minimum(a[2][:, None], b[2][None, :]) >= UP * np.maximum(a[2][:, None], b[2][None, :])
+            i, j = np.nonzero((apart <= RADIUS) & sizes & (a[1][:, None] != b[1][None, :]))
+            if not right.is_valid:
+                i, j = i[i < j], j[i < j]
+            us.append(np.minimum(a[0][i], b[0][j]))
+            vs.append(np.maximum(a[0][i], b[0][j]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+
+
+def _near(a: Column, b: Column) -> Column:
+    """Whether two structs' sizes and fingerprints allow the bound."""
+    bits = F.bit_count(a["f0"].bitwiseXOR(b["f0"])) + F.bit_count(a["f1"].bitwiseXOR(b["f1"]))
+    return (DOWN * F.least(a["n"], b["n"]) >= UP * F.greatest(a["n"], b["n"])) & (bits <= RADIUS)
 
 
 def _placed(tokens: DataFrame, edges: DataFrame) -> DataFrame:
@@ -126,46 +186,64 @@ def _placed(tokens: DataFrame, edges: DataFrame) -> DataFrame:
     return found.join(several, "token")
 
 
-def links(rows: DataFrame) -> DataFrame:
-    """Edges (u, v) of (key, n, head, set), whose components are those of all pairs at the bound."""
-    one = cut(rows.groupBy("key").agg(F.first("n").alias("n"), F.first("head").alias("head")), "alike-distinct")
-    every = one.select("key", "n", F.explode("head").alias("token"))
+def _named(row: Column | str = "doc_id") -> tuple[Column, Column]:
+    """doc_id as two columns to join on, null or not."""
+    return F.coalesce(row, F.lit(0)).alias("own_id"), F.isnull(row).alias("no_id")
+
+
+def links(one: DataFrame, texts: DataFrame, repeats: bool) -> DataFrame:
+    """Edges (u, v) of (key, best, n, f0, f1, head), one row a set, whose components are those of all pairs at the bound.
+    best: the row of texts (doc_id, h, text) that has the set; repeats: whether some row comes more than once."""
+    every = one.select("key", F.explode("head").alias("token"))
     groups = every.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1").select("token")
-    tokens = cut(every.join(groups, "token"), "alike-tokens")
-    wanted = tokens.select("key").distinct()
-    sets = cut(rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("set").alias("set")), "alike-sets")
+    shared = cut(every.join(groups, "token"), "alike-shared")
+    tokens = cut(shared.join(one.select("key", "n", "f0", "f1"), "key"), "alike-tokens")
+    wanted = one.join(shared.select("key").distinct(), "key", "left_semi").select(*_named(F.col("best.doc_id")), F.col("best.h").alias("h"))
+    named = texts.select(*_named(), "h", "text")
+    own = join_small(named, cut(wanted, "alike-wanted"), ["own_id", "no_id", "h"], "left_semi", NARROW_ROWS)
+    sets = own.select("text").mapInArrow(_sets, "key bigint, set binary")
+    sets = cut(sets.groupBy("key").agg(F.first("set").alias("set")) if repeats else sets, "alike-sets")
+    member = F.struct("key", "n", "f0", "f1")
     seen = edges = None
     for turn, pick in enumerate((F.min, F.max)):
         left = tokens if edges is None else cut(_placed(tokens, edges), "alike-placed")
-        hub = left.groupBy("token").agg(pick(F.struct("key", "n")).alias("hub"))
-        pairs = left.join(hub, "token").filter((F.col("key") != F.col("hub.key")) & _near(F.col("n"), F.col("hub.n")))
+        hub = left.groupBy("token").agg(pick(member).alias("hub"))
+        pairs = left.join(hub, "token").filter((F.col("key") != F.col("hub.key")) & _near(member, F.col("hub")))
         pairs = pairs.select(F.least("key", "hub.key").alias("u"), F.greatest("key", "hub.key").alias("v")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["u", "v"], "left_anti")
         pairs = cut(pairs, f"alike-pairs{turn}")
         found = _verified(pairs, sets, f"alike-edges{turn}")
         seen, edges = (pairs, found) if seen is None else (seen.union(pairs), edges.union(found))
-    member = F.struct("key", "n")
-    lists = cut(
-        _placed(tokens, edges)
-        .groupBy("token", "root", F.pmod(F.xxhash64("key"), F.lit(LISTS)).alias("part"))
-        .agg(F.collect_list(member).alias("own")),
-        "alike-lists",
-    )
-    across = lists.alias("a").join(lists.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") < F.col("b.root")))
-    rest = across.select(F.explode("a.own").alias("x"), F.col("b.own").alias("others")).select("x", F.explode("others").alias("y"))
-    rest = rest.filter(_near(F.col("x.n"), F.col("y.n"))).select(F.least("x.key", "y.key").alias("u"), F.greatest("x.key", "y.key").alias("v")).distinct()
+    ones = (F.bit_count("f0") + F.bit_count("f1")).alias("ones")
+    entries = _placed(tokens, edges).select("token", ones, F.struct("key", "root", "n", "f0", "f1").alias("own"))
+    within, across = tile_pairs(entries, ["token"], "alike", RADIUS, TILE)
+    # Texts that share a passage share many blocks: equal tiles are compared once.
+    within = within.distinct().withColumn("right", F.lit(None).cast(within.schema["left"].dataType))
+    rest = within.union(across).mapInArrow(_compare, "u bigint, v bigint").distinct()
     rest = cut(rest.join(seen, ["u", "v"], "left_anti"), "alike-pairs")
     return edges.union(_verified(rest, sets, "alike-edges"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each component the row with the smallest doc_id (null last, then by hash of its text), with the columns
-    of docs. Rows alike in both are one."""
+    of docs. Rows alike in both are one. Components are settled on ids alone; the documents meet one semi-join."""
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(_often(texts))
-    rows = cut(texts.mapInArrow(_sets(shared), "doc_id bigint, h bigint, key bigint, n int, head array<bigint>, set binary"), "alike-rows")
-    roots = components(links(rows)).withColumnRenamed("node", "key")
-    named = rows.select("doc_id", "h", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best"))
-    return matching(docs, best.select(F.col("best.doc_id").alias("keep_id"), F.col("best.h").alias("keep_h")))
+    schema = "doc_id bigint, h bigint, key bigint, n int, f0 bigint, f1 bigint, head array<bigint>"
+    rows = cut(texts.mapInArrow(_prints(shared), schema), "alike-rows")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    one = rows.groupBy("key").agg(F.min(row).alias("best"), *[F.first(x).alias(x) for x in ("n", "f0", "f1", "head")])
+    one = cut(one, "alike-distinct")
+    again = cut(rows.groupBy(*_named(), "h").count().filter("count > 1").select("own_id", "no_id", "h"), "alike-again")
+    roots = components(links(one, texts, not again.isEmpty())).withColumnRenamed("node", "key")
+    placed = cut(one.join(roots, "key", "left").select("key", "best", F.coalesce("root", "key").alias("root")), "alike-roots")
+    kept = placed.groupBy("root").agg(F.min("best").alias("kept")).join(placed, "root").select("key", "kept")
+    # What goes is mostly less than what stays, so it is what the documents are held against.
+    gone = rows.select("doc_id", "h", "key").join(kept, "key").filter(~row.eqNullSafe(F.col("kept"))).select(*_named(), "h")
+    gone = cut(gone.distinct(), "alike-gone")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *_named(), F.xxhash64("text").alias("h"))
+    name = ["own_id", "no_id", "h"]
+    left = join_small(own, gone, name, "left_anti", NARROW_ROWS)
+    repeated = join_small(left, again, name, "left_semi", NARROW_ROWS).dropDuplicates(name)
+    return join_small(left, again, name, "left_anti", NARROW_ROWS).union(repeated).select("doc.*")

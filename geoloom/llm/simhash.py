@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from geoloom.llm.components import components
 from geoloom.llm.tables import cut, read
+from geoloom.operators.graph import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 #: Fingerprints of a tile; a tile pair holds this number squared of bytes while it is compared.
@@ -99,49 +99,56 @@ def _compare(radius: int):
     return run
 
 
-def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Edges (u, v) between the distinct fingerprints of fps (column fp) whose components are those of all links."""
-    lanes = radius + 1
-    width = -(-64 // lanes)
-    lane = [F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1)) for i in range(lanes)]
-    entries = fps.select(
-        "fp",
-        F.bit_count("fp").alias("ones"),
-        F.posexplode(F.array(*lane)).alias("lane", "value"),
-    )
-    # A lane value's fingerprints are numbered within their population count only: neither one task nor one
-    # sort holds a common value's rows together, and the tiles follow from counts.
-    salted = entries.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(64)).cast("int"))
-    sizes = salted.groupBy("lane", "value", "ones", "part").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.partitionBy("lane", "value", "ones").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+def tile_pairs(entries: DataFrame, block: list[str], name: str, radius: int = RADIUS, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """Tiles of entries (the columns of block, ones, own) that are compared all against all, and pairs of such tiles.
+
+    The first has left, the owns of a block's tile; the second left and right. ones is a fingerprint's population count.
+    A block's entries are numbered within their population count only: neither one task nor one sort holds a common
+    block's rows together, and the tiles follow from counts. Pairs of tiles whose counts differ by over radius are
+    skipped."""
+    salted = entries.withColumn("part", F.pmod(F.xxhash64("own"), F.lit(64)).cast("int"))
+    sizes = salted.groupBy(*block, "ones", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy(*block, "ones").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     sizes = sizes.withColumn("before", F.coalesce(before, F.lit(0))).withColumn(
-        "group", F.sum("n").over(W.partitionBy("lane", "value"))
+        "group", F.sum("n").over(W.partitionBy(*block))
     ).filter("group > 1")
-    placed = salted.join(sizes, ["lane", "value", "ones", "part"])
-    nth = F.row_number().over(W.partitionBy("lane", "value", "ones", "part").orderBy("fp"))
+    placed = salted.join(sizes, [*block, "ones", "part"])
+    nth = F.row_number().over(W.partitionBy(*block, "ones", "part").orderBy("own"))
     # Small groups are one tile; large ones are cut by population count and place.
     cell = F.when(F.col("group") <= tile, F.lit(-1)).otherwise(F.col("ones"))
     seat = F.when(F.col("group") <= tile, F.lit(0)).otherwise(F.floor((F.col("before") + nth - 1) / tile)).cast("bigint")
     tiles = cut(
         placed.withColumn("cell", cell)
         .withColumn("seat", seat)
-        .groupBy("lane", "value", "cell", "seat")
-        .agg(F.sort_array(F.collect_list("fp")).alias("fps")),
-        "simhash-tiles",
+        .groupBy(*block, "cell", "seat")
+        .agg(F.sort_array(F.collect_list("own")).alias("owns")),
+        f"{name}-tiles",
     )
-    keys = tiles.select("lane", "value", F.col("cell").cast("int").alias("cell"), "seat")
+    keys = tiles.select(*block, F.col("cell").cast("int").alias("cell"), "seat")
     ahead = keys.filter("cell >= 0").select(
-        "lane", "value", F.col("cell").alias("cell_a"), F.col("seat").alias("seat_a"),
+        *block, F.col("cell").alias("cell_a"), F.col("seat").alias("seat_a"),
         F.explode(F.sequence(F.col("cell"), F.col("cell") + radius)).alias("cell_b"),
     )
-    pairs = ahead.join(
-        keys.select("lane", "value", F.col("cell").alias("cell_b"), F.col("seat").alias("seat_b")), ["lane", "value", "cell_b"]
-    ).filter("cell_a < cell_b OR seat_a < seat_b")
-    left = tiles.select("lane", "value", F.col("cell").alias("cell_a"), F.col("seat").alias("seat_a"), F.col("fps").alias("left"))
-    right = tiles.select("lane", "value", F.col("cell").alias("cell_b"), F.col("seat").alias("seat_b"), F.col("fps").alias("right"))
-    across = pairs.join(left, ["lane", "value", "cell_a", "seat_a"]).join(right, ["lane", "value", "cell_b", "seat_b"])
-    within = tiles.filter(F.size("fps") > 1).select(F.col("fps").alias("left"), F.lit(None).cast("array<bigint>").alias("right"))
-    work = within.union(across.select("left", "right"))
+    pairs = ahead.join(keys.select(*block, F.col("cell").alias("cell_b"), F.col("seat").alias("seat_b")), [*block, "cell_b"])
+    pairs = pairs.filter("cell_a < cell_b OR seat_a < seat_b")
+    left = tiles.select(*block, F.col("cell").alias("cell_a"), F.col("seat").alias("seat_a"), F.col("owns").alias("left"))
+    right = tiles.select(*block, F.col("cell").alias("cell_b"), F.col("seat").alias("seat_b"), F.col("owns").alias("right"))
+    across = pairs.join(left, [*block, "cell_a", "seat_a"]).join(right, [*block, "cell_b", "seat_b"])
+    return tiles.filter(F.size("owns") > 1).select(F.col("owns").alias("left")), across.select("left", "right")
+
+
+def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """Edges (u, v) between the distinct fingerprints of fps (column fp) whose components are those of all links."""
+    lanes = radius + 1
+    width = -(-64 // lanes)
+    lane = [F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1)) for i in range(lanes)]
+    entries = fps.select(
+        F.col("fp").alias("own"),
+        F.bit_count("fp").alias("ones"),
+        F.posexplode(F.array(*lane)).alias("lane", "value"),
+    )
+    within, across = tile_pairs(entries, ["lane", "value"], "simhash", radius, tile)
+    work = within.withColumn("right", F.lit(None).cast("array<bigint>")).union(across)
     return work.mapInArrow(_compare(radius), "u bigint, v bigint").distinct()
 
 
@@ -164,26 +171,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each component the row with the smallest doc_id (null last, then by hash of its text), with the columns
-    of docs. Rows alike in both are one."""
-    texts = docs.select("doc_id", F.col("text").alias("__text"), F.xxhash64("text").alias("h"))
-    prints = cut(texts.mapInArrow(_fingerprints, "doc_id bigint, fp bigint, h bigint"), "simhash-prints")
-    named = prints.join(classes(prints.select("doc_id", "fp")), "fp")
-    best = named.groupBy("component_id").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best")
-    )
-    return matching(docs, best.select(F.col("best.doc_id").alias("keep_id"), F.col("best.h").alias("keep_h")))
-
-
-def matching(docs: DataFrame, best: DataFrame) -> DataFrame:
-    """One row of docs for each (keep_id, keep_h)."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    own = docs.select(row, F.col("doc_id").alias("keep_id"), F.xxhash64("text").alias("keep_h"))
-    wanted = best.distinct().select(F.col("keep_id").alias("want_id"), F.col("keep_h").alias("want_h"))
-    met = own.join(wanted, own["keep_id"].eqNullSafe(wanted["want_id"]) & (own["keep_h"] == wanted["want_h"]), "left_semi")
-    return met.dropDuplicates(["keep_id", "keep_h"]).select("doc.*")
-
-
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))

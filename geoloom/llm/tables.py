@@ -1,51 +1,22 @@
-"""Reading tables, cutting lineage in the shared folder, and joins with a checked broadcast."""
+"""What the corpus operators share: tables, the shared folder, joins with a checked broadcast."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from geoloom.tables import BROADCAST_ROWS, cut, join_checked, once, read, shared_dir
+
+__all__ = ["BROADCAST_ROWS", "NARROW_ROWS", "WORD", "cut", "fresh", "join_small", "once", "read", "shared_dir"]
 
 #: A word: a run of anything but the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a small side up to which it is broadcast; beyond it the join is shuffled and AQE splits skew.
-BROADCAST_ROWS = 20_000
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="geoloom-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+#: Rows of a few numbers each up to which a side is broadcast: some tens of MB.
+NARROW_ROWS = 200_000
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder as Parquet and read back: later steps survive lost executors
-    without recomputing what stands before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
     """big joined to small, which is broadcast only if its rows, counted first, are few."""
-    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return big.join(F.broadcast(small) if few else small, on, how)
-
-
-def once(df: DataFrame, *columns) -> DataFrame:
-    """df.select(*columns), worked out once a row: later filters on dear columns aren't pushed below, where they would
-    write them out again and again."""
-    return df.select(F.inline(F.array(F.struct(*columns))))
+    return join_checked(big, small, on, how, most)
 
 
 def fresh(taken: list[str], stem: str) -> str:

@@ -4,8 +4,10 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
 from geoloom.llm import likeness
 from geoloom.llm.tables import read
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -60,3 +62,42 @@ def test_stage_on_documents(spark):
     docs = read(spark, "/root/testdata/sf0.01", "documents")
     got = [r.doc_id for r in likeness.keep_one(docs).collect()]
     assert sorted(got) == sorted(slow_keeps(docs.select("doc_id", "text").collect()))
+
+
+def test_rows_repeated_null_ids_and_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text + " more"
+    rows = [(None, text), (None, text), (5, text), (5, text), (7, near), (9, "other words"), (None, "lonely text"), (None, "lonely text"), (11, None), (12, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("key", "h", "doc", "token", "root", "own_id", "f0", "none"):
+        df = df.withColumn(name, F.lit(name))
+    kept = likeness.keep_one(df)
+    assert kept.columns == df.columns and sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("11", None), ("5", text), ("9", "other words"), ("None", "lonely text")]
+
+
+def test_tiles_of_a_large_group_lose_no_link(spark, monkeypatch):
+    """Many texts that share one long passage, in pairs of near copies: tiles by population count."""
+    monkeypatch.setattr(likeness, "TILE", 8)
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(9000)]
+    common = [rng.choice(words) for _ in range(120)]
+    rows = []
+    for i in range(60):
+        own = common + [rng.choice(words) for _ in range(60)]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[:-3] + ["x"] * (i % 3 + 1)))]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    assert sorted(r.doc_id for r in likeness.keep_one(df).collect()) == sorted(slow_keeps(df.collect()))
+
+
+def test_fingerprints_of_links_lie_within_the_radius():
+    """Sets at the bound, of all sizes: the largest distance seen stays well below the radius."""
+    rng = np.random.default_rng(7)
+    most = 0
+    for n in [4, 5, 6, 9, 10, 20, 60, 300] * 300:
+        both = -(-4 * (n + 1) // 5) if n > 5 else n
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate([a[:both], rng.integers(0, 1 << 63, 1 if n > 5 else n // 4, dtype=np.uint64)])
+        if len(np.intersect1d(a, b)) * 5 >= 4 * len(np.union1d(a, b)):
+            x, y = likeness.fingerprint(np.unique(a)), likeness.fingerprint(np.unique(b))
+            most = max(most, sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(x, y, strict=True)))
+    assert 20 < most <= likeness.RADIUS - 8
