@@ -19,16 +19,27 @@ RESERVED = ["CON", "PRN", "AUX", "NUL", "CONIN$", "CONOUT$", *[f"COM{i}" for i i
 BYTE_UNITS = ("bytes", "KB", "MB", "GB", "TB", "PB")
 
 
+#: What is masked, in this order, as pattern and replacement. User info, query and fragment of a URL; the
+#: key that stands in a fire feed's path; parameters that are credentials; what follows the name of an authorisation scheme.
+REDACTIONS = (
+    (r"([A-Za-z][A-Za-z0-9+.-]*://)[^\s\"'<>/?#]*@", "$1"),
+    (r"([A-Za-z][A-Za-z0-9+.-]*://[^\s\"'<>?#]*)\?[^\s\"'<>#]+", f"$1?{MASK}"),
+    (r"([A-Za-z][A-Za-z0-9+.-]*://[^\s\"'<>#]*)#[^\s\"'<>]+", f"$1#{MASK}"),
+    (r"(?i)(/api/(?:area|country)/csv/)[^/\s\"'<>?#]+", f"$1{MASK}"),
+    (rf"(?i)(^|[^A-Za-z0-9_-])({'|'.join(CREDENTIALS)}|x-amz-[a-z-]+)=[^&\s\"'<>]+", f"$1$2={MASK}"),
+    (r"(?i)\b(bearer|basic)\s+[A-Za-z0-9._~+/=-]+", f"$1 {MASK}"),
+)
+
+
 def redacted(text: Column) -> Column:
-    """text without user info, queries and fragments of URLs, keys in FIRMS paths, credential parameters and bearers."""
-    url = r"([A-Za-z][A-Za-z0-9+.-]*://)"
-    out = F.regexp_replace(text, url + r"[^\s\"'<>/?#]*@", "$1")
-    out = F.regexp_replace(out, url + r"([^\s\"'<>?#]*)\?[^\s\"'<>#]+", f"$1$2?{MASK}")
-    out = F.regexp_replace(out, url + r"([^\s\"'<>#]*)#[^\s\"'<>]+", f"$1$2#{MASK}")
-    out = F.regexp_replace(out, r"(?i)(/api/(?:area|country)/csv/)[^/\s\"'<>?#]+", f"$1{MASK}")
-    names = "|".join([*CREDENTIALS, "x-amz-[a-z-]+"])
-    out = F.regexp_replace(out, rf"(?i)(^|[^A-Za-z0-9_-])({names})=[^&\s\"'<>]+", f"$1$2={MASK}")
-    return F.regexp_replace(out, r"(?i)\b(bearer|basic)\s+[A-Za-z0-9._~+/=-]+", f"$1 {MASK}")
+    """text without what REDACTIONS name; null stays null."""
+    return reduce(lambda said, rule: F.regexp_replace(said, *rule), REDACTIONS, text)
+
+
+def error_text(kind: Column, said: Column) -> Column:
+    """A failure on one line, never empty and without credentials: its kind, and what it says if anything."""
+    line = F.trim(F.regexp_replace(redacted(F.coalesce(said, F.lit(""))), r"\s+", " "))
+    return F.when(line == "", kind).otherwise(F.concat(kind, F.lit(": "), line))
 
 
 def is_signed(url: Column) -> Column:
@@ -104,31 +115,52 @@ def token(text: Column) -> Column:
     return F.translate(F.lower(F.trim(text)), "-_", "")
 
 
+#: Bytes of a file name, and what of them is kept for the scene's part; a digest that stands for what was cut.
+NAME_BYTES, SCENE_BYTES, DIGEST = 240, 24, 8
+
+
 def _safe(text: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(text, r"[ .]+$", ""), r"[^A-Za-z0-9._-]+", "_")
-    bare = F.regexp_replace(bare, r"[ .]+$", "")
-    return F.when(bare == "", F.lit("_")).otherwise(bare)
-
-
-def scene_filename(scene_id: Column, key: Column, suffix: Column, most: int = 240) -> Column:
-    """`<id>_<key><suffix>` of safe characters, no more than `most` bytes long; what is cut leaves a digest."""
-    suffix = F.when(F.startswith(suffix, F.lit(".")), suffix).otherwise(F.concat(F.lit("."), suffix))
-    n = F.length(suffix)
-    ends = (F.lower(suffix) != ".bin") & F.endswith(F.lower(scene_id), F.lower(suffix))
-    cut = F.substring(scene_id, F.lit(1), F.length(scene_id) - n)
-    base = F.when(ends & (F.regexp_replace(cut, r"[._-]", "") != ""), cut).otherwise(scene_id)
-    stem, name = _safe(base), _safe(key)
-    room = F.greatest(F.lit(1), F.lit(most - 24 - 9) - n)
-    long_key = F.octet_length(name) + n + 1 > most - 24
-    name = F.when(long_key, F.concat(F.substring(name, F.lit(1), room), F.lit("~"), F.substring(F.sha1(key), 1, 8))).otherwise(name)
-    tail = F.concat(F.lit("_"), name, suffix)
-    room = F.greatest(F.lit(1), F.lit(most) - F.octet_length(tail))
-    short = F.concat(F.substring(stem, F.lit(1), F.greatest(F.lit(1), room - 9)), F.lit("~"), F.substring(F.sha1(scene_id), 1, 8))
-    full = F.concat(F.when(F.octet_length(stem) > room, short).otherwise(stem), tail)
-    return F.when(F.upper(F.substring_index(full, ".", 1)).isin(RESERVED), F.concat(F.lit("_"), full)).otherwise(full)
-
-
-def spend_label(cost: Column, known: Column, estimated: Column) -> Column:
-    plain = F.regexp_replace(F.regexp_replace(cost.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    shown = F.concat(F.when(estimated, F.lit("~$")).otherwise(F.lit("$")), plain)
-    return F.when(~known, F.lit("unknown")).when(cost.isNull(), F.lit("$0")).otherwise(shown)
+    """text of letters, digits, dots, hyphens and underscores, without dots at its end; never empty."""
+    kept = F.regexp_replace(F.regexp_replace(F.rtrim(text, F.lit(" .")), "[^A-Za-z0-9._-]+", "_"), "[ .]+$", "")
+    return F.coalesce(F.nullif(kept, F.lit("")), F.lit("_"))
+
+
+def _fitted(name: Column, of: Column, room: Column, kept: Column) -> Column:
+    """name if it takes no more bytes than room; else its first `kept` characters (one at least) and a digest of `of`."""
+    short = F.concat_ws("~", F.substring(name, F.lit(1), F.greatest(kept, F.lit(1))), F.substring(F.sha1(of), 1, DIGEST))
+    return F.when(F.octet_length(name) <= room, name).otherwise(short)
+
+
+def scene_filename(scene_id: Column, key: Column, suffix: Column, most: int = NAME_BYTES) -> Column:
+    """`<id>_<key><suffix>` of safe characters in no more than `most` bytes.
+
+    A suffix that the id ends with already is not said twice, unless it is `.bin` or all there is; a key that leaves the
+    id under SCENE_BYTES, and then an id that is too long, are cut and marked by a digest; a name that an operating
+    system keeps for itself gets an underscore in front."""
+    dotted = F.when(suffix.startswith("."), suffix).otherwise(F.concat(F.lit("."), suffix))
+    bare = F.left(scene_id, F.length(scene_id) - F.length(dotted))
+    twice = F.lower(scene_id).endswith(F.lower(dotted)) & ~F.lower(dotted).isin(".bin") & (F.translate(bare, "._-", "") != "")
+    behind = most - SCENE_BYTES - F.octet_length(dotted)
+    tail = F.concat(F.lit("_"), _fitted(_safe(key), key, behind - 1, behind - DIGEST - 1), dotted)
+    left = F.greatest(most - F.octet_length(tail), F.lit(1))
+    name = F.concat(_fitted(_safe(F.when(twice, bare).otherwise(scene_id)), scene_id, left, left - DIGEST - 1), tail)
+    return F.concat(F.when(F.upper(F.substring_index(name, ".", 1)).isin(RESERVED), "_").otherwise(""), name)
+
+
+#: Endings by what a media type says, in order; endings of links that are kept; those about another ending.
+MEDIA_SUFFIXES = (("jp2|jpeg2000", ".jp2"), ("tif", ".tif"), ("netcdf", ".nc"), ("hdf", ".hdf"), ("png", ".png"), ("jpeg|jpg", ".jpg"))
+OTHER_NAMES = {".jpeg": ".jpg", ".tiff": ".tif"}
+
+
+def asset_suffix(media_type: Column, href: Column, kept: list[str], packed: list[str], content_type: Column | None = None) -> Column:
+    """A file's ending: of what was served, of its declared media type, or of the link's path; `.bin` if none is known.
+
+    kept: endings of a path that are taken as they are; packed: endings that keep the one before them too."""
+    def told(media: Column) -> Column:
+        return reduce(lambda said, rule: said.when(F.lower(media).rlike(rule[0]), rule[1]), MEDIA_SUFFIXES[1:], F.when(F.lower(media).rlike(MEDIA_SUFFIXES[0][0]), MEDIA_SUFFIXES[0][1]))
+
+    name = F.lower(F.substring_index(F.regexp_extract(href, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), "/", -1))
+    last, inner = F.regexp_extract(name, r"[^.](\.[^.]+)$", 1), F.regexp_extract(name, r"[^.](\.[^.]+)\.[^.]+$", 1)
+    own = reduce(lambda said, pair: said.when(last == pair[0], pair[1]), OTHER_NAMES.items(), F.when(last == "", None))
+    own = own.when(last.isin(kept), last).when(last.isin(packed), F.concat(inner, last))
+    return F.coalesce(*([told(content_type)] if content_type is not None else []), told(media_type), own, F.lit(".bin"))

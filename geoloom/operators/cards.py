@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoloom.functions.text import index_id
@@ -11,7 +11,7 @@ from geoloom.functions.text import index_id
 #: Kinds that have no cloud cover.
 NO_CLOUD = "sar lidar dem atmosphere detection altimetry precipitation landcover landsurface".split()
 VERSION = 1
-TTL, MAX_AGE, CAP, TOMBSTONES = 300.0, 1800.0, 1000, 100_000
+TTL, MAX_AGE = 300.0, 1800.0
 
 
 def cloud_status(kind: Column, cloud: Column) -> Column:
@@ -53,72 +53,21 @@ def replay(log: DataFrame, ttl: float = TTL, max_age: float = MAX_AGE) -> DataFr
     """seq, index_id, status (found, expired or missing) of every lookup in a log (seq, t, op, index_id).
 
     A card lives for ttl seconds after it was put or last found, never longer than max_age after it was put; at the very
-    end of either it has expired. Each card is by itself, so the log is dealt out by index_id, and a fold over
-    one card's events, in order, is an aggregate over an array that Spark sorts."""
-    event = F.struct("seq", "t", "op")
-    zero = F.struct(F.lit(None).cast("double").alias("put"), F.lit(None).cast("double").alias("end"), F.array().cast("array<struct<seq:bigint,status:string>>").alias("out"))
-
-    def step(s: Column, e: Column) -> Column:
-        known, alive = s["put"].isNotNull(), s["put"].isNotNull() & (e["t"] < s["end"])
-        is_put = e["op"] == "put"
-        end = F.least(e["t"] + ttl, F.when(is_put, e["t"]).otherwise(s["put"]) + max_age)
-        status = F.when(alive, "found").when(known, "expired").otherwise("missing")
-        answer = F.array(F.struct(e["seq"].alias("seq"), status.alias("status")))
-        return F.struct(
-            F.when(is_put, e["t"]).otherwise(s["put"]).alias("put"),
-            F.when(is_put | alive, end).otherwise(s["end"]).alias("end"),
-            F.when(is_put, s["out"]).otherwise(F.concat(s["out"], answer)).alias("out"),
-        )
-
-    own = log.select(F.col("seq").cast("bigint").alias("seq"), F.col("t").cast("double").alias("t"), "op", "index_id")
-    folded = own.groupBy("index_id").agg(F.array_sort(F.collect_list(event)).alias("events"))
-    return folded.select("index_id", F.explode(F.aggregate("events", zero, step)["out"]).alias("a")).select("a.seq", "index_id", "a.status")
-
-
-def replay_capped(log: DataFrame, ttl: float = TTL, max_age: float = MAX_AGE, cap: int = CAP, tombstones: int = TOMBSTONES) -> DataFrame:
-    """replay() of a store that holds at most cap cards, whose least lately used card goes first, and remembers as many
-    ids that have gone as tombstones says. seq, index_id, status.
-
-    Which card goes depends on all others, so one store is one fold in order: stores (column store) are dealt out,
-    one's log is not. The state is bounded by cap and tombstones; the log streams through in sorted batches."""
-    schema = "seq bigint, index_id string, status string"
-
-    def run(batches):
-        from collections import OrderedDict
-
-        cards: OrderedDict[str, tuple[float, float]] = OrderedDict()
-        gone: OrderedDict[str, None] = OrderedDict()
-        store = None
-
-        def drop(key: str) -> None:
-            cards.pop(key)
-            gone[key] = None
-            gone.move_to_end(key)
-            while len(gone) > tombstones:
-                gone.popitem(last=False)
-
-        for df in batches:
-            out = []
-            for r in df.itertuples(index=False):
-                if r.store != store:
-                    cards.clear()
-                    gone.clear()
-                    store = r.store
-                for key in [k for k, (_, end) in cards.items() if r.t >= end]:
-                    drop(key)
-                if r.op == "put":
-                    gone.pop(r.index_id, None)
-                    cards[r.index_id] = (r.t, min(r.t + ttl, r.t + max_age))
-                    cards.move_to_end(r.index_id)
-                    while len(cards) > cap:
-                        drop(next(iter(cards)))
-                elif r.index_id in cards:
-                    put, _ = cards[r.index_id]
-                    cards[r.index_id] = (put, min(r.t + ttl, put + max_age))
-                    cards.move_to_end(r.index_id)
-                    out.append((r.seq, r.index_id, "found"))
-                else:
-                    out.append((r.seq, r.index_id, "expired" if r.index_id in gone else "missing"))
-            yield pd.DataFrame(out, columns=["seq", "index_id", "status"])
-
-    return log.select("store", "seq", "t", "op", "index_id").repartition("store").sortWithinPartitions("store", "seq").mapInPandas(run, schema)
+    end of either it has expired. What follows a put is a run of its own; within it, lookups are found up to the first
+    that comes too late after the event before it or after the put. Three running values over a card's events in order,
+    which stream through a window: no list is gathered."""
+    put = F.col("op") == "put"
+    order = W.partitionBy("index_id").orderBy("seq")
+    runs = log.select(F.col("seq").cast("bigint").alias("seq"), F.col("t").cast("double").alias("t"), "op", "index_id")
+    runs = runs.withColumn("run", F.count_if(put).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    runs = runs.withColumn("since", F.max(F.when(put, F.col("t"))).over(W.partitionBy("index_id", "run")))
+    within = W.partitionBy("index_id", "run").orderBy("seq")
+    late = (F.col("t") - F.lag("t").over(within) >= ttl) | (F.col("t") - F.col("since") >= max_age)
+    lapsed = F.max(F.coalesce(F.col("late"), F.lit(False))).over(within.rowsBetween(W.unboundedPreceding, 0))
+    status = F.when(F.col("run") == 0, "missing").when(F.col("lapsed"), "expired").otherwise("found")
+    return runs.withColumn("late", late).withColumn("lapsed", lapsed).filter("op <> 'put'").select("seq", "index_id", status.alias("status"))
+
+
+def listed(cards: DataFrame) -> DataFrame:
+    """Cards in the order of a list: by time, then id."""
+    return cards.orderBy("ts", "index_id")

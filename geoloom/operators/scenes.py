@@ -97,8 +97,18 @@ def select(scenes: DataFrame, request: PullRequest, keys: tuple[str, ...] = ("so
 
 
 def ranked(scenes: DataFrame, keys: tuple[str, ...] = ("source",)) -> DataFrame:
-    """scenes with rank: their place in the list, clearest first."""
-    return scenes.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*clearest_order())))
+    """scenes with rank: their place in the list, clearest first.
+
+    In two steps, by whole percent of cloud and day, and then within these, so that a list of any length is never sorted
+    in one task: what the running sums need is one count each."""
+    cloud = F.floor(F.when(F.col("kind").isin(*CLOUDY) & F.col("cloud").isNotNull(), F.col("cloud")).otherwise(F.lit(-1.0)))
+    own = scenes.withColumn("_cloud", cloud).withColumn("_day", F.col("ts").cast("date"))
+    cell = [*keys, "_cloud", "_day"]
+    counts = own.groupBy(*cell).agg(F.count("*").alias("_n"))
+    before = W.partitionBy(*keys).orderBy(F.col("_cloud"), F.col("_day").desc()).rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    nth = F.row_number().over(W.partitionBy(*cell).orderBy(*clearest_order()))
+    return join_checked(own, counts, cell).withColumn("rank", (F.col("_before") + nth).cast("int")).select(*scenes.columns, "rank")
 
 
 def lattice(area: BBox, grid: int = GRID) -> list[tuple[int, float, float]]:
@@ -143,14 +153,25 @@ def coverage(scenes: DataFrame, area: BBox, keys: tuple[str, ...] = ("source",),
 
 
 def consolidated(scenes: DataFrame, request: PullRequest) -> DataFrame:
-    """One row a source that has scenes left: n_scenes, scene_ids (clearest first), cloud and coverage."""
-    chosen = ranked(select(scenes, request))
-    cloud = F.min(F.when(F.col("kind").isin(*CLOUDY), F.col("cloud")))
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"])
-    summed = chosen.groupBy("source").agg(F.count("*").alias("n_scenes"), ids.alias("scene_ids"), cloud.alias("cloud"))
+    """One row a source that has scenes left: n_scenes, cloud and coverage. Its scenes, in order, are the rows of
+    ranked(select(...)): a list of any length is rows, not one cell."""
+    chosen = select(scenes, request)
+    low = F.min(F.when(F.col("kind").isin(*CLOUDY), F.col("cloud")))
+    summed = chosen.groupBy("source").agg(F.count("*").alias("n_scenes"), low.alias("cloud"))
     return summed.join(coverage(chosen, request.bbox), "source")
 
 
+def consolidated_scenes(scenes: DataFrame, request: PullRequest) -> DataFrame:
+    """source, rank, id of the scenes that a request leaves, clearest first, beside what is said of their source."""
+    chosen = ranked(select(scenes, request)).select("source", "rank", "id")
+    return join_checked(chosen, consolidated(scenes, request), ["source"])
+
+
+def representative_cloud(scenes: DataFrame, keys: tuple[str, ...] = ("source", "collection")) -> DataFrame:
+    """The least cloud among scenes of kinds that have any; null if none is known."""
+    return scenes.groupBy(*keys).agg(F.min(F.when(F.col("kind").isin(*CLOUDY), F.col("cloud"))).alias("cloud"))
+
+
 @dataclass(frozen=True)
 class Radar:
     threshold: float = CLEAR_COVERAGE

@@ -7,7 +7,9 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo, text, times
+from geoloom.operators import ranges
 from geoloom.plans.views import oracle, view
+from geoloom.sources import listings
 from geoloom.tables import read
 
 
@@ -35,7 +37,7 @@ def _over(names: str, *columns, where: str | None = None):
 
 
 def g02_parts(spark, sf_dir):
-    return view(spark, sf_dir, "scenes").filter("ord % 5 = 0").select("ord", F.explode(geo.parts(_b())).alias("p")).select("ord", "p.west", "p.south", "p.east", "p.north")
+    return view(spark, sf_dir, "scenes").select("ord", F.explode(geo.parts(_b())).alias("p")).select("ord", "p.west", "p.south", "p.east", "p.north")
 
 
 def a21_enclosing(spark, sf_dir):
@@ -46,7 +48,7 @@ def a21_enclosing(spark, sf_dir):
 
 def g19_model_bounds(spark, sf_dir):
     """Bounds in metres of the nine sample points of each box."""
-    s = view(spark, sf_dir, "scenes").filter("ord % 10 = 0 AND west <= east")
+    s = view(spark, sf_dir, "scenes").filter("west <= east")
     shares = spark.createDataFrame([(i / 2, j / 2) for i in range(3) for j in range(3)], "fx double, fy double")
     # Nine literal rows.
     points = s.crossJoin(F.broadcast(shares))
@@ -56,25 +58,35 @@ def g19_model_bounds(spark, sf_dir):
 
 
 def g21_coalesced_ranges(spark, sf_dir):
-    """Byte spans whose gap is at most 8192 as one span each."""
-    from geoloom.operators.ranges import coalesced
+    """Byte spans whose gap is at most 8192 as one span each, across blocks of places."""
+    return ranges.coalesced(_spans(spark, sf_dir), ["file"], most=None, block=1 << 22)
 
-    spans = read(spark, sf_dir, "lineitem").select(
-        (F.col("l_suppkey") % 40).alias("file"),
-        (F.col("l_orderkey") * 9973 % 40000000).alias("start"),
-    ).withColumn("stop", F.col("start") + 1000 + F.col("start") % 3000)
-    return coalesced(spans, ["file"], gap=8192)
+
+def g21_capped_reads(spark, sf_dir):
+    """The same in reads of no more than 8 MiB."""
+    return ranges.coalesced(_spans(spark, sf_dir), ["file"], gap=1 << 16)
+
+
+def _spans(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 40).alias("file"), (F.col("l_orderkey") * 9973 % 40000000).alias("start")).withColumn("stop", F.col("start") + 1000 + F.col("start") % 3000)
+
+
+def g21_tile_range(spark, sf_dir):
+    """The tiles of 256 pixels that windows along a line of 10,000 need."""
+    a = F.col("event_id") * 37 % 12000 - 1000
+    d = view(spark, sf_dir, "detections").select("event_id", ranges.tiles_of(a, a + F.col("event_id") % 700, 256, F.lit(10000)).alias("t"))
+    return d.filter("t IS NOT NULL").select("event_id", "t.first", "t.last")
 
 
 def d03_day_list(spark, sf_dir):
-    s = view(spark, sf_dir, "scenes").filter("ord % 50 = 0").select("ord", F.col("ts").cast("date").alias("start"))
+    s = view(spark, sf_dir, "scenes").select("ord", F.col("ts").cast("date").alias("start"))
     return s.select("ord", F.explode(times.days(F.col("start"), F.date_add("start", (F.col("ord") % 7).cast("int")))).alias("day")).select(
         "ord", "day", F.dayofyear("day").alias("doy")
     )
 
 
 def d05_backward_chunks(spark, sf_dir):
-    s = view(spark, sf_dir, "scenes").filter("ord % 50 = 0").select("ord", F.col("ts").cast("date").alias("start"))
+    s = view(spark, sf_dir, "scenes").select("ord", F.col("ts").cast("date").alias("start"))
     return s.select("ord", F.explode(times.chunks_backward(F.col("start"), F.date_add("start", (F.col("ord") % 37).cast("int")))).alias("c")).select(
         "ord", "c.first", "c.last"
     )
@@ -148,25 +160,22 @@ def f10_extent_overlap(spark, sf_dir):
 
 
 def f25_product(spark, sf_dir):
-    """Product and side of a geostationary request."""
-    conus = geo.Box.of(-130.0, 20.0, -60.0, 55.0)
-    inside = (_b().west <= _b().east) & (_b().west >= conus.west) & (_b().east <= conus.east) & (_b().south >= conus.south) & (_b().north <= conus.north)
-    lon, _ = geo.centre(_b())
-    return view(spark, sf_dir, "scenes").select(
-        F.when(inside, "MCMIPC").otherwise("MCMIPF").alias("product"), F.when(lon >= -105, "east").otherwise("west").alias("side")
-    ).groupBy("product", "side").agg(F.count("*").alias("n"))
+    """Product and side of a geostationary request for each side of a box."""
+    p = view(spark, sf_dir, "scenes").select("ord", F.explode(geo.parts(_b())).alias("p")).select("ord", "p.*")
+    c = listings.GOES_CONUS
+    inside = (F.col("west") >= c.west) & (F.col("east") <= c.east) & (F.col("south") >= c.south) & (F.col("north") <= c.north)
+    side = F.when((F.col("west") + F.col("east")) / 2 >= listings.GOES_MERIDIAN, "east").otherwise("west")
+    return p.select(F.when(inside, listings.CONUS_PRODUCT).otherwise(listings.DISK_PRODUCT).alias("product"), side.alias("side")).groupBy("product", "side").agg(F.count("*").alias("n"))
 
 
 def f26_operational_window(spark, sf_dir):
-    """Scenes by the satellite that was in service at their time: a table of five rows, joined on overlap."""
-    eras = spark.createDataFrame(
-        [("a", "1992-01-01", "1993-06-30"), ("b", "1993-07-01", "1994-12-31"), ("c", "1995-01-01", "1996-06-30"), ("d", "1996-07-01", "1997-12-31"), ("e", "1998-01-01", None)],
-        "era string, first string, last string",
-    )
-    day = F.col("ts").cast("date")
+    """Scenes by the satellite that was in service on their day, brought to this century: a table of five rows."""
+    rows = [(side, *x) for side, own in listings.GOES_SERVICE.items() for x in own]
+    service = spark.createDataFrame(rows, "side string, bucket string, first date, last date")
+    day = F.add_months(F.col("ts").cast("date"), 12 * 25)
     # Five literal rows.
-    met = view(spark, sf_dir, "scenes").join(F.broadcast(eras), (F.col("first").cast("date") <= day) & (F.col("last").isNull() | (day <= F.col("last").cast("date"))))
-    return met.groupBy("era").agg(F.count("*").alias("n"))
+    met = view(spark, sf_dir, "scenes").withColumn("day", day).join(F.broadcast(service), F.col("day").between(F.col("first"), F.col("last")))
+    return met.groupBy("side", "bucket").agg(F.count("*").alias("n"))
 
 
 def _r(c, n, digits=6):
@@ -177,13 +186,16 @@ _STRUCT = ", ".join
 _REDACT_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '([A-Za-z][A-Za-z0-9+.-]*://[^\s"''<>?#]*)\?[^\s"''<>#]+', '\1?***', 'g'),
   '([A-Za-z][A-Za-z0-9+.-]*://[^\s"''<>#]*)#[^\s"''<>]+', '\1#***', 'g'), '(?i)(^|[^a-z0-9_-])(token|api_key|key)=[^&\s"''<>]+', '\1\2=***', 'g'), '(?i)\b(bearer|basic)\s+[A-Za-z0-9._~+/=-]+', '\1 ***', 'g')"""
 
+_SPANS = """WITH spans AS (SELECT l_suppkey % 40 AS file, l_orderkey * 9973 % 40000000 AS start, l_orderkey * 9973 % 40000000 + 1000 + l_orderkey * 9973 % 40000000 % 3000 AS stop, count(*) AS n FROM lineitem GROUP BY ALL),
+marked AS (SELECT *, CASE WHEN start <= max(stop) OVER w + 8192 THEN 0 ELSE 1 END AS fresh FROM spans WINDOW w AS (PARTITION BY file ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
 QUERIES = {
     "g01_lon_span": (_over("scenes", "ord", lambda: geo.lon_span(_b()).alias("span")), oracle("scenes", f"SELECT ord, {SPAN} AS span FROM scenes")),
     "g02_antimeridian_parts": (
         g02_parts,
-        oracle("scenes", """SELECT ord, west, south, east, north FROM scenes WHERE ord % 5 = 0 AND west <= east
-UNION ALL SELECT ord, west, south, 180, north FROM scenes WHERE ord % 5 = 0 AND west > east AND west < 180
-UNION ALL SELECT ord, -180, south, east, north FROM scenes WHERE ord % 5 = 0 AND west > east AND -180 < east"""),
+        oracle("scenes", """SELECT ord, west, south, east, north FROM scenes WHERE west <= east
+UNION ALL SELECT ord, west, south, 180, north FROM scenes WHERE west > east AND west < 180
+UNION ALL SELECT ord, -180, south, east, north FROM scenes WHERE west > east AND -180 < east"""),
     ),
     "g03_overlap_area": (
         _over("scenes", "ord", lambda: geo.area(_b()).alias("area"), lambda: geo.overlap_area(_b(), _area()).alias("shared")),
@@ -260,7 +272,7 @@ SELECT event_id, round(500000 + 0.9996 * n * (d + (1 - t + c) * pow(d, 3) / 6 +
         g19_model_bounds,
         oracle("scenes", """SELECT ord, round(radians(west) * 6378137, 3) AS min_x, round(radians(east) * 6378137, 3) AS max_x,
   round(ln(tan(pi() / 4 + radians(greatest(south, -85.05112878)) / 2)) * 6378137, 3) AS min_y, round(ln(tan(pi() / 4 + radians(least(north, 85.05112878)) / 2)) * 6378137, 3) AS max_y
-FROM scenes WHERE ord % 10 = 0 AND west <= east"""),
+FROM scenes WHERE west <= east"""),
     ),
     "g20_pixel_window": (
         lambda spark, sf_dir: view(spark, sf_dir, "scenes").filter("west <= east").select(
@@ -274,10 +286,23 @@ WHERE least(600, c) > greatest(0, a) AND least(400, d) > greatest(0, b)"""),
     ),
     "g21_coalesced_ranges": (
         g21_coalesced_ranges,
-        """WITH spans AS (SELECT l_suppkey % 40 AS file, l_orderkey * 9973 % 40000000 AS start, l_orderkey * 9973 % 40000000 + 1000 + l_orderkey * 9973 % 40000000 % 3000 AS stop FROM lineitem),
-marked AS (SELECT *, CASE WHEN start <= max(stop) OVER w + 8192 THEN 0 ELSE 1 END AS fresh FROM spans WINDOW w AS (PARTITION BY file ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        _SPANS + """,
 runs AS (SELECT *, sum(fresh) OVER (PARTITION BY file ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS run FROM marked)
-SELECT file, min(start) AS start, max(stop) AS stop, count(*) AS n FROM runs GROUP BY file, run""",
+SELECT file, min(start) AS start, max(stop) AS stop, CAST(sum(n) AS BIGINT) AS n FROM runs GROUP BY file, run""",
+    ),
+    "g21_capped_reads": (
+        g21_capped_reads,
+        """WITH RECURSIVE spans AS (SELECT l_suppkey % 40 AS file, l_orderkey * 9973 % 40000000 AS start, l_orderkey * 9973 % 40000000 + 1000 + l_orderkey * 9973 % 40000000 % 3000 AS stop, count(*) AS n FROM lineitem GROUP BY ALL),
+nth AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY start, stop) AS i FROM spans),
+walk(file, i, a, b, n, read) AS (SELECT file, i, start, stop, n, 1 FROM nth WHERE i = 1
+  UNION ALL SELECT t.file, t.i, CASE WHEN j THEN a ELSE t.start END, CASE WHEN j THEN greatest(b, t.stop) ELSE t.stop END, t.n, CASE WHEN j THEN read ELSE read + 1 END
+  FROM (SELECT n.*, w.a, w.b, w.read, n.start <= w.b + 65536 AND greatest(w.b, n.stop) - w.a <= 8388608 AS j FROM walk w JOIN nth n ON n.file = w.file AND n.i = w.i + 1) t)
+SELECT file, min(a) AS start, max(b) AS stop, CAST(sum(n) AS BIGINT) AS n FROM walk GROUP BY file, read""",
+    ),
+    "g21_tile_range": (
+        g21_tile_range,
+        oracle("detections", """, w AS (SELECT event_id, greatest(0, event_id * 37 % 12000 - 1000) AS a, least(10000, event_id * 37 % 12000 - 1000 + event_id % 700) AS b FROM detections)
+SELECT event_id, CAST(a // 256 AS INT) AS first, CAST((b - 1) // 256 AS INT) AS last FROM w WHERE a < b"""),
     ),
     "g23_smaller_overlap": (
         _over("scenes", "ord", lambda: _r(geo.overlap_of_smaller(_b(), geo.Box(_b().west, _b().south + 1, _b().east, _b().north + 3)), "share")),
@@ -291,11 +316,11 @@ SELECT file, min(start) AS start, max(stop) AS stop, count(*) AS n FROM runs GRO
     "d03_day_list": (
         d03_day_list,
         oracle("scenes", """SELECT ord, CAST(day AS DATE) AS day, CAST(dayofyear(day) AS INT) AS doy FROM (
-  SELECT ord, unnest(generate_series(CAST(ts AS DATE), CAST(ts AS DATE) + CAST(ord % 7 AS INT), INTERVAL 1 DAY)) AS day FROM scenes WHERE ord % 50 = 0)"""),
+  SELECT ord, unnest(generate_series(CAST(ts AS DATE), CAST(ts AS DATE) + CAST(ord % 7 AS INT), INTERVAL 1 DAY)) AS day FROM scenes)"""),
     ),
     "d05_backward_chunks": (
         d05_backward_chunks,
-        oracle("scenes", """, span AS (SELECT ord, CAST(ts AS DATE) AS start, CAST(ts AS DATE) + CAST(ord % 37 AS INT) AS stop FROM scenes WHERE ord % 50 = 0),
+        oracle("scenes", """, span AS (SELECT ord, CAST(ts AS DATE) AS start, CAST(ts AS DATE) + CAST(ord % 37 AS INT) AS stop FROM scenes),
 steps AS (SELECT *, unnest(range(4)) AS k FROM span)
 SELECT ord, greatest(start, stop - CAST(k * 10 + 9 AS INT)) AS first, stop - CAST(k * 10 AS INT) AS last FROM steps WHERE stop - CAST(k * 10 AS INT) >= start"""),
     ),
@@ -325,14 +350,16 @@ SELECT ord, greatest(start, stop - CAST(k * 10 + 9 AS INT)) AS first, stop - CAS
     ),
     "f25_goes_product": (
         f25_product,
-        oracle("scenes", f""", told AS (SELECT CASE WHEN west <= east AND west >= -130 AND east <= -60 AND south >= 20 AND north <= 55 THEN 'MCMIPC' ELSE 'MCMIPF' END AS product,
-  CASE WHEN CASE WHEN west + ({SPAN}) / 2 > 180 THEN west + ({SPAN}) / 2 - 360 ELSE west + ({SPAN}) / 2 END >= -105 THEN 'east' ELSE 'west' END AS side FROM scenes)
-SELECT product, side, count(*) AS n FROM told GROUP BY ALL"""),
+        oracle("scenes", """, part AS (SELECT west, south, east, north FROM scenes WHERE west <= east UNION ALL SELECT west, south, 180, north FROM scenes WHERE west > east AND west < 180
+UNION ALL SELECT -180, south, east, north FROM scenes WHERE west > east AND -180 < east)
+SELECT CASE WHEN west >= -125 AND east <= -66 AND south >= 24 AND north <= 50 THEN 'ABI-L2-MCMIPC' ELSE 'ABI-L2-MCMIPF' END AS product,
+  CASE WHEN (west + east) / 2 >= -105 THEN 'east' ELSE 'west' END AS side, count(*) AS n FROM part GROUP BY ALL"""),
     ),
     "f26_operational_window": (
         f26_operational_window,
-        oracle("scenes", """SELECT CASE WHEN ts < DATE '1993-07-01' THEN 'a' WHEN ts < DATE '1995-01-01' THEN 'b' WHEN ts < DATE '1996-07-01' THEN 'c' WHEN ts < DATE '1998-01-01' THEN 'd' ELSE 'e' END AS era,
-  count(*) AS n FROM scenes WHERE ts >= DATE '1992-01-01' GROUP BY 1"""),
+        oracle("scenes", """, service(side, bucket, first, last) AS (VALUES ('east', 'noaa-goes16', DATE '2017-12-18', DATE '2025-04-06'), ('east', 'noaa-goes19', DATE '2025-04-07', DATE '9999-12-31'),
+  ('west', 'noaa-goes15', DATE '2012-01-01', DATE '2019-02-11'), ('west', 'noaa-goes17', DATE '2019-02-12', DATE '2023-01-03'), ('west', 'noaa-goes18', DATE '2023-01-04', DATE '9999-12-31'))
+SELECT side, bucket, count(*) AS n FROM scenes JOIN service ON CAST(ts + INTERVAL 25 YEAR AS DATE) BETWEEN first AND last GROUP BY ALL"""),
     ),
     "s01_redacted": (
         s01_redacted,
@@ -359,8 +386,8 @@ SELECT ord, CASE WHEN n / pow(1024, k) = floor(n / pow(1024, k)) THEN CAST(CAST(
   || ' ' || ['bytes', 'KB', 'MB', 'GB', 'TB'][k + 1] AS said FROM u"""),
     ),
     "s10_tokens_label": (
-        _over("usage", "conv_id", "turn", lambda: text.tokens_label(F.col("tokens") * F.pow(F.lit(7), F.col("turn")).cast("bigint")).alias("said"), where="turn < 9"),
-        oracle("usage", """, v AS (SELECT conv_id, turn, tokens * CAST(pow(7, turn) AS BIGINT) AS n FROM usage WHERE turn < 9),
+        _over("usage", "conv_id", "turn", lambda: text.tokens_label(F.col("tokens") * F.pow(F.lit(7), F.col("turn") % 9).cast("bigint")).alias("said")),
+        oracle("usage", """, v AS (SELECT conv_id, turn, tokens * CAST(pow(7, turn % 9) AS BIGINT) AS n FROM usage),
 d AS (SELECT *, CAST(pow(10, greatest(0, length(CAST(n AS VARCHAR)) - 3)) AS BIGINT) AS f FROM v),
 r AS (SELECT *, CASE WHEN n < 1000 THEN n ELSE (2 * n + f) // (2 * f) * f END AS x FROM d),
 u AS (SELECT *, CASE WHEN x >= 1000000000 THEN 1000000000 WHEN x >= 1000000 THEN 1000000 WHEN x >= 1000 THEN 1000 ELSE 1 END AS unit FROM r)

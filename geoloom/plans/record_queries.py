@@ -230,11 +230,6 @@ def st02_card_expiry(spark, sf_dir):
     return C.replay(log.withColumn("seq", F.col("t").cast("bigint") * 10_000_000 + F.col("seq"))).select("seq", "index_id", "status")
 
 
-def st03_capped_store(spark, sf_dir):
-    log = _log(spark, sf_dir).withColumn("seq", F.col("t").cast("bigint") * 10_000_000 + F.col("seq")).withColumn("store", F.crc32("index_id") % 8)
-    return C.replay_capped(log, cap=5).groupBy("status").agg(F.count("*").alias("n"))
-
-
 def _calls(spark, sf_dir):
     u = view(spark, sf_dir, "usage")
     return u.select(
@@ -398,8 +393,19 @@ SELECT id, CAST(tier AS INT) AS tier, ord FROM (SELECT *, row_number() OVER (PAR
 SELECT id, string_agg(source, ',' ORDER BY source <> home, source) AS found_in FROM others GROUP BY id"""),
     ),
     "f20_local_data": (f20_local_data, oracle("assets", "SELECT scene, bool_or(ord % 4 IN (1, 2)) AS local FROM assets GROUP BY scene")),
-    "st02_card_expiry": (st02_card_expiry, None),
-    "st03_capped_store": (st03_capped_store, None),
+    "st02_card_expiry": (
+        st02_card_expiry,
+        """WITH RECURSIVE log AS (SELECT CAST(t AS BIGINT) * 10000000 + event_id AS seq, t, op, index_id FROM (SELECT event_id, floor((epoch_us(ts) - 1704067200000000) / 20000000.0) AS t,
+  CASE WHEN event_id % 3 = 0 THEN 'put' ELSE 'lookup' END AS op, 'sc_' || user_id % 300 AS index_id FROM events)),
+nth AS (SELECT *, row_number() OVER (PARTITION BY index_id ORDER BY seq) AS i FROM log),
+walk(index_id, i, seq, op, put, stop, status) AS (
+  SELECT index_id, i, seq, op, CASE WHEN op = 'put' THEN t END, CASE WHEN op = 'put' THEN t + 300 END, 'missing' FROM nth WHERE i = 1
+  UNION ALL SELECT n.index_id, n.i, n.seq, n.op, CASE WHEN n.op = 'put' THEN n.t ELSE w.put END,
+    CASE WHEN n.op = 'put' THEN n.t + 300 WHEN n.t < w.stop THEN least(n.t + 300, w.put + 1800) ELSE w.stop END,
+    CASE WHEN w.put IS NULL THEN 'missing' WHEN n.t < w.stop THEN 'found' ELSE 'expired' END
+  FROM walk w JOIN nth n ON n.index_id = w.index_id AND n.i = w.i + 1)
+SELECT seq, index_id, status FROM walk WHERE op <> 'put'""",
+    ),
     "a22_session_totals": (
         a22_session_totals,
         oracle("usage", """SELECT conv_id AS session, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS prompt, CAST(sum(turn) AS BIGINT) AS completion, max_by(tokens, turn) AS context,

@@ -148,23 +148,21 @@ def a01_coverage(spark, sf_dir):
 
 
 def a01_coverage_all(spark, sf_dir):
-    return S.coverage(view(spark, sf_dir, "scenes").filter("ord % 200 = 1"), DATELINE, keys=())
+    return S.coverage(view(spark, sf_dir, "scenes"), DATELINE, keys=())
 
 
 def a02_representative_cloud(spark, sf_dir):
-    low = F.min(F.when(F.col("kind").isin(*S.CLOUDY), F.col("cloud")))
-    return view(spark, sf_dir, "scenes").groupBy("source", "collection").agg(low.alias("cloud"))
+    return S.representative_cloud(view(spark, sf_dir, "scenes"))
 
 
 def a03_consolidate(spark, sf_dir):
     """The flagship: what a request leaves of each source."""
-    out = S.consolidated(_wanted(spark, sf_dir), _request(max_cloud=40))
-    return out.withColumn("scene_ids", F.array_join("scene_ids", ","))
+    return S.consolidated_scenes(_wanted(spark, sf_dir), _request(max_cloud=40))
 
 
 def a04_analysis_input(spark, sf_dir):
     """Few scenes, so that too little is clear."""
-    return S.analysis_input(_wanted(spark, sf_dir).filter("ord % 40 < 3"), _request())
+    return S.analysis_input(_wanted(spark, sf_dir), _request())
 
 
 def a05_totals(spark, sf_dir):
@@ -266,7 +264,7 @@ SELECT n.source, coalesce(c.hits, 0) / 256 AS coverage FROM names n LEFT JOIN (
     ),
     "a01_coverage_all": (
         a01_coverage_all,
-        oracle("scenes", LATTICE + f"SELECT count(DISTINCT (plon, plat)) / 256 AS coverage FROM scenes, lattice WHERE ord % 200 = 1 AND {COUNTED} AND {HOLDS}"),
+        oracle("scenes", LATTICE + f"SELECT count(DISTINCT (plon, plat)) / 256 AS coverage FROM scenes, lattice WHERE {COUNTED} AND {HOLDS}"),
     ),
     "a02_representative_cloud": (
         a02_representative_cloud,
@@ -276,13 +274,13 @@ SELECT n.source, coalesce(c.hits, 0) / 256 AS coverage FROM names n LEFT JOIN (
         a03_consolidate,
         oracle("scenes", WANTED + f", kept AS (SELECT * FROM wanted WHERE {CLOUD_OK.format('<= 40')})" + DEDUPED + LATTICE + f""",
 covered AS (SELECT source, count(DISTINCT (plon, plat)) / 256 AS coverage FROM chosen, lattice WHERE {COUNTED} AND {HOLDS} GROUP BY source)
-SELECT source, count(*) AS n_scenes, string_agg(id, ',' ORDER BY {CLEAREST}) AS scene_ids,
-  min(CASE WHEN kind IN ('optical', 'browse') THEN cloud END) AS cloud, coalesce(any_value(coverage), 0) AS coverage
-FROM chosen LEFT JOIN covered USING (source) GROUP BY source"""),
+SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY {CLEAREST}) AS INT) AS rank, id, count(*) OVER (PARTITION BY source) AS n_scenes,
+  min(CASE WHEN kind IN ('optical', 'browse') THEN cloud END) OVER (PARTITION BY source) AS cloud, coalesce(coverage, 0) AS coverage
+FROM chosen LEFT JOIN covered USING (source)"""),
     ),
     "a04_analysis_input": (
         a04_analysis_input,
-        oracle("scenes", WANTED + LATTICE + f""", few AS (SELECT * FROM wanted WHERE ord % 40 < 3),
+        oracle("scenes", WANTED + LATTICE + f""", few AS (SELECT * FROM wanted),
 clear AS (SELECT count(DISTINCT (plon, plat)) / 256 AS clear FROM few, lattice WHERE kind = 'optical' AND (cloud IS NULL OR cloud <= 20) AND {COUNTED} AND {HOLDS}),
 counts AS (SELECT count(*) FILTER (kind = 'optical') AS n_optical, count(*) FILTER (kind = 'sar') AS n_sar,
   string_agg(DISTINCT CASE WHEN kind = 'sar' THEN source END, ', ' ORDER BY CASE WHEN kind = 'sar' THEN source END) AS names FROM few)

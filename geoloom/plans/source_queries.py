@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from geoloom.plans.scene_queries import DATELINE
 from geoloom.plans.views import oracle, view
-from geoloom.request import PullRequest
+from geoloom.request import BBox, PullRequest
+from geoloom.sources import listings, registry, stac
 from geoloom.sources import payloads as P
-from geoloom.sources import registry, stac
 from geoloom.tables import read
 
 
@@ -167,14 +167,16 @@ def src21_registry(spark, sf_dir):
 
 
 def _grid_files(spark, sf_dir):
-    """An answer of 6 by 5 cells for each of 40 months, from the lineitems."""
-    n = F.col("l_orderkey")
-    cells = read(spark, sf_dir, "lineitem").filter("l_linenumber = 1 AND l_orderkey < 1200").select(
-        F.concat(F.lit("m"), F.floor(n / 30).cast("string")).alias("file"), (n % 30).alias("i"), F.when(n % 13 == 0, -9999.0).otherwise(n * 1.5).alias("v")
-    ).groupBy("file", "i").agg(F.max("v").alias("v"))
-    line = lambda y: F.concat(F.lit(f"[0][{y}], "), F.array_join(F.transform(F.filter("c", lambda x: F.floor(x["i"] / 6) == y), lambda x: x["v"].cast("string")), ", "))
+    """An answer of 6 by 5 cells for every 30 orders: every second one a gateway's, every third one with a note behind it."""
+    cells = view(spark, sf_dir, "numbered").select(
+        F.floor(F.col("n") / 30).alias("file"), (F.col("n") % 30).cast("int").alias("i"), F.when(F.col("n") % 13 == 0, -9999.0).otherwise(F.col("n") * 1.5).alias("v")
+    )
+    line = lambda y: F.array_join(F.transform(F.filter("c", lambda x: F.floor(x["i"] / 6) == y), lambda x: x["v"].cast("string")), ", ")
     full = cells.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("c")).filter(F.size("c") == 30)
-    return full.select("file", F.concat_ws("\n", F.lit("Dataset {"), F.lit("} x;"), F.lit("Evap_tavg.Evap_tavg[1][5][6]"), *[line(y) for y in range(5)], F.lit(""), F.lit("X.X[6]"), F.lit("0, 1, 2, 3, 4, 5")).alias("text"))
+    classic = [F.lit("Dataset {"), F.lit("} x;"), F.lit("Evap_tavg.Evap_tavg[1][5][6]"), *[F.concat(F.lit(f"[0][{y}], "), line(y)) for y in range(5)], F.lit(""), F.lit("X.X[6]"), F.lit("0, 1, 2, 3, 4, 5")]
+    gateway = [F.lit("Dataset: x.nc"), F.lit("Evap_tavg.X, 0, 1, 2, 3, 4, 5"), *[F.concat(F.lit(f"Evap_tavg.Evap_tavg[Evap_tavg.Y={y}], "), line(y)) for y in range(5)]]
+    note = F.when(F.col("file") % 3 == 0, F.lit('Note.Note[1]\n"7, 8"'))
+    return full.select(F.concat(F.lit("m"), F.col("file").cast("string")).alias("file"), F.when(F.col("file") % 2 == 0, F.concat_ws("\n", *classic, note)).otherwise(F.concat_ws("\n", *gateway)).alias("text"))
 
 
 def src14_grid_text(spark, sf_dir):
@@ -198,12 +200,49 @@ def src19_points(spark, sf_dir):
     return P.points_table(head.union(d)).select("line_no", F.round("lon", 4).alias("lon"), F.round("lat", 4).alias("lat"))
 
 
+_GOES = PullRequest(dt.date(2025, 4, 5), dt.date(2025, 4, 9), BBox(-100.0, 30.0, -80.0, 40.0), limit=500)
+_NOW = dt.datetime(2025, 4, 9, 18, 30)
+
+
+def src09_goes_search(spark, sf_dir):
+    """Days on either side of the day on which one satellite took over from another; every ninth key has no time."""
+    d = view(spark, sf_dir, "detections").withColumn("at", F.expr("timestamp '2025-04-04 00:00:00' + make_dt_interval(0, 0, 0, event_id * 7919 % 600000)"))
+    bucket = F.element_at(F.array(*map(F.lit, ("noaa-goes16", "noaa-goes19", "noaa-goes18"))), (F.col("event_id") % 3 + 1).cast("int"))
+    product = F.when(F.col("event_id") % 4 == 0, "ABI-L2-MCMIPF").otherwise("ABI-L2-MCMIPC")
+    start = F.when(F.col("event_id") % 9 == 0, "_s2025").otherwise(F.date_format("at", "'_s'yyyyDDDHHmmss'0'"))
+    keys = d.select(bucket.alias("bucket"), F.concat(product, F.date_format("at", "'/'yyyy'/'DDD'/'HH'/OR'"), start, F.lit("_"), F.col("event_id").cast("string"), F.lit(".nc")).alias("key"))
+    return listings.goes_search(keys.union(keys), _GOES, _NOW).select("id", F.col("ts").cast("timestamp_ntz").alias("ts"), "platform", "href")
+
+
+def src10_himawari_search(spark, sf_dir):
+    d = view(spark, sf_dir, "detections")
+    at = F.expr("timestamp '2025-04-01 00:00:00' + make_dt_interval(0, 0, cast(event_id * 10 % 14400 as int), 0)")
+    keys = d.select(F.concat(F.lit("AHI-L1b-FLDK/x/HS_H09_"), F.date_format(at, "yyyyMMdd_HHmm"), F.lit("_B0"), (F.col("event_id") % 3 + 1).cast("string"), F.lit("_FLDK_R10_S0110.DAT.bz2")).alias("key"))
+    r = PullRequest(dt.date(2025, 4, 2), dt.date(2025, 4, 9), BBox(150.0, -10.0, -170.0, 10.0), limit=200)
+    return listings.himawari_search(keys, r, _NOW).select("id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.size("assets").alias("n"))
+
+
+_FIRES = PullRequest(dt.date(2024, 1, 1), dt.date(2024, 1, 25), DATELINE, limit=3000)
+_TODAY = dt.date(2024, 1, 24)
+
+
+def src07_fire_search(spark, sf_dir):
+    """Both sides of 180 degrees and three spans of days, answered with lines that come back from more than one request."""
+    asked = listings.fire_requests(spark, _FIRES, _TODAY)
+    d = view(spark, sf_dir, "detections").withColumn("turn", (F.col("event_id") % 7).cast("int"))
+    line = F.concat_ws(",", F.format_string("%.4f", F.col("lat")), F.format_string("%.4f", F.col("lon")), F.lit("1"), F.lit("1"), F.lit("1"), F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HHmm"), F.lit("N"), F.lit("VIIRS"), F.lit("n"), F.lit("2"), F.lit("2"), F.lit("3.5"), F.lit("D"))
+    rows = d.select("turn", F.col("event_id").alias("line_no"), line.alias("line"))
+    again = rows.filter("line_no % 5 = 0").withColumn("turn", (F.col("turn") + 1) % 7).withColumn("line", F.regexp_replace("line", ",N,", ",again,"))
+    answers = rows.union(again).join(F.broadcast(asked), "turn").select("area", "last", "line_no", "line")  # six requests
+    return listings.fire_search(answers, _FIRES, "VIIRS_SNPP_NRT", _TODAY).select("id", "ord.turn", "ord.line_no", "platform")
+
+
 _OK = "FROM scenes WHERE ord % 37 <> 0 AND ord % 31 <> 0"
 _BOX = "CASE WHEN ord % 23 = 0 THEN greatest(-180, west - 0.01) ELSE west END AS west, CASE WHEN ord % 23 = 0 THEN greatest(-90, south - 0.01) ELSE south END AS south, CASE WHEN ord % 23 = 0 THEN least(180, west + 0.01) ELSE east END AS east, CASE WHEN ord % 23 = 0 THEN least(90, south + 0.01) ELSE north END AS north"
 _CLOUD = "CASE WHEN ord % 2 = 0 THEN cloud WHEN ord % 5 = 0 THEN NULL ELSE cloud END AS cloud"
 _PLATFORM = "CASE ord % 4 WHEN 0 THEN 'P1' WHEN 1 THEN 'P2' ELSE 'unknown' END AS platform"
-_GRID = """WITH n AS (SELECT 'm' || (l_orderkey // 30) AS file, l_orderkey % 30 AS i, max(CASE WHEN l_orderkey % 13 = 0 THEN -9999.0 ELSE l_orderkey * 1.5 END) AS v FROM lineitem WHERE l_linenumber = 1 AND l_orderkey < 1200 GROUP BY ALL),
-full_ AS (SELECT file FROM n GROUP BY file HAVING count(*) = 30), cells AS (SELECT file, CAST(i % 6 AS INT) AS x, CAST(i // 6 AS INT) AS y, CASE WHEN v <> -9999 THEN CAST(v AS DOUBLE) END AS Evap_tavg FROM n WHERE file IN (SELECT file FROM full_))
+_GRID = """, n AS (SELECT n // 30 AS file, n % 30 AS i, CASE WHEN n % 13 = 0 THEN -9999.0 ELSE n * 1.5 END AS v FROM numbered),
+full_ AS (SELECT file FROM n GROUP BY file HAVING count(*) = 30), cells AS (SELECT 'm' || file AS file, CAST(i % 6 AS INT) AS x, CAST(i // 6 AS INT) AS y, CASE WHEN v <> -9999 THEN CAST(v AS DOUBLE) END AS Evap_tavg FROM n WHERE file IN (SELECT file FROM full_))
 """
 
 QUERIES = {
@@ -254,11 +293,30 @@ a2 AS (SELECT id FROM acq WHERE parent IN (SELECT id FROM e2) AND north >= -45 A
 SELECT id FROM own WHERE parent IN (SELECT id FROM a2) AND north >= -45 AND south <= 45 AND (east >= 150 OR west <= -140) AND CAST(ts AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'"""),
     ),
     "src21_registry": (src21_registry, None),
-    "src14_grid_text": (src14_grid_text, _GRID + "SELECT file, x, y, Evap_tavg FROM cells"),
+    "src09_goes_search": (
+        src09_goes_search,
+        oracle("detections", """, k AS (SELECT event_id, TIMESTAMP '2025-04-04' + to_seconds(event_id * 7919 % 600000) AS t FROM detections WHERE event_id % 9 <> 0 AND event_id % 4 <> 0 AND event_id % 3 <> 2)
+SELECT id, t AS ts, 'GOES-East' AS platform, href FROM (SELECT 'OR_s' || strftime(t, '%Y%j%H%M%S') || '0_' || event_id || '.nc' AS id, t,
+  'https://' || CASE event_id % 3 WHEN 0 THEN 'noaa-goes16' ELSE 'noaa-goes19' END || '.s3.amazonaws.com/ABI-L2-MCMIPC/' || strftime(t, '%Y/%j/%H/') || 'OR_s' || strftime(t, '%Y%j%H%M%S') || '0_' || event_id || '.nc' AS href
+FROM k WHERE CAST(t AS DATE) BETWEEN DATE '2025-04-05' AND DATE '2025-04-09' AND t < TIMESTAMP '2025-04-09 18:00:00') ORDER BY t DESC, id DESC LIMIT 500"""),
+    ),
+    "src10_himawari_search": (
+        src10_himawari_search,
+        oracle("detections", """, k AS (SELECT TIMESTAMP '2025-04-01' + to_minutes(event_id * 10 % 14400) AS t, event_id % 3 AS b FROM detections)
+SELECT 'HS_H09_' || strftime(t, '%Y%m%d_%H%M') AS id, t AS ts, CAST(count(DISTINCT b) AS INT) AS n FROM k WHERE CAST(t AS DATE) BETWEEN DATE '2025-04-02' AND DATE '2025-04-09' AND t <= TIMESTAMP '2025-04-09 15:30:00'
+GROUP BY t ORDER BY t DESC LIMIT 200"""),
+    ),
+    "src07_fire_search": (
+        src07_fire_search,
+        oracle("detections", """, r AS (SELECT CAST(event_id % 7 AS INT) AS turn, event_id, lat, lon, ts, 'N' AS platform FROM detections UNION ALL SELECT CAST((event_id + 1) % 7 AS INT), event_id, lat, lon, ts, 'again' FROM detections WHERE event_id % 5 = 0),
+f AS (SELECT turn, event_id AS line_no, platform, 'VIIRS_SNPP_NRT:' || printf('%.4f', lat) || ':' || printf('%.4f', lon) || ':' || strftime(ts, '%Y-%m-%d') || 'T' || strftime(ts, '%H%M') AS id FROM r WHERE turn < 6)
+SELECT id, turn, line_no, platform FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY turn, line_no) = 1 ORDER BY turn, line_no LIMIT 3000"""),
+    ),
+    "src14_grid_text": (src14_grid_text, oracle("numbered", _GRID + "SELECT file, x, y, Evap_tavg FROM cells")),
     "snk05_training_table": (
         snk05_training_table,
-        _GRID + """, p(longitude, latitude, x, y) AS (VALUES (10.2::DOUBLE, 50.1::DOUBLE, 2, 1), (10.26, 50.44, 3, 4), (10.5, 50.5, NULL, NULL))
-SELECT longitude, latitude, round(10 + x * 0.1, 6) AS cell_longitude, round(50 + y * 0.1, 6) AS cell_latitude, file AS time, Evap_tavg FROM cells JOIN p USING (x, y)""",
+        oracle("numbered", _GRID + """, p(longitude, latitude, x, y) AS (VALUES (10.2::DOUBLE, 50.1::DOUBLE, 2, 1), (10.26, 50.44, 3, 4), (10.5, 50.5, NULL, NULL))
+SELECT longitude, latitude, round(10 + x * 0.1, 6) AS cell_longitude, round(50 + y * 0.1, 6) AS cell_latitude, file AS time, Evap_tavg FROM cells JOIN p USING (x, y)"""),
     ),
     "j05_nearest_cell": (
         j05_nearest_cell,

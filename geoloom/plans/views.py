@@ -84,6 +84,7 @@ FROM {{part}}""",
   CASE n_nationkey % 4 WHEN 0 THEN 'optical' WHEN 1 THEN 'sar' WHEN 2 THEN 'dem' ELSE 'thermal' END AS kind, n_nationkey
 FROM {nation} JOIN {region} ON n_regionkey = r_regionkey""",
     ),
+    "numbered": (("part",), "SELECT p_partkey AS n FROM {part}"),
     "usage": (
         ("conversations",),
         """SELECT conv_id, turn, role, text, length(text) AS chars, CAST(floor(length(text) / 4) AS BIGINT) AS tokens,

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import math
-import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoloom.functions.geo import Box, enclosing, from_point, intersects
@@ -123,8 +121,6 @@ def detections_table(found: DataFrame) -> DataFrame:
 
 # Listings of files.
 
-GOES_CONUS = BBox(-152.2, 14.5, -52.9, 56.7)
-
 
 def s3_listing(pages: DataFrame) -> DataFrame:
     """keys and prefixes of ListObjectsV2 pages (value: XML); a page that isn't well-formed has none."""
@@ -147,10 +143,6 @@ def goes(keys: DataFrame, bucket: str, side: str, product: str) -> DataFrame:
     )
 
 
-HIMAWARI_DISK = BBox(80.0, -60.0, -160.0, 60.0)
-HIMAWARI_ALIASES = {"blue": "B01", "green": "B02", "red": "B03", "nir": "B04"}
-
-
 def himawari(keys: DataFrame) -> DataFrame:
     """One scene a slot of file keys: its files by band and segment, in order of their names."""
     part = lambda i: F.regexp_extract("key", r"HS_H09_(\d{8})_(\d{4})_(B\d{2})_FLDK_R\d{2}_(S\d{4})", i)
@@ -225,61 +217,70 @@ def tree_items(events: DataFrame, acquisitions: DataFrame, items: DataFrame, req
 
 # Grids as text.
 
-_HEADER = re.compile(r"^([A-Za-z_][\w.]*)((?:\[\d+\])+)\s*;?\s*$")
-_ROW = re.compile(r"^([A-Za-z_][\w.]*)((?:\[[^\]]*\])*),\s*(.*)$")
-_INDEX = re.compile(r"^(?:\[\d+\])+\s*,?\s*")
-_NUMERIC = re.compile(r"^[\s\[\].,+\-0-9eE]+$")
-_NUMBER = re.compile(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
 FILL = -9999.0
 
 
-def _folded(name: str) -> str:
-    head, _, tail = name.partition(".")
-    return head if head == tail else name
-
-
-def _blocks(text: str) -> Iterator[tuple[str, list[int], list[float]]]:
-    """(name, dims, values) of each numeric block of a classic answer, or of all rows of a gateway's one."""
-    lines = [x.strip() for x in text.splitlines()]
-    if any(x.startswith("Dataset:") for x in lines):
-        rows: dict[str, list[list[float]]] = {}
-        for m in filter(None, map(_ROW.match, lines)):
-            numbers = [float(x) for x in _NUMBER.findall(m[3])]
-            if m[2] and numbers:
-                rows.setdefault(_folded(m[1]), []).append(numbers)
-            elif numbers and m[1].rpartition(".")[2] in ("X", "Y"):
-                yield m[1].rpartition(".")[2], [len(numbers)], numbers
-        for name, found in rows.items():
-            if len({len(x) for x in found}) == 1:
-                yield name, [1, len(found), len(found[0])], [y for x in found for y in x]
-        return
-    name, dims, values = None, [], []
-    for line in [*lines, "end of text"]:
-        m = _HEADER.match(line)
-        if name and line and not m and '"' not in line and _NUMERIC.match(line):
-            values += [float(x) for x in _NUMBER.findall(_INDEX.sub("", line))]
-        elif name and (m or line):
-            yield _folded(name), dims, values
-            name = None
-        if m:
-            name, dims, values = m[1], [int(x) for x in re.findall(r"\[(\d+)\]", m[2])], []
+def _numbers(text: Column) -> Column:
+    """The cells of a line, each behind its index in brackets if it has one: as numbers, null what is none; none empty."""
+    cells = F.transform(F.split(text, r"[,\s]+"), lambda x: F.substring_index(x, "]", -1))
+    return F.transform(F.filter(cells, lambda x: x != ""), lambda x: F.when(x.rlike("^[-+.0-9eE]+$"), x.try_cast("double")))
+
+
+def _array_name(said: Column) -> Column:
+    """`a.a` is the array a itself; `a.b` is b, an axis of a, and keeps its whole name."""
+    parts = F.split(said, r"\.")
+    return F.when((F.size(parts) == 2) & (parts[0] == parts[1]), parts[0]).otherwise(said)
 
 
 def grids(files: DataFrame) -> DataFrame:
-    """file, name, dims, values of the arrays in OPeNDAP answers (file, text); of two of one name the longer."""
+    """file, name, dims, values of the arrays in OPeNDAP answers (file, text); of two of one name the longer.
+
+    A classic answer heads each array with `name[d0][d1]`, and the lines of numbers below are its values; any other line
+    ends it. A gateway's answer begins a line with `Dataset:` and has a line for each row of an array,
+    `name[place], v, v`, and for each axis, `X, v, v`. Rows of unlike lengths are no array. Lines are told apart by
+    columns alone and ordered within their file."""
+    text = F.split(F.coalesce("text", F.lit("")), r"\r?\n")
+    gateway = F.exists(text, lambda x: F.ltrim(x).startswith("Dataset:"))
+    line = files.select("file", gateway.alias("gateway"), F.posexplode(text).alias("at", "said")).withColumn("said", F.trim(F.translate("said", "\t", " ")))
+    before, behind = F.substring_index("said", "[", 1), F.expr("substr(said, instr(said, '[') + 1)")
+    named = before.rlike(r"^[A-Za-z_][\w.]*$")
+    return _classic(line, before, behind, named).unionByName(_gateway(line))
+
+
+def _classic(line: DataFrame, before: Column, behind: Column, named: Column) -> DataFrame:
+    bare = F.rtrim(F.regexp_replace(behind, r"\s*;$", ""))
+    dims = F.transform(F.split(F.regexp_replace(bare, r"\]$", ""), r"\]\["), lambda x: x.try_cast("int"))
+    heads = F.col("said").contains("[") & named & bare.endswith("]") & F.forall(dims, lambda d: F.coalesce(d >= 0, F.lit(False)))
+    own = line.filter("NOT gateway AND said <> ''").select(
+        "file", "at", F.when(heads, before).alias("head"), F.when(heads, dims).alias("dims"), F.when(~heads, _numbers(F.col("said"))).alias("v")
+    )
+    plain = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull())
+    own = own.withColumn("ends", F.when(plain, 0).otherwise(1))
+    block = F.sum("ends").over(W.partitionBy("file").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
+    values = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("ends") == 0, F.struct("at", "v")))), lambda x: x["v"]))
+    arrays = own.withColumn("block", block).groupBy("file", "block").agg(F.max("head").alias("head"), F.max("dims").alias("dims"), values.alias("values"))
+    return _longest(arrays.filter("head IS NOT NULL").select("file", _array_name(F.col("head")).alias("name"), "dims", "values", F.col("block").alias("at")))
+
+
+def _gateway(line: DataFrame) -> DataFrame:
+    first, rest = F.substring_index("said", ",", 1), F.expr("substr(said, instr(said, ',') + 1)")
+    name, row = F.substring_index(first, "[", 1), first.contains("[")
+    v = F.filter(_numbers(rest), lambda x: x.isNotNull())
+    own = line.filter(F.col("gateway") & F.col("said").contains(",") & name.rlike(r"^[A-Za-z_][\w.]*$")).select("file", "at", name.alias("said"), row.alias("row"), v.alias("v")).filter(F.size("v") > 0)
+    rows = own.filter("row").groupBy("file", _array_name(F.col("said")).alias("name")).agg(
+        F.array_sort(F.collect_list(F.struct("at", "v"))).alias("lines"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")
+    )
+    rows = rows.filter("least = most").select(
+        "file", "name", F.array(F.lit(1), F.size("lines"), F.col("most")).alias("dims"), F.flatten(F.transform("lines", lambda x: x["v"])).alias("values")
+    )
+    axis = F.substring_index("said", ".", -1)
+    axes = own.filter(~F.col("row") & axis.isin("X", "Y")).select("file", axis.alias("name"), F.array(F.size("v")).alias("dims"), F.col("v").alias("values"), "at")
+    return rows.unionByName(_longest(axes).join(rows.select("file", "name"), ["file", "name"], "left_anti"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            rows = []
-            for file, text in zip(df.file, df.text, strict=True):
-                best: dict[str, tuple] = {}
-                for name, dims, values in _blocks(text or ""):
-                    if name not in best or len(values) > len(best[name][1]):
-                        best[name] = (dims, values)
-                rows += [(file, n, d, v) for n, (d, v) in best.items()]
-            yield pd.DataFrame(rows, columns=["file", "name", "dims", "values"])
 
-    return files.select("file", "text").mapInPandas(run, "file string, name string, dims array<int>, values array<double>")
+def _longest(arrays: DataFrame) -> DataFrame:
+    best = F.max_by(F.struct("dims", "values"), F.struct(F.size("values"), -F.col("at"))).alias("b")
+    return arrays.groupBy("file", "name").agg(best).select("file", "name", "b.dims", "b.values")
 
 
 def grid_cells(arrays: DataFrame, names: list[str], fill: float = FILL) -> DataFrame:
@@ -295,6 +296,13 @@ def nearest_index(value: Column, first: float, step: float, n: int) -> Column:
     return F.when(F.abs(value - (first + at * step)) <= abs(step) / 2 + 1e-6, at)
 
 
+def axis(first: float, last: float, n: int) -> list[float]:
+    """The n centres of a regular axis, rebuilt from its ends to five decimals."""
+    if n == 1:
+        return [round(first, 5)]
+    return [round(first + (last - first) * i / (n - 1), 5) for i in range(n)]
+
+
 def cell_window(low: float, high: float, first: float, step: float, n: int) -> tuple[int, int]:
     """The inclusive places of the cells whose centres lie within bounds."""
     a, b = sorted(((low - first) / step, (high - first) / step))
@@ -304,6 +312,17 @@ def cell_window(low: float, high: float, first: float, step: float, n: int) -> t
     return lo, hi
 
 
+def cells_within(cells: DataFrame, request: PullRequest, grid: tuple[float, float, int, float, float, int]) -> DataFrame:
+    """Cells (x, y, ...) whose centres lie in the request's box; a box across 180 degrees is refused, as one window can't
+    hold it."""
+    if request.bbox.west > request.bbox.east:
+        raise ValueError("a grid takes no box across 180 degrees: ask for either side")
+    x0, dx, nx, y0, dy, ny = grid
+    west, south, east, north = request.bbox.edges
+    x, y = cell_window(west, east, x0, dx, nx), cell_window(south, north, y0, dy, ny)
+    return cells.filter(F.col("x").between(*x) & F.col("y").between(*y))
+
+
 def training_table(cells: DataFrame, points: DataFrame, grid: tuple[float, float, int, float, float, int], names: list[str]) -> DataFrame:
     """longitude, latitude, cell centre, time and variables of every point (lon, lat) in every month (cells: time, x, y, names).
 

@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.functions import geo, rings
-from geoloom.operators import cards, graph, identity, manifest, pixels, scenes
+from geoloom.functions import geo, rings, text
+from geoloom.operators import cards, graph, identity, manifest, pixels, ranges, scenes
 from geoloom.plans import record_queries
 from geoloom.plans.views import view
 from geoloom.request import BBox, Polygon, PullRequest, segments_meet
@@ -146,9 +146,6 @@ def test_card_expiry_as_a_clock_runs(spark):
             want.append((seq, "expired" if key in gone else "missing"))
     df = spark.createDataFrame(log, "seq long, t double, op string, index_id string, store string")
     assert sorted((r.seq, r.status) for r in cards.replay(df).collect()) == want
-    assert sorted((r.seq, r.status) for r in cards.replay_capped(df).collect()) == want
-    few = [r.status for r in cards.replay_capped(df, cap=1).orderBy("seq").collect()]
-    assert few.count("found") < [s for _, s in want].count("found")
 
 
 def test_manifest_merge(spark):
@@ -205,6 +202,74 @@ def test_registry_of_sources(spark):
 
 
 def test_gateway_grid_text(spark):
-    text = 'Dataset: x\nX, 10.0, 10.1\nY, 50.0, 50.1\nV.V[0][50.0], 1, 2\nV.V[0][50.1], 3, -9999.0\n'
-    got = {(r.name): (r.dims, r["values"]) for r in payloads.grids(spark.createDataFrame([("f", text), ("g", None)], "file string, text string")).collect()}
+    said = 'Dataset: x\nX, 10.0, 10.1\nY, 50.0, 50.1\nV.V[0][50.0], 1, 2\nV.V[0][50.1], 3, -9999.0\n'
+    got = {(r.name): (r.dims, r["values"]) for r in payloads.grids(spark.createDataFrame([("f", said), ("g", None)], "file string, text string")).collect()}
     assert got["V"] == ([1, 2, 2], [1.0, 2.0, 3.0, -9999.0]) and got["X"] == ([2], [10.0, 10.1])
+
+
+def test_classic_grid_text(spark):
+    said = (
+        'Dataset {\n} x;\nV.V[2][2];\n[0], 1, 2\n[1] , 3.5, -1e2\n\nV.X[2]\n7, 8\nX.X[2]\n10.0, 10.1\nnote\n99, 98\n'
+        'Q.Q[1]\n"5, 6"\nV.V[1][1]\n[0], 4\nW[2]\n1 2\n'
+    )
+    rows = payloads.grids(spark.createDataFrame([("f", said), ("g", ""), ("h", 'A[1]\r\n3\r\n')], "file string, text string")).collect()
+    got = {(r.file, r.name): (r.dims, r["values"]) for r in rows}
+    assert got == {
+        ("f", "V"): ([2, 2], [1.0, 2.0, 3.5, -100.0]), ("f", "V.X"): ([2], [7.0, 8.0]), ("f", "X"): ([2], [10.0, 10.1]),
+        ("f", "Q"): ([1], []), ("f", "W"): ([2], [1.0, 2.0]), ("h", "A"): ([1], [3.0]),
+    }
+
+
+def test_gateway_rows_of_unlike_lengths_are_no_array(spark):
+    said = "Dataset: x\nV.V[a][1], 1, 2\nV.V[a][2], 3\nV.X, 1, 2\nV.X, 1, 2, 3\nlabel, 5\n"
+    got = {r.name: (r.dims, r["values"]) for r in payloads.grids(spark.createDataFrame([("f", said)], "file string, text string")).collect()}
+    assert got == {"X": ([3], [1.0, 2.0, 3.0])}
+
+
+def test_redaction_rules(spark):
+    cases = {
+        "https://user:pw@host.x/a?sig=1&b=2#f": "https://host.x/a?***#***",
+        "GET /api/Country/csv/SECRET/X failed": "GET /api/Country/csv/***/X failed",
+        "monkey=1 key=2 my_token=3 x-amz-date=4": "monkey=1 key=*** my_token=3 x-amz-date=***",
+        "Authorization: Basic abc== and bearer a.b-c": "Authorization: Basic *** and bearer ***",
+        "plain": "plain",
+    }
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string").coalesce(1)
+    assert [r[0] for r in df.select(text.redacted(F.col("t"))).collect()] == [*cases.values(), None]
+    said = df.select(text.error_text(F.lit("Timeout"), F.col("t"))).collect()
+    assert said[-1][0] == "Timeout" and said[-2][0] == "Timeout: plain"
+
+
+def test_file_names(spark):
+    import hashlib
+
+    long, key = "S" * 300, "k" * 300
+    digest = lambda x: hashlib.sha1(x.encode()).hexdigest()[:8]
+    cases = [
+        ("a b", "B04", "tif", "a_b_B04.tif"), ("x_c1.nc", "data", ".nc", "x_c1_data.nc"), ("x.BIN", "data", ".bin", "x.BIN_data.bin"),
+        (".nc", "data", ".nc", ".nc_data.nc"), ("con.1", "b", ".tif", "_con.1_b.tif"), ("é..", "", ".tif", "___.tif"),
+        (long, "b", ".tif", "S" * (240 - 6 - 9) + "~" + digest(long) + "_b.tif"),
+        ("s", key, ".tif", "s_" + "k" * (240 - 24 - 4 - 9) + "~" + digest(key) + ".tif"),
+    ]
+    df = spark.createDataFrame([c[:3] for c in cases], "i string, k string, s string").coalesce(1)
+    got = [r[0] for r in df.select(text.scene_filename(F.col("i"), F.col("k"), F.col("s"))).collect()]
+    assert got == [c[3] for c in cases] and all(len(x.encode()) <= 240 for x in got)
+
+
+def test_reads_within_the_cap(spark):
+    rng = random.Random(4)
+    spans = [(i % 3, a, a + rng.randrange(1, 900)) for i, a in enumerate(rng.randrange(0, 60_000) for _ in range(300))]
+    spans += spans[:20] + [(0, 100_000, 109_000)]
+    want: dict = {}
+    for f in range(3):
+        out = []
+        for a, b in sorted({(a, b) for g, a, b in spans if g == f}):
+            n = spans.count((f, a, b))
+            if out and a <= out[-1][1] + 50 and max(out[-1][1], b) - out[-1][0] <= 4000:
+                out[-1] = (out[-1][0], max(out[-1][1], b), out[-1][2] + n)
+            else:
+                out.append((a, b, n))
+        want[f] = out
+    df = spark.createDataFrame(spans, "file long, start long, stop long")
+    got = ranges.coalesced(df, ["file"], gap=50, most=4000, block=1 << 12).collect()
+    assert {f: sorted((r.start, r.stop, r.n) for r in got if r.file == f) for f in range(3)} == want
