@@ -141,8 +141,14 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(same, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """The pairs (u, v) whose sets reach the bound."""
+def _verified(pairs: DataFrame, one: DataFrame, texts: DataFrame, repeats: bool, name: str) -> DataFrame:
+    """The pairs (u, v) whose sets reach the bound. Only texts that stand in a pair have their sets worked out and moved;
+    repeats: whether some row of texts comes more than once."""
+    keys = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    rows = cut(one.join(keys, "key", "left_semi").select(*_named(F.col("best.doc_id")), F.col("best.h").alias("h")), f"{name}-rows")
+    own = join_small(texts.select(*_named(), "h", "text"), rows, ["own_id", "no_id", "h"], "left_semi", NARROW_ROWS)
+    sets = own.select("text").mapInArrow(_sets, "key bigint, set binary")
+    sets = cut(sets.groupBy("key").agg(F.first("set").alias("set")) if repeats else sets, f"{name}-sets")
     met = pairs.join(sets.select(F.col("key").alias("u"), F.col("set").alias("set_a")), "u").join(
         sets.select(F.col("key").alias("v"), F.col("set").alias("set_b")), "v"
     )
@@ -198,11 +204,6 @@ def links(one: DataFrame, texts: DataFrame, repeats: bool) -> DataFrame:
     groups = every.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1").select("token")
     shared = cut(every.join(groups, "token"), "alike-shared")
     tokens = cut(shared.join(one.select("key", "n", "f0", "f1"), "key"), "alike-tokens")
-    wanted = one.join(shared.select("key").distinct(), "key", "left_semi").select(*_named(F.col("best.doc_id")), F.col("best.h").alias("h"))
-    named = texts.select(*_named(), "h", "text")
-    own = join_small(named, cut(wanted, "alike-wanted"), ["own_id", "no_id", "h"], "left_semi", NARROW_ROWS)
-    sets = own.select("text").mapInArrow(_sets, "key bigint, set binary")
-    sets = cut(sets.groupBy("key").agg(F.first("set").alias("set")) if repeats else sets, "alike-sets")
     member = F.struct("key", "n", "f0", "f1")
     seen = edges = None
     for turn, pick in enumerate((F.min, F.max)):
@@ -213,7 +214,7 @@ def links(one: DataFrame, texts: DataFrame, repeats: bool) -> DataFrame:
         if seen is not None:
             pairs = pairs.join(seen, ["u", "v"], "left_anti")
         pairs = cut(pairs, f"alike-pairs{turn}")
-        found = _verified(pairs, sets, f"alike-edges{turn}")
+        found = _verified(pairs, one, texts, repeats, f"alike-edges{turn}")
         seen, edges = (pairs, found) if seen is None else (seen.union(pairs), edges.union(found))
     ones = (F.bit_count("f0") + F.bit_count("f1")).alias("ones")
     entries = _placed(tokens, edges).select("token", ones, F.struct("key", "root", "n", "f0", "f1").alias("own"))
@@ -222,7 +223,7 @@ def links(one: DataFrame, texts: DataFrame, repeats: bool) -> DataFrame:
     within = within.distinct().withColumn("right", F.lit(None).cast(within.schema["left"].dataType))
     rest = within.union(across).mapInArrow(_compare, "u bigint, v bigint").distinct()
     rest = cut(rest.join(seen, ["u", "v"], "left_anti"), "alike-pairs")
-    return edges.union(_verified(rest, sets, "alike-edges"))
+    return edges.union(_verified(rest, one, texts, repeats, "alike-edges"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
