@@ -42,6 +42,8 @@ KEY = "order-1"
 DOCS_A_BUCKET = 4_096
 #: Sequences of a batch that a task holds at once.
 HELD = 1_024
+#: How hard ids are compressed where they move.
+LEVEL = 5
 SCHEMA = "slot bigint, shard bigint, byte_offset bigint, doc_ids array<bigint>, n_tokens int, tokens binary"
 #: How a row's hash, whether it has a doc_id, and that are packed.
 HEAD = ">QBQ"
@@ -132,7 +134,7 @@ def _encoded(docs: DataFrame, coder: Coder) -> DataFrame:
     bits = max(0, (max(1, docs.count()) - 1) // DOCS_A_BUCKET).bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=LEVEL).compress
         for batch in pieces.slices(batches, 2):
             hashes, ids = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_pylist()
             found = coder.encode(batch.column(2).to_pylist())
@@ -154,7 +156,7 @@ def _packed(docs: DataFrame, length: int, coder: Coder) -> DataFrame:
     """bucket, k, doc_ids, n_tokens and tokens (compressed) of every sequence, in the shared folder."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_, unzip = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        zip_, unzip = zstandard.ZstdCompressor(level=LEVEL).compress, zstandard.ZstdDecompressor().decompress
         bucket, at, tail, owners = None, 0, np.empty(0, coder.kind), []
         rows: list[tuple] = []
 
