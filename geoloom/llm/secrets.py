@@ -1,13 +1,19 @@
 """Secret scans: spans by form, and strings that a battery of randomness tests tells from words.
 
 By form: an assignment to a secret's name, an access key, a hexadecimal run. By the method: every other run of
-MIN_TOKEN or more key characters is a candidate. Its encoding (hex, base32, base36, base62, base64) is inferred from
-its characters; it must pass, as a random string of that alphabet would, a chi-squared test of uniformity, a runs
-test about the alphabet's middle and a test of serial correlation. How much likelier it is as a random string than
-as a word is an e-value, which grows with length; within strata of length, candidates are called at a false-discovery
-rate of ALPHA over all documents (the e-value form of Benjamini and Hochberg's rule, which holds whatever the
-candidates' dependence). Two passes: the first leaves spans and candidates, no text; the counts of e-values by
-stratum and whole power of two, a table of fixed size, give the bounds.
+MIN_TOKEN or more key characters is a candidate (below that, a random string is not told from a word at ALPHA: this is
+the operator's own lower bound, like those of the three forms). Its encoding (hex, base32, base36, base62, base64) is
+inferred from its characters. Under the hypothesis that it is a random string of that alphabet it gets three p-values: of
+a chi-squared test of uniformity, by the exact first three moments of the statistic at its length, which hold where
+counts are far below those of the usual approximation; of a runs test about the alphabet's middle, where runs are
+binomial; and of a serial-correlation test. Combined (three times the least), they must not fall below LEVEL.
+
+A candidate's e-value is how much likelier it is as a random string than as a word, which grows with length, and is 0
+for one that fails the battery or has no letter: so what is counted as a discovery is what is called. Within strata of
+length, candidates are called at a false-discovery rate of ALPHA over all documents (the e-value form of Benjamini and
+Hochberg's rule, which holds whatever the candidates' dependence, as far as words are no more even than WORDS says). Two
+passes: the first leaves spans and candidates, no text; the counts of e-values by stratum and whole power of two, a
+table of fixed size, give the bounds.
 
 Defined results: a null text is an empty one, without spans; the digest of no spans is that of the empty string.
 Positions are code points, ends exclusive. Rows repeated are scanned alike and counted each.
@@ -31,8 +37,8 @@ ALPHA = 0.01
 STRATA = (20, 24, 32, 48, 96)
 #: Powers of two that e-values are counted by; larger ones count as the last.
 BINS = 120
-#: Standard deviations within which each of the three tests must stay.
-LIMIT = 3.3
+#: The least combined p-value of the three tests: so many random strings are passed over.
+LEVEL = 0.003
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: The encodings in order of trial: pattern, alphabet.
 ENCODINGS = (
@@ -102,58 +108,77 @@ def _count(token: Column, characters: str) -> Column:
     return F.length(token) - F.length(F.translate(token, characters, ""))
 
 
+def tail(z: Column) -> Column:
+    """The chance that a standard normal value exceeds z, to about 10^-7."""
+    #: Hastings' coefficients of the error function.
+    coefficients = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+    x = F.abs(z) / 2**0.5
+    t = 1 / (1 + 0.3275911 * x)
+    poly = F.lit(0.0)
+    for c in reversed(coefficients):
+        poly = (poly + c) * t
+    upper = poly * F.exp(-x * x) / 2
+    return F.when(z >= 0, upper).otherwise(1 - upper)
+
+
+def alphabet_of(bare: Column) -> Column:
+    """The characters of the first encoding that a candidate may be in, in order."""
+    found = F.lit(ENCODINGS[-1][1])
+    for pattern, own in reversed(ENCODINGS[:-1]):
+        found = F.when(bare.rlike(pattern), F.lit(own)).otherwise(found)
+    return found
+
+
+def battery(t: Column, a: Column) -> Column:
+    """p_chi, p_runs and p_serial of a string as a random one of an alphabet (an even number of characters)."""
+    k, n = F.length(a).cast("double"), F.length(t).cast("double")
+    squares = F.aggregate(
+        F.split(a, ""),
+        F.lit(0.0),
+        lambda s, c: s + F.when(c == "", 0.0).otherwise(F.pow(F.length(t) - F.length(F.replace(t, c, F.lit(""))), F.lit(2.0))),
+    )
+    # A shifted gamma of the statistic's mean, variance and third moment, made normal by its cube root; half a step off
+    # for the statistic's lattice.
+    spread = 2 * (k - 1) * (n - 1) / n
+    skew = 4 * (k - 1) * (n - 1) * (k + 2 * n - 6) / (n * n) / F.pow(spread, F.lit(1.5))
+    shape = 4 / (skew * skew)
+    off = (k / n * squares - n - k / n - (k - 1)) / F.sqrt(spread)
+    ratio = F.greatest(1 + off / F.sqrt(shape), F.lit(1e-12))
+    z_chi = (F.pow(ratio, F.lit(1 / 3)) - 1 + 1 / (9 * shape)) * 3 * F.sqrt(shape)
+    places = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.instr(a, c).cast("double") - (k + 1) / 2)
+    zero = F.struct(F.lit(0.0).alias("product"), F.lit(0.0).alias("turns"), F.lit(None).cast("double").alias("last"))
+
+    def step(acc: Column, v: Column) -> Column:
+        turns = F.coalesce(((acc["last"] > 0) != (v > 0)).cast("double"), F.lit(0.0))
+        return F.struct((acc["product"] + F.coalesce(acc["last"] * v, F.lit(0.0))).alias("product"), (acc["turns"] + turns).alias("turns"), v.alias("last"))
+
+    def told(s: Column) -> Column:
+        z_runs = F.greatest(F.abs(s["turns"] - (n - 1) / 2) - 0.5, F.lit(0.0)) / (F.sqrt(n - 1) / 2)
+        z_serial = F.abs(s["product"]) / (F.sqrt(n - 1) * (k * k - 1) / 12)
+        # The sum's fourth cumulant makes its tails heavier than a normal one's, at short lengths by half.
+        z, fourth = F.least(z_serial, F.lit(4.0)), (0.24 * (n - 1) + 4.8 * (n - 2)) / ((n - 1) * (n - 1))
+        z_serial = z_serial - fourth / 24 * (z * z * z - 3 * z)
+        return F.struct(tail(z_chi).alias("p_chi"), F.least(2 * tail(z_runs), F.lit(1.0)).alias("p_runs"), F.least(2 * tail(z_serial), F.lit(1.0)).alias("p_serial"))
+
+    return _let(F.aggregate(places, zero, step), told)
+
+
 def weigh(token: Column) -> Column:
-    """Of a candidate: log2e (its e-value's logarithm) and passes (the three tests, and some letter in it)."""
+    """Of a candidate: log2e (its e-value's logarithm) and passes (the battery, and some letter in it)."""
     bare = F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
 
     def judged(t: Column) -> Column:
-        alphabet = F.lit(ENCODINGS[-1][1])
-        for pattern, own in reversed(ENCODINGS[:-1]):
-            alphabet = F.when(t.rlike(pattern), F.lit(own)).otherwise(alphabet)
-        return _let(alphabet, lambda a: tested(t, a))
+        return _let(alphabet_of(t), lambda a: tested(t, a))
 
     def tested(t: Column, a: Column) -> Column:
         k, n = F.length(a).cast("double"), F.length(t).cast("double")
-        squares = F.aggregate(
-            F.split(a, ""),
-            F.lit(0.0),
-            lambda s, c: s + F.when(c == "", 0.0).otherwise(F.pow(F.length(t) - F.length(F.replace(t, c, F.lit(""))), F.lit(2.0))),
-        )
-        chi = k / n * squares - n
-        free = k - 1
-        z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
-        places = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.instr(a, c).cast("double") - (k + 1) / 2)
-
-        def series(x: Column) -> Column:
-            zero = F.struct(
-                F.lit(0.0).alias("product"), F.lit(0.0).alias("runs"), F.lit(0.0).alias("above"), F.lit(None).cast("double").alias("last")
-            )
-            s = F.aggregate(
-                x,
-                zero,
-                lambda acc, v: F.struct(
-                    (acc["product"] + F.coalesce(acc["last"] * v, F.lit(0.0))).alias("product"),
-                    (acc["runs"] + F.when(acc["last"].isNull() | ((acc["last"] > 0) != (v > 0)), 1.0).otherwise(0.0)).alias("runs"),
-                    (acc["above"] + F.when(v > 0, 1.0).otherwise(0.0)).alias("above"),
-                    v.alias("last"),
-                ),
-            )
-            return _let(s, scores)
-
-        def scores(s: Column) -> Column:
-            up, down = s["above"], n - s["above"]
-            mean = 2 * up * down / n + 1
-            spread = F.sqrt(F.greatest((mean - 1) * (mean - 2) / F.greatest(n - 1, F.lit(1.0)), F.lit(1e-9)))
-            z_runs = (s["runs"] - mean) / spread
-            z_serial = s["product"] / F.sqrt(F.greatest(n - 1, F.lit(1.0))) / ((k * k - 1) / 12)
-            return (F.abs(z_runs) <= LIMIT) & (F.abs(z_serial) <= LIMIT)
-
         words = F.lit(0.0)
         for characters, share in WORDS:
             words = words + _count(t, characters) * F.log2(F.lit(share / len(characters)))
         log2e = -n * F.log2(k) - words
         some = t.rlike("[A-Za-z]") & (n >= MIN_TOKEN - 2)
-        return F.struct(log2e.alias("log2e"), (some & (z_chi <= LIMIT) & _let(places, series)).alias("passes"))
+        passes = some & _let(battery(t, a), lambda x: 3 * F.least(x["p_chi"], x["p_runs"], x["p_serial"]) >= LEVEL)
+        return F.struct(log2e.alias("log2e"), F.coalesce(passes, F.lit(False)).alias("passes"))
 
     return _let(bare, judged)
 
@@ -208,15 +233,10 @@ def scan(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
 
 def bounds(candidates: DataFrame) -> list[int]:
     """For each stratum of length the least whole log2e at which a candidate is called. candidates: one row each,
-    (length, log2e). What reaches the driver is bounded by strata times bins."""
-    counts = (
-        candidates.groupBy(
-            stratum(F.col("length")).alias("stratum"),
-            F.least(F.greatest(F.floor("log2e"), F.lit(0)), F.lit(BINS)).cast("int").alias("bin"),
-        )
-        .agg(F.count("*").alias("n"))
-        .collect()
-    )
+    (length, log2e, passes). What reaches the driver is bounded by strata times bins."""
+    # All candidates are tests; those that fail have an e-value of 0 and are called at no bound.
+    whole = F.when(F.col("passes") & (F.col("log2e") >= 0), F.least(F.floor("log2e"), F.lit(BINS))).otherwise(-1)
+    counts = candidates.groupBy(stratum(F.col("length")).alias("stratum"), whole.cast("int").alias("bin")).agg(F.count("*").alias("n")).collect()
     found = []
     for i in range(len(STRATA)):
         own = {r["bin"]: r["n"] for r in counts if r["stratum"] == i}
@@ -236,7 +256,7 @@ def _called(length: Column, w: Column, least: list[int]) -> Column:
 
 def _candidates(table: DataFrame, name: str) -> DataFrame:
     return table.select(F.explode(F.col(name)["candidates"]).alias("c")).select(
-        (F.col("c.end") - F.col("c.start")).alias("length"), F.col("c.w.log2e").alias("log2e")
+        (F.col("c.end") - F.col("c.start")).alias("length"), F.col("c.w.log2e").alias("log2e"), F.col("c.w.passes").alias("passes")
     )
 
 
