@@ -9,6 +9,13 @@ the lowest level that leaves it no more than SAMPLES in expectation, so texts of
 and of unlike length the shorter one's can be thinned to the longer one's. It reads `LL:` (the level, two digits)
 and a hex digit, a hash of the character seen, for each step kept.
 
+Near copies are found by banding: groups of WIDTH digits of a fingerprint, sampled over all of its steps, are hashed, and
+fingerprints that share a band are verified by their likeness (Hamming, freed of chance). Bands are tied to steps of the
+fingerprint's level and the one above, and to two of a few tiers of its length, so texts either side of a bound still
+meet. A band that many share is many tiles, compared all against all; of a tile pair only the edges of a spanning
+forest come out, so no group's pairs are written out and none is capped. The bound is on likeness of fingerprints: two
+texts at it are missed by all bands about once in 10,000 times.
+
 Defined results: a null text is an empty one; two empty texts are alike (1.0), an empty and another are not (0.0).
 The next document is by descending doc_id, rows of one doc_id by the hash of their text, null last; the last is
 followed by the first, and a lone document by itself.
@@ -21,18 +28,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from geoloom.llm.simhash import _forest, tile_pairs
 from geoloom.llm.tables import cut, read
+from geoloom.operators.graph import components
 
 #: The shared randomness repeats after PERIOD steps; a pointer rests at most REST steps on a character.
 PERIOD, CLASSES, REST = 4_096, 64, 8
 #: Characters walked at once; SPAN * REST == PERIOD, so a walk from within one period stays within two.
 SPAN = PERIOD // REST
 SAMPLES = 256
-BANDS = 32
+#: Digits of a band; numbers of digits that bands are drawn from, and bands of each: a fingerprint uses the largest two it
+#: has; the least likeness of near copies; fingerprints of a tile.
+WIDTH, TIERS, BANDS = 4, (16, 32, 64, 128, 256), 8
+LIKE, TILE = 0.8, 512
 
 _rng = np.random.Generator(np.random.PCG64(20_240_607))
 _move = _rng.random((CLASSES, PERIOD)) < 0.5
@@ -156,16 +169,22 @@ def likeness(a: str, b: str) -> float:
     return max(0.0, (same - both / 16) / (most - both / 16))
 
 
-def bands(print_: str, n: int = BANDS) -> list[int]:
-    """One hash for each group of bit-sampled steps; texts that share one are candidates. Bands are tied to steps of
-    the fingerprint's level and the one above, so texts either side of a level's bound still meet."""
+_drawn = {n: _rng.permutation(n)[: WIDTH * BANDS].reshape(-1, WIDTH) for n in TIERS if n >= WIDTH * BANDS}
+_drawn |= {n: _rng.permutation(n).reshape(-1, WIDTH) for n in TIERS if n < WIDTH * BANDS}
+
+
+def bands(print_: str) -> list[int]:
+    """One hash for each group of sampled digits; texts that share one are candidates. A fingerprint too short for any
+    tier is one band."""
     keys = []
     for level in (int(print_[:2]), int(print_[:2]) + 1):
         digits = _thinned(print_, level)
-        width = max(1, SAMPLES // 2 // n)
-        for i in range(min(n, len(digits) // width)):
-            piece = digits[i * width : (i + 1) * width].tobytes()
-            keys.append(int.from_bytes(hashlib.blake2b(piece, digest_size=8, key=f"{level}:{i}".encode()).digest(), "little", signed=True))
+        tiers = [n for n in TIERS if n <= len(digits)][-2:]
+        pieces = [(n, i, digits[at].tobytes()) for n in tiers for i, at in enumerate(_drawn[n])] or [(0, 0, digits.tobytes())]
+        keys += [
+            int.from_bytes(hashlib.blake2b(piece, digest_size=8, key=f"{level}:{n}:{i}".encode()).digest(), "little", signed=True)
+            for n, i, piece in pieces
+        ]
     return keys
 
 
@@ -177,16 +196,16 @@ def edited(text: str, following: str) -> str:
 
 SCHEMA = (
     "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double, bands_edited int"
+    "near_edited double, near_next double"
 )
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
-_TYPES = [{"bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "int": pa.int32()}[x.split()[1]] for x in SCHEMA.split(", ")]
+_TYPES = [{"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]] for x in SCHEMA.split(", ")]
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one range in order, each with the one behind it; the range's last row is the next one's first, and
     only closes it."""
-    held = None
+    held, unpack = None, zstandard.ZstdDecompressor().decompress
     rows: list[tuple] = []
 
     def close(row, following_text, following_print):
@@ -198,7 +217,7 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         print_ = sample(np.concatenate([points[:keep], tail]), np.concatenate([ends[:keep], rest]))
         rows.append(
             (doc_id, len(text), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), own, print_,
-             likeness(own, print_), likeness(own, following_print), len({*bands(own)} & {*bands(print_)}))
+             likeness(own, print_), likeness(own, following_print))
         )
 
     def out():
@@ -209,7 +228,7 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts, part = (batch.column(i) for i in range(3))
         for k in range(batch.num_rows):
-            text = texts[k].as_py() or ""
+            text = unpack(texts[k].as_buffer()).decode("utf-8", "surrogatepass")
             points = _points(text)
             ends = walk(points)
             own = sample(points, ends)
@@ -223,11 +242,20 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with their texts compressed: they move once, whole."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = pa.array([pack(x.as_buffer()) for x in batch.column(1).cast(pa.binary())], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), texts, *batch.columns[2:]], names=batch.schema.names)
+
+
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """doc_id, text, part: docs dealt to ranges of descending doc_id, and to each range, as its last row, the first
+    """doc_id, text (compressed), part: docs dealt to ranges of descending doc_id, and to each range, as its last row, the first
     of the one that follows it. Each text moves once, besides one text a range.
 
-    The bounds are quantiles of doc_id, one number a range; each partition holds whole ranges in order."""
+    The bounds are quantiles of doc_id, one number a range, and each range is a partition. Rows of one doc_id, and those
+    of none, are neighbours, so they share a range."""
     spark = docs.sparkSession
     ranges = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shares = [i / ranges for i in range(1, ranges)]
@@ -242,9 +270,9 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         place = F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(place)
     else:
         place = F.lit(0)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("part", place)
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    first = rows.groupBy("part").agg(
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("part", place.cast("int"))
+    keys = rows.withColumn("tie", F.xxhash64("text"))
+    first = keys.groupBy("part").agg(
         F.max(F.struct(F.col("doc_id").isNotNull().alias("some"), F.col("doc_id").alias("d"), (-F.col("tie")).alias("t"))).alias("m")
     )
     first = first.select("part", F.col("m.d").alias("head_id"), (-F.col("m.t")).alias("head_tie"))
@@ -252,6 +280,7 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     order = W.orderBy("part")
     heads = first.withColumn("to", F.coalesce(F.lag("part").over(order), F.max("part").over(W.partitionBy())))
     heads = cut(heads, "edit-heads")
+    rows = keys.select("doc_id", "text", "part", "tie")
     closing = (
         rows.join(
             F.broadcast(heads.select("part", "head_id", "head_tie", "to")),
@@ -261,9 +290,10 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         .dropDuplicates(["part"])
         .withColumn("closing", F.lit(True))
     )
-    every = rows.withColumn("closing", F.lit(False)).unionByName(closing)
+    every = rows.withColumn("closing", F.lit(False)).unionByName(closing).select("doc_id", "text", "part", "tie", "closing")
+    packed = every.mapInArrow(_packed, "doc_id bigint, text binary, part int, tie bigint, closing boolean")
     return (
-        every.repartition(last + 1, "part")
+        packed.repartitionById(last + 1, "part")
         .sortWithinPartitions("part", "closing", F.col("doc_id").desc_nulls_last(), "tie")
         .select("doc_id", "text", "part")
     )
@@ -285,5 +315,87 @@ def near_next(docs: DataFrame) -> DataFrame:
     return with_next(docs).mapInArrow(_chain, SCHEMA)
 
 
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = batch.column(0).to_pylist()
+        found = [list(dict.fromkeys(bands(x))) for x in prints]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["fingerprint", "bands"])
+
+
+def _alike(prints: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of fingerprints whose likeness reaches the bound, as likeness() has it, one row against all at once."""
+    levels = np.array([int(x[:2]) for x in prints])
+    first, second = [], []
+    for level in np.unique(levels):
+        own = np.flatnonzero(levels <= level)
+        digits = [_thinned(prints[i], int(level)) for i in own]
+        sizes = np.array([len(x) for x in digits])
+        table = np.zeros((len(own), max(1, sizes.max())), np.uint8)
+        for row, x in zip(table, digits, strict=True):
+            row[: len(x)] = x
+        for k, i in enumerate(own):
+            both, most = np.minimum(sizes[k], sizes), np.maximum(sizes[k], sizes)
+            same = ((table[k] == table) & (np.arange(table.shape[1]) < both[:, None])).sum(axis=1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                score = np.where(both > 0, (same - both / 16) / (most - both / 16), 0.0)
+            hit = own[(score >= least) & (own > i) & (np.maximum(levels[i], levels[own]) == level)]
+            first.append(np.full(len(hit), i))
+            second.append(hit)
+    return np.concatenate(first), np.concatenate(second)
+
+
+def _verified(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, vs = [], []
+            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
+                every = [x["fingerprint"] for x in left + (right or [])]
+                keys = np.array([x["k"] for x in left + (right or [])], np.int64)
+                for u, v in _forest(keys, *_alike(every, least)):
+                    us.append(u)
+                    vs.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def links(prints: DataFrame, least: float = LIKE, tile: int = TILE) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints (k, fingerprint), verified, whose components are those of all pairs that
+    share a band and reach the bound."""
+    banded = prints.select("fingerprint").mapInArrow(_banded, "fingerprint string, bands array<bigint>")
+    entries = banded.select(F.explode("bands").alias("band"), F.xxhash64("fingerprint").alias("own"))
+    shared = entries.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    entries = cut(entries.join(shared, "band"), "edit-bands")
+    own = F.struct(F.col("k"), "fingerprint").alias("own")
+    entries = entries.join(prints, entries["own"] == prints["k"]).select("band", F.lit(0).alias("ones"), own)
+    within, across = tile_pairs(entries, ["band"], "edit", 0, tile)
+    # Copies with few edits share many bands: equal tiles are compared once.
+    within = within.distinct().withColumn("right", F.lit(None).cast(within.schema["left"].dataType))
+    return within.union(across).mapInArrow(_verified(least), "u bigint, v bigint").distinct()
+
+
+def classes(prints: DataFrame, least: float = LIKE) -> DataFrame:
+    """fingerprint, class_id of (doc_id, fingerprint): the smallest doc_id of all whose fingerprints are reachable over
+    links; null if none has one. Equal fingerprints are one and are compared once."""
+    own = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).withColumn("k", F.xxhash64("fingerprint"))
+    own = cut(own, "edit-distinct")
+    roots = components(links(own.select("k", "fingerprint"), least))
+    placed = own.join(roots, F.col("k") == F.col("node"), "left").select("fingerprint", "least", F.coalesce("root", "k").alias("root"))
+    named = placed.groupBy("root").agg(F.min("least").alias("class_id"))
+    return placed.join(named, "root").select("fingerprint", "class_id")
+
+
+def near_copies(docs: DataFrame, least: float = LIKE) -> DataFrame:
+    """doc_id, fingerprint and class_id of every row of docs."""
+    prints = cut(fingerprints(docs), "edit-prints")
+    return prints.join(classes(prints, least), "fingerprint").select("doc_id", "fingerprint", "class_id")
+
+
+def compared(docs: DataFrame, least: float = LIKE) -> DataFrame:
+    """SCHEMA and class_id of every row of docs."""
+    rows = cut(near_next(docs), "edit-rows")
+    return rows.join(classes(rows.select("doc_id", "fingerprint"), least), "fingerprint")
+
+
 def op8_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_next(read(spark, sf_dir, "documents"))
+    return compared(read(spark, sf_dir, "documents"))
