@@ -1,12 +1,14 @@
 """WARC fixity audit by Merkle trees: hash records and ordered offset ranges, compare roots, descend where they differ.
 
 Records stand in order of their id. A leaf is the digest of one id's record; the ranges above it are the FANOUT
-children of each node, digested in order, up to one root. Node n of level k covers the ids from n * FANOUT ** k on,
-so a record that is lost or added changes the digests on its own path alone. Two replicas are compared from the
-root down: equal digests end the descent, and only the children of nodes that differ are looked at.
+children of each node, each with its range of bytes from the node's first byte on and its digest, digested in order, up
+to one root. Node n of level k covers the ids from n * FANOUT ** k on, and ranges count from their own node's start, so a
+record that is lost, added or of another length changes the digests on its own path alone. Two replicas are compared
+from the root down: equal digests end the descent, and only the children of nodes that differ are looked at.
 
-Both trees are written level by level to the shared folder. A level is grouped by parent: a group has at most
-FANOUT rows.
+Both trees are written level by level to the shared folder, each level in folders by runs of nodes (CHUNKS at most), so
+the descent reads the folders below what differs and skips the others on disk; nothing below equal roots is read. A
+level is grouped by parent: a group has at most FANOUT rows.
 
 Defined results: a null field counts as empty; records of a null id stand before all others. Several records of one
 id are one leaf, of their number and the sums of their digests' parts, so copies add up before the shuffle and none
@@ -15,13 +17,18 @@ are gathered. Two empty replicas agree; one empty replica lacks every record of
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from geoloom.llm.tables import cut, join_small, read
+from geoloom.llm.tables import NARROW_ROWS, cut, join_small, read, shared_dir
 
 FANOUT = 64
+BITS = FANOUT.bit_length() - 1
+#: Folders of a level at most, and nodes of a folder at least, as powers of two.
+CHUNKS, LEAST = 10, 12
 #: Below every id: where records of a null id stand.
 NO_ID = -(1 << 62)
 
@@ -58,42 +65,55 @@ def leaves(records: DataFrame) -> DataFrame:
     )
 
 
-def tree(records: DataFrame, levels: int, name: str) -> list[DataFrame]:
-    """The levels of a tree, leaves first: node, digest, bytes, n."""
-    own = [cut(leaves(records), f"{name}-0")]
+def tree(records: DataFrame, ids: tuple[int, int], levels: int, name: str) -> list[DataFrame]:
+    """The levels of a tree, leaves first: node, digest, bytes, n, chunk."""
+    own = [_laid(leaves(records), ids, 0, f"{name}-0")]
     for k in range(1, levels + 1):
-        below = own[-1].withColumn("parent", _parent("node"))
-        above = below.groupBy("parent").agg(
-            F.sha2(
-                F.array_join(
-                    F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda x: F.concat(x["node"].cast("string"), F.lit("="), x["digest"])),
-                    ",",
-                ),
-                256,
-            ).alias("digest"),
-            F.sum("bytes").alias("bytes"),
-            F.sum("n").alias("n"),
+        child = F.array_sort(F.collect_list(F.struct("node", "digest", "bytes")))
+        zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("said"))
+
+        def step(acc: Column, x: Column) -> Column:
+            to = acc["at"] + x["bytes"]
+            return F.struct(to.alias("at"), F.concat(acc["said"], F.concat_ws(":", x["node"], acc["at"], to, x["digest"]), F.lit(",")).alias("said"))
+
+        above = own[-1].groupBy(_parent("node").alias("node")).agg(
+            F.sha2(F.aggregate(child, zero, step)["said"], 256).alias("digest"), F.sum("bytes").alias("bytes"), F.sum("n").alias("n")
         )
-        own.append(cut(above.withColumnRenamed("parent", "node"), f"{name}-{k}"))
+        own.append(_laid(above, ids, k, f"{name}-{k}"))
     return own
 
 
+def _shift(ids: tuple[int, int], level: int) -> int:
+    """How many low bits of a level's nodes make no difference to the folder that they lie in."""
+    span = (ids[1] >> BITS * level) - (ids[0] >> BITS * level) + 1
+    return max(LEAST, span.bit_length() - CHUNKS)
+
+
+def _laid(nodes: DataFrame, ids: tuple[int, int], level: int, name: str) -> DataFrame:
+    """A level in the shared folder, in order of its nodes within folders by runs of them."""
+    path = f"{shared_dir(nodes.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    placed = nodes.withColumn("chunk", F.shiftright("node", _shift(ids, level)))
+    placed.repartition("chunk").sortWithinPartitions("chunk", "node").write.partitionBy("chunk").parquet(path)
+    return nodes.sparkSession.read.schema(placed.schema).parquet(path)
+
+
 def _parent(node: str) -> Column:
     """floor(node / FANOUT) in whole numbers."""
-    return F.shiftright(node, FANOUT.bit_length() - 1)
+    return F.shiftright(node, BITS)
 
 
-def depth(*replicas: DataFrame) -> int:
-    """Levels over which both replicas' ids meet in one node: from the extremes of the ids, two numbers each."""
+def extent(*replicas: DataFrame) -> tuple[tuple[int, int], int]:
+    """The least and the largest id (0 among them), and the levels over which all ids meet in one node: two numbers of
+    each replica."""
     low, high = 0, 0
     for r in replicas:
         least, most = r.agg(F.min("id"), F.max("id")).first()
         low, high = min(low, least or 0), max(high, most or 0)
-    bits, k = FANOUT.bit_length() - 1, 0
-    while (low >> (bits * k)) != (high >> (bits * k)) and k < 11:
+    k = 0
+    while (low >> (BITS * k)) != (high >> (BITS * k)) and k < 11:
         k += 1
     # Nodes of negative and of other ids meet above the last level; the root is compared as a set of nodes there.
-    return max(1, k)
+    return (low, high), max(1, k)
 
 
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
@@ -102,13 +122,16 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     primary, replica: id, bytes, digest, one row a record. byte_start and byte_end are the range of the id's records
     among the primary's in order of id; for records that only the replica has, the place where they would stand.
     status: changed, missing (from the replica) or extra."""
-    levels = depth(primary, replica)
-    ours, theirs = tree(primary, levels, "fixity-a"), tree(replica, levels, "fixity-b")
+    ids, levels = extent(primary, replica)
+    ours, theirs = tree(primary, ids, levels, "fixity-a"), tree(replica, ids, levels, "fixity-b")
     # Where each node's bytes begin is summed on the way down, among the children of the nodes that differ alone.
-    top = W.orderBy("node").rowsBetween(W.unboundedPreceding, -1)
-    found = _differ(ours[levels], theirs[levels], None, top)
+    found = _differ(ours[levels], theirs[levels], None, 0)
     for k in range(levels - 1, -1, -1):
-        found = _differ(ours[k], theirs[k], cut(found.filter("differs"), f"fixity-path{k}"), None)
+        path = cut(found.filter("differs"), f"fixity-path{k}")
+        if path.isEmpty():
+            found = path
+            break
+        found = _differ(ours[k], theirs[k], path, _shift(ids, k))
     return found.filter("differs").select(
         F.when(F.col("node") != NO_ID, F.col("node")).alias("id"),
         F.when(F.col("n_b") == 0, "missing").when(F.col("n_a") == 0, "extra").otherwise("changed").alias("status"),
@@ -119,11 +142,17 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     )
 
 
-def _differ(a: DataFrame, b: DataFrame, parents: DataFrame | None, order) -> DataFrame:
+def _differ(a: DataFrame, b: DataFrame, parents: DataFrame | None, shift: int) -> DataFrame:
     """node, bytes, start, n_a, n_b and differs of one level's nodes under the parents that differ (all, of the top)."""
     if parents is not None:
+        # The folders below them: no more than a level has. Named here, so that the scans leave out the others.
+        below = parents.select(F.shiftright("node", shift - BITS).alias("chunk")).distinct().collect()
+        chunks = [r["chunk"] for r in below]
         a, b = (
-            join_small(x.withColumn("parent", _parent("node")), parents.select(F.col("node").alias("parent")), ["parent"], "left_semi").drop("parent")
+            join_small(
+                x.filter(F.col("chunk").isin(chunks)).withColumn("parent", _parent("node")),
+                parents.select(F.col("node").alias("parent")), ["parent"], "left_semi", NARROW_ROWS,
+            ).drop("parent")
             for x in (a, b)
         )
     both = a.select("node", F.col("digest").alias("x"), "bytes", F.col("n").alias("n_a")).join(
@@ -137,11 +166,12 @@ def _differ(a: DataFrame, b: DataFrame, parents: DataFrame | None, order) -> Dat
         (~F.col("x").eqNullSafe(F.col("y"))).alias("differs"),
     )
     if parents is None:
-        return both.withColumn("start", F.coalesce(F.sum("bytes").over(order), F.lit(0)))
+        # A few nodes.
+        return both.withColumn("start", F.coalesce(F.sum("bytes").over(W.orderBy("node").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     within = W.partitionBy("parent").orderBy("node").rowsBetween(W.unboundedPreceding, -1)
     placed = both.withColumn("parent", _parent("node")).withColumn("ahead", F.coalesce(F.sum("bytes").over(within), F.lit(0)))
     return join_small(
-        placed, parents.select(F.col("node").alias("parent"), F.col("start").alias("base")), ["parent"], "inner"
+        placed, parents.select(F.col("node").alias("parent"), F.col("start").alias("base")), ["parent"], "inner", NARROW_ROWS
     ).select("node", "bytes", (F.col("base") + F.col("ahead")).alias("start"), "n_a", "n_b", "differs")
 
 
@@ -153,8 +183,8 @@ def records_of(pages: DataFrame) -> DataFrame:
 
 def damaged(pages: DataFrame) -> DataFrame:
     """A replica for the audit to find fault with: of the pages with a CRC32 of page_id divisible by 97 the html has
-    lost its last character, by 89 the record is lost, by 83 its URL is upper-cased, by 79 it is doubled under the
-    id that is 1,000,003 higher, if that is free in the primary."""
+    lost its last character, by 89 the record is lost, by 83 its URL is upper-cased, by 79 it is there once more
+    under the id that is 1,000,003 higher (beside a record that has that id already)."""
     crc = F.crc32(F.col("page_id").cast("string"))
     kept = pages.filter(F.coalesce(crc % 89 != 0, F.lit(True)))
     own = kept.select(
