@@ -30,76 +30,64 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    """Rules given as literals."""
+    rows = [F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
     """(host, path), both empty for a null URL or one without a scheme."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("'x'")).otherwise(None)
     after = F.substring(url, F.instr(url, "://") + 3, F.length(url))
     host = F.regexp_extract(after, r"^([^/?#]*)", 1)
     path = F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1)
-    some = rest.isNotNull()
+    some = F.instr(url, "://") > 0
     return (
         F.when(some, F.translate(host, UPPER, LOWER)).otherwise(F.lit("")),
         F.when(some, path).otherwise(F.lit("")),
     )
 
 
-def _expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Every suffix of the host at a label, with every prefix of the path that is as long as some rule's path."""
+def _suffixes(host: Column) -> Column:
+    """The host and every suffix of it that begins at a label."""
     labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
-    prefixes = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda p: p.isNotNull())
-    return F.flatten(
-        F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.struct(h.alias("rule_host"), p.alias("rule_path"))))
-    )
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
 
+def _digest(*parts: Column) -> Column:
+    return F.sha2(F.concat_ws("\n", *parts), 256)
 
-def _digest(host: Column, path: Column) -> Column:
-    return F.sha2(F.concat(host, F.lit("\n"), path), 256)
 
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left (l_digest) joined to right (r_digest) on the digests' first digits, then confirmed by all of them."""
+    short = lambda d: F.substring(d, 1, SHORT).alias("short")
+    both = join_small(left.withColumn("short", short("l_digest")), right.withColumn("short", short("r_digest")), ["short"], "inner")
+    return both.filter(F.col("l_digest") == F.col("r_digest")).drop("short", "l_digest", "r_digest")
 
-def judge(hosts: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
-    """hosts (distinct host, path) with rule and verdict.
 
-    A URL has as many expressions as its host has labels times the lengths that occur among the rules' paths:
-    no row multiplies with the number of rules. Only expressions that some rule has come out of the join; the
-    best of them is kept by an aggregation that combines before the shuffle."""
+def judge(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """hosts (distinct host, path) with rule and verdict, where a rule fits.
+
+    Host suffixes meet the rules' hosts first; only those that some rule has are expanded by path prefixes, and only to
+    the lengths that this host's rules have. So no row multiplies with the number of rules or with what other hosts'
+    paths look like. The best rule is kept by an aggregation that combines before the shuffle."""
     known = (
         rules.filter((F.col("host") != "") & F.col("path").isNotNull())
         .select(F.translate("host", UPPER, LOWER).alias("r_host"), F.col("path").alias("r_path"), "verdict")
         .groupBy("r_host", "r_path")
         .agg(F.max(F.col("verdict") == "block").alias("r_block"))
-        .withColumn("r_digest", _digest(F.col("r_host"), F.col("r_path")))
-        .withColumn("r_short", F.substring("r_digest", 1, SHORT))
-    )
-    lengths = [r[0] for r in known.select(F.length("r_path")).distinct().collect()]
-    expanded = hosts.select(
-        "host", "path", F.explode(_expressions(F.col("host"), F.col("path"), sorted(lengths))).alias("e")
-    ).withColumn("digest", _digest(F.col("e.rule_host"), F.col("e.rule_path")))
-    met = join_small(expanded.withColumn("r_short", F.substring("digest", 1, SHORT)), known, ["r_short"], "inner")
-    best = (
-        met.filter(F.col("digest") == F.col("r_digest"))
-        .groupBy("host", "path")
-        .agg(
-            F.max(
-                F.struct(
-                    F.length("r_host").alias("n_host"), F.length("r_path").alias("n_path"), "r_block",
-                    F.concat("r_host", "r_path").alias("rule"),
-                )
-            ).alias("best")
-        )
     )
-    return best.select(
-        "host",
-        "path",
-        F.col("best.rule").alias("rule"),
-        F.when(F.col("best.r_block"), "block").otherwise("allow").alias("verdict"),
+    # As many lengths a host as its rules' paths have: no more than a path has characters.
+    lengths = known.groupBy("r_host").agg(F.collect_set(F.length("r_path")).alias("lengths")).select("lengths", _digest(F.col("r_host")).alias("r_digest"))
+    suffixes = hosts.select("host", "path", F.explode(_suffixes(F.col("host"))).alias("suffix")).withColumn("l_digest", _digest(F.col("suffix")))
+    fits = F.filter("lengths", lambda n: n <= F.length("path"))
+    prefixes = _met(suffixes, lengths).select("host", "path", "suffix", F.explode(fits).alias("n"))
+    prefixes = prefixes.select("host", "path", _digest(F.col("suffix"), F.substring(F.col("path"), F.lit(1), F.col("n"))).alias("l_digest"))
+    met = _met(prefixes, known.withColumn("r_digest", _digest(F.col("r_host"), F.col("r_path"))))
+    rank = F.struct(
+        F.length("r_host").alias("n_host"), F.length("r_path").alias("n_path"), "r_block", F.concat("r_host", "r_path").alias("rule")
     )
+    best = met.groupBy("host", "path").agg(F.max(rank).alias("best"))
+    return best.select("host", "path", F.col("best.rule").alias("rule"), F.when(F.col("best.r_block"), "block").otherwise("allow").alias("verdict"))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
@@ -109,7 +97,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     go back to the rows by a join that AQE may split where one URL holds many rows."""
     host, path = split_url(F.col(url))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    verdicts = judge(rows.select("host", "path").filter("host != ''").distinct(), rules, default)
+    verdicts = judge(rows.select("host", "path").filter("host != ''").distinct(), rules)
     return rows.join(verdicts, ["host", "path"], "left").select(
         "page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")
     )
