@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier on character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 Features are hashed n-grams of the lower-cased text between spaces, present or not. Their document counts by class,
-summed over the training rows, give each a log-count ratio r; those that tell the classes apart beyond chance are
-kept. A logistic regression is then fitted on r times presence by gradient steps, each a sum over the training rows'
+summed over the training rows, give each a log-count ratio r; those whose counts differ between the classes by min_z
+standard errors or more are the model's features, all of them. Features share 2 ** BITS buckets by a hash, which is the
+model's size; two n-grams of one bucket are one feature. A logistic regression is then fitted on r times presence by gradient steps, each a sum over the training rows'
 kept features, and every whole text is scored by its distinct kept features.
 
 Learning reads labels only of rows outside the held-out fifth, at most about MAX_TRAIN of them by a hash of doc_id
@@ -29,6 +30,8 @@ ORDERS = (3, 4, 5)
 BITS = 20
 #: Labelled rows that the fit reads at most, in expectation.
 MAX_TRAIN = 20_000
+#: Partitions that these rows' sums come from at most: what a step sends to the driver is so many vectors.
+PARTS = 16
 #: Characters whose features are worked out at once.
 BLOCK = 1 << 20
 _PAD = max(ORDERS) - 1
@@ -36,10 +39,10 @@ _PAD = max(ORDERS) - 1
 
 @dataclass(frozen=True)
 class Settings:
+    """min_z is the selection of features, a parameter of the model; nothing else leaves any out."""
+
     smoothing: float = 1.0
-    min_docs: int = 3
     min_z: float = 4.0
-    max_features: int = 60_000
     l2: float = 2e-3
     steps: int = 25
 
@@ -146,9 +149,19 @@ class Model:
         return full
 
 
+def ratios(summed: DataFrame, n0: int, n1: int, settings: Settings) -> DataFrame:
+    """bucket and log-count ratio r of (bucket, n0, n1), documents of each class that have it, for those kept: bounded by
+    the number of buckets."""
+    a = settings.smoothing
+    p, q = (F.col("n1") + a) / (n1 + 2 * a), (F.col("n0") + a) / (n0 + 2 * a)
+    pool = (F.col("n0") + F.col("n1") + 2 * a) / (n0 + n1 + 4 * a)
+    z = (p - q) / F.sqrt(pool * (1 - pool) * (1 / n0 + 1 / n1) + 1e-12)
+    return summed.select("bucket", F.log(p / q).alias("r"), F.abs(z).alias("z")).filter(F.col("z") >= settings.min_z).select("bucket", "r")
+
+
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), limit: int = MAX_TRAIN) -> Model:
     spark = docs.sparkSession
-    rows = cut(training_rows(docs, labels, limit), "toxic-train")
+    rows = cut(training_rows(docs, labels, limit), "toxic-train").coalesce(PARTS)
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     none = np.empty(0, np.int64)
@@ -160,20 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), lim
         .groupBy("bucket")
         .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     )
-    a = settings.smoothing
-    p, q = (F.col("n1") + a) / (n1 + 2 * a), (F.col("n0") + a) / (n0 + 2 * a)
-    pool = (F.col("n0") + F.col("n1") + 2 * a) / (n0 + n1 + 4 * a)
-    z = (p - q) / F.sqrt(pool * (1 - pool) * (1 / n0 + 1 / n1) + 1e-12)
-    # Bounded by the number of buckets, and by max_features: the model itself.
-    best = (
-        summed.filter(F.col("n0") + F.col("n1") >= settings.min_docs)
-        .select("bucket", F.log(p / q).alias("r"), F.abs(z).alias("z"))
-        .filter(F.col("z") >= settings.min_z)
-        .orderBy(F.col("z").desc(), "bucket")
-        .limit(settings.max_features)
-        .toPandas()
-        .sort_values("bucket")
-    )
+    best = ratios(summed, n0, n1, settings).toPandas().sort_values("bucket")
     buckets, r = best["bucket"].to_numpy(np.int64), best["r"].to_numpy(float)
     prior = float(np.log(n1 / n0))
     if not len(buckets):
@@ -192,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), lim
                 [pa.array(own, pa.list_(pa.int32())), batch.column("toxic")], names=["own", "toxic"]
             )
 
-    sparse = cut(rows.mapInArrow(kept, "own array<int>, toxic int"), "toxic-sparse")
+    sparse = cut(rows.mapInArrow(kept, "own array<int>, toxic int"), "toxic-sparse").coalesce(PARTS)
     # Coefficients of r times presence: 1 is naive Bayes itself, from which the steps start.
     w, b = _descend(sparse, r, prior, n0 + n1, settings)
     return Model(buckets, w * r, b)
