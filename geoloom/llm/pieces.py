@@ -20,6 +20,7 @@ back every text exactly. Rows repeated are encoded alike; giant texts that repea
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from array import array
@@ -63,6 +64,7 @@ class Vocabulary(NamedTuple):
     longest: int
     cuts: str
     merges: bool = False
+    name: str = ""
 
 
 def load(path: str = MODEL) -> Vocabulary:
@@ -95,7 +97,7 @@ def load(path: str = MODEL) -> Vocabulary:
     inside = {c for p in ids if len(p) > 1 for c in p}
     cuts = "".join(c for c in map(chr, range(128)) if c not in inside) + LITERAL
     assert not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in ids), "a piece crosses a segment's border"
-    return Vocabulary(weight, ids, unit(low - 10) << SHIFT, spelled, byte, max(map(len, ids)), cuts, model.trainer_spec.model_type == model.trainer_spec.BPE)
+    return Vocabulary(weight, ids, unit(low - 10) << SHIFT, spelled, byte, max(map(len, ids)), cuts, model.trainer_spec.model_type == model.trainer_spec.BPE, hashlib.sha256(sp.serialized_model_proto()).hexdigest())
 
 
 class Encoder:
@@ -117,6 +119,8 @@ class Encoder:
             keys = h[0]
             for k in range(1, n):
                 keys = keys * _PRIME + h[k]
+            if len(np.unique(keys)) < len(keys):
+                raise ValueError("two pieces of one length have one hash")
             order = np.argsort(keys)
             self.tables[n] = keys[order], np.array([vocabulary.weight[p] for p in own], np.int64)[order]
 
@@ -433,12 +437,12 @@ def borders(ms: list[np.ndarray], a: int, b: int) -> list[int]:
     return at[::-1]
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def worker_encoder(shared) -> Encoder:
-    """This worker's encoder of a vocabulary."""
-    key = id(shared.value)
+    """This worker's encoder of a vocabulary: one, known by the model's digest."""
+    key = shared.value.name
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = (MergeEncoder if shared.value.merges else Encoder)(shared.value)
