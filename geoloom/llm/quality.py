@@ -215,19 +215,21 @@ def judge(counts: DataFrame, known: dict, rules: Rules) -> DataFrame:
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.coalesce(apart, F.lit(False)))
 
 
-def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """One row per row of docs: doc_id, the counts, both distances, base_failed and kept."""
+def quality(docs: DataFrame, rules: Rules = Rules(), known: dict | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, the counts, both distances, base_failed and kept. known: references that have been
+    fitted before (fit), so that verdicts don't depend on what else is in docs; else they are fitted on docs."""
     measured = measure(docs.select("doc_id", "text", "lang"), rules)
     counts = cut(measured.select("doc_id", F.col(measured.columns[-1]).alias("counts")), "quality-counts")
-    return judge(counts, fit(counts, rules), rules)
+    return judge(counts, fit(counts, rules) if known is None else known, rules)
 
 
-def filter_kept(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs; rows are judged where they stand."""
+def filter_kept(docs: DataFrame, rules: Rules = Rules(), known: dict | None = None) -> DataFrame:
+    """The rows of docs that the rules keep, with the columns of docs; rows are judged where they stand. known: as in
+    quality()."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     measured = measure(docs.select(row, "text", "lang"), rules)
     counts = F.col(measured.columns[-1]).alias("counts")
-    known = fit(cut(measured.select(counts), "quality-counts"), rules)
+    known = fit(cut(measured.select(counts), "quality-counts"), rules) if known is None else known
     return judge(once(measured, "doc", counts), known, rules).filter("kept").select("doc.*")
 
 
