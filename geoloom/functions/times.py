@@ -54,3 +54,13 @@ def overlap(first: Column, last: Column, start: Column, end: Column) -> Column:
 
 def bucket(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / (seconds * MICROS)).cast("bigint")
+
+
+def finished(ts: Column, now: Column, unit: str = "hour") -> Column:
+    """Whether the hour (or other unit) that an instant lies in was over by now."""
+    return F.date_trunc(unit, ts).cast("timestamp_ntz") + F.expr(f"interval 1 {unit}") <= now
+
+
+def settled(ts: Column, now: Column, hours: int) -> Column:
+    """Whether an instant lies so many hours back, so that all that belongs to it has come."""
+    return ts <= now - F.expr(f"interval {hours} hours")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.functions.times import parsed
+
 SCHEMA = """source string, ord bigint, request_hash string, collection string, next_cursor string, error string, cursor_rejected boolean,
 scene_ids array<string>, saved array<string>, skipped array<string>, previews array<string>,
 failed array<struct<id:string,error:string>>, windows array<struct<id:string,bytes_read:bigint,granule_size:bigint>>"""
@@ -94,3 +96,43 @@ def cursor_kind(next_href: Column, search_url: Column, method: Column) -> Column
         .when((F.upper(method) == "GET") & (next_href == search_url), "bare")
         .otherwise("page")
     )
+
+
+_SCENE = "struct<id:string,collection:string,datetime:string,footprint:array<double>>"
+
+
+def source_rows(files: DataFrame) -> DataFrame:
+    """ord (place in the file), source, request (JSON text) and row (JSON text) of the source rows of manifests (text). A row
+    without a request has the file's; a file that is no manifest, and a row without a source's name, have none."""
+    v = F.try_parse_json("text")
+    whole = files.select(F.try_variant_get(v, "$.sources", "array<variant>").alias("rows"), F.to_json(F.try_variant_get(v, "$.request", "variant")).alias("top"))
+    item = whole.select("top", F.posexplode("rows").alias("ord", "item"))
+    name, own = F.try_variant_get("item", "$.source", "string"), F.try_variant_get("item", "$.request", "variant")
+    text = F.schema_of_variant(F.try_variant_get("item", "$.source", "variant")) == "STRING"
+    request = F.when(F.schema_of_variant(own).startswith("OBJECT"), F.to_json(own)).otherwise(F.col("top"))
+    return item.filter(text & (name != "")).select(F.col("ord").cast("bigint").alias("ord"), name.alias("source"), request.alias("request"), F.to_json("item").alias("row"))
+
+
+def stored_scenes(rows: DataFrame) -> DataFrame:
+    """source, ord, id, collection, ts and edges of the scenes that manifest rows (source, row: JSON text) know: those with a
+    place and time first, then bare ids; of an id the first."""
+    v = F.parse_json("row")
+    rich = F.try_variant_get(v, "$.scenes", "array<variant>")
+    bare = F.try_variant_get(v, "$.scene_ids", "array<variant>")
+
+    def word(x: Column, path: str) -> Column:
+        found = F.try_variant_get(x, path, "variant")
+        return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(x, path, "string"))
+
+    one = lambda x: F.coalesce(word(x, "$.id"), word(x, "$"))
+    every = F.concat(
+        F.transform(F.coalesce(rich, F.array().cast("array<variant>")), lambda x: F.struct(one(x).alias("id"), F.from_json(F.to_json(x), _SCENE).alias("s"))),
+        F.transform(F.coalesce(bare, F.array().cast("array<variant>")), lambda x: F.struct(word(x, "$").alias("id"), F.lit(None).cast(_SCENE).alias("s"))),
+    )
+    found = rows.select("source", F.posexplode(every).alias("ord", "x")).filter("x.id <> ''")
+    first = found.groupBy("source", "x.id").agg(F.min(F.struct("ord", "x.s")).alias("f"))
+    edge = lambda i: F.get(F.col("f.s.footprint"), F.lit(i))
+    return first.select(
+        "source", F.col("f.ord").cast("bigint").alias("ord"), "id", F.nullif(F.col("f.s.collection"), F.lit("")).alias("collection"), parsed(F.col("f.s.datetime")).alias("ts"),
+        *[edge(i).alias(n) for i, n in enumerate(("west", "south", "east", "north"))],
+    )

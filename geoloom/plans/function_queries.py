@@ -14,6 +14,10 @@ from geoloom.tables import read
 
 
 
+#: Endings of files that are taken as they are, and of packed ones.
+RASTERS, PACKED = [".tif", ".jp2", ".nc", ".hdf", ".h5", ".zip", ".las", ".laz", ".png", ".jpg", ".gif", ".webp"], [".bz2", ".gz"]
+
+
 def _b() -> geo.Box:
     return geo.Box.col()
 
@@ -105,12 +109,12 @@ def f11_finished_hours(spark, sf_dir):
     """Hours of a day's events that lie wholly before a given instant."""
     now = F.lit("2024-01-20 12:30:00").cast("timestamp_ntz")
     hours = view(spark, sf_dir, "detections").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"))
-    return hours.filter(F.col("hour") + F.expr("interval 1 hour") <= now).groupBy("hour").agg(F.count("*").alias("n"))
+    return hours.filter(times.finished(F.col("hour"), now)).groupBy("hour").agg(F.count("*").alias("n"))
 
 
 def f12_settled(spark, sf_dir):
     now = F.lit("2024-01-20 12:30:00").cast("timestamp_ntz")
-    return view(spark, sf_dir, "detections").filter(F.col("ts") <= now - F.expr("interval 3 hours")).groupBy("satellite").agg(F.count("*").alias("n"), F.max("ts").alias("newest"))
+    return view(spark, sf_dir, "detections").filter(times.settled(F.col("ts"), now, 3)).groupBy("satellite").agg(F.count("*").alias("n"), F.max("ts").alias("newest"))
 
 
 def _pages_text():
@@ -129,6 +133,19 @@ def s02_scrubbed_key(spark, sf_dir):
     return p.select("page_id", text.redacted(raw).alias("said"))
 
 
+def s06_asset_suffix(spark, sf_dir):
+    a = view(spark, sf_dir, "assets")
+    media = F.when(F.col("ord") % 3 == 0, F.col("media_type")).when(F.col("ord") % 3 == 1, "application/octet-stream")
+    end = F.element_at(F.array(*map(F.lit, ("a.TIFF", "b.jpeg?x=1.png", "c.DAT.bz2", "d.zip", "e", "f.nc#g", "h.xyz", ".tif"))), (F.col("ord") % 8 + 1).cast("int"))
+    return a.select("ord", text.asset_suffix(media, F.concat(F.lit("https://e.com/p.q/"), end), RASTERS, PACKED).alias("suffix"))
+
+
+def s11_error_text(spark, sf_dir):
+    p = read(spark, sf_dir, "pages")
+    said = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("  failed\n at "), F.col("url"), F.lit("?key=v")))
+    return p.select("page_id", text.error_text(F.lit("ReadTimeout"), said).alias("said"))
+
+
 def s12_without_controls(spark, sf_dir):
     d = read(spark, sf_dir, "conversations")
     dirty = F.concat(F.lit("\x1b[31m"), F.col("text"), F.lit("\x1b[0m\x07‮"))
@@ -395,6 +412,16 @@ SELECT conv_id, turn, CASE WHEN n <= 0 THEN '0' WHEN unit = 1 THEN CAST(x AS VAR
   CASE WHEN x // unit >= 100 THEN CAST(x // unit AS VARCHAR) WHEN x // unit >= 10 THEN (x // unit) || '.' || (x % unit // (unit // 10)) ELSE (x // unit) || '.' || lpad(CAST(x % unit // (unit // 100) AS VARCHAR), 2, '0') END
   || CASE unit WHEN 1000 THEN 'K' WHEN 1000000 THEN 'M' ELSE 'B' END END AS said FROM u"""),
     ),
+    "s06_asset_suffix": (
+        s06_asset_suffix,
+        oracle("assets", """, m AS (SELECT ord, CASE ord % 3 WHEN 0 THEN media_type WHEN 1 THEN 'application/octet-stream' END AS media FROM assets)
+SELECT ord, CASE WHEN contains(media, 'tiff') THEN '.tif' WHEN contains(media, 'hdf') THEN '.hdf' WHEN contains(media, 'png') THEN '.png' WHEN contains(media, 'jpeg') THEN '.jpg'
+  ELSE ['.tif', '.jpg', '.dat.bz2', '.zip', '.bin', '.nc', '.bin', '.bin'][ord % 8 + 1] END AS suffix FROM m"""),
+    ),
+    "s11_error_text": (
+        s11_error_text,
+        "SELECT page_id, CASE WHEN page_id % 3 <> 0 AND url IS NOT NULL THEN 'ReadTimeout: failed at ' || trim(regexp_replace(" + _REDACT_SQL.format(x="url || '?key=v'") + ", '\\s+', ' ', 'g')) ELSE 'ReadTimeout' END AS said FROM pages",
+    ),
     "s12_without_controls": (s12_without_controls, "SELECT conv_id, turn, md5(text) AS digest FROM conversations"),
     "s13_compacted": (
         s13_compacted,

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from geoloom.operators import manifest
 from geoloom.plans.scene_queries import DATELINE
 from geoloom.plans.views import oracle, view
 from geoloom.request import BBox, PullRequest
@@ -72,6 +73,51 @@ def src02_stac_pages(spark, sf_dir):
     return stac.scenes(items.drop("page")).select("id", "cloud", "platform")
 
 
+def src04_place_time(spark, sf_dir):
+    """Every candidate of a collection within a minute that meets a stored scene, 20 at most."""
+    cols = ("id", "collection", "ts", "west", "south", "east", "north")
+    return stac.place_time_hits(view(spark, sf_dir, "stored"), view(spark, sf_dir, "candidates").select(*cols)).select("old_id", "id")
+
+
+def src13_model_granules(spark, sf_dir):
+    s = view(spark, sf_dir, "scenes").filter("west <= east")
+    n = F.col("ord").cast("string")
+    link = lambda i: F.concat(F.lit('{"URL":"https://x/'), n, F.lit(f'.{i}","Type":'), F.lit('"GET DATA"}' if i == "nc" else '"USE SERVICE API","Subtype":"OPENDAP DATA"}'))
+    urls = F.when(F.col("ord") % 4 == 0, link("nc")).otherwise(F.concat(link("nc"), F.lit(","), link("dap")))
+    item = F.concat(
+        F.lit('{"meta":{"concept-id":"G'), n, F.lit('"},"umm":{"TemporalExtent":{"SingleDateTime":"2024-01-01T00:00:00Z"},"SpatialExtent":{"HorizontalSpatialDomain":{"Geometry":{"BoundingRectangles":[{"WestBoundingCoordinate":1,"SouthBoundingCoordinate":2,"EastBoundingCoordinate":3,"NorthBoundingCoordinate":4}]}}},"RelatedUrls":['),
+        urls, F.lit("]}}"),
+    )
+    r = PullRequest(dt.date(2024, 1, 1), dt.date(2024, 1, 31), BBox(0.0, 0.0, 10.0, 10.0))
+    return P.model_granules(s.select("ord", item.alias("item")), "FLDAS_NOAH01_C_GL_M", r).select("ord", "id", "data_href")
+
+
+def _manifests(spark, sf_dir):
+    """A manifest of each supplier's part of the orders' scenes: some rows of an older format, some without a name, some
+    files cut off."""
+    s = view(spark, sf_dir, "scenes").withColumn("file", F.col("ord") % 300)
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    rich = F.concat(F.lit('{"id":'), q("id"), F.lit(',"collection":'), q("collection"), F.lit(',"datetime":'), q(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")), F.lit(',"footprint":['), F.concat_ws(",", *[F.col(c).cast("bigint").cast("string") for c in ("west", "south", "east", "north")]), F.lit("]}"))
+    g = s.groupBy("file", "source").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("ord") % 2 == 0, F.struct("ord", rich.alias("r"))))), lambda x: x["r"]), ",").alias("rich"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", q("id").alias("r")))), lambda x: x["r"]), ",").alias("bare"),
+    )
+    name = F.when(F.col("source") == "src6", F.lit("7")).otherwise(q("source"))
+    own = F.when(F.col("file") % 2 == 0, F.lit(',"request":{"own":1}')).otherwise("")
+    row = F.concat(F.lit('{"source":'), name, own, F.lit(',"scenes":['), "rich", F.lit('],"scene_ids":['), "bare", F.lit("]}"))
+    files = g.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list(row)), ",").alias("rows"))
+    return files.select("file", F.concat(F.lit('{"request":{"top":1},"sources":['), "rows", F.when(F.col("file") % 7 == 0, F.lit("]")).otherwise(F.lit("]}"))).alias("text"))
+
+
+def src20_manifest_rows(spark, sf_dir):
+    return manifest.source_rows(_manifests(spark, sf_dir)).groupBy("source", "request").agg(F.count("*").alias("n"))
+
+
+def u06_stored_scenes(spark, sf_dir):
+    rows = manifest.source_rows(_manifests(spark, sf_dir).filter("file = 2 OR file = 3"))
+    return manifest.stored_scenes(rows.withColumn("source", F.concat("source", F.lit("-"), F.col("request")))).select("source", "id", "collection", F.col("ts").cast("timestamp_ntz").alias("ts"), "west")
+
+
 def src03_by_ids(spark, sf_dir):
     s = view(spark, sf_dir, "scenes")
     return stac.by_ids(s, spark.range(0, 997, 10).select(F.concat(F.lit("S"), "id").alias("id"))).select("ord", "id")
@@ -292,7 +338,28 @@ e2 AS (SELECT id FROM ev WHERE (id % 7 = 0 OR (north >= -45 AND south <= 45 AND
 a2 AS (SELECT id FROM acq WHERE parent IN (SELECT id FROM e2) AND north >= -45 AND south <= 45 AND (east >= 150 OR west <= -140) AND first <= DATE '1995-12-31' AND last >= DATE '1995-01-01')
 SELECT id FROM own WHERE parent IN (SELECT id FROM a2) AND north >= -45 AND south <= 45 AND (east >= 150 OR west <= -140) AND CAST(ts AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'"""),
     ),
-    "src21_registry": (src21_registry, None),
+    "src04_place_time": (
+        src04_place_time,
+        oracle("stored candidates", """, b AS (SELECT s.id AS old_id, c.id, c.ts FROM stored s JOIN candidates c ON s.collection = c.collection AND c.ts BETWEEN s.ts - INTERVAL 60 SECOND AND s.ts + INTERVAL 60 SECOND
+  AND s.west <= c.east AND c.west <= s.east AND s.south <= c.north AND c.south <= s.north)
+SELECT old_id, id FROM b QUALIFY row_number() OVER (PARTITION BY old_id ORDER BY ts, id) <= 20"""),
+    ),
+    "src13_model_granules": (src13_model_granules, oracle("scenes", "SELECT ord, 'G' || ord AS id, 'https://x/' || ord || '.dap' AS data_href FROM scenes WHERE west <= east AND ord % 4 <> 0")),
+    "src20_manifest_rows": (
+        src20_manifest_rows,
+        oracle("scenes", """, g AS (SELECT DISTINCT ord % 300 AS file, source FROM scenes WHERE source <> 'src6' AND ord % 300 % 7 <> 0)
+SELECT source, CASE WHEN file % 2 = 0 THEN '{"own":1}' ELSE '{"top":1}' END AS request, count(*) AS n FROM g GROUP BY ALL"""),
+    ),
+    "u06_stored_scenes": (
+        u06_stored_scenes,
+        oracle("scenes", """, s AS (SELECT *, ord % 300 AS file, source || '-' || CASE WHEN ord % 2 = 0 THEN '{"own":1}' ELSE '{"top":1}' END AS name FROM scenes WHERE ord % 300 IN (2, 3) AND source <> 'src6')
+SELECT name AS source, id, CASE WHEN ord % 2 = 0 THEN collection END AS collection, CASE WHEN ord % 2 = 0 THEN ts END AS ts, CASE WHEN ord % 2 = 0 THEN west END AS west FROM s
+QUALIFY row_number() OVER (PARTITION BY name, id ORDER BY ord % 2, ord) = 1"""),
+    ),
+    "src21_registry": (
+        src21_registry,
+        """SELECT family, kind, CAST(n AS BIGINT) AS n FROM (VALUES ('cmr', 'landcover', 1), ('cmr', 'optical', 2), ('cmr', 'thermal', 1), ('firms', 'detection', 5), ('gibs', 'browse', 7), ('gibs', 'thermal', 1), ('grid', 'landsurface', 1), ('listing', 'optical', 2), ('stac', 'altimetry', 1), ('stac', 'atmosphere', 4), ('stac', 'dem', 3), ('stac', 'detection', 1), ('stac', 'landcover', 3), ('stac', 'lidar', 2), ('stac', 'optical', 19), ('stac', 'precipitation', 1), ('stac', 'sar', 3), ('stac', 'thermal', 3), ('tree', 'optical', 1)) AS t(family, kind, n)""",
+    ),
     "src09_goes_search": (
         src09_goes_search,
         oracle("detections", """, k AS (SELECT event_id, TIMESTAMP '2025-04-04' + to_seconds(event_id * 7919 % 600000) AS t FROM detections WHERE event_id % 9 <> 0 AND event_id % 4 <> 0 AND event_id % 3 <> 2)

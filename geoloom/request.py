@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import math
 from dataclasses import dataclass
 from functools import cached_property
@@ -226,3 +227,49 @@ class PullRequest:
             raise ValueError("an area is asked for")
         if self.bbox is None:
             object.__setattr__(self, "bbox", self.polygon.bbox)
+
+
+def parse_dates(text: str) -> tuple[dt.date, dt.date]:
+    """`first:last` (or / or , between them) as two days in order."""
+    for between in ":/,":
+        first, found, last = text.strip().partition(between)
+        if found:
+            days = dt.date.fromisoformat(first.strip()), dt.date.fromisoformat(last.strip())
+            if days[0] > days[1]:
+                raise ValueError(f"{days[1]} lies before {days[0]}")
+            return days
+    raise ValueError("two days are wanted: first:last")
+
+
+def parse_box(text: str) -> BBox:
+    """`west,south,east,north` as a box that has an area."""
+    edges = [float(x) for x in text.split(",")]
+    if len(edges) != 4:
+        raise ValueError("a box has four edges: west,south,east,north")
+    box = BBox(*edges)
+    if box.west == box.east or box.south == box.north:
+        raise ValueError("a box without area")
+    return box
+
+
+def parse_polygon(text: str) -> Polygon:
+    """A GeoJSON Polygon or a Feature of one, a JSON ring, or `lon,lat` pairs with semicolons between; closed if it is open."""
+    try:
+        given = json.loads(text)
+    except ValueError:
+        given = [[float(x) for x in pair.split(",")] for pair in text.split(";") if pair.strip()]
+    if isinstance(given, dict) and given.get("type") == "Feature":
+        given = given.get("geometry")
+    if isinstance(given, dict):
+        if given.get("type") != "Polygon" or len(given.get("coordinates") or []) != 1:
+            raise ValueError("one ring without holes is wanted")
+        given = given["coordinates"][0]
+    if not isinstance(given, list) or not given or not all(isinstance(p, list) and len(p) >= 2 for p in given):
+        raise ValueError("a ring of positions is wanted")
+    ring = [(float(p[0]), float(p[1])) for p in given]
+    return Polygon(tuple(ring if len(ring) > 1 and ring[0] == ring[-1] else [*ring, ring[0]]))
+
+
+def parse_names(text: str) -> list[str]:
+    """Names with commas between; blank ones are left out."""
+    return [x for x in map(str.strip, text.split(",")) if x]

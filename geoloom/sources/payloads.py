@@ -11,37 +11,44 @@ from pyspark.sql import functions as F
 from geoloom.functions.geo import Box, enclosing, from_point, intersects
 from geoloom.functions.times import parsed
 from geoloom.request import BBox, PullRequest
-from geoloom.sources.stac import number_at
 from geoloom.tables import once
 
 # CMR granules.
 
 _GRANULE = """struct<meta:struct<`concept-id`:string>,umm:struct<GranuleUR:string,
-TemporalExtent:struct<RangeDateTime:struct<BeginningDateTime:string,EndingDateTime:string>,SingleDateTime:string>,
+CloudCover:string,TemporalExtent:struct<RangeDateTime:struct<BeginningDateTime:string,EndingDateTime:string>,SingleDateTime:string>,
 SpatialExtent:struct<HorizontalSpatialDomain:struct<Geometry:struct<
 BoundingRectangles:array<struct<WestBoundingCoordinate:double,SouthBoundingCoordinate:double,EastBoundingCoordinate:double,NorthBoundingCoordinate:double>>,
 GPolygons:array<struct<Boundary:struct<Points:array<struct<Longitude:double,Latitude:double>>>>>>>>,
 Platforms:array<struct<ShortName:string,Instruments:array<struct<ShortName:string>>>>,
-RelatedUrls:array<struct<URL:string,Type:string,Description:string>>>>"""
+RelatedUrls:array<struct<URL:string,Type:string,Subtype:string,Description:string>>>>"""
 
 
 def granules(items: DataFrame, source: str, short_name: str, kind: str, gsd_m: float | None) -> DataFrame:
     """Scenes of CMR granules (ord, item: JSON text): box from the first rectangle, else around all polygons' points."""
-    g, v = F.col("_g"), F.try_parse_json("item")
-    rows = items.withColumn("_g", F.from_json("item", _GRANULE)).withColumn("_v", v)
+    g = F.col("_g")
+    # What several columns below are made of is bound first, in two steps: the item, then its points.
+    rows = once(items, "ord", F.from_json("item", _GRANULE).alias("_g"))
+    points = F.flatten(F.transform(g["umm"]["SpatialExtent"]["HorizontalSpatialDomain"]["Geometry"]["GPolygons"], lambda p: p["Boundary"]["Points"]))
+    points = F.filter(points, lambda p: p["Longitude"].isNotNull() & p["Latitude"].isNotNull())
+    rows = once(rows, "ord", "_g", F.array_sort(F.transform(points, lambda p: p["Longitude"])).alias("_lons"), F.transform(points, lambda p: p["Latitude"]).alias("_lats"))
+    around = enclosing(F.col("_lons"), F.col("_lats"))
+    rows = once(rows, "ord", "_g", F.when(F.size("_lons") > 0, around.struct()).alias("_around"))
     time = g["umm"]["TemporalExtent"]
     start, end = parsed(time["RangeDateTime"]["BeginningDateTime"]), parsed(time["RangeDateTime"]["EndingDateTime"])
-    shape = g["umm"]["SpatialExtent"]["HorizontalSpatialDomain"]["Geometry"]
-    r = F.get(shape["BoundingRectangles"], F.lit(0))
+    r = F.get(g["umm"]["SpatialExtent"]["HorizontalSpatialDomain"]["Geometry"]["BoundingRectangles"], F.lit(0))
     rect = Box(*[r[f"{e}BoundingCoordinate"] for e in ("West", "South", "East", "North")])
     has = rect.west.isNotNull() & rect.south.isNotNull() & rect.east.isNotNull() & rect.north.isNotNull()
-    points = F.flatten(F.transform(shape["GPolygons"], lambda p: p["Boundary"]["Points"]))
-    points = F.filter(points, lambda p: p["Longitude"].isNotNull() & p["Latitude"].isNotNull())
-    poly = enclosing(F.transform(points, lambda p: p["Longitude"]), F.transform(points, lambda p: p["Latitude"]))
-    some = F.size(points) > 0
-    box = [F.when(has, a).when(some, b) for a, b in zip(rect, poly, strict=True)]
+    some = F.col("_around").isNotNull()
+    box = [F.when(has, a).otherwise(F.col("_around")[e]) for a, e in zip(rect, Box._fields, strict=True)]
+    cloud = g["umm"]["CloudCover"].try_cast("double")
     first = F.get(g["umm"]["Platforms"], F.lit(0))
-    url = lambda t: F.get(F.filter(g["umm"]["RelatedUrls"], lambda u: (u["Type"] == t) & u["URL"].startswith("https://")), F.lit(0))["URL"]
+
+
+    def url(kind: str, word: str = "") -> Column:
+        fits = F.filter(g["umm"]["RelatedUrls"], lambda u: (u["Type"] == kind) & u["URL"].startswith("https://") & F.upper(F.concat_ws(" ", u["Subtype"], u["URL"])).contains(word))
+        return F.get(fits, F.lit(0))["URL"]
+
     out = once(
         rows,
         "ord",
@@ -57,9 +64,10 @@ def granules(items: DataFrame, source: str, short_name: str, kind: str, gsd_m: f
         F.lit(gsd_m).cast("double").alias("gsd_m"),
         F.coalesce(F.nullif(first["ShortName"], F.lit("")), F.lit("MODIS")).alias("platform"),
         F.nullif(F.get(first["Instruments"], F.lit(0))["ShortName"], F.lit("")).alias("instrument"),
-        number_at(F.col("_v"), "$.umm.CloudCover").alias("cloud"),
+        F.when(~F.isnan(cloud) & (F.abs(cloud) != float("inf")), cloud).alias("cloud"),
         url("GET DATA").alias("data_href"),
         url("GET RELATED VISUALIZATION").alias("browse_href"),
+        url("USE SERVICE API", "OPENDAP").alias("grid_href"),
     )
     return out.filter(F.col("id").isNotNull() & F.col("ts").isNotNull() & F.col("west").isNotNull() & F.col("south").isNotNull())
 
@@ -74,6 +82,15 @@ def cmr_params(request: PullRequest, short_name: str, version: str, kind: str, p
     return found
 
 
+def model_granules(items: DataFrame, short_name: str, request: PullRequest) -> DataFrame:
+    """Granules of a gridded model: their grids alone are of use, read in place. A box across 180 degrees is refused, as a
+    grid's window is one."""
+    if request.bbox.west > request.bbox.east:
+        raise ValueError("a gridded model takes no box across 180 degrees: ask for either side")
+    found = granules(items, short_name.lower(), short_name, "landsurface", None)
+    return found.withColumn("data_href", F.col("grid_href")).filter("data_href IS NOT NULL").drop("grid_href", "browse_href")
+
+
 # Fire detections.
 
 FIRES = "latitude string, longitude string, brightness string, scan string, track string, acq_date string, acq_time string, satellite string, instrument string, confidence string, version string, bright_2 string, frp string, daynight string"

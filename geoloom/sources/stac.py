@@ -5,14 +5,16 @@ A row that breaks an invariant is dropped, never an error: `scenes` keeps the va
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from geoloom.functions.geo import Box, from_point
-from geoloom.functions.times import parsed
-from geoloom.request import PullRequest
+from geoloom.functions.geo import Box, from_point, intersects
+from geoloom.functions.times import bucket, parsed, within_seconds
+from geoloom.request import BBox, PullRequest
 from geoloom.schema import valid_scene
 from geoloom.tables import once
 
@@ -209,6 +211,35 @@ def id_batches(ids: list[str], size: int = ID_BATCH) -> list[list[str]]:
     return [once[i : i + size] for i in range(0, len(once), size)]
 
 
+#: Seconds about a stored scene's time, and scenes of one answer.
+PLACE_TIME_SECONDS, PLACE_TIME_LIMIT = 60, 20
+
+
+def place_time_body(collection: str, when: dt.datetime, footprint: BBox, sends_dates: bool = True) -> dict:
+    """The body of a search for what a catalog has about one stored scene."""
+    body: dict = {"collections": [collection], "bbox": list(footprint.edges), "limit": PLACE_TIME_LIMIT}
+    if sends_dates:
+        about = dt.timedelta(seconds=PLACE_TIME_SECONDS)
+        body["datetime"] = "/".join(t.strftime("%Y-%m-%dT%H:%M:%SZ") for t in (when - about, when + about))
+    return body
+
+
+def place_time_hits(stored: DataFrame, catalog: DataFrame, seconds: int = PLACE_TIME_SECONDS, limit: int = PLACE_TIME_LIMIT) -> DataFrame:
+    """old_id and the columns of what a catalog has about each stored scene: of its collection, within the seconds, meeting
+    its footprint; the first `limit` by time and id, one answer's worth.
+
+    Both: id, collection, ts, edges. An equal join on collection and a bucket of time, in which a stored scene stands three
+    times, then the exact tests."""
+    old = stored.select(
+        F.col("id").alias("old_id"), "collection", F.col("ts").alias("_ts"), F.struct("west", "south", "east", "north").alias("_box"),
+        F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: bucket(F.col("ts"), seconds) + k)).alias("_bucket"),
+    )
+    met = old.join(catalog.withColumn("_bucket", bucket(F.col("ts"), seconds)), ["collection", "_bucket"])
+    met = met.filter(within_seconds(F.col("_ts"), F.col("ts"), seconds) & intersects(Box.col("_box"), Box.col()))
+    nth = F.row_number().over(W.partitionBy("old_id").orderBy("ts", "id"))
+    return met.withColumn("_nth", nth).filter(F.col("_nth") <= limit).select("old_id", *catalog.columns)
+
+
 def search_body(request: PullRequest, collection: str, kind: str, limit: int, sends_dates: bool = True, platform: str | None = None) -> dict:
     """The body of a search: either the ring or the box, whole days, cloud bounds where they mean something."""
     body: dict = {"collections": [collection], "limit": limit}

@@ -10,8 +10,9 @@ from geoloom.functions import geo, rings, text
 from geoloom.operators import cards, graph, identity, manifest, pixels, ranges, scenes
 from geoloom.plans import record_queries
 from geoloom.plans.views import view
+from geoloom import request
 from geoloom.request import BBox, Polygon, PullRequest, segments_meet
-from geoloom.sources import payloads, registry, stac
+from geoloom.sources import listings, payloads, registry, sinks, stac
 
 SF = "/root/testdata/sf0.001"
 
@@ -273,3 +274,90 @@ def test_reads_within_the_cap(spark):
     df = spark.createDataFrame(spans, "file long, start long, stop long")
     got = ranges.coalesced(df, ["file"], gap=50, most=4000, block=1 << 12).collect()
     assert {f: sorted((r.start, r.stop, r.n) for r in got if r.file == f) for f in range(3)} == want
+
+
+def test_request_texts():
+    assert request.parse_dates(" 2024-07-01 / 2024-07-03") == (dt.date(2024, 7, 1), dt.date(2024, 7, 3))
+    assert request.parse_box("170,-20,-170,-10").span == 20
+    assert request.parse_names(" a, ,b ,") == ["a", "b"]
+    ring = request.parse_polygon("0,0; 2,0; 2,2")
+    assert ring.ring == ((0, 0), (2, 0), (2, 2), (0, 0))
+    assert request.parse_polygon('{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[0,0,5],[2,0],[2,2],[0,0,7]]]}}') == ring
+    assert request.parse_polygon("[[0,0],[2,0],[2,2]]") == ring
+    for call, bad in (
+        (request.parse_dates, "2024-07-03:2024-07-01"), (request.parse_dates, "2024-07-03"), (request.parse_box, "1,2,1,3"), (request.parse_box, "1,2,3"),
+        (request.parse_box, "1,5,2,3"), (request.parse_polygon, '{"type":"Point"}'), (request.parse_polygon, "0,0;1"), (request.parse_polygon, ""),
+    ):
+        with pytest.raises(ValueError):
+            call(bad)
+
+
+def test_grid_axes_and_windows(spark):
+    assert payloads.axis(-179.95, 179.95, 3600)[1] == -179.85 and payloads.axis(1.0, 1.0, 1) == [1.0]
+    assert payloads.cell_window(10.1, 10.35, 10.0, 0.1, 6) == (1, 3)
+    with pytest.raises(ValueError):
+        payloads.cell_window(10.11, 10.12, 10.0, 0.1, 6)
+    cells = spark.createDataFrame([(x, y) for x in range(6) for y in range(5)], "x int, y int")
+    grid = (10.0, 0.1, 6, 50.0, 0.1, 5)
+    ask = lambda *edges: PullRequest(dt.date(2024, 1, 1), dt.date(2024, 1, 1), BBox(*edges))
+    assert sorted(map(tuple, payloads.cells_within(cells, ask(10.1, 50.0, 10.2, 50.1), grid).collect())) == [(1, 0), (1, 1), (2, 0), (2, 1)]
+    for refuse in (lambda: payloads.cells_within(cells, ask(170, 0, -170, 1), grid), lambda: payloads.model_granules(cells, "M", ask(170, 0, -170, 1))):
+        with pytest.raises(ValueError):
+            refuse()
+
+
+def test_targets_of_geostationary_searches():
+    ask = lambda first, last, *edges: listings.goes_targets(PullRequest(first, last, BBox(*edges)))
+    over = ask(dt.date(2025, 4, 1), dt.date(2025, 4, 8), -90, 30, -80, 40)
+    assert [x[:3] for x in over] == [("noaa-goes16", "east", "ABI-L2-MCMIPC"), ("noaa-goes19", "east", "ABI-L2-MCMIPC")]
+    both = ask(dt.date(2024, 1, 1), dt.date(2024, 1, 2), 170, -20, -150, 10)
+    assert [x[:3] for x in both] == [("noaa-goes18", "west", "ABI-L2-MCMIPF")]
+    assert ask(dt.date(2024, 1, 1), dt.date(2024, 1, 2), 10, 0, 20, 5) == []
+    with pytest.raises(ValueError):
+        ask(dt.date(2000, 1, 1), dt.date(2000, 1, 2), -90, 30, -80, 40)
+
+
+def test_fire_requests(spark):
+    r = PullRequest(dt.date(2026, 9, 1), dt.date(2026, 9, 18), BBox(170, -20, -170, -10))
+    rows = [tuple(x) for x in listings.fire_requests(spark, r, dt.date(2026, 9, 18)).orderBy("turn").collect()]
+    spans = [(dt.date(2026, 9, 17), 10), (dt.date(2026, 9, 7), 7)]
+    assert [x[2:] for x in rows] == spans * 2 and {x[1] for x in rows} == {"170,-20,180.0,-10", "-180.0,-20,-170,-10"}
+    today = PullRequest(dt.date(2026, 9, 18), dt.date(2026, 9, 18), BBox(0, 0, 1, 1))
+    assert listings.fire_requests(spark, today, dt.date(2026, 9, 18)).count() == 0
+
+
+def test_resumed_runs(spark):
+    row = lambda **x: {"source": "a", "ord": 1, "request_hash": "h", "collection": "c", "next_cursor": None, "error": None, "cursor_rejected": False, "scene_ids": [], "saved": [], "skipped": [], "previews": [], "failed": [], "windows": []} | x
+    rows = [row(next_cursor="p"), row(source="b"), row(source="c", error="x"), row(source="d", request_hash="other", next_cursor="q"), row(source="e", error="x", next_cursor="r")]
+    got = {r.source: (r.action, r.cursor) for r in manifest.resumed_from(spark.createDataFrame(rows, manifest.SCHEMA), F.lit("h")).collect()}
+    assert got == {"a": ("resume", "p"), "b": ("exhausted", None), "c": ("restart", None), "d": ("restart", None), "e": ("resume", "r")}
+
+
+def test_manifests_that_are_none(spark):
+    texts = [None, "", "[]", '{"sources":1}', '{"sources":[3,{"source":""},{"source":"a","request":5}]}']
+    got = manifest.source_rows(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert [(r.ord, r.source, r.request) for r in got] == [(2, "a", None)]
+    rows = spark.createDataFrame([("s", '{"scenes":["x",{"id":"y","footprint":[1,2,3,4]},{"id":7}],"scene_ids":["y","z",5]}'), ("t", "{}")], "source string, row string")
+    assert sorted((r.source, r.ord, r.id, r.west) for r in manifest.stored_scenes(rows).collect()) == [("s", 0, "x", None), ("s", 1, "y", 1.0), ("s", 4, "z", None)]
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "id int, name string")
+    sinks.write_new(df, f"{tmp_path}/t")
+    with pytest.raises(Exception, match="exist"):
+        sinks.write_new(df, f"{tmp_path}/t")
+    sinks.write_new(df.union(df), f"{tmp_path}/t", overwrite=True)
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 2
+    events = spark.createDataFrame([(dt.datetime(2024, 1, 1), "tool", 3)], "time timestamp, event string, n int")
+    for _ in range(2):
+        sinks.append_events(events, f"{tmp_path}/log")
+    assert spark.read.json(f"{tmp_path}/log").count() == 2
+    sinks.write_traces(spark.createDataFrame([("r", "{}")], "run_id string, run string"), f"{tmp_path}/traces")
+    spark.createDataFrame([("old", "{}", 0)], "run_id string, run string, schema_version int").write.mode("append").json(f"{tmp_path}/traces")
+    assert [r.run_id for r in sinks.read_traces(spark, f"{tmp_path}/traces").collect()] == ["r"]
+    weights = spark.createDataFrame([("a", "p", bytearray(b"x")), ("b", "q", bytearray(b"y")), ("c", "r", bytearray(b"z"))], "name string, path string, content binary")
+    import hashlib
+
+    pins = spark.createDataFrame([("a", hashlib.sha256(b"x").hexdigest().upper()), ("b", "bad"), ("c", None)], "name string, sha256 string")
+    assert [r.name for r in sinks.pinned(weights, pins).collect()] == ["a"]
+    assert sorted(r.name for r in sinks.pinned(weights, pins, allow_unpinned=True).collect()) == ["a", "c"]
