@@ -351,3 +351,12 @@ def test_urls(spark):
         got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(pages, urls.rule_table(spark)).collect()}
         assert got == {r.page_id: slow_verdict(r.url) for r in pages.collect()}
     assert urls.filter_urls(df.limit(0), urls.rule_table(spark)).count() == 0
+
+
+def test_simhash_of_repeated_and_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text), (None, text), (4, text), (4, text), (9, None), (9, ""), (None, "x" * 200_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit(1)).withColumn("component_id", F.lit("c"))
+    got = Counter((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect())
+    assert got == Counter({(None, 4): 2, (4, 4): 2, (9, 9): 2, (None, None): 1})
+    assert simhash.near_duplicates(df.limit(0)).count() == 0
