@@ -182,17 +182,17 @@ def records_of(pages: DataFrame) -> DataFrame:
 
 
 def damaged(pages: DataFrame) -> DataFrame:
-    """A replica for the audit to find fault with: of the pages with a CRC32 of page_id divisible by 97 the html has
-    lost its last character, by 89 the record is lost, by 83 its URL is upper-cased, by 79 it is there once more
-    under the id that is 1,000,003 higher (beside a record that has that id already)."""
-    crc = F.crc32(F.col("page_id").cast("string"))
-    kept = pages.filter(F.coalesce(crc % 89 != 0, F.lit(True)))
+    """A replica for the audit to find fault with: of the pages with a number (page_id * 7919 mod 100,003) divisible by 97
+    the html has lost its last character, by 89 the record is lost, by 83 its URL is upper-cased, by 79 it is there once
+    more under the id that is 1,000,003 higher (beside a record that has that id already)."""
+    number = F.pmod(F.col("page_id") * 7919, F.lit(100_003))
+    kept = pages.filter(F.coalesce(number % 89 != 0, F.lit(True)))
     own = kept.select(
         "page_id",
-        F.when(crc % 83 == 0, F.upper("url")).otherwise(F.col("url")).alias("url"),
-        F.when(crc % 97 == 0, F.substring("html", F.lit(1), F.length("html") - 1)).otherwise(F.col("html")).alias("html"),
+        F.when(number % 83 == 0, F.upper("url")).otherwise(F.col("url")).alias("url"),
+        F.when(number % 97 == 0, F.substring("html", F.lit(1), F.length("html") - 1)).otherwise(F.col("html")).alias("html"),
     )
-    added = pages.filter(crc % 79 == 0).select((F.col("page_id") + 1_000_003).alias("page_id"), "url", "html")
+    added = pages.filter(number % 79 == 0).select((F.col("page_id") + 1_000_003).alias("page_id"), "url", "html")
     return own.unionByName(added)
 
 
@@ -202,3 +202,25 @@ def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = audit(records_of(pages), records_of(damaged(pages)))
     return found.withColumnRenamed("id", "page_id")
 
+
+#: Records of both replicas side by side, without trees: what differs, and where the primary's bytes lie.
+OP1_SQL = """
+WITH numbered AS (SELECT page_id, url, html, page_id * 7919 % 100003 AS number FROM pages),
+replica AS (
+  SELECT page_id, CASE WHEN number % 83 = 0 THEN upper(url) ELSE url END AS url, CASE WHEN number % 97 = 0 THEN substr(html, 1, length(html) - 1) ELSE html END AS html
+  FROM numbered WHERE number % 89 <> 0
+  UNION ALL SELECT page_id + 1000003, url, html FROM numbered WHERE number % 79 = 0
+), records AS (
+  SELECT *, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+    || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: '
+    || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM (SELECT page_id, url, html, true AS ours FROM pages UNION ALL SELECT page_id, url, html, false FROM replica)
+), ids AS (
+  SELECT page_id, count(*) FILTER (ours) AS n_primary, count(*) FILTER (NOT ours) AS n_replica, coalesce(sum(strlen(record)) FILTER (ours), 0) AS bytes,
+         list_sort(list(record) FILTER (ours)) AS a, list_sort(list(record) FILTER (NOT ours)) AS b
+  FROM records GROUP BY page_id
+), placed AS (SELECT *, sum(bytes) OVER (ORDER BY page_id) - bytes AS start FROM ids)
+SELECT page_id, CASE WHEN n_replica = 0 THEN 'missing' WHEN n_primary = 0 THEN 'extra' ELSE 'changed' END AS status,
+       CAST(start AS BIGINT) AS byte_start, CAST(start + bytes AS BIGINT) AS byte_end, n_primary, n_replica
+FROM placed WHERE a IS DISTINCT FROM b
+"""

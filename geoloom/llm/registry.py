@@ -22,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc_fixity": fixity.OP1_SQL,
         "op2_mixing": mixing.OP2_SQL,
         "op10_url_filters": urls.OP10_SQL,
     }
