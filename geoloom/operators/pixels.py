@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -129,17 +130,49 @@ def spatial_stats(pixels: DataFrame, keys: list[str], value: Column) -> DataFram
     return pixels.groupBy(*keys).agg(F.avg(value.cast("double")).alias("fraction"), F.count("*").alias("n"))
 
 
+#: Pixels along a side of the squares that layers are worked out in.
+SIDE = 256
+
+
+def layer(
+    tiles: DataFrame, kernels: list, biases: list[float], inputs: list[str], outputs: list[str], image: str = "image", side: int = SIDE, positive: bool = True
+) -> DataFrame:
+    """image, row, col and outputs of a layer of 3x3 convolutions of (image, row, col, inputs): kernels by output, input, row
+    and column. What is no pixel counts as zero and stays none; negative sums become 0 if only positive ones are wanted.
+
+    Pixels go to squares, those on a square's edge to its neighbours too, so one shuffle of little over all pixels makes a
+    layer, whatever its channels; a square is a task's work in arrays, bounded by its side."""
+    k, bias = np.array(kernels, float).reshape(len(outputs), len(inputs), 3, 3), np.array(biases, float)
+    near = lambda c: F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor((F.col(c) + d) / side))))
+    held = tiles.select(image, "row", "col", *inputs, near("row").alias("_r")).select("*", near("col").alias("_c"))
+    schema = f"{image} {tiles.schema[image].dataType.simpleString()}, row bigint, col bigint, " + ", ".join(f"{x} double" for x in outputs)
+
+    def one(df: pd.DataFrame) -> pd.DataFrame:
+        row, col = (df[c].to_numpy() - df[t].iloc[0] * side + 1 for c, t in (("row", "_r"), ("col", "_c")))
+        grid = np.zeros((len(inputs), side + 2, side + 2))
+        np.add.at(grid, (slice(None), row, col), df[inputs].to_numpy(float).T)
+        sums = np.broadcast_to(bias[:, None, None], (len(outputs), side, side)).copy()
+        for i in range(3):
+            for j in range(3):
+                sums += np.einsum("oc,chw->ohw", k[:, :, i, j], grid[:, i : i + side, j : j + side])
+        own = df.loc[(row >= 1) & (row <= side) & (col >= 1) & (col <= side), [image, "row", "col"]].drop_duplicates()
+        at = own["row"].to_numpy() - df["_r"].iloc[0] * side, own["col"].to_numpy() - df["_c"].iloc[0] * side
+        found = sums[:, at[0], at[1]]
+        return pd.concat([own.reset_index(drop=True), pd.DataFrame((np.maximum(found, 0) if positive else found).T, columns=outputs)], axis=1)
+
+    return held.groupBy(image, "_r", "_c").applyInPandas(one, schema)
+
+
 def convolved(tiles: DataFrame, kernel: list[list[float]], bias: float, image: str = "image") -> DataFrame:
-    """image, row, col, value of a 3x3 convolution of (image, row, col, value), edges padded with zero, negative sums 0.
-
-    Each pixel sends its weighted value to its nine neighbours; sums meet by place after a map-side combine. Layers
-    chain; pooled() halves and doubled() doubles between them."""
-    offsets = F.array(*[F.struct(F.lit(1 - i).alias("dr"), F.lit(1 - j).alias("dc"), F.lit(float(kernel[i][j])).alias("w")) for i in range(3) for j in range(3)])
-    sent = tiles.select(image, "row", "col", "value", F.explode(offsets).alias("o"))
-    sums = sent.groupBy(image, (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col")).agg(
-        F.sum(F.col("value") * F.col("o.w")).alias("s"), F.bool_or((F.col("o.dr") == 0) & (F.col("o.dc") == 0)).alias("here")
-    )
-    return sums.filter("here").select(image, "row", "col", F.greatest(F.col("s") + bias, F.lit(0.0)).alias("value"))
+    """image, row, col, value of one 3x3 convolution of (image, row, col, value). Layers chain; pooled() halves and
+    doubled() doubles between them."""
+    return layer(tiles, [[kernel]], [bias], ["value"], ["value"], image)
+
+
+def labelled(tiles: DataFrame, channels: list[str]) -> DataFrame:
+    """image, row, col, label: the place of the largest channel of each pixel, the first of equal ones."""
+    every = F.array(*channels)
+    return tiles.select("image", "row", "col", (F.array_position(every, F.array_max(every)) - 1).cast("int").alias("label"))
 
 
 def pooled(tiles: DataFrame) -> DataFrame:

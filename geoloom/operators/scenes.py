@@ -218,3 +218,27 @@ def mosaic_sample(scenes: DataFrame) -> DataFrame:
 def newest(scenes: DataFrame, n: int) -> DataFrame:
     """The n newest, in order of time."""
     return scenes.orderBy(F.col("ts").desc(), F.col("ord")).limit(n).orderBy("ts", "ord")
+
+
+def enclosing_boxes(points: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the least box around the points (lon, lat) of each: the circle without its widest gap. The gap across 180
+    degrees wins a tie, then the one that lies furthest west.
+
+    Gaps are found in two steps, within a degree and between the degrees that have points, so no key's points are gathered
+    or sorted in one task; a key has 361 degrees at most."""
+    gap = lambda over: F.struct((F.col("a") - over).alias("gap"), (-F.col("a")).alias("west"), over.alias("east"))
+    own = points.groupBy(*keys, F.floor("lon").alias("cell"), F.col("lon").alias("a")).agg(F.min("lat").alias("south"), F.max("lat").alias("north"))
+    before = F.lag("a").over(W.partitionBy(*keys, "cell").orderBy("a"))
+    cells = own.withColumn("before", before).groupBy(*keys, "cell").agg(
+        F.min("a").alias("a"), F.max("a").alias("b"), F.min("south").alias("south"), F.max("north").alias("north"),
+        F.max(F.when(F.col("before").isNotNull(), gap(F.col("before")))).alias("inner"),
+    )
+    last = F.lag("b").over(W.partitionBy(*keys).orderBy("cell"))
+    widest = F.greatest(F.col("inner"), F.when(F.col("last").isNotNull(), gap(F.col("last"))))
+    found = cells.withColumn("last", last).groupBy(*keys).agg(
+        F.min("a").alias("a"), F.max("b").alias("b"), F.min("south").alias("south"), F.max("north").alias("north"), F.max(widest).alias("w")
+    )
+    inside = F.coalesce(F.col("w.gap") > 360.0 - (F.col("b") - F.col("a")), F.lit(False))
+    return found.select(
+        *keys, F.when(inside, -F.col("w.west")).otherwise(F.col("a")).alias("west"), "south", F.when(inside, F.col("w.east")).otherwise(F.col("b")).alias("east"), "north"
+    )

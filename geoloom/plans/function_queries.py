@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo, text, times
-from geoloom.operators import ranges
+from geoloom.operators import ranges, scenes
 from geoloom.plans.views import oracle, view
 from geoloom.sources import listings
 from geoloom.tables import read
@@ -45,9 +45,7 @@ def g02_parts(spark, sf_dir):
 
 
 def a21_enclosing(spark, sf_dir):
-    d = view(spark, sf_dir, "detections").groupBy("user_id", "satellite").agg(F.collect_list("lon").alias("lons"), F.collect_list("lat").alias("lats"))
-    box = geo.enclosing(F.col("lons"), F.col("lats"))
-    return d.select("user_id", "satellite", *[c.alias(n) for n, c in zip(box._fields, box, strict=True)])
+    return scenes.enclosing_boxes(view(spark, sf_dir, "detections"), ["user_id", "satellite"])
 
 
 def g19_model_bounds(spark, sf_dir):

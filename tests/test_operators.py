@@ -361,3 +361,26 @@ def test_sinks(spark, tmp_path):
     pins = spark.createDataFrame([("a", hashlib.sha256(b"x").hexdigest().upper()), ("b", "bad"), ("c", None)], "name string, sha256 string")
     assert [r.name for r in sinks.pinned(weights, pins).collect()] == ["a"]
     assert sorted(r.name for r in sinks.pinned(weights, pins, allow_unpinned=True).collect()) == ["a", "c"]
+
+
+def test_layers_of_several_channels(spark):
+    rng = random.Random(6)
+    pixels_ = {(r, c): (rng.randrange(-5, 9), rng.randrange(9)) for r in range(-3, 9) for c in range(-2, 11) if rng.random() < 0.8}
+    kernels = [[[[rng.randrange(-3, 4) for _ in range(3)] for _ in range(3)] for _ in range(2)] for _ in range(3)]
+    want = {}
+    for r, c in pixels_:
+        sums = [b + sum(k[ch][i][j] * pixels_.get((r + i - 1, c + j - 1), (0, 0))[ch] for ch in range(2) for i in range(3) for j in range(3)) for k, b in zip(kernels, (0.5, -1.0, 2.0), strict=True)]
+        want[r, c] = [max(0.0, x) for x in sums]
+    df = spark.createDataFrame([("t", r, c, float(a), float(b)) for (r, c), (a, b) in pixels_.items()], "image string, row long, col long, x double, y double")
+    out = pixels.layer(df, kernels, [0.5, -1.0, 2.0], ["x", "y"], ["p", "q", "z"], side=4)
+    assert {(r.row, r.col): [r.p, r.q, r.z] for r in out.collect()} == want
+    got = {(r.row, r.col): r.label for r in pixels.labelled(out, ["p", "q", "z"]).collect()}
+    assert got == {at: x.index(max(x)) for at, x in want.items()}
+
+
+def test_enclosing_boxes_of_many_points(spark):
+    rng = random.Random(3)
+    sets = [[(rng.choice([-179.5, 179.25, 10.0, 10.5]) + rng.randrange(3) / 8, rng.randrange(-9, 9)) for _ in range(rng.randrange(1, 30))] for _ in range(40)]
+    df = spark.createDataFrame([(i, min(180.0, float(x)), float(y)) for i, own in enumerate(sets) for x, y in own], "k int, lon double, lat double")
+    got = {r.k: (r.west, r.south, r.east, r.north) for r in scenes.enclosing_boxes(df, ["k"]).collect()}
+    assert got == {i: BBox.enclosing([(min(180.0, float(x)), float(y)) for x, y in own]).edges for i, own in enumerate(sets)}
