@@ -24,11 +24,22 @@ def ordered_distinct(a: Column, b: Column) -> Column:
 
 
 def _keyed(old: Column, new: Column, last: bool) -> Column:
-    """Entries by id, each at the place of its first; its value is that of the last or of the first."""
+    """Entries by id, each at the place of its first; its value is that of the last or of the first. By sorting, so that
+    long lists take no more than their length times its logarithm."""
+    let = lambda value, body: F.transform(F.array(value), body)[0]
     every = F.concat(F.coalesce(old, F.filter(new, lambda x: F.lit(False))), F.coalesce(new, F.filter(old, lambda x: F.lit(False))))
-    ids = F.array_distinct(F.transform(every, lambda x: x["id"]))
-    own = lambda i: F.filter(every, lambda x: x["id"] == i)
-    return F.transform(ids, lambda i: F.element_at(own(i), -1 if last else 1))
+    placed = F.array_sort(F.transform(every, lambda x, i: F.struct(x["id"].alias("id"), i.alias("at"), x.alias("x"))))
+
+    def ends(s: Column) -> Column:
+        ids = F.transform(s, lambda x: x["id"])
+        none = F.array(F.lit(None).cast("string"))
+        before, behind = F.concat(none, F.slice(ids, 1, F.greatest(F.size(ids) - 1, F.lit(0)))), F.concat(F.slice(ids, 2, F.greatest(F.size(ids) - 1, F.lit(0))), none)
+        first = F.filter(F.zip_with(s, before, lambda x, p: F.when(~x["id"].eqNullSafe(p), x)), lambda x: x.isNotNull())
+        final = F.filter(F.zip_with(s, behind, lambda x, p: F.when(~x["id"].eqNullSafe(p), x)), lambda x: x.isNotNull())
+        both = F.zip_with(first, final, lambda f, z: F.struct(f["at"].alias("at"), (z if last else f)["x"].alias("x")))
+        return F.transform(F.array_sort(both), lambda e: e["x"])
+
+    return let(placed, ends)
 
 
 def merged(old: DataFrame, new: DataFrame) -> DataFrame:
