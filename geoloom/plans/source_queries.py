@@ -12,6 +12,7 @@ from geoloom.plans.views import oracle, view
 from geoloom.request import BBox, PullRequest
 from geoloom.sources import listings, registry, stac
 from geoloom.sources import payloads as P
+from geoloom.sources.families import Source
 from geoloom.tables import read
 
 
@@ -118,6 +119,12 @@ def u06_stored_scenes(spark, sf_dir):
     return manifest.stored_scenes(rows.withColumn("source", F.concat("source", F.lit("-"), F.col("request")))).select("source", "id", "collection", F.col("ts").cast("timestamp_ntz").alias("ts"), "west")
 
 
+def src01_one_call(spark, sf_dir):
+    """A source by its name: items to scenes, within area, days and cloud bounds."""
+    r = PullRequest(dt.date(1995, 1, 1), dt.date(1995, 12, 31), DATELINE, max_cloud=50)
+    return Source.of("sentinel2").search(_items(spark, sf_dir), r).select("id", "source", "collection", "kind", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
 def src03_by_ids(spark, sf_dir):
     s = view(spark, sf_dir, "scenes")
     return stac.by_ids(s, spark.range(0, 997, 10).select(F.concat(F.lit("S"), "id").alias("id"))).select("ord", "id")
@@ -337,6 +344,12 @@ ev AS (SELECT parent AS id, min(west) AS west, min(south) AS south, max(east) AS
 e2 AS (SELECT id FROM ev WHERE (id % 7 = 0 OR (north >= -45 AND south <= 45 AND (east >= 150 OR west <= -140))) AND first <= DATE '1995-12-31' AND last >= DATE '1995-01-01' ORDER BY id LIMIT 40),
 a2 AS (SELECT id FROM acq WHERE parent IN (SELECT id FROM e2) AND north >= -45 AND south <= 45 AND (east >= 150 OR west <= -140) AND first <= DATE '1995-12-31' AND last >= DATE '1995-01-01')
 SELECT id FROM own WHERE parent IN (SELECT id FROM a2) AND north >= -45 AND south <= 45 AND (east >= 150 OR west <= -140) AND CAST(ts AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'"""),
+    ),
+    "src01_one_call": (
+        src01_one_call,
+        oracle("scenes", f""", own AS (SELECT ord, ts, {_BOX}, {_CLOUD} {_OK})
+SELECT 'I' || ord AS id, 'sentinel2' AS source, 'sentinel-2-l2a' AS collection, 'optical' AS kind, ts FROM own WHERE north >= -45 AND south <= 45
+AND CASE WHEN west <= east THEN east >= 150 OR west <= -140 ELSE true END AND CAST(ts AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1995-12-31' AND (cloud IS NULL OR cloud <= 50)"""),
     ),
     "src04_place_time": (
         src04_place_time,

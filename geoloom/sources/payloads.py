@@ -191,7 +191,7 @@ def previews(spark: SparkSession, request: PullRequest, layer: str, host: str =
     parts = request.bbox.parts
     split = len(parts) > 1 or request.bbox.west > request.bbox.east
     sides = [
-        (i, p.west, p.south, p.east, p.north, w, h, ("east" if p.east == 180 else "west") if split else None)
+        (i, *map(float, p.edges), w, h, ("east" if p.east == 180 else "west") if split else None)
         for i, (p, (w, h)) in enumerate(zip(parts, preview_sizes(parts, size), strict=True))
     ]
     n = (request.end - request.start).days + 1

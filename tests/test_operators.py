@@ -13,6 +13,7 @@ from geoloom.plans.views import view
 from geoloom import request
 from geoloom.request import BBox, Polygon, PullRequest, segments_meet
 from geoloom.sources import listings, payloads, registry, sinks, stac
+from geoloom.sources.families import Source
 
 SF = "/root/testdata/sf0.001"
 
@@ -384,3 +385,22 @@ def test_enclosing_boxes_of_many_points(spark):
     df = spark.createDataFrame([(i, min(180.0, float(x)), float(y)) for i, own in enumerate(sets) for x, y in own], "k int, lon double, lat double")
     got = {r.k: (r.west, r.south, r.east, r.north) for r in scenes.enclosing_boxes(df, ["k"]).collect()}
     assert got == {i: BBox.enclosing([(min(180.0, float(x)), float(y)) for x, y in own]).edges for i, own in enumerate(sets)}
+
+
+def test_sources_by_name(spark):
+    item = '{"id":"%s","bbox":[1,1,2,2],"properties":{"datetime":"2024-07-01T12:00:00Z","platform":"%s","eo:cloud_cover":%d},"assets":{%s}}'
+    asset = lambda *keys: ",".join(f'"{k}":{{"href":"https://x/{k}"}}' for k in keys)
+    r = PullRequest(dt.date(2024, 7, 1), dt.date(2024, 7, 1), BBox(0, 0, 3, 3), max_cloud=50)
+    rows = [(1, item % ("a", "landsat-8", 5, "")), (2, item % ("b", "landsat-9", 5, "")), (3, item % ("c", "landsat-8", 90, "")), (4, item % ("a", "landsat-8", 1, ""))]
+    df = spark.createDataFrame(rows, "ord long, item string")
+    assert [(x.id, x.cloud, x.source) for x in Source.of("landsat8").search(df, r).collect()] == [("a", 5, "landsat8")]
+    assert [x.id for x in Source.of("landsat9").search(df, r).collect()] == ["b"]
+    goes = spark.createDataFrame([(1, item % ("g", "G16", 1, asset("C02_0.5km", "C02_2km", "C03_2km_wm", "C03_2km")))], "ord long, item string")
+    assert Source.of("goes_cmi").search(goes, r).first().band_aliases == {"red": "C02_2km", "nir": "C03_2km_wm"}
+    days = Source.of("gibs_snow").search(df, PullRequest(dt.date(2024, 7, 1), dt.date(2024, 7, 3), BBox(170, 0, -170, 3)))
+    assert days.count() == 6
+    with pytest.raises(KeyError):
+        Source.of("nowhere")
+    with pytest.raises(ValueError):
+        Source.of("goes").search(df, r)
+    assert {Source.of(x[0]).family for x in registry.rows()} == {"stac", "gibs", "firms", "cmr", "listing", "tree", "grid"}
