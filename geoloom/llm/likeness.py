@@ -1,14 +1,12 @@
 """SimHash near-dedup at a likeness: texts link when the Jaccard index of their sets of five-word shingles is 0.8 or more.
 
-Each distinct set has a SimHash of 128 bits. Sets of n shingles that reach the bound against each other share at least
-ceil(0.8 n) of them, so they meet in the first n - ceil(0.8 n) + 1 of each in any order that all texts use: such a
-shingle is a block. A block's fingerprints are compared in tiles, by exclusive-or and bit counts, and tile pairs whose
-population counts differ beyond the radius are skipped (simhash.tile_pairs). What lies within RADIUS bits is verified by
-the whole sets. Sets at the bound differ in a bit with odds of 0.15 to 0.19, in 20 to 24 bits of 128 then; RADIUS is six
-standard deviations above (odds of 10^-9 that a link at the bound is passed over), and two sets that share little
-lie beyond it 98 times of 100.
-
-The order of shingles puts those that are frequent in a sample last; the sample decides the work alone, never the result.
+Each distinct set has a SimHash of 256 bits, and BANDS hashes of WIDTH minima each of its shingles' hashes under shared
+permutations. Sets that share such a hash are a block: sets at the bound share none with odds of (1 - 0.8 ** 4) ** 40,
+under 10^-9, while sets that share a passage alone seldom do, however many have it. A block's fingerprints are compared
+in tiles, by exclusive-or and bit counts, and tile pairs whose population counts differ beyond the radius are skipped
+(simhash.tile_pairs). What lies within the radius is verified by the whole sets. Sets at the bound differ in a bit with odds
+of 0.152, sets of a few shingles with up to 0.19; the radius is five standard deviations above (odds of 10^-6 at the
+bound itself, falling fast above it), where sets of a likeness below 0.5 do not come.
 
 Copies have one set and are compared once. Two rounds hold each block's sets against a single one of them, which
 joins large groups of near copies with as many pairs as members; after them only sets of different components are
@@ -37,10 +35,16 @@ from geoloom.operators.graph import components
 SHINGLE = 5
 #: The least likeness, as a fraction.
 UP, DOWN = 4, 5
-#: Bits of the 128 in which the fingerprints of a link differ at most; fingerprints of a tile.
-RADIUS, TILE = 52, 512
-#: Texts of the sample, about; shingles it must show in so many to be put last, and the most of them that are kept.
-SAMPLE, OFTEN, MOST = 5_000, 3, 100_000
+#: Blocks of a set, and minima that a block's hash is made of; words of a fingerprint.
+BANDS, WIDTH, WORDS = 40, 4, 4
+#: Bits of the 256 in which the fingerprints of a link differ at most, sets of under FEW shingles and others; a tile's size.
+FEW, RADIUS_FEW, RADIUS, TILE = 32, 84, 68, 512
+#: Shingles whose minima are taken at once.
+STEP = 1_024
+_rng = np.random.Generator(np.random.PCG64(20_241_128))
+_turns = _rng.integers(0, 1 << 63, BANDS * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PRINT = tuple(f"f{i}" for i in range(WORDS))
+_folds = _rng.integers(0, 1 << 63, WIDTH + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -66,62 +70,43 @@ def _again(h: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def fingerprint(own: np.ndarray) -> tuple[int, int]:
-    """Two words of 64 bits: a bit is 1 if it is set in over half of a set's hashes."""
-    words = []
-    for h in (own, _again(own)):
+def fingerprint(own: np.ndarray) -> list[int]:
+    """WORDS words of 64 bits: a bit is 1 if it is set in over half of a set's hashes."""
+    words, h = [], own
+    for _ in range(WORDS):
         ones = np.zeros(64, np.int64)
         for at in range(0, len(h), BLOCK):
             ones += np.unpackbits(h[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         words.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]))
-    return words[0], words[1]
-
-
-def _often(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are frequent in a sample of the distinct texts, sorted, and their counts."""
-    parts = max(1, texts.count() // SAMPLE)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(text).view(np.int64))], names=["token"])
-
-    some = texts.filter(F.pmod("h", F.lit(parts)) == 0).dropDuplicates(["h"]).select("text")
-    found = some.mapInArrow(run, "token bigint").groupBy("token").count().filter(F.col("count") >= OFTEN)
-    rows = found.orderBy(F.desc("count"), "token").limit(MOST).toPandas()
-    tokens = rows["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], rows["count"].to_numpy(np.int64)[order]
-
-
-def _prints(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, counts = shared.value
-        for batch in batches:
-            keys, sizes, heads, firsts, seconds = [], [], [], [], []
-            for text in batch.column(2).to_pylist():
-                own = shingles(text)
-                n = len(own)
-                rank = np.zeros(n, np.int64)
-                if len(often) and n:
-                    at = np.minimum(np.searchsorted(often, own), len(often) - 1)
-                    rank = np.where(often[at] == own, counts[at], 0)
-                first = np.lexsort((own, rank))[: n - -(-UP * n // DOWN) + 1 if n else 0]
-                keys.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
-                sizes.append(n)
-                heads.append(own[first].view(np.int64))
-                f0, f1 = fingerprint(own)
-                firsts.append(f0)
-                seconds.append(f1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()),
-                    pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(heads, pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "h", "key", "n", "f0", "f1", "head"],
-            )
-
-    return run
+        h = _again(h)
+    return words
+
+
+def blocks(own: np.ndarray) -> np.ndarray:
+    """The hashes of a set's blocks."""
+    least = np.full(BANDS * WIDTH, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(own), STEP):
+            np.minimum(least, (own[at : at + STEP, None] * _turns).min(axis=0), out=least)
+        return _again((least.reshape(BANDS, WIDTH) * _folds[:WIDTH]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64) * _folds[WIDTH])
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, sizes, words, found = [], [], [], []
+        for text in batch.column(2).to_pylist():
+            own = shingles(text)
+            keys.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+            sizes.append(len(own))
+            words.append(fingerprint(own))
+            found.append(blocks(own).view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0), batch.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()),
+                *(pa.array([w[i] for w in words], pa.int64()) for i in range(WORDS)), pa.array(found, pa.list_(pa.int64())),
+            ],
+            names=["doc_id", "h", "key", "n", *PRINT, "blocks"],
+        )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,20 +143,20 @@ def _verified(pairs: DataFrame, one: DataFrame, texts: DataFrame, repeats: bool,
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs of a tile (left, right null), or of two, that the bound allows: of different components, of sizes near
     enough and within RADIUS bits."""
-    fields = ("key", "root", "n", "f0", "f1")
+    fields = ("key", "root", "n", *PRINT)
 
     def columns(list_) -> list[np.ndarray]:
-        found = [list_.values.field(x).to_numpy(zero_copy_only=False) for x in fields]
-        return [*found[:3], found[3].view(np.uint64), found[4].view(np.uint64)]
+        return [list_.values.field(x).to_numpy(zero_copy_only=False) for x in fields]
 
     for batch in batches:
         us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
             a = columns(left)
             b = columns(right) if right.is_valid else a
-            apart = np.bitwise_count(a[3][:, None] ^ b[3][None, :]) + np.bitwise_count(a[4][:, None] ^ b[4][None, :])
-            sizes = DOWN * np.minimum(a[2][:, None], b[2][None, :]) >= UP * np.maximum(a[2][:, None], b[2][None, :])
-            i, j = np.nonzero((apart <= RADIUS) & sizes & (a[1][:, None] != b[1][None, :]))
+            apart = sum(np.bitwise_count(x[:, None] ^ y[None, :]).astype(np.uint16) for x, y in zip(a[3:], b[3:], strict=True))
+            less, more = np.minimum(a[2][:, None], b[2][None, :]), np.maximum(a[2][:, None], b[2][None, :])
+            near = (apart <= np.where(less < FEW, RADIUS_FEW, RADIUS)) & (DOWN * less >= UP * more)
+            i, j = np.nonzero(near & (a[1][:, None] != b[1][None, :]))
             if not right.is_valid:
                 i, j = i[i < j], j[i < j]
             us.append(np.minimum(a[0][i], b[0][j]))
@@ -181,12 +166,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _near(a: Column, b: Column) -> Column:
     """Whether two structs' sizes and fingerprints allow the bound."""
-    bits = F.bit_count(a["f0"].bitwiseXOR(b["f0"])) + F.bit_count(a["f1"].bitwiseXOR(b["f1"]))
-    return (DOWN * F.least(a["n"], b["n"]) >= UP * F.greatest(a["n"], b["n"])) & (bits <= RADIUS)
+    bits = sum((F.bit_count(a[f].bitwiseXOR(b[f])) for f in PRINT), F.lit(0))
+    less = F.least(a["n"], b["n"])
+    return (DOWN * less >= UP * F.greatest(a["n"], b["n"])) & (bits <= F.when(less < FEW, RADIUS_FEW).otherwise(RADIUS))
 
 
 def _placed(tokens: DataFrame, edges: DataFrame) -> DataFrame:
-    """tokens with root, the component of their key; only of shingles that more than one component has."""
+    """tokens with root, the component of their key; only of blocks that more than one component has."""
     found = tokens.join(components(edges).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     several = found.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
     return found.join(several, "token")
@@ -198,13 +184,13 @@ def _named(row: Column | str = "doc_id") -> tuple[Column, Column]:
 
 
 def links(one: DataFrame, texts: DataFrame, repeats: bool) -> DataFrame:
-    """Edges (u, v) of (key, best, n, f0, f1, head), one row a set, whose components are those of all pairs at the bound.
+    """Edges (u, v) of (key, best, n, fingerprint, blocks), one row a set, whose components are those of all pairs at the bound.
     best: the row of texts (doc_id, h, text) that has the set; repeats: whether some row comes more than once."""
-    every = one.select("key", F.explode("head").alias("token"))
+    every = one.select("key", F.explode("blocks").alias("token"))
     groups = every.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1").select("token")
     shared = cut(every.join(groups, "token"), "alike-shared")
-    tokens = cut(shared.join(one.select("key", "n", "f0", "f1"), "key"), "alike-tokens")
-    member = F.struct("key", "n", "f0", "f1")
+    tokens = cut(shared.join(one.select("key", "n", *PRINT), "key"), "alike-tokens")
+    member = F.struct("key", "n", *PRINT)
     seen = edges = None
     for turn, pick in enumerate((F.min, F.max)):
         left = tokens if edges is None else cut(_placed(tokens, edges), "alike-placed")
@@ -216,10 +202,10 @@ def links(one: DataFrame, texts: DataFrame, repeats: bool) -> DataFrame:
         pairs = cut(pairs, f"alike-pairs{turn}")
         found = _verified(pairs, one, texts, repeats, f"alike-edges{turn}")
         seen, edges = (pairs, found) if seen is None else (seen.union(pairs), edges.union(found))
-    ones = (F.bit_count("f0") + F.bit_count("f1")).alias("ones")
-    entries = _placed(tokens, edges).select("token", ones, F.struct("key", "root", "n", "f0", "f1").alias("own"))
-    within, across = tile_pairs(entries, ["token"], "alike", RADIUS, TILE)
-    # Texts that share a passage share many blocks: equal tiles are compared once.
+    ones = sum((F.bit_count(f) for f in PRINT), F.lit(0)).alias("ones")
+    entries = _placed(tokens, edges).select("token", ones, F.struct("key", "root", "n", *PRINT).alias("own"))
+    within, across = tile_pairs(entries, ["token"], "alike", RADIUS_FEW, TILE)
+    # Near copies share many blocks: equal tiles are compared once.
     within = within.distinct().withColumn("right", F.lit(None).cast(within.schema["left"].dataType))
     rest = within.union(across).mapInArrow(_compare, "u bigint, v bigint").distinct()
     rest = cut(rest.join(seen, ["u", "v"], "left_anti"), "alike-pairs")
@@ -230,11 +216,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """Of each component the row with the smallest doc_id (null last, then by hash of its text), with the columns
     of docs. Rows alike in both are one. Components are settled on ids alone; the documents meet one semi-join."""
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    shared = docs.sparkSession.sparkContext.broadcast(_often(texts))
-    schema = "doc_id bigint, h bigint, key bigint, n int, f0 bigint, f1 bigint, head array<bigint>"
-    rows = cut(texts.mapInArrow(_prints(shared), schema), "alike-rows")
+    schema = f"doc_id bigint, h bigint, key bigint, n int, {', '.join(f + ' bigint' for f in PRINT)}, blocks array<bigint>"
+    rows = cut(texts.mapInArrow(_prints, schema), "alike-rows")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    one = rows.groupBy("key").agg(F.min(row).alias("best"), *[F.first(x).alias(x) for x in ("n", "f0", "f1", "head")])
+    one = rows.groupBy("key").agg(F.min(row).alias("best"), *[F.first(x).alias(x) for x in ("n", *PRINT, "blocks")])
     one = cut(one, "alike-distinct")
     again = cut(rows.groupBy(*_named(), "h").count().filter("count > 1").select("own_id", "no_id", "h"), "alike-again")
     roots = components(links(one, texts, not again.isEmpty())).withColumnRenamed("node", "key")

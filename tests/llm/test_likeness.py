@@ -90,14 +90,18 @@ def test_tiles_of_a_large_group_lose_no_link(spark, monkeypatch):
 
 
 def test_fingerprints_of_links_lie_within_the_radius():
-    """Sets at the bound, of all sizes: the largest distance seen stays well below the radius."""
+    """Sets at the bound, of all sizes: the largest distance seen stays below the radius, and blocks are shared."""
     rng = np.random.default_rng(7)
-    most = 0
-    for n in [4, 5, 6, 9, 10, 20, 60, 300] * 300:
-        both = -(-4 * (n + 1) // 5) if n > 5 else n
+    most = {False: 0, True: 0}
+    for n in [4, 5, 9, 10, 20, 40, 90, 300] * 300:
         a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
-        b = np.concatenate([a[:both], rng.integers(0, 1 << 63, 1 if n > 5 else n // 4, dtype=np.uint64)])
+        b = np.concatenate([a[: -(-8 * n // 9)], rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)]) if n > 5 else np.append(a, np.uint64(n))
+        a, b = np.unique(a), np.unique(b)
         if len(np.intersect1d(a, b)) * 5 >= 4 * len(np.union1d(a, b)):
-            x, y = likeness.fingerprint(np.unique(a)), likeness.fingerprint(np.unique(b))
-            most = max(most, sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(x, y, strict=True)))
-    assert 20 < most <= likeness.RADIUS - 8
+            apart = sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(likeness.fingerprint(a), likeness.fingerprint(b), strict=True))
+            few = min(len(a), len(b)) < likeness.FEW
+            most[few] = max(most[few], apart)
+            assert np.intersect1d(likeness.blocks(a), likeness.blocks(b)).size
+    assert 40 < most[False] <= likeness.RADIUS and 40 < most[True] <= likeness.RADIUS_FEW
+    far = [rng.integers(0, 1 << 63, 100, dtype=np.uint64) for _ in range(200)]
+    assert not any(np.intersect1d(likeness.blocks(x), likeness.blocks(y)).size for x, y in zip(far, far[1:], strict=False))
