@@ -78,6 +78,6 @@ def test_rows_of_one_id_and_of_none(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for name in ("part", "tie", "closing", "k", "fingerprint", "own"):
         df = df.withColumn(name, F.lit(name))
-    got = sorted((str(r.doc_id), r.class_id) for r in edits.compared(df).collect())
+    got = sorted((str(r.doc_id), r.class_id) for r in edits.near_copies(df).collect())
     assert got == [("4", 4), ("7", 7), ("7", 7), ("8", 8), ("None", 4), ("None", 4)]
-    assert edits.compared(df.limit(0)).count() == 0 and edits.near_copies(df.limit(0)).count() == 0
+    assert edits.near_next(df.limit(0)).count() == 0 and edits.near_copies(df.limit(0)).count() == 0
