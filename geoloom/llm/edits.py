@@ -359,19 +359,37 @@ def _verified(least: float):
     return run
 
 
+def _pairs_alike(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [likeness(a, b) >= least for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def links(prints: DataFrame, least: float = LIKE, tile: int = TILE) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (k, fingerprint), verified, whose components are those of all pairs that
-    share a band and reach the bound."""
+    share a band and reach the bound.
+
+    Each band's fingerprints are first held against one of them, which joins most near copies with no more pairs than
+    members; only bands that still have several components become tiles, to which fingerprints are moved."""
     banded = prints.select("fingerprint").mapInArrow(_banded, "fingerprint string, bands array<bigint>")
-    entries = banded.select(F.explode("bands").alias("band"), F.xxhash64("fingerprint").alias("own"))
+    entries = banded.select(F.explode("bands").alias("band"), F.xxhash64("fingerprint").alias("k"))
     shared = entries.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     entries = cut(entries.join(shared, "band"), "edit-bands")
-    own = F.struct(F.col("k"), "fingerprint").alias("own")
-    entries = entries.join(prints, entries["own"] == prints["k"]).select("band", F.lit(0).alias("ones"), own)
-    within, across = tile_pairs(entries, ["band"], "edit", 0, tile)
+    hub = entries.groupBy("band").agg(F.min("k").alias("u"))
+    pairs = entries.join(hub, "band").filter("k <> u").select("u", F.col("k").alias("v")).distinct()
+    print_of = lambda c: prints.select(F.col("k").alias(c), F.col("fingerprint").alias(f"print_{c}"))
+    met = pairs.join(print_of("u"), "u").join(print_of("v"), "v").select("u", "v", "print_u", "print_v")
+    edges = cut(met.mapInArrow(_pairs_alike(least), "u bigint, v bigint"), "edit-edges")
+    placed = entries.join(components(edges).withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    several = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
+    left = placed.join(several, "band").select("band", "k").join(prints, "k")
+    within, across = tile_pairs(left.select("band", F.lit(0).alias("ones"), F.struct("k", "fingerprint").alias("own")), ["band"], "edit", 0, tile)
     # Copies with few edits share many bands: equal tiles are compared once.
     within = within.distinct().withColumn("right", F.lit(None).cast(within.schema["left"].dataType))
-    return within.union(across).mapInArrow(_verified(least), "u bigint, v bigint").distinct()
+    return edges.union(within.union(across).mapInArrow(_verified(least), "u bigint, v bigint")).distinct()
 
 
 def classes(prints: DataFrame, least: float = LIKE) -> DataFrame:
