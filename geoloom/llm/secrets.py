@@ -112,13 +112,15 @@ def tail(z: Column) -> Column:
     """The chance that a standard normal value exceeds z, to about 10^-7."""
     #: Hastings' coefficients of the error function.
     coefficients = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
-    x = F.abs(z) / 2**0.5
-    t = 1 / (1 + 0.3275911 * x)
-    poly = F.lit(0.0)
-    for c in reversed(coefficients):
-        poly = (poly + c) * t
-    upper = poly * F.exp(-x * x) / 2
-    return F.when(z >= 0, upper).otherwise(1 - upper)
+
+    def upper(x: Column, t: Column) -> Column:
+        poly = F.lit(0.0)
+        for c in reversed(coefficients):
+            poly = (poly + c) * t
+        return poly * F.exp(-x * x) / 2
+
+    half = lambda x: _let(1 / (1 + 0.3275911 * x), lambda t: upper(x, t))
+    return _let(z, lambda v: _let(_let(F.abs(v) / 2**0.5, half), lambda u: F.when(v >= 0, u).otherwise(1 - u)))
 
 
 def alphabet_of(bare: Column) -> Column:
@@ -131,36 +133,40 @@ def alphabet_of(bare: Column) -> Column:
 
 def battery(t: Column, a: Column) -> Column:
     """p_chi, p_runs and p_serial of a string as a random one of an alphabet (an even number of characters)."""
-    k, n = F.length(a).cast("double"), F.length(t).cast("double")
+    middle = (F.length(a).cast("double") + 1) / 2
     squares = F.aggregate(
         F.split(a, ""),
         F.lit(0.0),
         lambda s, c: s + F.when(c == "", 0.0).otherwise(F.pow(F.length(t) - F.length(F.replace(t, c, F.lit(""))), F.lit(2.0))),
     )
-    # A shifted gamma of the statistic's mean, variance and third moment, made normal by its cube root; half a step off
-    # for the statistic's lattice.
-    spread = 2 * (k - 1) * (n - 1) / n
-    skew = 4 * (k - 1) * (n - 1) * (k + 2 * n - 6) / (n * n) / F.pow(spread, F.lit(1.5))
-    shape = 4 / (skew * skew)
-    off = (k / n * squares - n - k / n - (k - 1)) / F.sqrt(spread)
-    ratio = F.greatest(1 + off / F.sqrt(shape), F.lit(1e-12))
-    z_chi = (F.pow(ratio, F.lit(1 / 3)) - 1 + 1 / (9 * shape)) * 3 * F.sqrt(shape)
-    places = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.instr(a, c).cast("double") - (k + 1) / 2)
+    places = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.instr(a, c).cast("double") - middle)
     zero = F.struct(F.lit(0.0).alias("product"), F.lit(0.0).alias("turns"), F.lit(None).cast("double").alias("last"))
 
     def step(acc: Column, v: Column) -> Column:
         turns = F.coalesce(((acc["last"] > 0) != (v > 0)).cast("double"), F.lit(0.0))
         return F.struct((acc["product"] + F.coalesce(acc["last"] * v, F.lit(0.0))).alias("product"), (acc["turns"] + turns).alias("turns"), v.alias("last"))
 
-    def told(s: Column) -> Column:
+    # What the formulas use more than once is worked out once: k characters, n of them in the string, sums over it.
+    sums = F.struct(
+        F.length(a).cast("double").alias("k"), F.length(t).cast("double").alias("n"), squares.alias("squares"), F.aggregate(places, zero, step).alias("s")
+    )
+
+    def told(m: Column) -> Column:
+        k, n, s = m["k"], m["n"], m["s"]
+        # A shifted gamma of the statistic's mean, variance and third moment, made normal by its cube root; half a step
+        # off for the statistic's lattice.
+        spread, shape = 2 * (k - 1) * (n - 1) / n, 2 * n * (k - 1) * (n - 1) / F.pow(k + 2 * n - 6, F.lit(2.0))
+        off = (k / n * m["squares"] - n - k / n - (k - 1)) / F.sqrt(spread)
+        z_chi = _let(shape, lambda g: (F.pow(F.greatest(1 + off / F.sqrt(g), F.lit(1e-12)), F.lit(1 / 3)) - 1 + 1 / (9 * g)) * 3 * F.sqrt(g))
         z_runs = F.greatest(F.abs(s["turns"] - (n - 1) / 2) - 0.5, F.lit(0.0)) / (F.sqrt(n - 1) / 2)
-        z_serial = F.abs(s["product"]) / (F.sqrt(n - 1) * (k * k - 1) / 12)
         # The sum's fourth cumulant makes its tails heavier than a normal one's, at short lengths by half.
-        z, fourth = F.least(z_serial, F.lit(4.0)), (0.24 * (n - 1) + 4.8 * (n - 2)) / ((n - 1) * (n - 1))
-        z_serial = z_serial - fourth / 24 * (z * z * z - 3 * z)
-        return F.struct(tail(z_chi).alias("p_chi"), F.least(2 * tail(z_runs), F.lit(1.0)).alias("p_runs"), F.least(2 * tail(z_serial), F.lit(1.0)).alias("p_serial"))
+        fourth = (0.24 * (n - 1) + 4.8 * (n - 2)) / ((n - 1) * (n - 1))
+        bent = lambda z: _let(F.least(z, F.lit(4.0)), lambda y: z - fourth / 24 * (y * y * y - 3 * y))
+        z_serial = _let(F.abs(s["product"]) / (F.sqrt(n - 1) * (k * k - 1) / 12), bent)
+        one = F.lit(1.0)
+        return F.struct(tail(z_chi).alias("p_chi"), F.least(2 * tail(z_runs), one).alias("p_runs"), F.least(2 * tail(z_serial), one).alias("p_serial"))
 
-    return _let(F.aggregate(places, zero, step), told)
+    return _let(sums, told)
 
 
 def weigh(token: Column) -> Column:
