@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoloom.llm import edits, fixity, mixing, pieces, quality, secrets, simhash, toxicity, training_order, urls
+from geoloom.llm import divergence, edits, fixity, mixing, pieces, quality, secrets, simhash, toxicity, training_order, urls
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_edit_fingerprints": edits.op8_edit_fingerprints,
         "op9_simhash": simhash.op9_simhash,
         "op10_url_filters": urls.op10_url_filters,
+        "op11_source_divergence": divergence.op11_source_divergence,
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_warc_fixity": fixity.OP1_SQL,
         "op2_mixing": mixing.OP2_SQL,
         "op10_url_filters": urls.OP10_SQL,
+        "op11_source_divergence": divergence.OP11_SQL,
     }
