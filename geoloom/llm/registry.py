@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoloom.llm import divergence, edits, fixity, mixing, pieces, quality, secrets, simhash, toxicity, training_order, urls
+from geoloom.llm import divergence, edits, fixity, mixing, pieces, quality, secrets, simhash, topk, toxicity, training_order, urls
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_simhash": simhash.op9_simhash,
         "op10_url_filters": urls.op10_url_filters,
         "op11_source_divergence": divergence.op11_source_divergence,
+        "op12_exact_topk": topk.op12_exact_topk,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_mixing": mixing.OP2_SQL,
         "op10_url_filters": urls.OP10_SQL,
         "op11_source_divergence": divergence.OP11_SQL,
+        "op12_exact_topk": topk.OP12_SQL,
     }
