@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoloom.llm import divergence, edits, fixity, mixing, pieces, quality, secrets, simhash, topk, toxicity, training_order, urls
+from geoloom.llm import divergence, edits, fixity, mixing, negatives, pieces, quality, secrets, simhash, topk, toxicity, training_order, urls
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_url_filters": urls.op10_url_filters,
         "op11_source_divergence": divergence.op11_source_divergence,
         "op12_exact_topk": topk.op12_exact_topk,
+        "op13_hard_negatives": negatives.op13_hard_negatives,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_url_filters": urls.OP10_SQL,
         "op11_source_divergence": divergence.OP11_SQL,
         "op12_exact_topk": topk.OP12_SQL,
+        "op13_hard_negatives": negatives.OP13_SQL,
     }
