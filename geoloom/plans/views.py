@@ -16,6 +16,13 @@ def _choice(number: str, values: list[str]) -> str:
 
 _KINDS = "optical optical optical optical browse sar sar thermal lidar dem atmosphere detection altimetry precipitation landcover landsurface".split()
 
+_CORNERS = ((0, 0), (15, -8), (23, 8), (12, 6), (10, 17), (-4, 11), (0, 0))
+_LON, _LAT, _SIZE = "((n_nationkey * 47) % 360 - 178)", "((n_nationkey * 23) % 101 - 55)", "(1 + n_nationkey % 3) / 2.0"
+_RING = "array(" + ", ".join(
+    f"array(CAST(CASE WHEN {_LON} + {x} * {_SIZE} > 180 THEN {_LON} + {x} * {_SIZE} - 360 WHEN {_LON} + {x} * {_SIZE} < -180 THEN {_LON} + {x} * {_SIZE} + 360 ELSE {_LON} + {x} * {_SIZE} END AS DOUBLE), CAST({_LAT} + {y} * {_SIZE} AS DOUBLE))"
+    for x, y in _CORNERS
+) + ")"
+
 #: name: (tables, SQL with their names in braces).
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "scenes": (
@@ -34,6 +41,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
   o_orderkey % 29 = 0 AS footprint_is_request
 FROM {{orders}}""",
     ),
+    # One ring a nation, convex or not; some cross 180 degrees, their positions beyond it written as the other side's.
+    "areas": (
+        ("nation",),
+        f"""SELECT CAST(n_nationkey AS BIGINT) AS area_id, {_RING} AS ring FROM {{nation}}""",
+    ),
     "detections": (
         ("events",),
         """SELECT event_id AS ord, event_id, ts, user_id, event_type AS satellite,
@@ -109,4 +121,5 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def oracle(names: str, body: str) -> str:
     """DuckDB SQL: the views named, then body, which is a query or goes on with `, name AS (...)`."""
     views = ",\n".join(f"{n} AS (\n{VIEWS[n][1].format(**{t: t for t in VIEWS[n][0]})}\n)" for n in names.split())
+    views = views.replace("array(", "list_value(")
     return f"WITH {views}\n{body}"
