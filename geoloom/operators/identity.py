@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.functions.geo import Box, iou
+from geoloom.functions.geo import Box, centre, iou, lon_span
 from geoloom.functions.times import bucket, within_seconds
-from geoloom.tables import cut
+from geoloom.operators.graph import components
 
 TOLERANCE, IOU, SLACK = 60, 0.8, 1e-9
 BASELINE_WIDTH = 4
@@ -36,20 +40,56 @@ def footprints_match(a: Box, b: Box) -> Column:
     return iou(a, b) + SLACK >= IOU
 
 
+def _level(span: Column) -> Column:
+    """The finest level whose cells, 360 / 2 ** level degrees wide, are no narrower than span."""
+    return F.greatest(F.lit(0), F.least(F.lit(40), F.floor(F.log2(F.lit(360.0) / span)))).cast("int")
+
+
+def _cell(level: Column, at: Column) -> Column:
+    """The cell of a number of degrees from the first edge; beyond a whole turn they come round."""
+    turn = F.pow(F.lit(2.0), level)
+    return F.pmod(F.floor(at * turn / 360.0), turn.cast("bigint"))
+
+
+def _own(span: Column, at: Column) -> Column:
+    return F.struct(_level(span).alias("level"), _cell(_level(span), at).alias("cell"))
+
+
+def _reached(span: Column, at: Column) -> Column:
+    """The (level, cell) in which the middle of any footprint that matches one of this span and middle lies.
+
+    Where two boxes have IOU or more in common, so have their sides: each is at least IOU times the other, and their
+    middles lie within 1 - IOU of the longer one. Boxes over half the globe wide all share the one cell of level 0."""
+    least = IOU - 1e-6
+    longest, away = span / least, span * (1 - least) / least
+    levels = F.sequence(_level(longest), _level(span * least))
+
+    def of(k: Column) -> Column:
+        side = F.lit(360.0) / F.pow(F.lit(2.0), k)
+        steps = F.sequence(F.floor((at - away) / side), F.floor((at + away) / side))
+        return F.transform(steps, lambda n: F.struct(k.alias("level"), F.pmod(n, F.pow(F.lit(2.0), k).cast("bigint")).alias("cell")))
+
+    return F.array_distinct(F.flatten(F.transform(levels, of)))
+
+
 def matches(stored: DataFrame, candidates: DataFrame, seconds: int = TOLERANCE) -> DataFrame:
-    """old_id, ord and the columns of each candidate that may stand for a stored scene.
-
-    Both: id, collection, ts, edges, grid_key; stored also ord. An equal join on collection and a bucket of time, in
-    which a stored scene stands three times, then the exact tests. A stored scene without a grid key takes any."""
-    old = stored.select(
-        F.col("id").alias("old_id"), F.col("ord").alias("old_ord"), "collection", F.col("ts").alias("old_ts"), F.col("grid_key").alias("old_key"),
-        F.struct("west", "south", "east", "north").alias("old_box"),
-        F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: bucket(F.col("ts"), seconds) + k)).alias("_bucket"),
+    """old_id, old_ord and the columns of each candidate that may stand for a stored scene.
+
+    Both: id, collection, ts, edges, grid_key; stored also ord. An equal join on the collection, a bucket of time and the
+    cells of the footprint's middle and sizes: a candidate has one key, a stored scene those that a match can have. Then
+    the exact tests. A stored scene without a grid key takes any; boxes without an area match nothing."""
+    b, sized = Box.col(), (lon_span(Box.col()) > 0) & (F.col("north") > F.col("south"))
+    lon, lat = centre(b)
+    axes = ((lon_span(b), lon + 180.0), (b.north - b.south, lat + 90.0))
+    old = stored.filter(sized).select(
+        F.col("id").alias("old_id"), F.col("ord").alias("old_ord"), "collection", F.col("ts").alias("old_ts"), F.col("grid_key").alias("old_key"), b.struct().alias("old_box"),
+        F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: bucket(F.col("ts"), seconds) + k).alias("_buckets"), *[_reached(*a).alias(k) for k, a in zip(("_xs", "_ys"), axes, strict=True)],
     )
-    new = candidates.withColumn("_bucket", bucket(F.col("ts"), seconds))
-    met = old.join(new, ["collection", "_bucket"])
+    old = old.withColumn("_bucket", F.explode("_buckets")).withColumn("_x", F.explode("_xs")).withColumn("_y", F.explode("_ys")).drop("_buckets", "_xs", "_ys")
+    new = candidates.filter(sized).withColumns({"_bucket": bucket(F.col("ts"), seconds), "_x": _own(*axes[0]), "_y": _own(*axes[1])})
+    met = old.join(new, ["collection", "_bucket", "_x", "_y"])
     fits = within_seconds(F.col("old_ts"), F.col("ts"), seconds) & (F.col("old_key").isNull() | F.col("old_key").eqNullSafe(F.col("grid_key"))) & (F.col("old_id") != F.col("id"))
-    return met.filter(fits & footprints_match(Box.col("old_box"), Box.col())).drop("_bucket", "old_box", "old_key")
+    return met.filter(fits & footprints_match(Box.col("old_box"), b)).drop("_bucket", "_x", "_y", "old_box", "old_key")
 
 
 def chosen(found: DataFrame, seconds: int = TOLERANCE) -> DataFrame:
@@ -57,7 +97,7 @@ def chosen(found: DataFrame, seconds: int = TOLERANCE) -> DataFrame:
 
     Matches are one scene if their grid keys are equal, all times lie within the tolerance, and all footprints agree
     with one another. The extremes of a stored scene's few candidates decide the first two; footprints are compared
-    pair by pair within the array."""
+    pair by pair, each different one once: new versions of a scene mostly have the same."""
     rank = F.struct(
         F.col("baseline").isNotNull().alias("has"), F.coalesce(baseline_key(F.col("baseline")), F.array().cast("array<int>")).alias("b"), F.unix_micros(F.col("stamp").cast("timestamp")).alias("t")
     )
@@ -66,32 +106,88 @@ def chosen(found: DataFrame, seconds: int = TOLERANCE) -> DataFrame:
     one_key = F.size(F.array_distinct(F.transform("m", lambda x: x["grid_key"]))) == 1
     times = F.transform("m", lambda x: F.unix_micros(x["ts"].cast("timestamp")))
     close = F.array_max(times) - F.array_min(times) <= seconds * 1_000_000
-    box = lambda x: Box(x["box"]["west"], x["box"]["south"], x["box"]["east"], x["box"]["north"])
-    agree = F.forall("m", lambda x: F.forall(F.col("m"), lambda y: footprints_match(box(x), box(y))))
+    box = lambda x: Box(x["west"], x["south"], x["east"], x["north"])
+    boxes = F.array_distinct(F.transform("m", lambda x: x["box"]))
+    agree = F.forall(boxes, lambda x: F.forall(boxes, lambda y: footprints_match(box(x), box(y))))
     top = F.array_max(F.transform("m", lambda x: x["rank"]))
     best = F.filter("m", lambda x: x["rank"] == top)
     new_id = F.when(F.col("n") == 1, F.col("m")[0]["id"]).when(one_key & close & agree & (F.size(best) == 1), best[0]["id"])
     return g.select("old_id", "old_ord", "n", new_id.alias("new_id"))
 
 
-def claimed(stored: DataFrame, found: DataFrame) -> DataFrame:
+def _runs(west: float, east: float) -> list[tuple[float, float]]:
+    return [(west, east)] if west <= east else [(west, 180.0), (-180.0, east)]
+
+
+def _alike(a: tuple, b: tuple) -> bool:
+    """footprints_match for two boxes that have areas."""
+    height = min(a[3], b[3]) - max(a[1], b[1])
+    both = height * sum(max(0.0, min(p[1], q[1]) - max(p[0], q[0])) for p in _runs(a[0], a[2]) for q in _runs(b[0], b[2]))
+    size = lambda e: sum(east - west for west, east in _runs(e[0], e[2])) * (e[3] - e[1])
+    return height > 0 and both > 0 and both / (size(a) + size(b) - both) + SLACK >= IOU
+
+
+def _one_scene(left: list[dict], seconds: int) -> bool:
+    times, boxes = [r["t"] for r in left], list({tuple(r[k] for k in Box._fields) for r in left})
+    return len({r["grid_key"] for r in left}) == 1 and max(times) - min(times) <= seconds * 1_000_000 and all(_alike(a, b) for i, a in enumerate(boxes) for b in boxes[:i])
+
+
+def _choice(left: list[dict], seconds: int) -> str | None:
+    """The one candidate, or the newest of one scene, if there is one newest."""
+    if len(left) == 1:
+        return left[0]["id"]
+    rank = lambda r: (r["baseline"] is not None, r["version"] or [], r["stamp"] is not None, r["stamp"] or 0)
+    top = max(map(rank, left))
+    best = [r["id"] for r in left if rank(r) == top]
+    return best[0] if len(best) == 1 and _one_scene(left, seconds) else None
+
+
+_FOLDED = pa.schema([("old_id", pa.string()), ("outcome", pa.string()), ("new_id", pa.string())])
+
+
+def _folded(seconds: int):
+    """Claims, component by component and in order of ord, as rows stream by; what a component has claimed is held, no more."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1000):
+                yield from batch.slice(low, 1000).to_pylist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        gone: set[str] = set()
+        root = None
+        for (at, old_id), own in groupby(rows(batches), key=lambda r: (r["root"], r["old_id"])):
+            if at != root:
+                root, gone = at, set()
+            left = list({r["id"]: r for r in reversed(list(own)) if r["id"] not in gone}.values())
+            new_id = _choice(left, seconds) if left else None
+            gone.add(new_id)
+            out.append((old_id, "replaced" if new_id else "ambiguous" if left else "no match", new_id))
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], schema=_FOLDED)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], schema=_FOLDED)
+
+    return run
+
+
+def claimed(stored: DataFrame, found: DataFrame, seconds: int = TOLERANCE) -> DataFrame:
     """old_id, outcome (replaced, ambiguous or no match), new_id of every stored scene. Stored scenes claim in order of
     ord, and an id that one has claimed is no candidate of those behind it.
 
-    A stored scene can be decided once it stands first at each candidate it has left; all such are decided at once,
-    and what they claim is taken from the others. There are as many rounds as claims hang on one another in a row:
-    scenes share candidates only within twice the tolerance. Each round is written to the shared folder."""
-    left, done = cut(found, "claims-open"), None
-    while left.limit(1).count():
-        first = left.groupBy("id").agg(F.min("old_ord").alias("_first"))
-        ready = left.join(first, "id").groupBy("old_id").agg(F.bool_and(F.col("old_ord") == F.col("_first")).alias("_all")).filter("_all")
-        now = cut(chosen(left.join(ready.select("old_id"), "old_id", "left_semi")).select("old_id", "new_id"), "claims-now")
-        done = now if done is None else done.unionByName(now)
-        gone = now.filter(F.col("new_id").isNotNull()).select(F.col("new_id").alias("id"))
-        left = cut(left.join(now.select("old_id"), "old_id", "left_anti").join(gone, "id", "left_anti"), "claims-open")
-    if done is None:
-        return stored.select(F.col("id").alias("old_id"), F.lit("no match").alias("outcome"), F.lit(None).cast("string").alias("new_id"))
-    told = done.withColumn("outcome", F.when(F.col("new_id").isNotNull(), "replaced").otherwise("ambiguous"))
+    Only stored scenes that are linked by candidates they share bear on one another: each such component is decided by
+    itself, in one pass over its rows in order. Rounds grow with the logarithm of a component's width, not with the
+    length of its chains; a component is one task's pass, whose memory holds the ids claimed in it."""
+    first = found.groupBy("id").agg(F.min("old_id").alias("v"), F.count("*").alias("_n")).filter("_n > 1")
+    links = found.join(first, "id").filter("old_id <> v").select(F.col("old_id").alias("u"), "v")
+    roots = components(links).select(F.col("node").alias("old_id"), "root")
+    rows = found.join(roots, "old_id", "left").select(
+        F.coalesce("root", "old_id").alias("root"), "old_id", "old_ord", "id", "ord", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), *Box._fields, "grid_key",
+        "baseline", baseline_key(F.col("baseline")).alias("version"), F.unix_micros(F.col("stamp").cast("timestamp")).alias("stamp"),
+    )
+    told = rows.repartition("root").sortWithinPartitions("root", "old_ord", "old_id", "ord", "id").mapInArrow(_folded(seconds), "old_id string, outcome string, new_id string")
     return stored.select(F.col("id").alias("old_id")).join(told, "old_id", "left").select(
         "old_id", F.coalesce("outcome", F.lit("no match")).alias("outcome"), "new_id"
     )

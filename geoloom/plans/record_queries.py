@@ -169,6 +169,12 @@ def w05_claims(spark, sf_dir):
     return I.claimed(view(spark, sf_dir, "stored"), _matched(spark, sf_dir))
 
 
+def w05_claim_chains(spark, sf_dir):
+    """The same where each claim hangs on the one before, from one end of the table to the other."""
+    stored = view(spark, sf_dir, "kept")
+    return I.claimed(stored, I.matches(stored, view(spark, sf_dir, "renewed")))
+
+
 def u04_projected_records(spark, sf_dir):
     stored, new = view(spark, sf_dir, "stored"), view(spark, sf_dir, "candidates")
     done = I.chosen(_matched(spark, sf_dir)).filter("new_id IS NOT NULL").select("old_id", "new_id")
@@ -317,6 +323,20 @@ _CHOSEN = """, pairs AS (SELECT a.old_id, bool_and(abs(epoch_us(a.ts) - epoch_us
 ranked AS (SELECT *, count(*) OVER (PARTITION BY old_id) AS n, rank() OVER (PARTITION BY old_id ORDER BY baseline IS NOT NULL DESC, CAST(coalesce(split_part(baseline, '.', 2), '-1') AS INT) DESC, stamp DESC) AS place FROM met),
 tops AS (SELECT old_id, any_value(n) AS n, count(*) FILTER (place = 1) AS firsts, max(CASE WHEN place = 1 THEN id END) AS top FROM ranked GROUP BY old_id),
 chosen AS (SELECT old_id, n, CASE WHEN n = 1 OR (alike AND firsts = 1) THEN top END AS new_id FROM tops JOIN pairs USING (old_id))"""
+#: Stored scenes in order, one recursion each, with all that has been claimed so far.
+_CLAIMS = """, listed AS (SELECT old_id, old_ord, list({{'id': id, 'west': west, 't': epoch_us(ts), 'rank': CASE WHEN baseline IS NULL THEN 0 ELSE 1 + CAST(split_part(baseline, '.', 2) AS BIGINT) END * 1000000000000 + CAST(epoch(stamp) AS BIGINT)}}) AS m FROM met GROUP BY ALL),
+turns AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY old_ord) AS n FROM listed),
+folded AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS gone, CAST(NULL AS VARCHAR) AS old_id, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS new_id
+  UNION ALL SELECT n, CASE WHEN new_id IS NULL THEN gone ELSE list_append(gone, new_id) END, old_id, CASE WHEN new_id IS NOT NULL THEN 'replaced' WHEN len(open) > 0 THEN 'ambiguous' ELSE 'no match' END, new_id
+  FROM (SELECT *, CASE WHEN len(open) = 1 OR (len(newest) = 1 AND {alike}) THEN newest[1].id END AS new_id
+    FROM (SELECT *, list_filter(open, lambda x: x.rank = list_max(list_transform(open, lambda y: y.rank))) AS newest
+      FROM (SELECT t.n, f.gone, t.old_id, list_filter(t.m, lambda x: NOT list_contains(f.gone, x.id)) AS open FROM folded f JOIN turns t ON t.n = f.n + 1))))
+SELECT s.id AS old_id, coalesce(outcome, 'no match') AS outcome, new_id FROM {stored} s LEFT JOIN folded f ON f.old_id = s.id"""
+_SPREAD = "list_max(list_transform(open, lambda x: x.{0})) - list_min(list_transform(open, lambda x: x.{0}))"
+#: Boxes of one size at one latitude: they agree with one another if the outermost two do, which lie no more than 2 / 9 of their width apart.
+_ALIKE = f"{_SPREAD.format('t')} <= 60000000 AND {_SPREAD.format('west')} <= 2.0 / 9"
+_MET_CHAINS = """, met AS (SELECT s.id AS old_id, s.ord AS old_ord, c.* FROM kept s JOIN renewed c ON abs(epoch_us(s.ts) - epoch_us(c.ts)) <= 60000000
+  AND (s.grid_key IS NULL OR s.grid_key = c.grid_key) AND abs(s.west - c.west) <= 2.0 / 9)"""
 _PRESENT = ", present AS (SELECT DISTINCT source, scene FROM assets WHERE CAST(substr(scene, 2) AS BIGINT) % 4 = 0)"
 _ESTIMATE = """, rows_in AS (SELECT p.source, p.href IS NOT NULL AND {window} AND {free} AS win, NOT ({free}) AS forced, p.href, p.size_bytes, t.scene IS NOT NULL AS there0 FROM picked p LEFT JOIN present t USING (source, scene)),
 told AS (SELECT *, there0 AND NOT win AND NOT forced AS there, forced OR (href IS NOT NULL AND size_bytes IS NULL) AS unk FROM rows_in),
@@ -364,7 +384,8 @@ SELECT source, path FROM o WHERE path NOT IN (SELECT source || '/' || id FROM ou
         w04_newest_baseline,
         oracle("stored candidates", _MATCH_SQL + _CHOSEN + "SELECT old_id, n, new_id FROM chosen"),
     ),
-    "w05_claims": (w05_claims, None),
+    "w05_claims": (w05_claims, oracle("stored candidates", _MATCH_SQL + _CLAIMS.format(stored="stored", alike=_ALIKE)).replace("WITH ", "WITH RECURSIVE ", 1)),
+    "w05_claim_chains": (w05_claim_chains, oracle("kept renewed", _MET_CHAINS + _CLAIMS.format(stored="kept", alike=_ALIKE)).replace("WITH ", "WITH RECURSIVE ", 1)),
     "u03_injected": (u03_injected, oracle("stored candidates", _MATCH_SQL + _CHOSEN + "SELECT id, CAST(0 AS INT) AS tier FROM candidates WHERE ord % 2 = 0 UNION ALL SELECT DISTINCT new_id, CAST(1 AS INT) FROM chosen WHERE new_id IS NOT NULL AND CAST(substr(new_id, 2) AS BIGINT) % 2 <> 0")),
     "u04_projected_records": (
         u04_projected_records,

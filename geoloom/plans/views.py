@@ -69,6 +69,22 @@ FROM {events} WHERE event_id % 3 = 0""",
   concat('T', CAST(user_id % 5 AS STRING)) AS grid_key,
   CASE WHEN event_id % 5 = 0 THEN NULL ELSE concat('05.', CAST(event_id % 12 AS STRING)) END AS baseline, ts AS stamp
 FROM {events} WHERE event_id % 3 <> 0""",
+    ),
+    # Scenes 9 seconds apart over two places; a third of them are stored, a third new: each place is one long chain of claims.
+    "kept": (
+        ("events",),
+        """SELECT event_id AS ord, concat('K', CAST(event_id AS STRING)) AS id, 'c' AS collection, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' SECOND * (event_id * 9 + event_id % 7) AS ts,
+  CAST(100 + event_id % 2 * 79 AS DOUBLE) AS west, CAST(-10 AS DOUBLE) AS south, CAST(102 + event_id % 2 * 79 - event_id % 2 * 360 AS DOUBLE) AS east, CAST(-8 AS DOUBLE) AS north,
+  CASE WHEN event_id % 5 = 0 THEN NULL ELSE concat('T', CAST(event_id % 2 AS STRING)) END AS grid_key
+FROM {events} WHERE event_id % 3 = 0""",
+    ),
+    "renewed": (
+        ("events",),
+        """SELECT event_id AS ord, concat('N', CAST(event_id AS STRING)) AS id, 'c' AS collection, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' SECOND * (event_id * 9 + event_id % 11) AS ts,
+  CAST(100 + event_id % 2 * 79 AS DOUBLE) + CAST(floor(event_id / 7) % 2 AS DOUBLE) / 8 AS west, CAST(-10 AS DOUBLE) AS south,
+  CAST(102 + event_id % 2 * 79 - event_id % 2 * 360 AS DOUBLE) + CAST(floor(event_id / 7) % 2 AS DOUBLE) / 8 AS east, CAST(-8 AS DOUBLE) AS north, concat('T', CAST(event_id % 2 AS STRING)) AS grid_key,
+  CASE WHEN event_id % 5 = 0 THEN NULL ELSE concat('05.', CAST(event_id % 12 AS STRING)) END AS baseline, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' SECOND * event_id AS stamp
+FROM {events} WHERE event_id % 3 = 1""",
     ),
     "pixels": (
         ("lineitem",),
