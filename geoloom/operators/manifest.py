@@ -82,17 +82,12 @@ def stale(recorded: DataFrame, run: DataFrame) -> DataFrame:
 
 
 def resumed_from(manifest: DataFrame, request: Column) -> DataFrame:
-    """source, action of the next run: a page to go on from, none that is left, or the first page again."""
-    same = F.col("request_hash") == request
-    return manifest.select(
-        "source",
-        F.when(~same, "restart")
-        .when(F.col("error").isNotNull() & F.col("next_cursor").isNull(), "restart")
-        .when(F.col("next_cursor").isNull(), "exhausted")
-        .otherwise("resume")
-        .alias("action"),
-        F.when(same, F.col("next_cursor")).alias("cursor"),
-    )
+    """source, action, cursor of the next run: a page to go on from, none that is left, or the first page again. A cursor
+    that the catalog has refused, with an error, isn't a search that failed: it doesn't begin again by itself."""
+    same = F.col("request_hash").eqNullSafe(request)
+    failed = F.col("error").isNotNull() & F.col("next_cursor").isNull() & ~F.coalesce(F.col("cursor_rejected"), F.lit(False))
+    action = F.when(~same | failed, "restart").when(F.col("next_cursor").isNull(), "exhausted").otherwise("resume")
+    return manifest.select("source", action.alias("action"), F.when(same, F.col("next_cursor")).alias("cursor"))
 
 
 def cursor_kind(next_href: Column, search_url: Column, method: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from geoloom.plans.scene_queries import a03_consolidate
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("scene_queries", "function_queries", "record_queries", "pixel_queries", "source_queries", "stream_queries", "area_queries")
+MODULES = ("scene_queries", "function_queries", "record_queries", "pixel_queries", "source_queries", "stream_queries", "area_queries", "page_queries")
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
