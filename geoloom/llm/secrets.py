@@ -1,7 +1,7 @@
 """Secret scans: spans by form, and strings that a battery of randomness tests tells from words.
 
 By form: an assignment to a secret's name, an access key, a hexadecimal run. By the method: every other run of
-MIN_TOKEN or more key characters is a candidate (below that, a random string is not told from a word at ALPHA: this is
+MIN_TOKEN or more key characters is a candidate, as is what such a run has left on either side of a span by form (below that, a random string is not told from a word at ALPHA: this is
 the operator's own lower bound, like those of the three forms). Its encoding (hex, base32, base36, base62, base64) is
 inferred from its characters. Under the hypothesis that it is a random string of that alphabet it gets three p-values: of
 a chi-squared test of uniformity, by the exact first three moments of the statistic at its length, which hold where
@@ -29,12 +29,12 @@ from geoloom.llm.tables import cut, fresh, read
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Runs below these lengths are no spans; for these two a longer repeat finds the same ones.
 ACCESS, HEX, ASSIGN_CHARS = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}", 12
-MIN_TOKEN = 20
+MIN_TOKEN = 16
 TOKEN = rf"[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}"
 KINDS = ("assign", "access", "hex", "random")
 ALPHA = 0.01
 #: Lower bounds of the strata of length.
-STRATA = (20, 24, 32, 48, 96)
+STRATA = (16, 20, 24, 32, 48, 96)
 #: Powers of two that e-values are counted by; larger ones count as the last.
 BINS = 120
 #: The least combined p-value of the three tests: so many random strings are passed over.
@@ -203,9 +203,23 @@ def _labelled(rank: int):
     )
 
 
+def _free(run: Column, base: Column) -> Column:
+    """What base spans leave of a run (start, end, token): the run itself, or its parts of MIN_TOKEN characters or more."""
+    part = lambda start, end: F.struct(start.alias("start"), end.alias("end"), F.substr(run["token"], (start - run["start"] + 1).cast("int"), (end - start).cast("int")).alias("token"))
+
+    def parts(own: Column) -> Column:
+        # Spans stand in order of their starts; each part reaches from the furthest end so far to the next start.
+        zero = F.struct(F.array().cast("array<struct<start:bigint,end:bigint>>").alias("gaps"), run["start"].alias("at"))
+        gap = lambda acc, end: F.when(end - acc["at"] >= MIN_TOKEN, F.concat(acc["gaps"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"))))).otherwise(acc["gaps"])
+        gaps = F.aggregate(own, zero, lambda acc, b: F.struct(gap(acc, b["start"]).alias("gaps"), F.greatest(acc["at"], b["end"]).alias("at")), lambda acc: gap(acc, run["end"]))
+        return F.when(F.size(own) == 0, F.array(run)).otherwise(F.transform(gaps, lambda g: part(g["start"], g["end"])))
+
+    return _let(F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"])), parts)
+
+
 def scan(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
-    """docs with a struct column: base (kind, start, end by start, then kind) and candidates (start, end, log2e,
-    passes) that overlap none of them."""
+    """docs with a struct column: base (kind, start, end by start, then kind) and candidates (start, end, w: log2e,
+    passes), which are cut at base spans."""
     name, stem = fresh(docs.columns, "_secrets"), fresh([c[:2] for c in docs.columns], "_s")
     t = f"{stem}_text"
     out = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
@@ -226,10 +240,7 @@ def scan(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
         )
     )
     out = out.withColumn(f"{stem}_base", base)
-    free = F.filter(
-        f"{stem}_random_at",
-        lambda x: ~F.exists(F.col(f"{stem}_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
-    )
+    free = F.flatten(F.transform(f"{stem}_random_at", lambda x: _free(x, F.col(f"{stem}_base"))))
     weighed = F.transform(
         free, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), weigh(x["token"]).alias("w"))
     )

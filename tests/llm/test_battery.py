@@ -48,7 +48,7 @@ def tokens(rng, count):
 
 def test_p_values(spark):
     rng = random.Random(3)
-    some = ["".join(rng.choice(a) for _ in range(n)) for a in (B62, B64, B62[26:], B62[:26] + "234567") for n in (20, 33, 64, 200) for _ in range(4)]
+    some = ["".join(rng.choice(a) for _ in range(n)) for a in (B62, B64, B62[26:], B62[:26] + "234567") for n in (16, 20, 33, 64, 200) for _ in range(4)]
     some += ["abcdefghijklmnopqrstuvwxyz0123456789", "A" * 30, "ab" * 20]
     df = spark.createDataFrame([(x,) for x in some], "t string").coalesce(1)
     rows = df.select(secrets.alphabet_of(F.col("t")).alias("a"), secrets.battery(F.col("t"), secrets.alphabet_of(F.col("t"))).alias("p")).collect()
@@ -60,7 +60,7 @@ def test_p_values_hold_for_random_strings():
     """Share of random strings below a level: at most a little above it, at short lengths too."""
     rng = random.Random(5)
     for a in (B64, B62[26:], "0123456789abcdef"):
-        for n in (20, 48):
+        for n in (16, 20, 48):
             found = np.array([slow_battery([rng.choice(a) for _ in range(n)], a) for _ in range(4000)])
             for level in (0.05, 0.01, 0.003):
                 assert ((found <= level).mean(axis=0) <= 1.35 * level + 0.0015).all()
@@ -74,7 +74,7 @@ def slow_called(candidates):
         bare = t.rstrip("=").translate(str.maketrans("-_", "+/"))
         a = next(own for pattern, own in secrets.ENCODINGS if re.search(pattern, bare))
         e = -len(bare) * math.log2(len(a)) - sum(sum(bare.count(c) for c in cs) * math.log2(share / len(cs)) for cs, share in secrets.WORDS)
-        fails = 3 * min(slow_battery(bare, a)) < secrets.LEVEL or not re.search("[A-Za-z]", bare) or len(bare) < 18 or e < 0
+        fails = 3 * min(slow_battery(bare, a)) < secrets.LEVEL or not re.search("[A-Za-z]", bare) or len(bare) < secrets.MIN_TOKEN - 2 or e < 0
         rows.append((t, sum(len(t) >= low for low in secrets.STRATA), -1 if fails else min(int(e), secrets.BINS)))
     called = set()
     for stratum in {r[1] for r in rows}:
@@ -112,3 +112,32 @@ def test_rows_repeated_null_ids_and_clashing_columns(spark):
     out = secrets.redact(df)
     assert out.columns == df.columns and sorted((str(r.text) for r in out.collect())) == sorted(["[secret]", "[secret]", "None", "", "[secret]"])
     assert secrets.redact(df.limit(0)).count() == 0 and secrets.redact(df.limit(0)).columns == df.columns
+
+
+def test_keys_beside_assignments(spark):
+    """What a run has left of a span by form is tested like any other run; the query's spans are what redact masks."""
+    rng = random.Random(11)
+    key = lambda n: "".join(rng.choice(B64) for _ in range(n))
+    alone, beside, short = key(44), key(44), [key(16) for _ in range(5)]
+    texts = [f"first {alone} end", f"then {beside}/token=abcdefghijklmnop end", "only token=abcdefghijklmnop", "abc/token=abcdefghijklmnop/x"]
+    texts += [f"a short one {k} here" for k in short] + [f"words {words(rng, 30)} and {words(rng, 17)}" for _ in range(60)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r for r in secrets.secrets(df).collect()}
+    out = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert (got[0].n_random, got[0].n_assign) == (1, 0) and alone not in out[0]
+    at = texts[1].index(beside)
+    assert got[1].spans == f"random:{at}:{at + 45},assign:{at + 45}:{at + 67}" and out[1] == "then [secret][secret] end"
+    assert (got[2].n_random, got[3].n_random) == (0, 0)
+    assert sum(got[4 + i].n_random for i in range(5)) >= 4
+    for i, t in enumerate(texts):
+        kept, rest = [tuple(map(int, x.split(":")[1:])) for x in got[i].spans.split(",") if x], t
+        for a, b in reversed(kept):
+            rest = rest[:a] + "[secret]" + rest[b:]
+        assert out[i] == rest
+    assert sum(got[i].n_random for i in range(9, 69)) == 0
+
+
+def test_parts_of_runs(spark):
+    df = spark.createDataFrame([([(0, 100, "x" * 100)], [(10, 12), (11, 40), (50, 60), (76, 100)])], "r array<struct<start:long,end:long,token:string>>, b array<struct<start:long,end:long>>")
+    got = df.select(secrets._free(F.col("r")[0], F.col("b")).alias("p")).first().p
+    assert [(p.start, p.end, len(p.token)) for p in got] == [(60, 76, 16)]
