@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import spectral
 from geoloom.operators.graph import components
-from geoloom.tables import cut
+from geoloom.operators.quantiles import quantiles
+from geoloom.tables import cut, join_checked
 
 #: Percentiles of a stretch; share of zeros from which zero is nodata; heat of a change; least pixels of a blob.
 LOW, HIGH, ZERO_SHARE, CHANGED, LEAST_BLOB = 0.02, 0.98, 0.5, 0.2, 16
+#: Rows or columns of a preview at most.
+MOST_SIDE = 2048
 
 
 def index_summary(pixels: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
@@ -28,17 +31,47 @@ def class_fractions(labels: DataFrame, label: str, names: list[str], keys: list[
     return n.select(*keys, "_all", rows).select(*keys, "r.class", "r.n", (F.col("r.n") / F.col("_all")).alias("fraction"))
 
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def _bounds_of(known: DataFrame, bands: list[str], keys: list[str], value) -> DataFrame:
+    """keys and low and high of each band (NAME_low, NAME_high): bands of whole numbers by counts of their values, others
+    by quantiles that never hold a key's values together."""
+    kinds = dict(known.dtypes)
+    whole, others = [b for b in bands if kinds[b] in _WHOLE], [b for b in bands if kinds[b] not in _WHOLE]
+    at = F.array(F.lit(LOW), F.lit(HIGH))
+    g = known.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.percentile(value(b), at).alias(f"_p_{b}") for b in whole])
+    g = g.select(*keys, *[F.col(f"_p_{b}")[i].alias(f"{b}_{n}") for b in whole for i, n in ((0, "low"), (1, "high"))])
+    if not others:
+        return g
+    long = known.select(*keys, F.inline(F.array(*[F.struct(F.lit(b).alias("_band"), value(b).alias("x")) for b in others])))
+    q = quantiles(long, [*keys, "_band"], [LOW, HIGH])
+    own = lambda b, p: F.max(F.when((F.col("_band") == b) & (F.col("p") == p), F.col("value")))
+    q = q.groupBy(*keys).agg(*[own(b, p).alias(f"{b}_{n}") for b in others for p, n in ((LOW, "low"), (HIGH, "high"))])
+    alike = [g[k].eqNullSafe(q[k]) for k in keys]
+    return (g.join(q, alike, "left") if keys else g.crossJoin(q)).select(*[g[k] for k in keys], *[f"{b}_{n}" for b in bands for n in ("low", "high")])
+
+
 def stretch_bounds(pixels: DataFrame, bands: list[str], keys: list[str], exact: bool = True) -> DataFrame:
     """low and high of each band by key: percentiles of its known values; zero is nodata where over half are zero.
 
-    exact: by sorting counts of distinct values, which are few for whole-number bands; else by a sketch."""
-    share = pixels.groupBy(*keys).agg(*[(F.count_if(F.col(b) == 0) / F.count(b)).alias(f"_z_{b}") for b in bands])
+    exact: by counts of distinct values or by refined histograms; else by a sketch."""
+    share = pixels.groupBy(*keys).agg(*[(F.count_if(F.col(b) == 0) / F.count(b)).alias(f"{b}_zeros") for b in bands])
     known = pixels.join(share, keys)
-    value = lambda b: F.when((F.col(b) != 0) | (F.col(f"_z_{b}") <= ZERO_SHARE), F.col(b).cast("double"))
-    at = F.array(F.lit(LOW), F.lit(HIGH))
-    pick = (lambda c: F.percentile(c, at)) if exact else (lambda c: F.percentile_approx(c, [LOW, HIGH], 10_000))
-    g = known.groupBy(*keys).agg(*[pick(value(b)).alias(f"_p_{b}") for b in bands], *[F.first(f"_z_{b}").alias(f"_z_{b}") for b in bands])
-    return g.select(*keys, *[F.col(f"_p_{b}")[i].alias(f"{b}_{n}") for b in bands for i, n in ((0, "low"), (1, "high"))], *[F.col(f"_z_{b}").alias(f"{b}_zeros") for b in bands])
+    value = lambda b: F.when((F.col(b) != 0) | (F.col(f"{b}_zeros") <= ZERO_SHARE), F.col(b).cast("double"))
+    names = [f"{b}_{n}" for b in bands for n in ("low", "high")]
+    if exact:
+        return _bounds_of(known, bands, keys, value).join(share, keys).select(*keys, *names, *[f"{b}_zeros" for b in bands])
+    g = known.groupBy(*keys).agg(*[F.percentile_approx(value(b), [LOW, HIGH], 10_000).alias(f"_p_{b}") for b in bands], *[F.first(f"{b}_zeros").alias(f"{b}_zeros") for b in bands])
+    return g.select(*keys, *[F.col(f"_p_{b}")[i].alias(f"{b}_{n}") for b in bands for i, n in ((0, "low"), (1, "high"))], *[f"{b}_zeros" for b in bands])
+
+
+def subsampled(pixels: DataFrame, keys: list[str], most: int = MOST_SIDE) -> DataFrame:
+    """Every so many rows and columns of each image, counted from its first, that its longer side has at most so many."""
+    size = pixels.groupBy(*keys).agg(F.min("row").alias("_r"), F.min("col").alias("_c"), (F.greatest(F.max("row") - F.min("row"), F.max("col") - F.min("col")) + 1).alias("_side"))
+    step = F.greatest(F.lit(1), F.ceil(F.col("_side") / most))
+    kept = join_checked(pixels, size.withColumn("_step", step), keys)
+    return kept.filter(((F.col("row") - F.col("_r")) % F.col("_step") == 0) & ((F.col("col") - F.col("_c")) % F.col("_step") == 0)).select(pixels.columns)
 
 
 def preview(pixels: DataFrame, bands: list[str], keys: list[str]) -> DataFrame:
@@ -50,9 +83,10 @@ def preview(pixels: DataFrame, bands: list[str], keys: list[str]) -> DataFrame:
 
 
 def paired_bounds(before: DataFrame, after: DataFrame, bands: list[str]) -> DataFrame:
-    """One range a band for two images, so that both are stretched alike."""
+    """One range (low, high) a band for two images, so that both are stretched alike."""
     both = before.select(*bands).unionByName(after.select(*bands))
-    return both.agg(*[F.percentile(F.col(b).cast("double"), F.array(F.lit(LOW), F.lit(HIGH))).alias(b) for b in bands])
+    found = _bounds_of(both, bands, [], lambda b: F.col(b).cast("double"))
+    return found.select(*[F.array(f"{b}_low", f"{b}_high").alias(b) for b in bands])
 
 
 def centroids(pixels: DataFrame, label: str, bands: list[str]) -> DataFrame:

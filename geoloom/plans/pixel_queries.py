@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import spectral as R
 from geoloom.operators import pixels as P
+from geoloom.operators.quantiles import quantiles
 from geoloom.plans.views import oracle, view
 from geoloom.tables import read
 
@@ -86,6 +87,32 @@ def r08_preview(spark, sf_dir):
     )
 
 
+#: Bands that aren't whole numbers, null in places.
+FLOATS = {"ratio": "(nir - red) / nullif(CAST(nir + red - 9000 AS DOUBLE), 0)", "glow": "CASE WHEN row % 3 = 0 THEN 0.0 ELSE red * 1.0 / (green + 1.0) - 0.5 END"}
+
+
+def _floats(spark, sf_dir):
+    return _pixels(spark, sf_dir).select("image", "row", "col", *[F.expr(e).cast("double").alias(n) for n, e in FLOATS.items()])
+
+
+def a16_float_bounds(spark, sf_dir):
+    return P.stretch_bounds(_floats(spark, sf_dir), list(FLOATS), ["image"])
+
+
+def a16_quantiles(spark, sf_dir):
+    """Quantiles of prices by return flag, whatever their number."""
+    lines = read(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("x"))
+    return quantiles(lines, ["l_returnflag"], [0.0, 0.013, 0.5, 0.98, 1.0])
+
+
+def r08_subsampled_preview(spark, sf_dir):
+    """A preview of every so many rows and columns, so that the longer side has at most 64."""
+    packed = _floats(spark, sf_dir).withColumn("row", F.floor(F.col("row") / 16))
+    small = P.subsampled(packed, ["image"], 64)
+    shown = P.preview(small, ["ratio"], ["image"])
+    return shown.groupBy("image").agg(F.count("*").alias("n"), F.sum(F.col("ratio").cast("bigint")).alias("sum"), F.max("row").alias("last"))
+
+
 def r15_paired_bounds(spark, sf_dir):
     p = _pixels(spark, sf_dir)
     b = P.paired_bounds(p.filter("image = 1"), p.filter("image = 2"), ["red"])
@@ -190,6 +217,25 @@ SELECT image, round(quantile_cont(red, 0.02), 6) AS red_low, round(quantile_cont
         oracle("pixels", """, q AS (SELECT image, quantile_cont(CAST(red AS DOUBLE), 0.02) AS rl, quantile_cont(CAST(red AS DOUBLE), 0.98) AS rh, quantile_cont(CAST(green AS DOUBLE), 0.02) AS gl, quantile_cont(CAST(green AS DOUBLE), 0.98) AS gh FROM pixels GROUP BY image),
 s AS (SELECT image, CAST(round_even(least(greatest((red - rl) / (rh - rl), 0), 1) * 255, 0) AS BIGINT) AS red, CAST(round_even(least(greatest((green - gl) / (gh - gl), 0), 1) * 255, 0) AS BIGINT) AS green FROM pixels JOIN q USING (image))
 SELECT image, CAST(sum(red) AS BIGINT) AS red_sum, max(red) AS red_max, min(red) AS red_min, CAST(sum(green) AS BIGINT) AS green_sum, max(green) AS green_max, min(green) AS green_min FROM s GROUP BY image"""),
+    ),
+    "a16_float_bounds": (
+        a16_float_bounds,
+        oracle("pixels", f""", f AS (SELECT image, {FLOATS['ratio']} AS ratio, {FLOATS['glow']} AS glow FROM pixels),
+z AS (SELECT image, count(*) FILTER (ratio = 0) / count(ratio) AS ratio_zeros, count(*) FILTER (glow = 0) / count(glow) AS glow_zeros FROM f GROUP BY image),
+k AS (SELECT image, ratio_zeros, glow_zeros, CASE WHEN ratio <> 0 OR ratio_zeros <= 0.5 THEN ratio END AS ratio, CASE WHEN glow <> 0 OR glow_zeros <= 0.5 THEN glow END AS glow FROM f JOIN z USING (image))
+SELECT image, quantile_cont(ratio, 0.02) AS ratio_low, quantile_cont(ratio, 0.98) AS ratio_high, quantile_cont(glow, 0.02) AS glow_low, quantile_cont(glow, 0.98) AS glow_high,
+  any_value(ratio_zeros) AS ratio_zeros, any_value(glow_zeros) AS glow_zeros FROM k GROUP BY image"""),
+    ),
+    "a16_quantiles": (
+        a16_quantiles,
+        "SELECT l_returnflag, p, quantile_cont(CAST(l_extendedprice AS DOUBLE), [0.0, 0.013, 0.5, 0.98, 1.0])[i] AS value FROM lineitem, (SELECT unnest([0.0, 0.013, 0.5, 0.98, 1.0]::DOUBLE[]) AS p, unnest(range(1, 6)) AS i) GROUP BY l_returnflag, p, i",
+    ),
+    "r08_subsampled_preview": (
+        r08_subsampled_preview,
+        oracle("pixels", f""", packed AS (SELECT * REPLACE (row // 16 AS row) FROM pixels), size AS (SELECT image, min(row) AS row0, min(col) AS col0, greatest(1, ceil((greatest(max(row) - min(row), max(col) - min(col)) + 1) / 64)) AS step FROM packed GROUP BY image),
+small AS (SELECT image, row, {FLOATS['ratio']} AS ratio FROM packed JOIN size USING (image) WHERE (row - row0) % step = 0 AND (col - col0) % step = 0),
+q AS (SELECT image, quantile_cont(ratio, 0.02) AS lo, quantile_cont(ratio, 0.98) AS hi FROM small GROUP BY image)
+SELECT image, count(*) AS n, CAST(sum(coalesce(round_even(least(greatest((ratio - lo) / (hi - lo), 0), 1) * 255, 0), 0)) AS BIGINT) AS sum, max(row) AS last FROM small JOIN q USING (image) GROUP BY image"""),
     ),
     "r15_paired_bounds": (
         r15_paired_bounds,
