@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,9 @@ from geoloom.llm.tables import NARROW_ROWS, cut, join_small, read
 
 SCALE, LEAST_DOCS, TOP = 1_000_000_000, 3, 200
 #: Entries of a task's dictionaries at which they are handed on, and bytes of a text counted at once.
-HELD, PIECE = 500_000, 1 << 20
+HELD, PIECE = 1_000_000, 1 << 20
+#: A term's occurrences and documents held as one number: a document counts as this many occurrences.
+_DOC = 1 << 40
 #: ASCII letters in lower case and all bytes beyond ASCII stay; anything else parts terms.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
@@ -51,29 +54,27 @@ def term_counts(text: str) -> Counter:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, source, term, its occurrences and documents; once a task and group a row with a null term."""
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    held: dict[tuple[str, str], dict[bytes, int]] = {}
     groups: set[tuple[str, str]] = set()
 
     def handed() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs) in held.items():
-            terms = list(n)
+        for (lang, source), own in held.items():
+            terms, both = list(own), np.fromiter(own.values(), np.int64, len(own))
             for i in range(0, len(terms), 50_000):
-                own = terms[i : i + 50_000]
-                names = pa.array(own, pa.binary()).cast(pa.string())
+                names, part = pa.array(terms[i : i + 50_000], pa.binary()).cast(pa.string()), both[i : i + 50_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(lang, len(own)), pa.repeat(source, len(own)), names, pa.array([n[t] for t in own], pa.int64()), pa.array([docs[t] for t in own], pa.int64())],
-                    schema=_COUNTS,
+                    [pa.repeat(lang, len(part)), pa.repeat(source, len(part)), names, pa.array(part % _DOC), pa.array(part // _DOC)], schema=_COUNTS
                 )
 
     for batch in batches:
         for text, lang, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             key = (lang or "", source or "")
             groups.add(key)
-            n, docs = held.setdefault(key, (Counter(), Counter()))
-            found = term_counts(text or "")
-            n.update(found)
-            docs.update(found.keys())
-        if sum(len(n) for n, _ in held.values()) > HELD:
+            own = held.setdefault(key, {})
+            get = own.get
+            for term, n in term_counts(text or "").items():
+                own[term] = get(term, 0) + n + _DOC
+        if sum(map(len, held.values())) > HELD:
             yield from handed()
             held.clear()
     yield from handed()
@@ -84,8 +85,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def share(count: Column, whole: Column) -> Column:
-    """1 + SCALE * (count + 1) div whole, exactly."""
-    return F.lit(1) + F.call_function("div", (count + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(18,0)"), whole.cast("decimal(20,0)"))
+    """1 + SCALE * (count + 1) div whole, exactly: by longs where the product is one, else by decimals."""
+    long = F.call_function("div", (count + 1) * F.lit(SCALE).cast("bigint"), whole)
+    wide = F.call_function("div", (count + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(18,0)"), whole.cast("decimal(20,0)"))
+    return F.lit(1) + F.when(count < (1 << 63) // SCALE - 1, long).otherwise(wide)
 
 
 def gap(p: Column, q: Column) -> Column:
@@ -113,8 +116,9 @@ def joint_histograms(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, a, b, c, d, terms: of each two sources a < b of a language, how many kept terms have count c in a and d
     in b, cells with zeros included."""
     signatures = cut(kept.groupBy("lang", "cells").agg(F.count("*").alias("m")), "divergence-signatures")
-    one = signatures.select("lang", "cells", "m", F.explode("cells").alias("x"))
-    two = one.select("lang", "m", "x", F.explode(F.filter("cells", lambda y: y["source"] > F.col("x")["source"])).alias("y"))
+    one = signatures.select("lang", "cells", "m", F.posexplode("cells").alias("i", "x"))
+    # Cells stand in order of their sources: those behind a cell are its pairs.
+    two = one.select("lang", "m", "x", F.explode(F.slice("cells", F.col("i") + 2, F.size("cells"))).alias("y"))
     both = two.groupBy("lang", F.col("x.source").alias("a"), F.col("y.source").alias("b"), F.col("x.c").alias("c"), F.col("y.c").alias("d"))
     both = cut(both.agg(F.sum("m").alias("terms")), "divergence-both")
     margin = one.groupBy("lang", F.col("x.source").alias("source"), F.col("x.c").alias("c")).agg(F.sum("m").alias("terms"))
