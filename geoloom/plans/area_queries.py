@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from geoloom.operators import areas as A
+from geoloom.operators import layout
+from geoloom.plans.scene_queries import DATELINE, END, IN_DAYS, MEETS_DATELINE, START
 from geoloom.plans.views import oracle, view
+from geoloom.request import PullRequest
+from geoloom.tables import shared_dir
 
 
 def j04_areas_meet_scenes(spark, sf_dir):
@@ -32,6 +38,14 @@ def g11_split_rings(spark, sf_dir):
     return pieces.withColumn("side", F.when(crossing & west, "east").otherwise("west")).groupBy("area_id", "side").agg(F.round(F.sum("area"), 6).alias("area"))
 
 
+def f08_pruned_search(spark, sf_dir):
+    """A request's scenes from the table by month and curve, by source and month."""
+    at = f"{shared_dir(spark)}/scenes-{uuid.uuid4().hex}"
+    layout.write(view(spark, sf_dir, "scenes"), at)
+    found = layout.search(spark, at, PullRequest(START, END, DATELINE))
+    return found.groupBy("source", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.sum("ord").alias("sum_ord"))
+
+
 def _by_area():
     from pyspark.sql import Window
 
@@ -67,6 +81,10 @@ hits AS (SELECT * FROM boxed UNION ALL SELECT * FROM spotted)"""
 _POINTS = """, scenes AS (SELECT ord, lon, lat, 'point' AS geometry_kind, lon AS west, lon AS east, lat AS south, lat AS north FROM detections)"""
 
 QUERIES = {
+    "f08_pruned_search": (
+        f08_pruned_search,
+        oracle("scenes", f" SELECT source, strftime(ts, '%Y-%m') AS month, count(*) AS n, CAST(sum(ord) AS BIGINT) AS sum_ord FROM scenes WHERE {IN_DAYS} AND {MEETS_DATELINE} GROUP BY ALL"),
+    ),
     "j04_areas_meet_scenes": (j04_areas_meet_scenes, oracle("areas scenes", _EDGES + _HITS + " SELECT area_id, ord FROM hits")),
     "f05_areas_hold_detections": (f05_areas_hold_detections, oracle("areas detections", _POINTS + _EDGES + _HITS + " SELECT area_id, ord AS event_id FROM hits")),
     "j04_scenes_per_area": (
