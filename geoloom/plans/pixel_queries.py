@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from geoloom.functions import spectral as R
 from geoloom.operators import pixels as P
+from geoloom.operators.network import Network, segmented
 from geoloom.operators.quantiles import quantiles
 from geoloom.plans.views import oracle, view
 from geoloom.tables import read
@@ -160,6 +162,54 @@ def r12_pool_and_skip(spark, sf_dir):
     return x.join(up.withColumnRenamed("value", "up"), ["image", "row", "col"]).select("image", "row", "col", F.round(F.col("value") + F.col("up"), 6).alias("value"))
 
 
+def _kernels(outputs: int, inputs: int, seed: int):
+    """Kernels and biases by a rule, in eighths: sums of them are exact."""
+    k = [[[[((o * 5 + i * 3 + a * 7 + b * 2 + seed) % 9 - 4) / 8 for b in range(3)] for a in range(3)] for i in range(inputs)] for o in range(outputs)]
+    return np.array(k), np.array([((o + seed) % 5 - 2) / 8 for o in range(outputs)])
+
+
+NETWORK = Network(_kernels(2, 2, 1), _kernels(2, 2, 4), _kernels(2, 4, 2), _kernels(3, 2, 5), np.array([2.0, 1.0]), np.array([4.0, 2.0]), 0.5)
+
+
+def r12_forward_pass(spark, sf_dir):
+    """Labels of a whole network over images of 64 by 64, in squares of 32."""
+    x = _raster(spark, sf_dir).withColumn("other", (F.col("row") * 3 + F.col("col")) % 11)
+    return segmented(x, ["value", "other"], NETWORK, side=32)
+
+
+def _forward_sql() -> str:
+    """The same layer by layer: neighbours by a join on clamped places, channels as columns."""
+
+    def layer(source: str, name: str, inputs: list[str], kernel, bias, h: str, w: str, positive: bool) -> str:
+        sums = []
+        for o in range(len(bias)):
+            terms = " + ".join(
+                f"{i} * CASE {' '.join(f'WHEN d.a = {a} AND d.b = {b} THEN {kernel[o][n][a][b]}' for a in range(3) for b in range(3))} END" for n, i in enumerate(inputs)
+            )
+            sums.append(f"{'greatest(0, ' if positive else '('}{bias[o]} + sum({terms})) AS c{o}")
+        return f"""{name}_near AS MATERIALIZED (SELECT p.image, p.row, p.col, d.a, d.b, least(greatest(p.row + d.a - 1, 0), {h} - 1) AS nr, least(greatest(p.col + d.b - 1, 0), {w} - 1) AS nc
+  FROM {source} p JOIN sizes s USING (image) CROSS JOIN d),
+{name} AS MATERIALIZED (SELECT d.image, d.row, d.col, {', '.join(sums)} FROM {name}_near d JOIN {source} n ON n.image = d.image AND n.row = d.nr AND n.col = d.nc GROUP BY ALL)"""
+
+    full = ["s.h + s.h % 2", "s.w + s.w % 2"]
+    half = [f"({x}) // 2" for x in full]
+    parts = [
+        "d AS (SELECT a, b FROM (SELECT unnest(range(3)) AS a), (SELECT unnest(range(3)) AS b))",
+        "sizes AS (SELECT image, max(row) + 1 AS h, max(col) + 1 AS w FROM raster GROUP BY image)",
+        "places AS (SELECT image, h, w, row, unnest(range(w + w % 2)) AS col FROM (SELECT *, unnest(range(h + h % 2)) AS row FROM sizes))",
+        """x AS MATERIALIZED (SELECT p.image, p.row, p.col, (coalesce(r.value, 0) * 0.5 - 2) / 4 AS u, (CASE WHEN r.value IS NULL THEN 0 ELSE (r.row * 3 + r.col) % 11 END * 0.5 - 1) / 2 AS v
+  FROM places p LEFT JOIN raster r ON r.image = p.image AND r.row = least(p.row, p.h - 1) AND r.col = least(p.col, p.w - 1))""",
+        layer("x", "e", ["n.u", "n.v"], *NETWORK.first, *full, True),
+        "pool AS MATERIALIZED (SELECT image, row // 2 AS row, col // 2 AS col, max(c0) AS c0, max(c1) AS c1 FROM e GROUP BY ALL)",
+        layer("pool", "mid", ["n.c0", "n.c1"], *NETWORK.middle, *half, True),
+        "up AS MATERIALIZED (SELECT e.image, e.row, e.col, m.c0 AS m0, m.c1 AS m1, e.c0 AS e0, e.c1 AS e1 FROM e JOIN mid m ON m.image = e.image AND m.row = e.row // 2 AND m.col = e.col // 2)",
+        layer("up", "dec", ["n.m0", "n.m1", "n.e0", "n.e1"], *NETWORK.joined, *full, True),
+        layer("dec", "top", ["n.c0", "n.c1"], *NETWORK.head, *full, False),
+    ]
+    return _PIXEL + ", " + ",\n".join(parts) + """
+SELECT image, row, col, CAST(CASE WHEN c0 >= c1 AND c0 >= c2 THEN 0 WHEN c1 >= c2 THEN 1 ELSE 2 END AS INT) AS label FROM top JOIN raster USING (image, row, col)"""
+
+
 _DN = "CASE WHEN {b} <> 0 THEN CAST({b} AS DOUBLE) * 1e-4 - 1e-1 END"
 _REFL = "refl AS (SELECT image, row, col, " + ", ".join(f"{_DN.format(b=b)} AS {b}" for b in ("red", "green", "nir", "swir22")) + " FROM pixels)"
 _ND = "({a} - {b}) / nullif({a} + {b}, 0)"
@@ -263,6 +313,7 @@ SELECT image, count(*) AS area, min(row) AS row0, min(col) AS col0, max(row) AS
         _PIXEL + """ SELECT a.image, a.row, a.col, round(greatest(0, 0.5 + coalesce(sum(CASE WHEN b.row = a.row AND b.col = a.col THEN -4 * b.value ELSE b.value END), 0)), 6) AS value
 FROM raster a JOIN raster b ON a.image = b.image AND abs(a.row - b.row) + abs(a.col - b.col) <= 1 GROUP BY a.image, a.row, a.col""",
     ),
+    "r12_forward_pass": (r12_forward_pass, _forward_sql()),
     "r12_pool_and_skip": (
         r12_pool_and_skip,
         _PIXEL + """, pool AS (SELECT image, row // 2 AS row, col // 2 AS col, max(value) AS value FROM raster GROUP BY ALL),
