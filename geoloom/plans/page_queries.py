@@ -13,7 +13,7 @@ from geoloom.operators import manifest as M
 from geoloom.plans.views import oracle, view
 from geoloom.sources import landed
 from geoloom.sources.stac import features
-from geoloom.tables import shared_dir
+from geoloom.tables import resolved, shared_dir
 
 SIZE, FIRST = 100, 3
 
@@ -31,7 +31,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
+    return resolved(spark, f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}")
 
 
 def src02_page_source(spark, sf_dir):

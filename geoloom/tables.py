@@ -28,6 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def resolved(spark: SparkSession, path: str) -> str:
+    """path with the scheme that Spark takes for it: one without is of the default file system, not each machine's own."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back, so that later steps don't recompute it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
