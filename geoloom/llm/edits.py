@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -359,10 +359,23 @@ def _verified(least: float):
     return run
 
 
+def _narrow(print_: Column) -> Column:
+    """A fingerprint in half the bytes: its level, whether its number of digits is odd, and two digits a byte."""
+    digits = F.substring(print_, 4, 1 << 30)
+    odd = F.length(digits) % 2
+    return F.concat(F.unhex(F.concat(F.substring(print_, 1, 2), F.when(odd == 1, "01").otherwise("00"))), F.unhex(F.concat(digits, F.when(odd == 1, "0").otherwise(""))))
+
+
+def _widened(packed: bytes) -> str:
+    digits = packed[2:].hex()
+    return f"{packed[:1].hex()}:{digits[:-1] if packed[1] else digits}"
+
+
 def _pairs_alike(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [likeness(a, b) >= least for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            pairs = zip(*(map(_widened, batch.column(i).to_pylist()) for i in (2, 3)), strict=True)
+            keep = [likeness(a, b) >= least for a, b in pairs]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -380,7 +393,7 @@ def links(prints: DataFrame, least: float = LIKE, tile: int = TILE) -> DataFrame
     entries = cut(entries.join(shared, "band"), "edit-bands")
     hub = entries.groupBy("band").agg(F.min("k").alias("u"))
     pairs = entries.join(hub, "band").filter("k <> u").select("u", F.col("k").alias("v")).distinct()
-    print_of = lambda c: prints.select(F.col("k").alias(c), F.col("fingerprint").alias(f"print_{c}"))
+    print_of = lambda c: prints.select(F.col("k").alias(c), _narrow(F.col("fingerprint")).alias(f"print_{c}"))
     met = pairs.join(print_of("u"), "u").join(print_of("v"), "v").select("u", "v", "print_u", "print_v")
     edges = cut(met.mapInArrow(_pairs_alike(least), "u bigint, v bigint"), "edit-edges")
     placed = entries.join(components(edges).withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
@@ -409,5 +422,14 @@ def near_copies(docs: DataFrame, least: float = LIKE) -> DataFrame:
     return prints.join(classes(prints, least), "fingerprint").select("doc_id", "fingerprint", "class_id")
 
 
+def with_classes(docs: DataFrame, least: float = LIKE) -> DataFrame:
+    """SCHEMA and class_id of every row of docs: what near_next gives, and the class of its near copies."""
+    rows = cut(near_next(docs), "edit-rows")
+    found = classes(rows.select("doc_id", "fingerprint"), least)
+    # Fingerprints are told apart by a hash in classes() too: rows meet their classes on it.
+    keyed = rows.withColumn("k", F.xxhash64("fingerprint"))
+    return keyed.join(found.select(F.xxhash64("fingerprint").alias("k"), "class_id"), "k").drop("k")
+
+
 def op8_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_next(read(spark, sf_dir, "documents"))
+    return with_classes(read(spark, sf_dir, "documents"))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from geoloom.llm import edits
@@ -81,3 +82,42 @@ def test_rows_of_one_id_and_of_none(spark):
     got = sorted((str(r.doc_id), r.class_id) for r in edits.near_copies(df).collect())
     assert got == [("4", 4), ("7", 7), ("7", 7), ("8", 8), ("None", 4), ("None", 4)]
     assert edits.near_next(df.limit(0)).count() == 0 and edits.near_copies(df.limit(0)).count() == 0
+
+
+def slow_print(text):
+    """The embedding step by step: a pointer that rests or moves on, then the steps of the text's level."""
+    mix = lambda x: int(edits._mix(np.array([x], np.uint64))[0])
+    shown, at, rested, step = [], 0, 0, 0
+    while at < len(text):
+        shown.append(ord(text[at]))
+        rested += 1
+        if edits._move[mix(ord(text[at])) >> 58][step % edits.PERIOD] or rested == edits.REST:
+            at, rested = at + 1, 0
+        step += 1
+    level = 0
+    while len(shown) > edits.SAMPLES << level:
+        level += 1
+    kept = [(s, c) for s, c in enumerate(shown) if mix((s + 0x9E3779B97F4A7C15) % 2**64) % (1 << level) == 0]
+    return f"{level:02d}:" + "".join("0123456789abcdef"[mix(((c << 32) + s) % 2**64) >> 60] for s, c in kept)
+
+
+def test_the_walk_step_by_step():
+    rng = random.Random(9)
+    texts = [None, "", "a", "zz", "日本語 и ещё", "x" * 700, *("".join(rng.choice("abc defg\né") for _ in range(n)) for n in (7, 64, 300, 1100, 2600))]
+    for t in texts:
+        assert edits.fingerprint(t or "") == slow_print(t or "")
+
+
+def test_the_query_has_classes(spark):
+    docs = read(spark, SF, "documents")
+    got = {r.doc_id: r for r in edits.with_classes(docs).collect()}
+    want = {r.doc_id: r.class_id for r in edits.near_copies(docs).collect()}
+    assert {i: r.class_id for i, r in got.items()} == want and len(set(want.values())) < len(want)
+    plain = {r.doc_id: r for r in edits.near_next(docs).collect()}
+    assert all(got[i][n] == r[n] for i, r in plain.items() for n in edits._NAMES)
+
+
+def test_narrow_fingerprints(spark):
+    prints = ["00:", "00:a", "03:0f9", "12:abcdef01"]
+    df = spark.createDataFrame([(x,) for x in prints], "x string")
+    assert [edits._widened(bytes(r[0])) for r in df.select(edits._narrow(F.col("x"))).collect()] == prints
