@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from geoloom.tables import BROADCAST_ROWS, cut, join_checked, once, read, shared_dir
+from geoloom.tables import BROADCAST_ROWS, cut, join_checked, once, read, resolved, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "NARROW_ROWS", "WORD", "cut", "fresh", "join_small", "once", "read", "shared_dir"]
+__all__ = ["BROADCAST_ROWS", "NARROW_ROWS", "WORD", "cut", "fresh", "join_small", "once", "read", "resolved", "shared_dir"]
 
 #: A word: a run of anything but the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"

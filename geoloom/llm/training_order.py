@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoloom.llm import pieces
-from geoloom.llm.tables import NARROW_ROWS, cut, join_small, read, shared_dir
+from geoloom.llm.tables import NARROW_ROWS, cut, join_small, read, resolved, shared_dir
 
 LENGTH, PER_SHARD, ROUNDS = 2_048, 4_096, 6
 KEY = "order-1"
@@ -300,10 +300,13 @@ def read_tokens(index: DataFrame, path: str, stride: int) -> DataFrame:
 
 
 def records(path: str, slot: int, stride: int, per_shard: int = PER_SHARD) -> Iterator[bytes]:
-    """The records of the files in path from a slot on, in order: one seek, then sequential reads."""
+    """The records of the files in path from a slot on, in order: one seek, then sequential reads. A shard that is missing
+    before the last one is an error."""
     own, folder = _place(path)
     shard, skip = slot // per_shard, slot % per_shard * stride
-    while own.get_file_info(f"{folder}/{shard_file(shard)}").type == fs.FileType.File:
+    there = {f.base_name for f in own.get_file_info(fs.FileSelector(folder))}
+    last = max((int(n[6:-4]) for n in there if n.startswith("shard-") and n.endswith(".bin")), default=-1)
+    while shard <= last:
         with own.open_input_file(f"{folder}/{shard_file(shard)}") as source:
             source.seek(min(skip, source.size()))
             while raw := source.read(stride):
@@ -313,7 +316,7 @@ def records(path: str, slot: int, stride: int, per_shard: int = PER_SHARD) -> It
 
 def materialise(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: str = KEY, model: str = pieces.MODEL) -> DataFrame:
     """Writes docs as the tokenizer's ids to shards in path; SCHEMA of every sequence, its tokens as the files have them."""
-    coder = tokenizer(model)
+    coder, path = tokenizer(model), resolved(docs.sparkSession, path)
     ordered = _dealt(docs, length, per_shard, key, coder)
     return read_tokens(_written(ordered, path), path, coder.stride(length))
 

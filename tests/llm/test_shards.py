@@ -138,3 +138,17 @@ def test_byte_offsets_point_into_the_files(spark, tmp_path, scheme):
             assert any(held[0][k : k + len(ids)] == ids for k in range(len(held[0])))
     assert sum(r.n_tokens for r in rows) == sum(len(sp.encode(t)) + 1 for t in texts.values())
     assert all((np.frombuffer(r.tokens, "<u2")[r.n_tokens :] == pad).all() for r in rows)
+
+
+def test_a_missing_shard_is_an_error(tmp_path):
+    for k in (0, 2):
+        (tmp_path / training_order.shard_file(k)).write_bytes(bytes([k]) * 64)
+    (tmp_path / ".shard-00000009.bin.part").write_bytes(b"")
+    assert len(list(training_order.records(str(tmp_path), 9, 16, 4))) == 3
+    with pytest.raises(FileNotFoundError):
+        list(training_order.records(str(tmp_path), 0, 16, 4))
+
+
+def test_folders_are_those_that_spark_takes_them_for(spark, tmp_path):
+    assert training_order.resolved(spark, str(tmp_path)) == f"file:{tmp_path}"
+    assert training_order.resolved(spark, f"file://{tmp_path}").startswith("file:/")
