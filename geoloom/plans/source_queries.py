@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from geoloom.operators import manifest
-from geoloom.plans.scene_queries import DATELINE
+from geoloom.plans.scene_queries import DATELINE, MEETS_DATELINE
 from geoloom.plans.views import oracle, view
 from geoloom.request import BBox, PullRequest
 from geoloom.sources import listings, registry, stac
@@ -215,6 +215,40 @@ def src12_catalog_tree(spark, sf_dir):
     return P.tree_items(ev, acq, own, r).select("id")
 
 
+#: Nodes of each level above the items.
+_WIDE = (4, 20, 100, 500, 2500)
+
+
+def _nodes(spark, sf_dir):
+    """A tree of six levels: scenes by the remainder of their number, up to the top. The extent of a catalog with a scene
+    across 180 degrees is not known."""
+    s = view(spark, sf_dir, "scenes").withColumn("day", F.col("ts").cast("date"))
+    name = lambda k: F.concat(F.lit(f"L{k}-"), (F.col("ord") % _WIDE[k]).cast("string"))
+    edge = lambda f, c: F.when(F.max(F.col("west") > F.col("east")), None).otherwise(f(c)).alias(c)
+    nodes = s.select(F.concat(F.lit("I-"), F.col("ord").cast("string")).alias("id"), name(4).alias("parent"), F.lit(True).alias("leaf"), "west", "south", "east", "north", F.col("day").alias("first"), F.col("day").alias("last"))
+    for k in range(5):
+        above = name(k - 1) if k else F.lit(None).cast("string")
+        extent = [edge(F.min, "west"), edge(F.min, "south"), edge(F.max, "east"), edge(F.max, "north"), F.min("day").alias("first"), F.max("day").alias("last")]
+        nodes = nodes.unionByName(s.groupBy(name(k).alias("id"), above.alias("parent"), F.lit(False).alias("leaf")).agg(*extent))
+    return nodes
+
+
+def src12_deep_tree(spark, sf_dir):
+    return Source.of("maxar_opendata").search(_nodes(spark, sf_dir), PullRequest(dt.date(1995, 1, 1), dt.date(1995, 12, 31), DATELINE)).select("id", "collection", "kind", "west", "east")
+
+
+def _deep_sql() -> str:
+    parts = ["SELECT 'I-' || ord AS id, 'L4-' || ord % 2500 AS parent, TRUE AS leaf, west, south, east, north, CAST(ts AS DATE) AS first, CAST(ts AS DATE) AS last FROM scenes"]
+    for k, n in enumerate(_WIDE):
+        above = f"'L{k - 1}-' || ord % {_WIDE[k - 1]}" if k else "CAST(NULL AS VARCHAR)"
+        edges = ", ".join(f"CASE WHEN NOT bool_or(west > east) THEN {f}({c}) END AS {c}" for f, c in (("min", "west"), ("min", "south"), ("max", "east"), ("max", "north")))
+        parts.append(f"SELECT 'L{k}-' || ord % {n}, {above}, FALSE, {edges}, min(CAST(ts AS DATE)), max(CAST(ts AS DATE)) FROM scenes GROUP BY 1, 2")
+    return f""", nodes AS ({" UNION ALL ".join(parts)}),
+asked AS MATERIALIZED (SELECT * FROM nodes WHERE (west IS NULL OR {MEETS_DATELINE}) AND first <= DATE '1995-12-31' AND last >= DATE '1995-01-01'),
+walk AS (SELECT * FROM asked WHERE parent IS NULL UNION ALL SELECT a.* FROM asked a JOIN walk w ON a.parent = w.id AND NOT w.leaf)
+SELECT id, parent AS collection, 'optical' AS kind, west, east FROM walk WHERE leaf"""
+
+
 def src21_registry(spark, sf_dir):
     return registry.sources(spark).groupBy("family", "kind").agg(F.count("*").alias("n"))
 
@@ -345,6 +379,7 @@ e2 AS (SELECT id FROM ev WHERE (id % 7 = 0 OR (north >= -45 AND south <= 45 AND
 a2 AS (SELECT id FROM acq WHERE parent IN (SELECT id FROM e2) AND north >= -45 AND south <= 45 AND (east >= 150 OR west <= -140) AND first <= DATE '1995-12-31' AND last >= DATE '1995-01-01')
 SELECT id FROM own WHERE parent IN (SELECT id FROM a2) AND north >= -45 AND south <= 45 AND (east >= 150 OR west <= -140) AND CAST(ts AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'"""),
     ),
+    "src12_deep_tree": (src12_deep_tree, oracle("scenes", _deep_sql()).replace("WITH ", "WITH RECURSIVE ", 1)),
     "src01_one_call": (
         src01_one_call,
         oracle("scenes", f""", own AS (SELECT ord, ts, {_BOX}, {_CLOUD} {_OK})

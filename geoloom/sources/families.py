@@ -18,7 +18,7 @@ from geoloom.functions.geo import Box, intersects
 from geoloom.functions.times import within_days
 from geoloom.operators.scenes import cloud_within
 from geoloom.request import PullRequest
-from geoloom.sources import listings, payloads, registry, stac
+from geoloom.sources import listings, payloads, registry, stac, trees
 
 #: Sources that share a collection and take one platform of it; bands that are named by a source itself, the
 #: first of the assets that an item has.
@@ -33,7 +33,7 @@ OVERRIDES: dict[str, dict] = {
 @dataclass(frozen=True)
 class Source:
     """payloads of a search, by family: stac, cmr, grid: ord, item (JSON text); firms: area, last, line_no, line; goes:
-    bucket, key; himawari: key; gibs: none (a session's DataFrame of any kind)."""
+    bucket, key; himawari: key; gibs: none (a session's DataFrame of any kind); tree: the nodes that `trees` walks."""
 
     name: str
     family: str
@@ -66,7 +66,17 @@ class Source:
             return (listings.goes_search if self.name == "goes" else listings.himawari_search)(landed, request, now)
         if self.family == "gibs":
             return payloads.previews(landed.sparkSession, request, self.collection)
-        raise NotImplementedError(f"{self.name}: its catalog is a tree, see payloads.tree_items")
+        if self.family == "tree":
+            return self._limited(self._tree(landed, request), request)
+        raise ValueError(f"{self.name}: no family {self.family}")
+
+    def _tree(self, nodes: DataFrame, request: PullRequest) -> DataFrame:
+        """Items by the walk of their catalogs; an item's collection is the catalog it hangs on."""
+        found = trees.items(nodes, request)
+        return found.select(
+            F.xxhash64("id").alias("ord"), "id", F.lit(self.name).alias("source"), F.coalesce(F.lit(self.collection), "parent").alias("collection"), F.lit(self.kind).alias("kind"),
+            F.col("first").cast("timestamp").alias("ts"), *Box._fields, F.lit("bbox").alias("geometry_kind"), F.lit(self.gsd_m).cast("double").alias("gsd_m"), F.lit(None).cast("double").alias("cloud"),
+        )
 
     def _stac(self, items: DataFrame) -> DataFrame:
         found = stac.scenes(items, source=self.name, collection=self.collection, kind=self.kind, gsd_m=self.gsd_m, platform=self.collection)
