@@ -6,14 +6,15 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from geoloom.operators import manifest
+from geoloom.functions.geo import Box, intersects
+from geoloom.operators import manifest, pull
 from geoloom.plans.scene_queries import DATELINE, MEETS_DATELINE
 from geoloom.plans.views import oracle, view
 from geoloom.request import BBox, PullRequest
 from geoloom.sources import listings, registry, stac
 from geoloom.sources import payloads as P
 from geoloom.sources.families import Source
-from geoloom.tables import read
+from geoloom.tables import join_checked, read
 
 
 def _items(spark, sf_dir):
@@ -192,8 +193,12 @@ def n05_himawari_slots(spark, sf_dir):
 
 
 def src08_day_previews(spark, sf_dir):
-    r = PullRequest(dt.date(2024, 2, 20), dt.date(2024, 3, 10), DATELINE, limit=15)
-    return P.previews(spark, r, "MODIS_Terra").select("id", F.col("ts").cast("timestamp_ntz").alias("ts"), "west", "east", "width", "height")
+    """Of each day's previews, on either side of 180 degrees, the scenes that they show something of."""
+    r = PullRequest(dt.date(1995, 2, 20), dt.date(1995, 3, 10), DATELINE, limit=15)
+    shown = P.previews(spark, r, "MODIS_Terra").select("id", F.col("ts").cast("date").alias("day"), Box.col().struct().alias("shown"), "width", "height")
+    scenes = view(spark, sf_dir, "scenes").select("ord", *Box._fields, F.col("ts").cast("date").alias("day"))
+    met = join_checked(scenes, shown, ["day"]).filter(intersects(Box.col("shown"), Box.col()))
+    return met.groupBy("id", "day", "width", "height").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"))
 
 
 def src11_listing_pages(spark, sf_dir):
@@ -250,7 +255,21 @@ SELECT id, parent AS collection, 'optical' AS kind, west, east FROM walk WHERE l
 
 
 def src21_registry(spark, sf_dir):
-    return registry.sources(spark).groupBy("family", "kind").agg(F.count("*").alias("n"))
+    """Scenes dealt to the sources of the registry: how many each kind and family would have to read."""
+    known = registry.sources(spark).select("source", "family", "kind")
+    place = {r[0]: i for i, r in enumerate(registry.rows())}
+    numbered = known.withColumn("place", F.create_map(*[F.lit(x) for kv in place.items() for x in kv])[F.col("source")])
+    s = view(spark, sf_dir, "scenes").select(F.pmod("ord", F.lit(len(place))).cast("int").alias("place"), "ts")
+    return join_checked(s, numbered, ["place"]).groupBy("family", F.col("kind")).agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"), F.max("ts").alias("newest"))
+
+
+def t01_search_and_estimate(spark, sf_dir):
+    """Three optical sources in one call, of which one has nothing landed; a quarter of what is found is there."""
+    landed = {"sentinel2": _items(spark, sf_dir), "hls_sentinel": _items(spark, sf_dir).filter("ord % 3 = 0")}
+    r = PullRequest(dt.date(1995, 1, 1), dt.date(1995, 12, 31), DATELINE, max_cloud=50)
+    scenes, errors = pull.search(landed, r, "optical", ["sentinel2", "hls_sentinel", "naip"])
+    present = view(spark, sf_dir, "scenes").filter("ord % 4 = 0").select(F.lit("sentinel2").alias("source"), F.concat(F.lit("I"), F.col("ord").cast("string")).alias("scene"))
+    return pull.estimated(scenes, errors, present).select("source", "error", "n_scenes", "cloud", "scene_count", "known_bytes", "unknown_scenes", "already_present")
 
 
 def _grid_files(spark, sf_dir):
@@ -366,8 +385,10 @@ UNION ALL SELECT ord, k, 'https://e.x/' || substr(k, 1, 1), NULL, NULL, NULL, NU
     ),
     "src08_day_previews": (
         src08_day_previews,
-        """WITH d AS (SELECT CAST(unnest(generate_series(DATE '2024-02-20', DATE '2024-03-05', INTERVAL 1 DAY)) AS TIMESTAMP) AS ts), p(side, west, east, width) AS (VALUES ('east', 150.0, 180.0, 171), ('west', -180.0, -140.0, 228))
-SELECT 'MODIS_Terra:' || strftime(ts, '%Y-%m-%d') || ':' || side AS id, ts, west, east, CAST(width AS INT) AS width, CAST(512 AS INT) AS height FROM d, p""",
+        oracle("scenes", """, p(side, w, e, width) AS (VALUES ('east', 150.0, 180.0, 171), ('west', -180.0, -140.0, 228))
+SELECT 'MODIS_Terra:' || strftime(ts, '%Y-%m-%d') || ':' || side AS id, CAST(ts AS DATE) AS day, CAST(width AS INT) AS width, CAST(512 AS INT) AS height, count(*) AS n, min(ord) AS first_ord
+FROM scenes, p WHERE CAST(ts AS DATE) BETWEEN DATE '1995-02-20' AND DATE '1995-03-06' AND north >= -45 AND south <= 45
+  AND ((west <= e AND w <= CASE WHEN west > east THEN 180 ELSE east END) OR (west > east AND -180 <= e AND w <= east)) GROUP BY ALL"""),
     ),
     "src11_listing_pages": (src11_listing_pages, "SELECT p_partkey % 40 AS page, CAST(CASE WHEN p_partkey % 40 % 10 = 9 THEN 0 ELSE count(*) END AS INT) AS n_keys, CAST(CASE WHEN p_partkey % 40 % 10 = 9 THEN 0 ELSE 1 END AS INT) AS n_prefixes FROM part GROUP BY p_partkey % 40"),
     "src12_catalog_tree": (
@@ -406,7 +427,18 @@ QUALIFY row_number() OVER (PARTITION BY name, id ORDER BY ord % 2, ord) = 1"""),
     ),
     "src21_registry": (
         src21_registry,
-        """SELECT family, kind, CAST(n AS BIGINT) AS n FROM (VALUES ('cmr', 'landcover', 1), ('cmr', 'optical', 2), ('cmr', 'thermal', 1), ('firms', 'detection', 5), ('gibs', 'browse', 7), ('gibs', 'thermal', 1), ('grid', 'landsurface', 1), ('listing', 'optical', 2), ('stac', 'altimetry', 1), ('stac', 'atmosphere', 4), ('stac', 'dem', 3), ('stac', 'detection', 1), ('stac', 'landcover', 3), ('stac', 'lidar', 2), ('stac', 'optical', 19), ('stac', 'precipitation', 1), ('stac', 'sar', 3), ('stac', 'thermal', 3), ('tree', 'optical', 1)) AS t(family, kind, n)""",
+        oracle("scenes", ", known(place, family, kind) AS (VALUES " + ", ".join(f"({i}, '{r[1]}', '{r[5]}')" for i, r in enumerate(registry.rows())) + f""")
+SELECT k.family, k.kind, count(*) AS n, count(DISTINCT place) AS sources, max(ts) AS newest FROM scenes JOIN known k ON place = ord % {len(registry.rows())} GROUP BY ALL"""),
+    ),
+    "t01_search_and_estimate": (
+        t01_search_and_estimate,
+        oracle("scenes", f""", own AS (SELECT ord, ts, {_BOX}, {_CLOUD} {_OK}),
+found AS (SELECT * FROM own WHERE north >= -45 AND south <= 45 AND CASE WHEN west <= east THEN east >= 150 OR west <= -140 ELSE true END
+  AND CAST(ts AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1995-12-31' AND (cloud IS NULL OR cloud <= 50)),
+both_sources AS (SELECT 'sentinel2' AS source, * FROM found UNION ALL SELECT 'hls_sentinel', * FROM found WHERE ord % 3 = 0)
+SELECT source, CAST(NULL AS VARCHAR) AS error, count(*) AS n_scenes, min(cloud) AS cloud, count(*) FILTER (source <> 'sentinel2' OR ord % 4 <> 0) AS scene_count, CAST(0 AS BIGINT) AS known_bytes,
+  count(*) FILTER (source <> 'sentinel2' OR ord % 4 <> 0) AS unknown_scenes, count(*) FILTER (source = 'sentinel2' AND ord % 4 = 0) AS already_present FROM both_sources GROUP BY source
+UNION ALL SELECT 'naip', 'nothing has landed', NULL, NULL, NULL, NULL, NULL, NULL"""),
     ),
     "src09_goes_search": (
         src09_goes_search,
