@@ -132,20 +132,36 @@ def blobs(mask: DataFrame, least: int = LEAST_BLOB) -> DataFrame:
     return g.filter(F.col("area") >= least)
 
 
-def hulls(mask: DataFrame, least: int = LEAST_BLOB) -> DataFrame:
+#: Rows of a band that hulls begin with, and hulls merged into one at each step.
+BAND, FAN = 512, 16
+
+
+def hulls(mask: DataFrame, least: int = LEAST_BLOB, band: int = BAND, fan: int = FAN) -> DataFrame:
     """image, place, area and the convex hull (an array of col, row) of every patch that has one, the largest first.
 
-    A hull's corners are among the ends of a patch's rows: two points a row are all that is gathered."""
+    A hull's corners are among the ends of a patch's rows. Hulls of bands of rows are merged, so many at a time, until a
+    patch has one: a task holds the ends of a band, or the corners of a few hulls, whatever the patch."""
     ends = _runs(mask).groupBy("image", "blob", "row").agg(F.min("c0").alias("a"), F.max("c1").alias("b"), F.sum(F.col("c1") - F.col("c0") + 1).alias("n"))
+    large = ends.groupBy("image", "blob").agg(F.sum("n").alias("area"), F.min("row").alias("_top"), (F.max("row") - F.min("row")).alias("_high")).filter(F.col("area") >= least)
+    large = cut(large, "hull-blobs")
+    points = join_checked(ends, large, ["image", "blob"]).select(
+        "image", "blob", F.floor((F.col("row") - F.col("_top")) / band).cast("bigint").alias("part"), F.array("a", "row", "b", "row").alias("points")
+    )
+    schema = "image bigint, blob bigint, part bigint, points array<bigint>"
 
     def one(df: pd.DataFrame) -> pd.DataFrame:
-        area = int(df.n.sum())
-        points = sorted({(int(x), int(r)) for x, r in [*zip(df.a, df.row, strict=True), *zip(df.b, df.row, strict=True)]})
-        corners = _half(points) + _half(points[::-1]) if area >= least else []
-        found = [(int(df.image.iloc[0]), area, [x for p in corners for x in p])] if len(corners) >= 3 else []
-        return pd.DataFrame(found, columns=["image", "area", "points"])
-
-    found = ends.groupBy("image", "blob").applyInPandas(one, "image bigint, area bigint, points array<bigint>")
+        flat = np.concatenate([np.asarray(x, np.int64) for x in df["points"]])
+        points = sorted(set(zip(flat[::2].tolist(), flat[1::2].tolist(), strict=True)))
+        corners = _half(points) + _half(points[::-1]) if len(points) > 1 else points
+        return pd.DataFrame({"image": [df["image"].iloc[0]], "blob": [df["blob"].iloc[0]], "part": [df["part"].iloc[0]], "points": [[x for p in corners for x in p]]})
+
+    bands = (large.agg(F.max("_high")).first()[0] or 0) // band + 1
+    found = points.groupBy("image", "blob", "part").applyInPandas(one, schema)
+    while bands > 1:
+        found = found.withColumn("part", F.floor(F.col("part") / fan)).groupBy("image", "blob", "part").applyInPandas(one, schema)
+        bands = -(-bands // fan)
+    # A hull of two corners has no inside.
+    found = join_checked(found.filter(F.size("points") >= 6), large.select("image", "blob", "area"), ["image", "blob"])
     order = W.partitionBy("image").orderBy(F.col("area").desc(), F.col("points")[0], F.col("points")[1])
     return found.select("image", F.row_number().over(order).alias("place"), "area", "points")
 

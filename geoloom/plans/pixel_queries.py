@@ -146,8 +146,10 @@ def a20_blobs(spark, sf_dir):
 
 
 def a20_hulls(spark, sf_dir):
+    """The corners of each patch's hull, from bands of eight rows."""
     mask = _raster(spark, sf_dir).filter("value > 20").select("image", "row", "col")
-    return P.hulls(mask, least=8).select("image", "place", "area", F.array_join(F.transform("points", lambda x: x.cast("string")), ",").alias("points"))
+    found = P.hulls(mask, least=8, band=8, fan=2).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("points") - 1, F.lit(2))))
+    return found.select("image", "place", "area", F.col("points")[F.col("i")].alias("x"), F.col("points")[F.col("i") + 1].alias("y"))
 
 
 def r12_convolution(spark, sf_dir):
@@ -223,6 +225,9 @@ _AWAY = [f"((r - {r}) * (r - {r}) + (g - {g}) * (g - {g}) + (b - {b}) * (b - {b}
 _NEAREST = f""", classes(i, class) AS (VALUES {", ".join(f"({i}, '{c[0]}')" for i, c in enumerate(R.CENTROIDS))}), away AS (SELECT *, [{", ".join(_AWAY)}] AS d FROM pixels),
 near AS (SELECT image, row, col, list_position(d, list_min(d)) - 1 AS label FROM away)"""
 _PIXEL = "WITH n AS (SELECT l_orderkey * 4 + l_linenumber % 4 AS n, sum(l_quantity) AS value FROM lineitem GROUP BY 1), raster AS (SELECT n // 4096 AS image, n // 64 % 64 AS row, n % 64 AS col, value FROM n)"
+_BLOBS = _PIXEL.replace("WITH n", "WITH RECURSIVE n") + """, mask AS (SELECT image, row, col, image * 4096 + row * 64 + col AS id FROM raster WHERE value > 20),
+reach(id, other) AS (SELECT id, id FROM mask UNION SELECT r.id, m.id FROM reach r JOIN mask o ON o.id = r.other JOIN mask m ON m.image = o.image AND abs(m.row - o.row) + abs(m.col - o.col) = 1),
+named AS (SELECT id, min(other) AS blob FROM reach GROUP BY id)"""
 _KNOWN = "CASE WHEN {b} <> 0 OR {b}_zeros <= 0.5 THEN CAST({b} AS DOUBLE) END"
 
 QUERIES = {
@@ -302,12 +307,21 @@ SELECT CAST(label AS INT) AS label, round(2 * r, 6) AS w_r, round(2 * g, 6) AS w
     ),
     "a20_blobs": (
         a20_blobs,
-        _PIXEL.replace("WITH n", "WITH RECURSIVE n") + """, mask AS (SELECT image, row, col, image * 4096 + row * 64 + col AS id FROM raster WHERE value > 20),
-reach(id, other) AS (SELECT id, id FROM mask UNION SELECT r.id, m.id FROM reach r JOIN mask o ON o.id = r.other JOIN mask m ON m.image = o.image AND abs(m.row - o.row) + abs(m.col - o.col) = 1),
-named AS (SELECT id, min(other) AS blob FROM reach GROUP BY id)
+        _BLOBS + """
 SELECT image, count(*) AS area, min(row) AS row0, min(col) AS col0, max(row) AS row1, max(col) AS col1 FROM mask JOIN named USING (id) GROUP BY image, blob HAVING count(*) >= 4""",
     ),
-    "a20_hulls": (a20_hulls, None),
+    # A corner begins an edge: all other ends lie to one side of it, or between its two.
+    "a20_hulls": (
+        a20_hulls,
+        _BLOBS + """, sizes AS (SELECT image, blob, count(*) AS area FROM mask JOIN named USING (id) GROUP BY ALL HAVING count(*) >= 8),
+ends AS MATERIALIZED (SELECT DISTINCT image, blob, x, row AS y FROM (SELECT image, blob, row, unnest([min(col), max(col)]) AS x FROM mask JOIN named USING (id) JOIN sizes USING (image, blob) GROUP BY image, blob, row)),
+sides AS (SELECT image, blob, p.x, p.y, q.x AS qx, q.y AS qy FROM ends p JOIN ends q USING (image, blob) JOIN ends r USING (image, blob) WHERE p.x <> q.x OR p.y <> q.y GROUP BY ALL
+  HAVING bool_and((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) > 0 OR ((q.x - p.x) * (r.y - p.y) = (q.y - p.y) * (r.x - p.x) AND r.x BETWEEN least(p.x, q.x) AND greatest(p.x, q.x) AND r.y BETWEEN least(p.y, q.y) AND greatest(p.y, q.y)))),
+corners AS (SELECT DISTINCT image, blob, x, y FROM sides),
+firsts AS (SELECT image, blob, min((x, y)) AS f FROM corners GROUP BY ALL HAVING count(*) >= 3),
+placed AS (SELECT image, blob, area, row_number() OVER (PARTITION BY image ORDER BY area DESC, f[1], f[2]) AS place FROM firsts JOIN sizes USING (image, blob))
+SELECT image, CAST(place AS INT) AS place, area, x, y FROM corners JOIN placed USING (image, blob)""",
+    ),
     "r12_convolution": (
         r12_convolution,
         _PIXEL + """ SELECT a.image, a.row, a.col, round(greatest(0, 0.5 + coalesce(sum(CASE WHEN b.row = a.row AND b.col = a.col THEN -4 * b.value ELSE b.value END), 0)), 6) AS value
