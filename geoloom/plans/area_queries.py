@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from geoloom.operators import areas as A
 from geoloom.operators import layout
+from geoloom.plans.ring_sql import EDGES, HITS
 from geoloom.plans.scene_queries import DATELINE, END, IN_DAYS, MEETS_DATELINE, START
 from geoloom.plans.views import oracle, view
 from geoloom.request import PullRequest
@@ -52,32 +53,6 @@ def _by_area():
     return Window.partitionBy("area_id")
 
 
-#: Corners of each area with longitudes that run on, in order, and its edges and box.
-_EDGES = """, corners AS (SELECT area_id, unnest(ring) AS p, generate_subscripts(ring, 1) AS i FROM areas),
-plane AS (SELECT area_id, i, p[2] AS y, CASE WHEN p[1] < first - 180 THEN p[1] + 360 WHEN p[1] > first + 180 THEN p[1] - 360 ELSE p[1] END AS x
-  FROM corners JOIN (SELECT area_id, ring[1][1] AS first FROM areas) USING (area_id)),
-edges AS (SELECT area_id, x AS x1, y AS y1, lead(x) OVER o AS x2, lead(y) OVER o AS y2 FROM plane WINDOW o AS (PARTITION BY area_id ORDER BY i) QUALIFY x2 IS NOT NULL),
-boxes AS (SELECT area_id, min(x) AS w, max(x) AS e, min(y) AS s, max(y) AS n, arg_min(x, i) AS first FROM plane GROUP BY area_id),
-ringbox AS (SELECT *, CASE WHEN w < -180 THEN w + 360 ELSE w END AS rw, CASE WHEN e > 180 THEN e - 360 ELSE e END AS re, (w + e) / 2 AS middle FROM boxes)"""
-#: A ring's box and another, either of which may cross 180 degrees.
-_BOXES_MEET = """s <= north AND n >= south AND (
-  (rw <= CASE WHEN west > east THEN 180 ELSE east END AND west <= CASE WHEN rw > re THEN 180 ELSE re END)
-  OR (west > east AND rw <= east AND -180 <= CASE WHEN rw > re THEN 180 ELSE re END)
-  OR (rw > re AND -180 <= CASE WHEN west > east THEN 180 ELSE east END AND west <= re) OR (rw > re AND west > east))"""
-_HITS = """, placed AS (SELECT area_id, ord, CASE WHEN west - middle > 180 THEN west - 360 WHEN middle - west > 180 THEN west + 360 ELSE west END AS bw, south AS bs, north AS bn,
-    CASE WHEN west > east THEN east - west + 360 ELSE east - west END AS span
-  FROM scenes JOIN ringbox ON """ + _BOXES_MEET + """ WHERE geometry_kind <> 'point'),
-spots AS (SELECT area_id, ord, CASE WHEN lon - first > 180 THEN lon - 360 WHEN first - lon > 180 THEN lon + 360 ELSE lon END AS px, lat AS py
-  FROM (SELECT ord, lon, lat, lon AS west, lon AS east, lat AS south, lat AS north FROM scenes WHERE geometry_kind = 'point') JOIN ringbox ON """ + _BOXES_MEET + """),
-turned AS (SELECT p.*, x1, y1, x2, y2, (x2 - x1) * (bs - y1) - (y2 - y1) * (bw - x1) AS c1, (x2 - x1) * (bs - y1) - (y2 - y1) * (bw + span - x1) AS c2,
-    (x2 - x1) * (bn - y1) - (y2 - y1) * (bw + span - x1) AS c3, (x2 - x1) * (bn - y1) - (y2 - y1) * (bw - x1) AS c4 FROM placed p JOIN edges USING (area_id)),
-boxed AS (SELECT area_id, ord FROM turned GROUP BY area_id, ord
-  HAVING bool_or(least(x1, x2) <= bw + span AND greatest(x1, x2) >= bw AND least(y1, y2) <= bn AND greatest(y1, y2) >= bs AND least(c1, c2, c3, c4) <= 0 AND greatest(c1, c2, c3, c4) >= 0)
-    OR count(*) FILTER ((y1 > bs) <> (y2 > bs) AND bw < (x2 - x1) * (bs - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1),
-spotted AS (SELECT area_id, ord FROM spots JOIN edges USING (area_id) GROUP BY area_id, ord
-  HAVING bool_or(abs((x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)) <= 1e-9 AND px BETWEEN least(x1, x2) - 1e-9 AND greatest(x1, x2) + 1e-9 AND py BETWEEN least(y1, y2) - 1e-9 AND greatest(y1, y2) + 1e-9)
-    OR count(*) FILTER ((y1 > py) <> (y2 > py) AND px < (x2 - x1) * (py - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1),
-hits AS (SELECT * FROM boxed UNION ALL SELECT * FROM spotted)"""
 _POINTS = """, scenes AS (SELECT ord, lon, lat, 'point' AS geometry_kind, lon AS west, lon AS east, lat AS south, lat AS north FROM detections)"""
 
 QUERIES = {
@@ -85,16 +60,16 @@ QUERIES = {
         f08_pruned_search,
         oracle("scenes", f" SELECT source, strftime(ts, '%Y-%m') AS month, count(*) AS n, CAST(sum(ord) AS BIGINT) AS sum_ord FROM scenes WHERE {IN_DAYS} AND {MEETS_DATELINE} GROUP BY ALL"),
     ),
-    "j04_areas_meet_scenes": (j04_areas_meet_scenes, oracle("areas scenes", _EDGES + _HITS + " SELECT area_id, ord FROM hits")),
-    "f05_areas_hold_detections": (f05_areas_hold_detections, oracle("areas detections", _POINTS + _EDGES + _HITS + " SELECT area_id, ord AS event_id FROM hits")),
+    "j04_areas_meet_scenes": (j04_areas_meet_scenes, oracle("areas scenes", EDGES + HITS + " SELECT area_id, ord FROM hits")),
+    "f05_areas_hold_detections": (f05_areas_hold_detections, oracle("areas detections", _POINTS + EDGES + HITS + " SELECT area_id, ord AS event_id FROM hits")),
     "j04_scenes_per_area": (
         j04_scenes_per_area,
-        oracle("areas scenes", _EDGES + _HITS + " SELECT area_id, source, count(*) AS n, count(DISTINCT id) AS ids, max(ts) AS newest FROM hits JOIN scenes USING (ord) GROUP BY ALL"),
+        oracle("areas scenes", EDGES + HITS + " SELECT area_id, source, count(*) AS n, count(DISTINCT id) AS ids, max(ts) AS newest FROM hits JOIN scenes USING (ord) GROUP BY ALL"),
     ),
     # The part of each edge on a side of the meridian, times its distance from it: the area between ring and meridian.
     "g11_split_rings": (
         g11_split_rings,
-        oracle("areas", _EDGES + """, cuts AS (SELECT *, CASE WHEN e > 180 THEN 180 WHEN w < -180 THEN -180 ELSE 1000 END AS m FROM edges JOIN boxes USING (area_id)),
+        oracle("areas", EDGES + """, cuts AS (SELECT *, CASE WHEN e > 180 THEN 180 WHEN w < -180 THEN -180 ELSE 1000 END AS m FROM edges JOIN boxes USING (area_id)),
 ends AS (SELECT *, CASE WHEN (x1 > m) <> (x2 > m) THEN y1 + (y2 - y1) * (m - x1) / (x2 - x1) END AS ym FROM cuts),
 sides AS (SELECT area_id, 'west' AS side, m, sum(CASE WHEN x1 <= m AND x2 <= m THEN (x1 + x2 - 2 * m) * (y2 - y1) WHEN x1 <= m THEN (x1 - m) * (ym - y1) WHEN x2 <= m THEN (x2 - m) * (y2 - ym) ELSE 0 END) / 2 AS area FROM ends GROUP BY ALL
   UNION ALL SELECT area_id, 'east', m, sum(CASE WHEN x1 > m AND x2 > m THEN (x1 + x2 - 2 * m) * (y2 - y1) WHEN x1 > m THEN (x1 - m) * (ym - y1) WHEN x2 > m THEN (x2 - m) * (y2 - ym) ELSE 0 END) / 2 FROM ends GROUP BY ALL)

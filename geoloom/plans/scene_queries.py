@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geo, rings, times
 from geoloom.operators import scenes as S
+from geoloom.plans.ring_sql import EDGES, HITS
 from geoloom.plans.views import oracle, view
 from geoloom.request import BBox, Polygon, PullRequest
 
@@ -69,23 +70,15 @@ _CROSSES = "(y1 > {y}) <> (y2 > {y}) AND {x} < (x2 - x1) * ({y} - y1) / nullif(y
 
 
 def f06_ring_meets_box(spark, sf_dir):
-    return view(spark, sf_dir, "scenes").filter("west <= east").filter(rings.overlaps_area(RING, geo.Box.col())).select("ord", "west", "south", "east", "north")
+    return view(spark, sf_dir, "scenes").filter(rings.overlaps_area(RING, geo.Box.col())).select("ord", "west", "south", "east", "north")
 
 
-_RING_BOX = """SELECT s.ord FROM scenes s JOIN edges ON x1 BETWEEN west AND east AND y1 BETWEEN south AND north
-  UNION SELECT s.ord FROM scenes s JOIN edges ON (y1 > south) <> (y2 > south) AND west < (x2 - x1) * (south - y1) / nullif(y2 - y1, 0) + x1
-    GROUP BY s.ord HAVING count(*) % 2 = 1
-  UNION SELECT s.ord FROM scenes s JOIN edges ON
-    -- An edge meets the box if the part of it within the box's longitudes and latitudes isn't empty.
-    greatest(0, CASE WHEN x2 = x1 THEN CASE WHEN x1 BETWEEN west AND east THEN 0 ELSE 2 END ELSE least((west - x1) / (x2 - x1), (east - x1) / (x2 - x1)) END,
-                CASE WHEN y2 = y1 THEN CASE WHEN y1 BETWEEN south AND north THEN 0 ELSE 2 END ELSE least((south - y1) / (y2 - y1), (north - y1) / (y2 - y1)) END)
-    <= least(1, CASE WHEN x2 = x1 THEN 1 ELSE greatest((west - x1) / (x2 - x1), (east - x1) / (x2 - x1)) END,
-                CASE WHEN y2 = y1 THEN 1 ELSE greatest((south - y1) / (y2 - y1), (north - y1) / (y2 - y1)) END)"""
+_RING = ", areas AS (SELECT 0 AS area_id, [" + ", ".join(f"[{x}, {y}]" for x, y in RING.ring) + "] AS ring)" + EDGES
 
 
 def f07_overlaps_ring(spark, sf_dir):
     hit = rings.overlaps_area(RING, geo.Box.col(), F.col("geometry_kind"), F.col("lon"), F.col("lat"))
-    return view(spark, sf_dir, "scenes").filter("west <= east").filter(hit).select("ord", "geometry_kind")
+    return view(spark, sf_dir, "scenes").filter(hit).select("ord", "geometry_kind")
 
 
 def f08_area_clip(spark, sf_dir):
@@ -219,17 +212,11 @@ SELECT event_id, lon, lat FROM detections WHERE (SELECT count(*) FROM edges WHER
     ),
     "f06_ring_meets_box": (
         f06_ring_meets_box,
-        oracle("scenes", f""", {_EDGES}, hits AS ({_RING_BOX})
-SELECT ord, west, south, east, north FROM scenes WHERE west <= east AND ord IN (SELECT ord FROM hits)"""),
+        oracle("scenes", _RING + HITS.replace(" WHERE geometry_kind <> 'point'", "") + " SELECT ord, west, south, east, north FROM scenes WHERE ord IN (SELECT ord FROM boxed)"),
     ),
     "f07_overlaps_ring": (
         f07_overlaps_ring,
-        oracle("scenes", f""", {_EDGES}, hits AS ({_RING_BOX})
-SELECT ord, geometry_kind FROM scenes WHERE west <= east AND CASE WHEN geometry_kind = 'point'
-  THEN (SELECT count(*) FROM edges WHERE {_CROSSES.format(x='lon', y='lat')}) % 2 = 1
-       OR EXISTS (SELECT 1 FROM edges WHERE abs((x2 - x1) * (lat - y1) - (y2 - y1) * (lon - x1)) <= 1e-9
-                  AND lon BETWEEN least(x1, x2) AND greatest(x1, x2) AND lat BETWEEN least(y1, y2) AND greatest(y1, y2))
-  ELSE ord IN (SELECT ord FROM hits) END"""),
+        oracle("scenes", _RING + HITS + " SELECT ord, geometry_kind FROM scenes WHERE ord IN (SELECT ord FROM hits)"),
     ),
     "f08_area_clip": (f08_area_clip, oracle("scenes", WANTED + "SELECT source, count(*) AS n, min(ord) AS first_ord FROM wanted GROUP BY source")),
     "f09_date_window": (f09_date_window, oracle("scenes", f"SELECT kind, count(*) AS n FROM scenes WHERE {IN_DAYS} GROUP BY kind")),

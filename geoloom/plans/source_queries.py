@@ -194,7 +194,7 @@ def n05_himawari_slots(spark, sf_dir):
 
 def src08_day_previews(spark, sf_dir):
     """Of each day's previews, on either side of 180 degrees, the scenes that they show something of."""
-    r = PullRequest(dt.date(1995, 2, 20), dt.date(1995, 3, 10), DATELINE, limit=15)
+    r = PullRequest(dt.date(1995, 1, 1), dt.date(1997, 12, 31), DATELINE, limit=700)
     shown = P.previews(spark, r, "MODIS_Terra").select("id", F.col("ts").cast("date").alias("day"), Box.col().struct().alias("shown"), "width", "height")
     scenes = view(spark, sf_dir, "scenes").select("ord", *Box._fields, F.col("ts").cast("date").alias("day"))
     met = join_checked(scenes, shown, ["day"]).filter(intersects(Box.col("shown"), Box.col()))
@@ -387,7 +387,7 @@ UNION ALL SELECT ord, k, 'https://e.x/' || substr(k, 1, 1), NULL, NULL, NULL, NU
         src08_day_previews,
         oracle("scenes", """, p(side, w, e, width) AS (VALUES ('east', 150.0, 180.0, 171), ('west', -180.0, -140.0, 228))
 SELECT 'MODIS_Terra:' || strftime(ts, '%Y-%m-%d') || ':' || side AS id, CAST(ts AS DATE) AS day, CAST(width AS INT) AS width, CAST(512 AS INT) AS height, count(*) AS n, min(ord) AS first_ord
-FROM scenes, p WHERE CAST(ts AS DATE) BETWEEN DATE '1995-02-20' AND DATE '1995-03-06' AND north >= -45 AND south <= 45
+FROM scenes, p WHERE CAST(ts AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1995-01-01' + 699 AND north >= -45 AND south <= 45
   AND ((west <= e AND w <= CASE WHEN west > east THEN 180 ELSE east END) OR (west > east AND -180 <= e AND w <= east)) GROUP BY ALL"""),
     ),
     "src11_listing_pages": (src11_listing_pages, "SELECT p_partkey % 40 AS page, CAST(CASE WHEN p_partkey % 40 % 10 = 9 THEN 0 ELSE count(*) END AS INT) AS n_keys, CAST(CASE WHEN p_partkey % 40 % 10 = 9 THEN 0 ELSE 1 END AS INT) AS n_prefixes FROM part GROUP BY p_partkey % 40"),
