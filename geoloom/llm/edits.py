@@ -42,9 +42,9 @@ PERIOD, CLASSES, REST = 4_096, 64, 8
 #: Characters walked at once; SPAN * REST == PERIOD, so a walk from within one period stays within two.
 SPAN = PERIOD // REST
 SAMPLES = 256
-#: Digits of a band; numbers of digits that bands are drawn from, and bands of each: a fingerprint uses the largest two it
-#: has; the least likeness of near copies; fingerprints of a tile.
-WIDTH, TIERS, BANDS = 4, (16, 32, 64, 128, 256), 8
+#: Digits of a band (24 bits: few fingerprints share one by chance); numbers of digits that bands are drawn from, and bands of
+#: each: a fingerprint uses the largest two it has; the least likeness of near copies; fingerprints of a tile.
+WIDTH, TIERS, BANDS = 6, (16, 32, 64, 128, 256), 14
 LIKE, TILE = 0.8, 512
 
 _rng = np.random.Generator(np.random.PCG64(20_240_607))
@@ -169,8 +169,7 @@ def likeness(a: str, b: str) -> float:
     return max(0.0, (same - both / 16) / (most - both / 16))
 
 
-_drawn = {n: _rng.permutation(n)[: WIDTH * BANDS].reshape(-1, WIDTH) for n in TIERS if n >= WIDTH * BANDS}
-_drawn |= {n: _rng.permutation(n).reshape(-1, WIDTH) for n in TIERS if n < WIDTH * BANDS}
+_drawn = {n: np.array([_rng.permutation(n)[:WIDTH] for _ in range(BANDS)]) for n in TIERS}
 
 
 def bands(print_: str) -> list[int]:
