@@ -8,8 +8,8 @@ in tiles, by exclusive-or and bit counts, and tile pairs whose population counts
 of 0.152, sets of a few shingles with up to 0.19; the radius is five standard deviations above (odds of 10^-6 at the
 bound itself, falling fast above it), where sets of a likeness below 0.5 do not come.
 
-Copies have one set and are compared once. Two rounds hold each block's sets against a single one of them, which
-joins large groups of near copies with as many pairs as members; after them only sets of different components are
+Copies have one set and are compared once. Two rounds hold each block's sets against a single one of them, each set
+against HUBS of those at most, which joins large groups of near copies with a few pairs a member; after them only sets of different components are
 compared, and no group's pairs are written out.
 
 Defined results: texts without words have the empty set and are alike; a text of fewer words than a shingle has one,
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoloom.llm.simhash import BLOCK, SEED, tile_pairs
@@ -39,6 +40,8 @@ UP, DOWN = 4, 5
 BANDS, WIDTH, WORDS = 40, 4, 4
 #: Bits of the 256 in which the fingerprints of a link differ at most, sets of under FEW shingles and others; a tile's size.
 FEW, RADIUS_FEW, RADIUS, TILE = 32, 84, 68, 512
+#: Hubs that a set is held against in a round, at most; what they leave apart, the tiles compare.
+HUBS = 3
 #: Shingles whose minima are taken at once.
 STEP = 1_024
 _rng = np.random.Generator(np.random.PCG64(20_241_128))
@@ -196,7 +199,10 @@ def links(one: DataFrame, texts: DataFrame, repeats: bool) -> DataFrame:
         left = tokens if edges is None else cut(_placed(tokens, edges), "alike-placed")
         hub = left.groupBy("token").agg(pick(member).alias("hub"))
         pairs = left.join(hub, "token").filter((F.col("key") != F.col("hub.key")) & _near(member, F.col("hub")))
-        pairs = pairs.select(F.least("key", "hub.key").alias("u"), F.greatest("key", "hub.key").alias("v")).distinct()
+        # Members of a large group share their blocks with many hubs; a few of these join it.
+        first = pairs.groupBy("key", F.col("hub.key").alias("at")).agg(F.count("*").alias("_blocks"))
+        first = first.withColumn("_nth", F.row_number().over(W.partitionBy("key").orderBy(F.desc("_blocks"), "at"))).filter(F.col("_nth") <= HUBS)
+        pairs = first.select(F.least("key", "at").alias("u"), F.greatest("key", "at").alias("v")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["u", "v"], "left_anti")
         pairs = cut(pairs, f"alike-pairs{turn}")
