@@ -23,6 +23,8 @@ FILLS_NOTHING = ("browse", "lidar", "altimetry")
 #: Cloud cover up to which a scene is clear, and the share of an area that clear scenes have to cover.
 CLEAR_CLOUD, CLEAR_COVERAGE = 20.0, 0.5
 GRID = 16
+#: Degrees by which the gap across 180 degrees may seem less than another and still be as wide.
+TIE = 1e-12
 
 
 def cloud_within(low: float | None, high: float | None) -> Column:
@@ -222,7 +224,7 @@ def newest(scenes: DataFrame, n: int) -> DataFrame:
 
 def enclosing_boxes(points: DataFrame, keys: list[str]) -> DataFrame:
     """keys and the least box around the points (lon, lat) of each: the circle without its widest gap. The gap across 180
-    degrees wins a tie, then the one that lies furthest west.
+    degrees wins a tie (to within TIE degrees, as gaps are rounded), then the one that lies furthest west.
 
     Gaps are found in two steps, within a degree and between the degrees that have points, so no key's points are gathered
     or sorted in one task; a key has 361 degrees at most."""
@@ -238,7 +240,7 @@ def enclosing_boxes(points: DataFrame, keys: list[str]) -> DataFrame:
     found = cells.withColumn("last", last).groupBy(*keys).agg(
         F.min("a").alias("a"), F.max("b").alias("b"), F.min("south").alias("south"), F.max("north").alias("north"), F.max(widest).alias("w")
     )
-    inside = F.coalesce(F.col("w.gap") > 360.0 - (F.col("b") - F.col("a")), F.lit(False))
+    inside = F.coalesce(F.col("w.gap") > 360.0 - (F.col("b") - F.col("a")) + TIE, F.lit(False))
     return found.select(
         *keys, F.when(inside, -F.col("w.west")).otherwise(F.col("a")).alias("west"), "south", F.when(inside, F.col("w.east")).otherwise(F.col("b")).alias("east"), "north"
     )

@@ -387,6 +387,14 @@ def test_enclosing_boxes_of_many_points(spark):
     assert got == {i: BBox.enclosing([(min(180.0, float(x)), float(y)) for x, y in own]).edges for i, own in enumerate(sets)}
 
 
+def test_enclosing_boxes_whose_gaps_tie_but_for_rounding(spark):
+    """Both gaps are 107.28 degrees: the one across 180 degrees wins, though it comes out a few last digits less."""
+    lons = [-120.54, -66.9, 40.38, 132.18]
+    assert 0 < (40.38 - -66.9) - (360.0 - (132.18 - -120.54)) < 1e-12
+    r = scenes.enclosing_boxes(spark.createDataFrame([(1, x, 0.0) for x in lons], "k int, lon double, lat double"), ["k"]).first()
+    assert (r.west, r.east) == (-120.54, 132.18)
+
+
 def test_sources_by_name(spark):
     item = '{"id":"%s","bbox":[1,1,2,2],"properties":{"datetime":"2024-07-01T12:00:00Z","platform":"%s","eo:cloud_cover":%d},"assets":{%s}}'
     asset = lambda *keys: ",".join(f'"{k}":{{"href":"https://x/{k}"}}' for k in keys)
