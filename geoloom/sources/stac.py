@@ -26,7 +26,8 @@ REGIONS = {"deafrica-": "af-south-1"}
 ID_BATCH = 50
 
 _ITEM = "struct<bbox:array<double>,geometry:struct<type:string,coordinates:string>,assets:map<string,string>>"
-_ASSET = "struct<href:string,type:string,title:string,roles:array<string>,alternate:struct<https:struct<href:string>>>"
+_ASSET = """struct<href:string,type:string,title:string,roles:array<string>,alternate:struct<https:struct<href:string>>,
+`eo:bands`:array<struct<center_wavelength:double,common_name:string>>>"""
 
 
 def features(pages: DataFrame, value: str = "value") -> DataFrame:
@@ -36,16 +37,14 @@ def features(pages: DataFrame, value: str = "value") -> DataFrame:
     return pages.select(*rest, F.posexplode(items).alias("pos", "item"))
 
 
-def _is(v: Column, path: str, *kinds: str) -> Column:
-    """Whether what stands at a path of a variant is of one of some kinds; a boolean is no number."""
-    found = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-    hit = F.lit(False)
-    for k in kinds:
-        hit = hit | found.startswith(k)
-    return F.coalesce(hit, F.lit(False))
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
-_NUMBER = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
+def _is(v: Column, path: str, kind: str) -> Column:
+    """Whether what stands at a path of a variant is of a kind."""
+    return F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")).startswith(kind), F.lit(False))
 
 
 def text_at(v: Column, path: str) -> Column:
@@ -53,14 +52,14 @@ def text_at(v: Column, path: str) -> Column:
 
 
 def number_at(v: Column, path: str) -> Column:
-    x = F.when(_is(v, path, *_NUMBER), F.try_variant_get(v, path, "double"))
-    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    """By its JSON text: a text has quotes and a boolean is a word, so neither is a number, nor is what isn't finite."""
+    return _let(F.to_json(F.try_variant_get(v, path, "variant")), lambda t: F.when(t.rlike("^[-0-9]"), t.try_cast("double")))
 
 
 def cloud_at(v: Column, path: str) -> Column:
     """A number, or one written as text, held to 0..100; null for what isn't finite."""
     x = F.coalesce(number_at(v, path), F.trim(text_at(v, path)).try_cast("double"))
-    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), F.greatest(F.least(x, F.lit(100.0)), F.lit(0.0)))
+    return _let(x, lambda x: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), F.greatest(F.least(x, F.lit(100.0)), F.lit(0.0))))
 
 
 def https_href(href: Column, alternate: Column | None = None) -> Column:
@@ -89,54 +88,45 @@ def _box(bbox: Column) -> Box:
     return Box(F.when(whole, F.lit(-180.0)).otherwise(_wrapped(west)), at(1), F.when(whole, F.lit(180.0)).otherwise(_wrapped(east)), at(half + 1))
 
 
-def _calibration(raw: Column, name: str) -> Column:
-    return number_at(F.try_parse_json(raw), f"$['raster:bands'][0].{name}")
-
-
-def _asset(raw: Column) -> Column:
-    a = F.from_json(raw, _ASSET)
-    v = F.try_parse_json(raw)
-    size = F.when(_is(v, "$['file:size']", "BIGINT"), F.try_variant_get(v, "$['file:size']", "bigint"))
-    return F.struct(
-        https_href(a["href"], a["alternate"]["https"]["href"]).alias("href"),
-        a["type"].alias("media_type"),
-        a["title"].alias("title"),
-        F.coalesce(a["roles"], F.array().cast("array<string>")).alias("roles"),
-        _calibration(raw, "scale").alias("scale"),
-        _calibration(raw, "offset").alias("offset"),
-        F.when(size >= 0, size).alias("size_bytes"),
+def _asset(a: Column, raw: Column) -> Column:
+    """An asset from what its JSON text holds by name (a) and the text."""
+    whole = lambda v: F.when(_is(v, "$['file:size']", "BIGINT"), F.try_variant_get(v, "$['file:size']", "bigint"))
+    number = lambda v, name: number_at(v, f"$['raster:bands'][0].{name}")
+    told = lambda v: F.struct(number(v, "scale").alias("scale"), number(v, "offset").alias("offset"), whole(v).alias("size"))
+    return _let(
+        _let(F.try_parse_json(raw), told),
+        lambda t: F.struct(
+            https_href(a["href"], a["alternate"]["https"]["href"]).alias("href"),
+            a["type"].alias("media_type"),
+            a["title"].alias("title"),
+            F.coalesce(a["roles"], F.array().cast("array<string>")).alias("roles"),
+            t["scale"].alias("scale"),
+            t["offset"].alias("offset"),
+            F.when(t["size"] >= 0, t["size"]).alias("size_bytes"),
+        ),
     )
 
 
 def band_aliases(assets: Column) -> Column:
-    """Map of band to asset key, from entries (key, raw JSON): single-band assets alone; the nearest wavelength within
-    tolerance, by key among equals; else, among assets without a wavelength, the least key of a known name."""
-    known = F.transform(
-        assets,
-        lambda x: F.struct(
-            x["key"].alias("key"),
-            F.from_json(x["raw"], "struct<`eo:bands`:array<struct<center_wavelength:double,common_name:string>>>")["eo:bands"].alias("b"),
-            F.try_parse_json(x["raw"]).alias("v"),
-        ),
-    )
-    single = F.filter(known, lambda x: F.size(x["b"]) == 1)
-    told = F.transform(
-        single,
-        lambda x: F.struct(
-            x["key"].alias("key"),
-            F.when(number_at(x["v"], "$['eo:bands'][0].center_wavelength") > 0, number_at(x["v"], "$['eo:bands'][0].center_wavelength")).alias("w"),
-            F.nullif(F.lower(F.trim(x["b"][0]["common_name"])), F.lit("")).alias("n"),
-        ),
-    )
-
-    def pick(band: str) -> Column:
+    """Map of band to asset key, from entries (key, a: what the asset holds): single-band assets alone; the nearest wavelength
+    within tolerance, by key among equals; else, among assets without a wavelength, the least key of a known name."""
+    single = F.filter(assets, lambda x: F.size(x["a"]["eo:bands"]) == 1)
+
+    def one(x: Column) -> Column:
+        band = x["a"]["eo:bands"][0]
+        w = band["center_wavelength"]
+        return F.struct(
+            x["key"].alias("key"), F.when((w > 0) & (w < float("inf")), w).alias("w"), F.nullif(F.lower(F.trim(band["common_name"])), F.lit("")).alias("n")
+        )
+
+    def pick(told: Column, band: str) -> Column:
         target, tolerance, names = BANDS[band]
         near = F.filter(told, lambda x: F.abs(x["w"] - target) <= tolerance)
         by_wave = F.array_min(F.transform(near, lambda x: F.struct(F.abs(x["w"] - target).alias("d"), x["key"].alias("key"))))["key"]
         by_name = F.array_min(F.transform(F.filter(told, lambda x: x["w"].isNull() & x["n"].isin(*names)), lambda x: x["key"]))
         return F.coalesce(by_wave, by_name)
 
-    entries = F.array(*[F.struct(F.lit(b).alias("key"), pick(b).alias("value")) for b in BANDS])
+    entries = _let(F.transform(single, one), lambda told: F.array(*[F.struct(F.lit(b).alias("key"), pick(told, b).alias("value")) for b in BANDS]))
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 
@@ -148,29 +138,28 @@ def overlaid(aliases: Column, fixed: dict[str, str]) -> Column:
 
 
 def normalized(items: DataFrame, source: str = "", collection: str = "", kind: str = "optical", gsd_m: float | None = None, platform: str = "unknown") -> DataFrame:
-    """A row of `schema.SCENES` for every item (JSON text), valid or not."""
-    v, i = F.col("_v"), F.col("_i")
-    rows = items.withColumn("_v", F.try_parse_json("item")).withColumn("_i", F.from_json("item", _ITEM))
+    """A row of `schema.SCENES` for every item (JSON text), valid or not.
+
+    An item is parsed once. What a row is judged and chosen by is worked out once; the rest is worked out for rows that are
+    left, and not at all where nobody asks for it."""
+    v, i, at = F.col("_v"), F.col("_i"), F.col("_at")
+    rows = items.select("ord", F.try_parse_json("item").alias("_v"), F.from_json("item", _ITEM).alias("_i"))
     point = i["geometry"]["type"] == "Point"
-    at = F.from_json(i["geometry"]["coordinates"], "array<double>")
+    rows = rows.withColumn("_at", F.when(point, F.from_json(i["geometry"]["coordinates"], "array<double>")))
     given = _box(i["bbox"])
     has = given.west.isNotNull() & given.south.isNotNull() & given.east.isNotNull() & given.north.isNotNull()
-    lon, lat = F.when(point, F.get(at, F.lit(0))), F.when(point, F.get(at, F.lit(1)))
+    lon, lat = F.get(at, F.lit(0)), F.get(at, F.lit(1))
     padded = from_point(lon, lat)
     box = [F.when(has, g).when(lon.isNotNull() & lat.isNotNull(), p) for g, p in zip(given, padded, strict=True)]
     shape = F.when(point & lon.isNotNull() & lat.isNotNull(), "point").when(i["geometry"]["type"].isin("Polygon", "MultiPolygon"), "polygon").otherwise("bbox")
-    raw = F.transform(F.map_entries(i["assets"]), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("raw")))
-    kept = F.filter(F.coalesce(raw, F.array().cast("array<struct<key:string,raw:string>>")), lambda e: F.from_json(e["raw"], "struct<href:string>")["href"].isNotNull())
     when = F.coalesce(text_at(v, "$.properties.datetime"), text_at(v, "$.properties.start_datetime"))
     name = F.coalesce(*[F.coalesce(F.nullif(text_at(v, p), F.lit("")), text_at(v, p + "[0]")) for p in ("$.properties['const:platform']", "$.properties.platform")], F.lit(platform))
-    rows = rows.withColumn("_kept", kept)
-    return once(
+    rows = once(
         rows,
         "ord",
+        "_v",
+        "_i",
         text_at(v, "$.id").alias("id"),
-        F.lit(source).alias("source"),
-        F.lit(collection).alias("collection"),
-        F.lit(kind).alias("kind"),
         parsed(when).alias("ts"),
         parsed(text_at(v, "$.properties.start_datetime")).alias("start_ts"),
         parsed(text_at(v, "$.properties.end_datetime")).alias("end_ts"),
@@ -179,11 +168,31 @@ def normalized(items: DataFrame, source: str = "", collection: str = "", kind: s
         lon.alias("lon"),
         lat.alias("lat"),
         F.coalesce(number_at(v, "$.properties.gsd"), F.lit(gsd_m).cast("double")).alias("gsd_m"),
+        cloud_at(v, "$.properties['eo:cloud_cover']").alias("cloud"),
+        keep=3,
+    )
+    entry = lambda k, raw: F.struct(k.alias("key"), raw.alias("raw"), F.from_json(raw, _ASSET).alias("a"))
+    held = F.transform(F.map_entries(i["assets"]), lambda e: entry(e["key"], e["value"]))
+    kept = F.filter(F.coalesce(held, F.filter(F.array(entry(F.lit(""), F.lit(""))), lambda e: F.lit(False))), lambda e: e["a"]["href"].isNotNull())
+    return rows.withColumn("_kept", kept).select(
+        "ord",
+        "id",
+        F.lit(source).alias("source"),
+        F.lit(collection).alias("collection"),
+        F.lit(kind).alias("kind"),
+        "ts",
+        "start_ts",
+        "end_ts",
+        *Box._fields,
+        "geometry_kind",
+        "lon",
+        "lat",
+        "gsd_m",
         name.alias("platform"),
         text_at(v, "$.properties.instruments[0]").alias("instrument"),
-        cloud_at(v, "$.properties['eo:cloud_cover']").alias("cloud"),
+        "cloud",
         F.lit(False).alias("footprint_is_request"),
-        F.transform("_kept", lambda e: F.struct(e["key"].alias("key"), _asset(e["raw"]).alias("asset"))).alias("assets"),
+        F.transform("_kept", lambda e: F.struct(e["key"].alias("key"), _asset(e["a"], e["raw"]).alias("asset"))).alias("assets"),
         band_aliases(F.col("_kept")).alias("band_aliases"),
         F.try_variant_get(v, "$.properties", "map<string,string>").alias("properties"),
     )

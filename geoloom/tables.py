@@ -48,7 +48,7 @@ def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "in
     return big.join(F.broadcast(small) if few else small, on, how)
 
 
-def once(df: DataFrame, *columns) -> DataFrame:
+def once(df: DataFrame, *columns, keep: int = 0) -> DataFrame:
     """df.select(*columns), worked out once a row: a later filter on dear columns isn't pushed below, where it would work
-    them out again."""
-    return df.select(F.inline(F.array(F.struct(*columns))))
+    them out again. The first `keep` columns are df's own, which stay as they are and go where nobody asks for them."""
+    return df.select(*columns[:keep], F.inline(F.array(F.struct(*columns[keep:]))))

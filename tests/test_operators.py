@@ -412,3 +412,11 @@ def test_sources_by_name(spark):
     with pytest.raises(ValueError):
         Source.of("goes").search(df, r)
     assert {Source.of(x[0]).family for x in registry.rows()} == {"stac", "gibs", "firms", "cmr", "listing", "tree", "grid"}
+
+
+def test_an_item_is_parsed_once_and_only_what_is_asked_for(spark):
+    """Each asset's text once, whatever the number of bands; no assets at all where nobody asks for them."""
+    df = spark.createDataFrame([(1, '{"id":"a"}')], "ord long, item string")
+    parses = lambda d: sum(d._jdf.queryExecution().optimizedPlan().toString().count(f) for f in ("from_json(", "parse_json(", "parseJson("))
+    assert 0 < parses(stac.scenes(df).select("id", "cloud", "platform")) <= 4
+    assert 0 < parses(stac.scenes(df).select("ord", "assets", "band_aliases")) <= 6
