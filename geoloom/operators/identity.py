@@ -87,7 +87,7 @@ def matches(stored: DataFrame, candidates: DataFrame, seconds: int = TOLERANCE)
     )
     old = old.withColumn("_bucket", F.explode("_buckets")).withColumn("_x", F.explode("_xs")).withColumn("_y", F.explode("_ys")).drop("_buckets", "_xs", "_ys")
     new = candidates.filter(sized).withColumns({"_bucket": bucket(F.col("ts"), seconds), "_x": _own(*axes[0]), "_y": _own(*axes[1])})
-    met = old.join(new, ["collection", "_bucket", "_x", "_y"])
+    met = old.join(new.hint("merge"), ["collection", "_bucket", "_x", "_y"])
     fits = within_seconds(F.col("old_ts"), F.col("ts"), seconds) & (F.col("old_key").isNull() | F.col("old_key").eqNullSafe(F.col("grid_key"))) & (F.col("old_id") != F.col("id"))
     return met.filter(fits & footprints_match(Box.col("old_box"), b)).drop("_bucket", "_x", "_y", "old_box", "old_key")
 
@@ -181,14 +181,14 @@ def claimed(stored: DataFrame, found: DataFrame, seconds: int = TOLERANCE) -> Da
     itself, in one pass over its rows in order. Rounds grow with the logarithm of a component's width, not with the
     length of its chains; a component is one task's pass, whose memory holds the ids claimed in it."""
     first = found.groupBy("id").agg(F.min("old_id").alias("v"), F.count("*").alias("_n")).filter("_n > 1")
-    links = found.join(first, "id").filter("old_id <> v").select(F.col("old_id").alias("u"), "v")
+    links = found.join(first.hint("merge"), "id").filter("old_id <> v").select(F.col("old_id").alias("u"), "v")
     roots = components(links).select(F.col("node").alias("old_id"), "root")
-    rows = found.join(roots, "old_id", "left").select(
+    rows = found.join(roots.hint("merge"), "old_id", "left").select(
         F.coalesce("root", "old_id").alias("root"), "old_id", "old_ord", "id", "ord", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), *Box._fields, "grid_key",
         "baseline", baseline_key(F.col("baseline")).alias("version"), F.unix_micros(F.col("stamp").cast("timestamp")).alias("stamp"),
     )
     told = rows.repartition("root").sortWithinPartitions("root", "old_ord", "old_id", "ord", "id").mapInArrow(_folded(seconds), "old_id string, outcome string, new_id string")
-    return stored.select(F.col("id").alias("old_id")).join(told, "old_id", "left").select(
+    return stored.select(F.col("id").alias("old_id")).join(told.hint("merge"), "old_id", "left").select(
         "old_id", F.coalesce("outcome", F.lit("no match")).alias("outcome"), "new_id"
     )
 

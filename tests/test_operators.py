@@ -436,3 +436,12 @@ def test_merged_lists_of_runs_are_never_one_cell(spark):
     md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
     assert got == {"failed": (3, md5("f:three,g:two,e:four")), "saved": (2, md5("x,b"))}
     assert "collect_list" not in QUERIES["snk02_resume_merge"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["w05_claims", "w05_claim_chains"])
+def test_claims_send_nothing_through_the_driver(spark, name):
+    """No side of a join is broadcast, however small it looks once it is written."""
+    from geoloom.plans.record_queries import QUERIES
+
+    plan = QUERIES[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
