@@ -35,6 +35,8 @@ SCHEMA = "source string, page bigint, href string, next_href string, value strin
 _NAMES = ["source", "page", "href", "next_href", "value"]
 #: Pages of a partition.
 RUN = 64
+#: Bytes of a row group of landed pages.
+BLOCK = 4 << 20
 
 
 def _dataset(path: str) -> ds.Dataset:
@@ -54,7 +56,9 @@ class Pages(InputPartition):
 
 def _read(path: str, part: Pages) -> Iterator[pa.RecordBatch]:
     wanted = (ds.field("source") == part.source) & (ds.field("page") >= part.first) & (ds.field("page") <= part.last)
-    for batch in _dataset(path).to_batches(columns=_NAMES, filter=wanted, batch_size=RUN):
+    # One row group at a time: by itself the scanner reads many files ahead, whole.
+    plain = ds.ParquetFragmentScanOptions(pre_buffer=False)
+    for batch in _dataset(path).to_batches(columns=_NAMES, filter=wanted, batch_size=RUN, batch_readahead=1, fragment_readahead=1, fragment_scan_options=plain, use_threads=False):
         if batch.num_rows:
             yield batch
 
@@ -174,7 +178,9 @@ def pages_of(items: DataFrame, size: int, href: Column, next_href: Column | None
 
 
 def land(pages: DataFrame, path: str) -> None:
-    pages.write.mode("append").partitionBy("source").option("compression", "zstd").parquet(path)
+    """In order of pages, in row groups of a few MB, so that whoever reads a run of pages reads little else."""
+    ordered = pages.sortWithinPartitions("source", "page")
+    ordered.write.mode("append").partitionBy("source").option("compression", "zstd").option("parquet.block.size", BLOCK).parquet(path)
 
 
 def checkpoint_for(path: str, request: str) -> str:

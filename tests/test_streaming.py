@@ -30,3 +30,20 @@ def test_manifest_versions(spark, tmp_path):
     write(spark.createDataFrame(batches[1], manifest.SCHEMA), 1)
     got = {r.source: (r.ord, r.saved) for r in spark.read.parquet(version(str(tmp_path), 1)).collect()}
     assert got == {"a": (1, ["x", "z"]), "b": (2, ["y"])}
+
+
+def test_landed_pages_lie_in_small_ordered_row_groups(spark, tmp_path):
+    """A reader of a run of pages holds a few MB, whatever the size of a file."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from geoloom.sources import landed
+
+    value = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(800)), lambda x: F.sha2(F.concat_ws(" ", "id", x).cast("binary"), 256)), "")
+    pages = spark.range(400).orderBy(F.hash("id")).coalesce(1).select(F.lit("s").alias("source"), F.col("id").alias("page"), F.lit("h").alias("href"), F.lit(None).cast("string").alias("next_href"), value.alias("value"))
+    landed.land(pages, str(tmp_path / "p"))
+    (file,) = (tmp_path / "p").glob("source=s/*.parquet")
+    held = pq.ParquetFile(file)
+    assert held.num_row_groups > 2 and held.read(["page"])["page"].to_pylist() == list(range(400))
+    got = [p for b in landed._read(str(tmp_path / "p"), landed.Pages("s", 100, 163)) for p in b.column(1).to_pylist()]
+    assert sorted(got) == list(range(100, 164))
