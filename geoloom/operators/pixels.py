@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from geoloom.functions import spectral
 from geoloom.operators.graph import components
@@ -108,64 +114,147 @@ def change(before: DataFrame, after: DataFrame, bands: list[str], keys: list[str
     return both.select(*keys, spectral.change_heat(tuple(F.col(f"_a{b}") for b in bands), tuple(F.col(f"_b{b}") for b in bands)).alias("heat"))
 
 
-def _runs(mask: DataFrame) -> DataFrame:
-    """image, row, c0, c1, blob: the runs of pixels of each row, and the patch they belong to.
-
-    Runs of neighbouring rows that share a column are linked: a large patch is a few links a row, and its components are
-    found by Spark jobs over the links alone."""
-    order = W.partitionBy("image", "row").orderBy("col")
-    marked = mask.distinct().withColumn("_run", F.col("col") - F.row_number().over(order))
-    runs = marked.groupBy("image", "row", "_run").agg(F.min("col").alias("c0"), F.max("col").alias("c1"))
-    runs = cut(runs.select("image", "row", "c0", "c1", F.xxhash64("image", "row", "c0").alias("id")), "runs")
-    below = runs.select("image", (F.col("row") - 1).alias("row"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("id").alias("other"))
-    links = runs.join(below, ["image", "row"]).filter("c0 <= d1 AND d0 <= c1").select(F.col("id").alias("u"), F.col("other").alias("v"))
-    named = runs.join(components(links), F.col("id") == F.col("node"), "left")
-    return named.select("image", "row", "c0", "c1", F.coalesce("root", "id").alias("blob"))
+#: Pixels along a side of the squares that patches are found in; rows that a task writes at once.
+PATCH_SIDE, WRITTEN = 256, 10_000
+
+
+def _linked(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least node that each of n nodes can reach: roots hang on lesser roots until the links agree."""
+    root = np.arange(n)
+    while (apart := root[u] != root[v]).any():
+        u, v = u[apart], v[apart]
+        a, b = root[u], root[v]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != (up := root[root])).any():
+            root = up
+    return root
+
+
+def _in_square(row: np.ndarray, col: np.ndarray, side: int, band: int | None, least: int) -> Iterator[tuple]:
+    """row and column of a patch's first pixel, band, area, box, hull's corners (if there are bands) and pixels on the
+    square's edge, of the part that each patch of a square has in each band of rows. Small ones off the edge are left out."""
+    at = np.lexsort((col, row))
+    row, col = row[at], col[at]
+    starts = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(col) != 1)])
+    r, c0, c1 = row[starts], col[starts], col[np.r_[starts[1:], len(col)] - 1]
+    # Runs that share a column with one of the row above.
+    place = lambda r, c: (r - row[0]) * (2 * side) + c - col.min()
+    low, high = np.searchsorted(place(r, c1), place(r + 1, c0)), np.searchsorted(place(r, c0), place(r + 1, c1), "right")
+    n = high - low
+    root = _linked(len(r), np.repeat(np.arange(len(r)), n), np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n))
+    size = np.bincount(root, c1 - c0 + 1, len(r))
+    rim = (r % side == 0) | (r % side == side - 1) | (c0 % side == 0) | (c1 % side == side - 1)
+    kept = ((size >= least) | (np.bincount(root, rim, len(r)) > 0))[root]
+    first_row, first_col = r[root], c0[root]
+    part = np.zeros_like(r) if band is None else r // band
+    at = np.flatnonzero(kept)
+    at = at[np.lexsort((at, part[at], root[at]))]
+    if not len(at):
+        return
+    cuts = np.flatnonzero(np.r_[True, (np.diff(root[at]) != 0) | (np.diff(part[at]) != 0)])
+    r, c0, c1, rim = r[at], c0[at], c1[at], rim[at]
+    told = [x.tolist() for x in (first_row[at][cuts], first_col[at][cuts], part[at][cuts], np.add.reduceat(c1 - c0 + 1, cuts), r[cuts], np.minimum.reduceat(c0, cuts), np.maximum.reduceat(r, cuts), np.maximum.reduceat(c1, cuts))]
+    touch, ends = np.add.reduceat(rim, cuts, dtype=int).tolist(), [*cuts[1:].tolist(), len(r)]
+    for low, high, touches, one in zip(cuts.tolist(), ends, touch, zip(*told, strict=True), strict=True):
+        own = list(zip(r[low:high].tolist(), c0[low:high].tolist(), c1[low:high].tolist(), strict=True))
+        edge = [x for y, a, b in own for c in (range(a, b + 1) if y % side in (0, side - 1) else {a, b}) if y % side in (0, side - 1) or c % side in (0, side - 1) for x in (y, c)] if touches else []
+        yield *one, [] if band is None else _corners(p for y, a, b in own for p in ((a, y), (b, y))), edge
+
+
+def _patches(mask: DataFrame, least: int, band: int | None = None, side: int = PATCH_SIDE) -> DataFrame:
+    """image, blob, part (the band of rows), area, row0, col0, row1, col1, points (the corners of a hull, if there are bands):
+    the parts of the patches of a mask, to be put together by blob.
+
+    Patches are found square by square; only what lies on both sides of a square's edge is linked by Spark jobs, so rounds
+    have links as long as the edges, and none where an image lies in one square."""
+    image = mask.schema["image"].dataType.simpleString()
+    square = [F.floor(F.col(c) / side).cast("bigint").alias(k) for c, k in (("row", "_r"), ("col", "_c"))]
+    placed = mask.filter("row IS NOT NULL AND col IS NOT NULL").select("image", F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"))
+    placed = placed.select("*", *square).repartition("image", "_r", "_c").distinct()
+    names = ["image", "first_row", "first_col", "part", "area", "row0", "col0", "row1", "col1", "points", "edge"]
+    kinds = [placed.schema["image"].dataType, *[T.LongType()] * 8, *[T.ArrayType(T.LongType())] * 2]
+    schema = to_arrow_schema(T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
+
+    def one(key: tuple, square: pa.Table) -> pa.Table:
+        found = list(_in_square(*(square.column(c).to_numpy() for c in ("row", "col")), side, band, least))
+        rows = list(zip(*found, strict=True)) or [()] * 10
+        return pa.Table.from_arrays([pa.repeat(pa.scalar(key[0].as_py(), schema[0].type), len(found)), *[pa.array(x, f.type) for x, f in zip(rows, list(schema)[1:], strict=True)]], schema=schema)
+
+    told = f"image {image}, " + ", ".join(f"{n} bigint" for n in names[1:-2]) + ", points array<bigint>, edge array<bigint>"
+    parts = placed.groupBy("image", "_r", "_c").applyInArrow(one, told)
+    parts = cut(parts.select("image", F.xxhash64("image", "first_row", "first_col").alias("id"), *names[3:]), "patches")
+    at = F.explode(F.sequence(F.lit(0), F.size("edge") - 1, F.lit(2))).alias("_i")
+    rim = parts.filter(F.size("edge") > 0).select("image", "id", "edge", at).select("image", "id", F.col("edge")[F.col("_i")].alias("row"), F.col("edge")[F.col("_i") + 1].alias("col"))
+    last = lambda c: F.pmod(F.col(c), F.lit(side)) == side - 1
+    over = rim.filter(last("col")).withColumn("col", F.col("col") + 1).union(rim.filter(last("row")).withColumn("row", F.col("row") + 1))
+    links = over.withColumnRenamed("id", "u").join(rim.withColumnRenamed("id", "v").hint("merge"), ["image", "row", "col"]).select("u", "v")
+    named = join_checked(parts, components(links).withColumnRenamed("node", "id"), ["id"], "left")
+    return named.select("image", F.coalesce("root", "id").alias("blob"), *names[3:-1])
 
 
 def blobs(mask: DataFrame, least: int = LEAST_BLOB) -> DataFrame:
     """image, blob, area, row0, col0, row1, col1 of the 4-connected patches of a mask (image, row, col), of `least` pixels
     or more."""
-    g = _runs(mask).groupBy("image", "blob").agg(
-        F.sum(F.col("c1") - F.col("c0") + 1).alias("area"), F.min("row").alias("row0"), F.min("c0").alias("col0"), F.max("row").alias("row1"), F.max("c1").alias("col1")
-    )
+    g = _patches(mask, least).groupBy("image", "blob").agg(F.sum("area").alias("area"), F.min("row0").alias("row0"), F.min("col0").alias("col0"), F.max("row1").alias("row1"), F.max("col1").alias("col1"))
     return g.filter(F.col("area") >= least)
 
 
 #: Rows of a band that hulls begin with, and hulls merged into one at each step.
 BAND, FAN = 512, 16
+_HULLS = pa.schema([("blob", pa.int64()), ("part", pa.int64()), ("area", pa.int64()), ("points", pa.list_(pa.int64()))])
 
 
 def hulls(mask: DataFrame, least: int = LEAST_BLOB, band: int = BAND, fan: int = FAN) -> DataFrame:
     """image, place, area and the convex hull (an array of col, row) of every patch that has one, the largest first.
 
-    A hull's corners are among the ends of a patch's rows. Hulls of bands of rows are merged, so many at a time, until a
-    patch has one: a task holds the ends of a band, or the corners of a few hulls, whatever the patch."""
-    ends = _runs(mask).groupBy("image", "blob", "row").agg(F.min("c0").alias("a"), F.max("c1").alias("b"), F.sum(F.col("c1") - F.col("c0") + 1).alias("n"))
-    large = ends.groupBy("image", "blob").agg(F.sum("n").alias("area"), F.min("row").alias("_top"), (F.max("row") - F.min("row")).alias("_high")).filter(F.col("area") >= least)
-    large = cut(large, "hull-blobs")
-    points = join_checked(ends, large, ["image", "blob"]).select(
-        "image", "blob", F.floor((F.col("row") - F.col("_top")) / band).cast("bigint").alias("part"), F.array("a", "row", "b", "row").alias("points")
-    )
-    schema = "image bigint, blob bigint, part bigint, points array<bigint>"
-
-    def one(df: pd.DataFrame) -> pd.DataFrame:
-        flat = np.concatenate([np.asarray(x, np.int64) for x in df["points"]])
-        points = sorted(set(zip(flat[::2].tolist(), flat[1::2].tolist(), strict=True)))
-        corners = _half(points) + _half(points[::-1]) if len(points) > 1 else points
-        return pd.DataFrame({"image": [df["image"].iloc[0]], "blob": [df["blob"].iloc[0]], "part": [df["part"].iloc[0]], "points": [[x for p in corners for x in p]]})
-
-    bands = (large.agg(F.max("_high")).first()[0] or 0) // band + 1
-    found = points.groupBy("image", "blob", "part").applyInPandas(one, schema)
-    while bands > 1:
-        found = found.withColumn("part", F.floor(F.col("part") / fan)).groupBy("image", "blob", "part").applyInPandas(one, schema)
+    Hulls begin in squares, by bands of rows, and are merged, so many at a time, until a patch has one. A step is one pass
+    over sorted rows, in which a task holds the corners of a few hulls, whatever the patch and however many there are."""
+    found = _patches(mask, least, band).select("image", "blob", "part", "area", "points")
+    low, high = found.agg(F.min("part"), F.max("part")).first()
+    bands = 1 if low is None else high - low + 1
+    found = found.withColumn("part", F.col("part") - F.lit(low or 0))
+    kind = to_arrow_schema(found.select("image").schema)[0]
+    schema = pa.schema([kind, *_HULLS])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1000):
+                yield from zip(*(c.to_pylist() for c in batch.slice(low, 1000).columns), strict=True)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for key, own in groupby(rows(batches), key=lambda r: r[:3]):
+            _, _, _, area, points = next(own)
+            more = list(own)
+            if more:
+                area += sum(r[3] for r in more)
+                points = _corners(p for flat in (points, *(r[4] for r in more)) for p in zip(flat[::2], flat[1::2], strict=True))
+            out.append((*key, area, points))
+            if len(out) >= WRITTEN:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    key = ["image", "blob", "part"]
+    while True:
+        # The last step leaves one hull a patch, also of those that several squares have parts of.
         bands = -(-bands // fan)
+        found = found.withColumn("part", F.floor(F.col("part") / fan)).repartition(*key).sortWithinPartitions(*key).mapInArrow(merged, found.schema)
+        if bands == 1:
+            break
     # A hull of two corners has no inside.
-    found = join_checked(found.filter(F.size("points") >= 6), large.select("image", "blob", "area"), ["image", "blob"])
+    found = found.filter((F.size("points") >= 6) & (F.col("area") >= least))
     order = W.partitionBy("image").orderBy(F.col("area").desc(), F.col("points")[0], F.col("points")[1])
     return found.select("image", F.row_number().over(order).alias("place"), "area", "points")
 
 
+def _corners(points: Iterable[tuple[int, int]]) -> list[int]:
+    """The corners (x, y, x, y, ...) of points' hull, from the least on, in the order in which x turns to y."""
+    points = sorted(set(points))
+    return [x for p in (_half(points) + _half(points[::-1]) if len(points) > 1 else points) for x in p]
+
+
 def _half(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """One side of a hull, without its last point: from each corner on, only turns to the left."""
     side: list[tuple[int, int]] = []
