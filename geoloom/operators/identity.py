@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from geoloom.functions.geo import Box, centre, iou, lon_span
 from geoloom.functions.times import bucket, within_seconds
 from geoloom.operators.graph import components
+from geoloom.tables import cut
 
 TOLERANCE, IOU, SLACK = 60, 0.8, 1e-9
 BASELINE_WIDTH = 4
@@ -142,11 +143,11 @@ def _choice(left: list[dict], seconds: int) -> str | None:
     return best[0] if len(best) == 1 and _one_scene(left, seconds) else None
 
 
-_FOLDED = pa.schema([("old_id", pa.string()), ("outcome", pa.string()), ("new_id", pa.string())])
+_FOLDED = pa.schema([("root", pa.string()), ("old_id", pa.string()), ("outcome", pa.string()), ("new_id", pa.string())])
 
 
 def _folded(seconds: int):
-    """Claims, component by component and in order of ord, as rows stream by; what a component has claimed is held, no more."""
+    """Claims, root by root (a component or block) and in order of ord, as rows stream by; what a root has claimed is held, no more."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -163,7 +164,7 @@ def _folded(seconds: int):
             left = list({r["id"]: r for r in reversed(list(own)) if r["id"] not in gone}.values())
             new_id = _choice(left, seconds) if left else None
             gone.add(new_id)
-            out.append((old_id, "replaced" if new_id else "ambiguous" if left else "no match", new_id))
+            out.append((root, old_id, "replaced" if new_id else "ambiguous" if left else "no match", new_id))
             if len(out) >= 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], schema=_FOLDED)
                 out = []
@@ -173,22 +174,64 @@ def _folded(seconds: int):
     return run
 
 
-def claimed(stored: DataFrame, found: DataFrame, seconds: int = TOLERANCE) -> DataFrame:
+#: Seconds of a block of stored scenes that claim in one pass, and rounds after which blocks give way to components.
+BLOCK, ROUNDS = 3600, 8
+
+
+def _by_components(rows: DataFrame, seconds: int) -> DataFrame:
+    """Claims by components of stored scenes that share candidates, each in one pass: rounds grow with the logarithm of a
+    component's width, not with its chains' length; a task holds the ids claimed in its component."""
+    first = rows.groupBy("id").agg(F.min("old_id").alias("v"), F.count("*").alias("_n")).filter("_n > 1")
+    links = rows.join(first.hint("merge"), "id").filter("old_id <> v").select(F.col("old_id").alias("u"), "v")
+    roots = components(links).select(F.col("node").alias("old_id"), "root")
+    return _passed(rows.join(roots.hint("merge"), "old_id", "left").withColumn("root", F.coalesce("root", "old_id")), seconds)
+
+
+def _passed(rows: DataFrame, seconds: int) -> DataFrame:
+    ordered = rows.select("root", *[c for c in rows.columns if c not in ("root", "block")]).repartition("root").sortWithinPartitions("root", "old_ord", "old_id", "ord", "id")
+    return ordered.mapInArrow(_folded(seconds), "root string, old_id string, outcome string, new_id string")
+
+
+def _by_blocks(rows: DataFrame, seconds: int, rounds: int) -> DataFrame | None:
+    """Claims by blocks of time, each in one pass and all at once; None if they have not settled.
+
+    At first each block claims as if it were alone. Then what an earlier scene of another block has claimed is taken from a
+    scene's candidates, and the blocks for which that has changed claim again, until nothing changes. What has settled is
+    the one answer: the first scene's claim hangs on nothing, and each one's on those before it alone."""
+    blocks = rows.withColumn("root", F.col("block").cast("string"))
+    among = rows.groupBy("id").agg((F.min("block") < F.max("block")).alias("_among")).filter("_among").select("id")
+    shared = cut(rows.select("id", "block", "old_ord", "old_id").join(among.hint("merge"), "id"), "shared")
+    told, taken = cut(_passed(blocks, seconds), "claims"), None
+    for _ in range(rounds):
+        claims = shared.join(told.select("old_id", F.col("new_id").alias("id")).hint("merge"), ["old_id", "id"])
+        claims = claims.select("id", *[F.col(c).alias(f"_{c}") for c in ("block", "old_ord", "old_id")])
+        before = F.struct("_old_ord", "_old_id") < F.struct("old_ord", "old_id")
+        now = cut(shared.join(claims.hint("merge"), "id").filter((F.col("_block") != F.col("block")) & before).select("block", "old_id", "id").distinct(), "taken")
+        changed = now if taken is None else now.exceptAll(taken).union(taken.exceptAll(now))
+        again = cut(changed.select(F.col("block").cast("string").alias("root")).distinct(), "blocks")
+        if again.isEmpty():
+            return told
+        taken = now
+        open_rows = blocks.join(again.hint("merge"), "root", "left_semi").join(taken.hint("merge"), ["old_id", "id"], "left_anti")
+        told = cut(told.join(again.hint("merge"), "root", "left_anti").unionByName(_passed(open_rows, seconds)), "claims")
+    return None
+
+
+def claimed(stored: DataFrame, found: DataFrame, seconds: int = TOLERANCE, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """old_id, outcome (replaced, ambiguous or no match), new_id of every stored scene. Stored scenes claim in order of
     ord, and an id that one has claimed is no candidate of those behind it.
 
-    Only stored scenes that are linked by candidates they share bear on one another: each such component is decided by
-    itself, in one pass over its rows in order. Rounds grow with the logarithm of a component's width, not with the
-    length of its chains; a component is one task's pass, whose memory holds the ids claimed in it."""
-    first = found.groupBy("id").agg(F.min("old_id").alias("v"), F.count("*").alias("_n")).filter("_n > 1")
-    links = found.join(first.hint("merge"), "id").filter("old_id <> v").select(F.col("old_id").alias("u"), "v")
-    roots = components(links).select(F.col("node").alias("old_id"), "root")
-    rows = found.join(roots.hint("merge"), "old_id", "left").select(
-        F.coalesce("root", "old_id").alias("root"), "old_id", "old_ord", "id", "ord", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), *Box._fields, "grid_key",
+    Claims are worked out by blocks of time, so that a chain of any length is many tasks; where they do not settle in
+    so many rounds, by components. Both are exact."""
+    rows = found.select(
+        F.floor(F.unix_seconds(F.col("old_ts").cast("timestamp")) / block).alias("block"), "old_id", "old_ord", "id", "ord", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), *Box._fields, "grid_key",
         "baseline", baseline_key(F.col("baseline")).alias("version"), F.unix_micros(F.col("stamp").cast("timestamp")).alias("stamp"),
     )
-    told = rows.repartition("root").sortWithinPartitions("root", "old_ord", "old_id", "ord", "id").mapInArrow(_folded(seconds), "old_id string, outcome string, new_id string")
-    return stored.select(F.col("id").alias("old_id")).join(told.hint("merge"), "old_id", "left").select(
+    rows = cut(rows, "matches")
+    told = _by_blocks(rows, seconds, rounds)
+    if told is None:
+        told = _by_components(rows, seconds)
+    return stored.select(F.col("id").alias("old_id")).join(told.drop("root").hint("merge"), "old_id", "left").select(
         "old_id", F.coalesce("outcome", F.lit("no match")).alias("outcome"), "new_id"
     )
 
