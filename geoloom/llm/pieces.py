@@ -45,6 +45,8 @@ GIANT, CHUNK, BLOCK = 65_536, 16_384, 64
 #: of texts that is held at once.
 MEMO, MEMO_CHARS = 200_000, 48
 ROWS, SLICE = 8_192, 1 << 21
+#: Segments of one length from which they are merged together.
+TOGETHER = 32
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 LOW = -(1 << 62)
 #: Ways of equal sums are told apart by what stands below this bit: a hash of each piece's length and its place in
@@ -316,6 +318,18 @@ class MergeEncoder(Encoder):
     def __init__(self, vocabulary: Vocabulary):
         super().__init__(vocabulary)
         self.ranks = {p: w for p, w in vocabulary.weight.items() if w is not None and len(p) > 1}
+        #: The id of each character, and of each two pieces that make one: their key, in order, the rank and id of the whole.
+        ids, self.size = vocabulary.ids, len(vocabulary.spelled)
+        self.char = np.full(0x110000, -1, np.int64)
+        pairs = []
+        for piece, i in ids.items():
+            if len(piece) == 1:
+                self.char[ord(piece)] = i
+            for k in range(1, len(piece)):
+                left, right = ids.get(piece[:k]), ids.get(piece[k:])
+                if left is not None and right is not None:
+                    pairs.append((left * self.size + right, self.ranks[piece], i))
+        self.pairs, self.pair_rank, self.pair_id = np.array(sorted(pairs), np.int64).reshape(-1, 3).T.copy()
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a segment."""
@@ -381,8 +395,53 @@ class MergeEncoder(Encoder):
         return found
 
     def learn(self, segments: list[str]) -> None:
+        """Segments of one length are merged together, a step of all at a time; those of few, or with characters that are no
+        piece, one by one."""
+        by: dict[int, list[str]] = {}
         for x in segments:
-            self.segment(x)
+            by.setdefault(len(x), []).append(x)
+        for n, own in by.items():
+            if len(own) < TOGETHER:
+                left = own
+            else:
+                ids = self.char[np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)]
+                known = (ids >= 0).all(axis=1)
+                left = [own[i] for i in np.flatnonzero(~known).tolist()]
+                if len(self.memo) + len(own) > MEMO:
+                    self.memo.clear()
+                for who, found in self._together(ids[known]):
+                    flat, width, told = found.astype("<i4").tobytes(), 4 * found.shape[1], np.flatnonzero(known)[who].tolist()
+                    self.memo.update((own[i], flat[k * width : (k + 1) * width]) for k, i in enumerate(told))
+            for x in left:
+                self.segment(x)
+
+    def _ranked(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank (LOW if there is none) and id of what two pieces make."""
+        key = a * self.size + b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.pair_rank[at], LOW), self.pair_id[at]
+
+    def _together(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of ids of one length, merged: the places and the ids of those that come to an end at each step."""
+        who = np.arange(len(ids))
+        if not len(self.pairs):
+            yield who, ids
+            return
+        rank, whole = self._ranked(ids[:, :-1], ids[:, 1:])
+        while len(who) and ids.shape[1] > 1:
+            live = rank.max(axis=1) > LOW
+            if not live.all():
+                yield who[~live], ids[~live]
+                who, ids, rank, whole = who[live], ids[live], rank[live], whole[live]
+            row, at, n = np.arange(len(who)), rank.argmax(axis=1), ids.shape[1] - 1
+            ids[row, at] = whole[row, at]
+            kept = np.arange(n + 1) != at[:, None] + 1
+            ids, gone = ids[kept].reshape(len(who), n), np.arange(n) != at[:, None]
+            rank, whole = rank[gone].reshape(len(who), n - 1), whole[gone].reshape(len(who), n - 1)
+            for pick, left in ((at > 0, at - 1), (at < n - 1, at)):
+                r, c = row[pick], left[pick]
+                rank[r, c], whole[r, c] = self._ranked(ids[r, c], ids[r, c + 1])
+        yield who, ids
 
     def parts(self, text: str, size: int) -> Iterator[str]:
         """A normal text in parts that end at the first border of segments behind size characters."""
