@@ -22,11 +22,13 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -42,8 +44,8 @@ KEY = "order-1"
 DOCS_A_BUCKET = 4_096
 #: Sequences of a batch that a task holds at once.
 HELD = 1_024
-#: How hard ids are compressed where they move.
-LEVEL = 5
+#: How hard ids are compressed where documents move, and where sequences lie and move.
+FIRST, LEVEL = 1, 5
 SCHEMA = "slot bigint, shard bigint, byte_offset bigint, doc_ids array<bigint>, n_tokens int, tokens binary"
 #: How a row's hash, whether it has a doc_id, and that are packed.
 HEAD = ">QBQ"
@@ -76,6 +78,74 @@ BYTES = Coder(lambda texts: [np.frombuffer(t.encode(), np.uint8) for t in texts]
 
 _readers: dict[str, object] = {}
 
+#: What marks the borders of segments; it stands in no piece.
+BORDER = "\x1e"
+#: Segments whose ids a worker remembers, and the longest of them.
+MEMO, MEMO_CHARS = 400_000, 48
+
+
+class _Segments:
+    """A worker's encoder: no piece of the model crosses the border in front of a run of spaces, nor one at a line's end, so
+    each segment has ids of its own, which are worked out once."""
+
+    def __init__(self, raw: bytes):
+        import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
+
+        self.raw, self.whole = raw, None
+        model = sentencepiece_model_pb2.ModelProto.FromString(raw)
+        several = [p.piece for p in model.pieces if len(p.piece) > 1 and p.type in (p.NORMAL, p.USER_DEFINED)]
+        spec = model.normalizer_spec
+        self.apart = (
+            model.trainer_spec.model_type == model.trainer_spec.BPE
+            and not (spec.precompiled_charsmap or spec.remove_extra_whitespaces) and spec.add_dummy_prefix and spec.escape_whitespaces
+            and not any(p.type == p.USER_DEFINED for p in model.pieces)
+            and not any(BORDER in p or pieces.SPACE in p.lstrip(pieces.SPACE) for p in several)
+        )
+        self.lines = not any("\n" in p for p in several)
+        spec.add_dummy_prefix = False
+        self.part = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+        self.memo: dict[str, bytes] = {}
+
+    def marked(self, text: str) -> str:
+        """A text with the space that the model puts in front of it, and BORDER between its segments."""
+        if not text:
+            return ""
+        text = (" " + text.replace(pieces.SPACE, " ")).replace(" ", BORDER + " ")
+        while f" {BORDER} " in text:
+            text = text.replace(f" {BORDER} ", "  ")
+        return text[1:].replace("\n", f"{BORDER}\n{BORDER}") if self.lines else text[1:]
+
+    def plain(self, text: str) -> np.ndarray:
+        if self.whole is None:
+            import sentencepiece
+
+            self.whole = sentencepiece.SentencePieceProcessor(model_proto=self.raw)
+        return np.array(self.whole.encode(text), np.int32)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.apart or any(BORDER in t for t in texts):
+            return [self.plain(t) for t in texts]
+        cut = pc.split_pattern(pa.array([self.marked(t) for t in texts], pa.large_string()), BORDER)
+        found = cut.values.dictionary_encode()
+        distinct, which = found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
+        own = list(map(self.memo.get, distinct))
+        new = [i for i, x in enumerate(own) if x is None]
+        if len(self.memo) + len(new) > MEMO:
+            self.memo.clear()
+        for at in range(0, len(new), HELD):
+            part = new[at : at + HELD]
+            for i, ids in zip(part, self.part.encode([distinct[i] for i in part], num_threads=1), strict=True):
+                own[i] = array("i", ids).tobytes()
+                if len(distinct[i]) <= MEMO_CHARS:
+                    self.memo[distinct[i]] = own[i]
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        starts, every = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(own), np.int32)
+        many = sizes[which]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(many)])
+        at = np.repeat(starts[which] - ends[:-1], many) + np.arange(ends[-1])
+        return np.split(every[at], ends[cut.offsets.to_numpy()][1:-1])
+
 
 def tokenizer(model: str = pieces.MODEL) -> Coder:
     """The coder of a SentencePiece model file: the file's bytes go to the workers, which need no path."""
@@ -86,12 +156,9 @@ def tokenizer(model: str = pieces.MODEL) -> Coder:
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         if name not in _readers:
-            import sentencepiece
-
             _readers.clear()
-            _readers[name] = sentencepiece.SentencePieceProcessor(model_proto=raw)
-        own = _readers[name]
-        return [np.array(own.encode(t), np.int32) for t in texts]
+            _readers[name] = _Segments(raw)
+        return _readers[name].encode(texts) if texts else []
 
     return Coder(encode, size)
 
@@ -134,7 +201,7 @@ def _encoded(docs: DataFrame, coder: Coder) -> DataFrame:
     bits = max(0, (max(1, docs.count()) - 1) // DOCS_A_BUCKET).bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=LEVEL).compress
+        pack = zstandard.ZstdCompressor(level=FIRST).compress
         for batch in pieces.slices(batches, 2):
             hashes, ids = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_pylist()
             found = coder.encode(batch.column(2).to_pylist())
