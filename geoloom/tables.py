@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting by which a query's shuffle files go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of a small side up to which it is broadcast; beyond it the join is shuffled, and AQE splits skew.
 BROADCAST_ROWS = 20_000
 
@@ -35,10 +37,17 @@ def resolved(spark: SparkSession, path: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back, so that later steps don't recompute it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written to the shared folder and read back, so that later steps don't recompute it. Its shuffles' files go as soon as
+    it is written, not when the driver's garbage collector comes to them: a job takes the disk of its largest step."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
