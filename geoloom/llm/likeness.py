@@ -6,7 +6,10 @@ under 10^-9, while sets that share a passage alone seldom do, however many have
 in tiles, by exclusive-or and bit counts, and tile pairs whose population counts differ beyond the radius are skipped
 (simhash.tile_pairs). What lies within the radius is verified by the whole sets. Sets at the bound differ in a bit with odds
 of 0.152, sets of a few shingles with up to 0.19; the radius is five standard deviations above (odds of 10^-6 at the
-bound itself, falling fast above it), where sets of a likeness below 0.5 do not come.
+bound itself, falling fast above it), where sets of a likeness below 0.5 do not come. Those that do and share much, but less
+than the bound, are told apart in the tile by sketches: a byte of the least hash in each of BINS bins, whose agreement
+is nearly the likeness itself for short sets; a pair stays within five standard deviations of the bound, so that what leaves
+a tile are links and few others, not all pairs of a passage's texts.
 
 Copies have one set and are compared once. Two rounds hold each block's sets against a single one of them, which
 joins large groups of near copies with as many pairs as members; after them only sets of different components are
@@ -39,8 +42,8 @@ UP, DOWN = 4, 5
 BANDS, WIDTH, WORDS = 40, 4, 4
 #: Bits of the 256 in which the fingerprints of a link differ at most, sets of under FEW shingles and others; a tile's size.
 FEW, RADIUS_FEW, RADIUS, TILE = 32, 84, 68, 512
-#: Shingles whose minima are taken at once.
-STEP = 1_024
+#: Shingles whose minima are taken at once; bins of a sketch, a power of two; pairs whose sketches are held together at once.
+STEP, BINS, AT_ONCE = 1_024, 1_024, 4_096
 _rng = np.random.Generator(np.random.PCG64(20_241_128))
 _turns = _rng.integers(0, 1 << 63, BANDS * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PRINT = tuple(f"f{i}" for i in range(WORDS))
@@ -91,21 +94,44 @@ def blocks(own: np.ndarray) -> np.ndarray:
         return _again((least.reshape(BANDS, WIDTH) * _folds[:WIDTH]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64) * _folds[WIDTH])
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """A byte for each of BINS bins of a set's hashes: 1 to 255, a hash of the least in the bin, or 0 where the bin is empty."""
+    x = np.sort(_again(own ^ np.uint64(SEED)))
+    bins = (x >> np.uint64(65 - BINS.bit_length())).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    out = np.zeros(BINS, np.uint8)
+    out[bins[first]] = (x[first] % np.uint64(255)).astype(np.uint8) + 1
+    return out.tobytes()
+
+
+def sketched(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether rows of sketches may be of sets at the bound, n being the sum of two sets' sizes. Bins in which both agree, of
+    those that either fills, are the likeness on average, with the variance of one permutation's bins (Li, Owen, Zhang 2012);
+    what stays is within five standard deviations and a bin."""
+    same = ((a == b) & (a > 0)).sum(axis=1)
+    filled = np.maximum(1, ((a | b) > 0).sum(axis=1))
+    others = np.maximum(1.0, n * DOWN / (UP + DOWN) - 1)
+    spread = np.maximum(0.0, (1 / filled) * (1 + 1 / others) - 1 / others) * UP * (DOWN - UP) / DOWN**2
+    return same + 1 >= filled * (UP / DOWN - 5 * np.sqrt(spread))
+
+
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, sizes, words, found = [], [], [], []
+        keys, sizes, words, found, sketches = [], [], [], [], []
         for text in batch.column(2).to_pylist():
             own = shingles(text)
             keys.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
             sizes.append(len(own))
             words.append(fingerprint(own))
             found.append(blocks(own).view(np.int64))
+            sketches.append(sketch(own))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), batch.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()),
                 *(pa.array([w[i] for w in words], pa.int64()) for i in range(WORDS)), pa.array(found, pa.list_(pa.int64())),
+                pa.array(sketches, pa.binary()),
             ],
-            names=["doc_id", "h", "key", "n", *PRINT, "blocks"],
+            names=["doc_id", "h", "key", "n", *PRINT, "blocks", "sketch"],
         )
 
 
@@ -142,12 +168,15 @@ def _verified(pairs: DataFrame, one: DataFrame, texts: DataFrame, repeats: bool,
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs of a tile (left, right null), or of two, that the bound allows: of different components, of sizes near
-    enough and within RADIUS bits."""
+    enough, within RADIUS bits and of sketches that agree."""
     fields = ("key", "root", "n", *PRINT)
 
     def columns(list_) -> list[np.ndarray]:
         return [list_.values.field(x).to_numpy(zero_copy_only=False) for x in fields]
 
+    def bins(list_) -> np.ndarray:
+        return np.frombuffer(b"".join(list_.values.field("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+
     for batch in batches:
         us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
@@ -159,6 +188,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, j = np.nonzero(near & (a[1][:, None] != b[1][None, :]))
             if not right.is_valid:
                 i, j = i[i < j], j[i < j]
+            if len(i):
+                x = bins(left)
+                y = bins(right) if right.is_valid else x
+                spans = range(0, len(i), AT_ONCE)
+                own = [(i[k : k + AT_ONCE], j[k : k + AT_ONCE]) for k in spans]
+                stay = np.concatenate([sketched(x[p], y[q], a[2][p].astype(np.int64) + b[2][q]) for p, q in own])
+                i, j = i[stay], j[stay]
             us.append(np.minimum(a[0][i], b[0][j]))
             vs.append(np.maximum(a[0][i], b[0][j]))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
@@ -183,9 +219,10 @@ def _named(row: Column | str = "doc_id") -> tuple[Column, Column]:
     return F.coalesce(row, F.lit(0)).alias("own_id"), F.isnull(row).alias("no_id")
 
 
-def links(one: DataFrame, texts: DataFrame, repeats: bool) -> DataFrame:
+def links(one: DataFrame, texts: DataFrame, sketches: DataFrame, repeats: bool) -> DataFrame:
     """Edges (u, v) of (key, best, n, fingerprint, blocks), one row a set, whose components are those of all pairs at the bound.
-    best: the row of texts (doc_id, h, text) that has the set; repeats: whether some row comes more than once."""
+    best: the row of texts (doc_id, h, text) that has the set; sketches: key, sketch, of copies as often as they come; repeats:
+    whether some row comes more than once."""
     every = one.select("key", F.explode("blocks").alias("token"))
     groups = every.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1").select("token")
     shared = cut(every.join(groups, "token"), "alike-shared")
@@ -203,7 +240,11 @@ def links(one: DataFrame, texts: DataFrame, repeats: bool) -> DataFrame:
         found = _verified(pairs, one, texts, repeats, f"alike-edges{turn}")
         seen, edges = (pairs, found) if seen is None else (seen.union(pairs), edges.union(found))
     ones = sum((F.bit_count(f) for f in PRINT), F.lit(0)).alias("ones")
-    entries = _placed(tokens, edges).select("token", ones, F.struct("key", "root", "n", *PRINT).alias("own"))
+    entries = cut(_placed(tokens, edges).select("token", "key", "root", "n", *PRINT), "alike-left")
+    # Sketches move only for sets that are left, once a set, and then to their tiles.
+    wide = sketches.join(entries.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("sketch").alias("sketch"))
+    entries = entries.join(cut(wide, "alike-sketches"), "key")
+    entries = entries.select("token", ones, F.struct("key", "root", "n", *PRINT, "sketch").alias("own"))
     within, across = tile_pairs(entries, ["token"], "alike", RADIUS_FEW, TILE)
     # Near copies share many blocks: equal tiles are compared once.
     within = within.distinct().withColumn("right", F.lit(None).cast(within.schema["left"].dataType))
@@ -216,13 +257,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """Of each component the row with the smallest doc_id (null last, then by hash of its text), with the columns
     of docs. Rows alike in both are one. Components are settled on ids alone; the documents meet one semi-join."""
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    schema = f"doc_id bigint, h bigint, key bigint, n int, {', '.join(f + ' bigint' for f in PRINT)}, blocks array<bigint>"
+    schema = f"doc_id bigint, h bigint, key bigint, n int, {', '.join(f + ' bigint' for f in PRINT)}, blocks array<bigint>, sketch binary"
     rows = cut(texts.mapInArrow(_prints, schema), "alike-rows")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     one = rows.groupBy("key").agg(F.min(row).alias("best"), *[F.first(x).alias(x) for x in ("n", *PRINT, "blocks")])
     one = cut(one, "alike-distinct")
     again = cut(rows.groupBy(*_named(), "h").count().filter("count > 1").select("own_id", "no_id", "h"), "alike-again")
-    roots = components(links(one, texts, not again.isEmpty())).withColumnRenamed("node", "key")
+    roots = components(links(one, texts, rows.select("key", "sketch"), not again.isEmpty())).withColumnRenamed("node", "key")
     placed = cut(one.join(roots, "key", "left").select("key", "best", F.coalesce("root", "key").alias("root")), "alike-roots")
     kept = placed.groupBy("root").agg(F.min("best").alias("kept")).join(placed, "root").select("key", "kept")
     # What goes is mostly less than what stays, so it is what the documents are held against.
