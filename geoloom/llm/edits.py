@@ -42,10 +42,15 @@ PERIOD, CLASSES, REST = 4_096, 64, 8
 #: Characters walked at once; SPAN * REST == PERIOD, so a walk from within one period stays within two.
 SPAN = PERIOD // REST
 SAMPLES = 256
-#: Digits of a band (texts that have nothing in common agree in about an eighth of their digits, so in few bands of eight); numbers of digits that bands are drawn from, and bands of
-#: each: a fingerprint uses the largest two it has; the least likeness of near copies; fingerprints of a tile.
-WIDTH, TIERS, BANDS = 8, (16, 32, 64, 128, 256), 16
+#: The least likeness of near copies; fingerprints of a tile; digits of two fingerprints at that likeness are at most so many
+#: times as many in the one as in the other: LIKE = (1 - 1/16) / (RATIO - 1/16).
 LIKE, TILE = 0.8, 512
+RATIO = 15 / 16 / LIKE + 1 / 16
+#: Numbers of digits that bands are drawn from, each RATIO times the one before: a fingerprint uses the largest two it has.
+TIERS = tuple(int(16 * RATIO**i) for i in range(14))
+#: Digits of a band, from fewer than FEW and from more, and bands of a tier. Texts that have nothing in common agree in about an
+#: eighth of their digits, so in one of 2 ** 30 bands of ten.
+FEW, NARROW, WIDTH, BANDS = 40, 8, 10, 28
 
 _rng = np.random.Generator(np.random.PCG64(20_240_607))
 _move = _rng.random((CLASSES, PERIOD)) < 0.5
@@ -142,18 +147,25 @@ def fingerprint(text: str) -> str:
     return sample(points, walk(points))
 
 
+_stays: dict[tuple[int, int], np.ndarray] = {}
+
+
 def _thinned(print_: str, level: int) -> np.ndarray:
     """The digits of a fingerprint at a level no lower than its own."""
     own, digits = int(print_[:2]), np.frombuffer(print_[3:].encode(), np.uint8)
     if own == level or not len(digits):
         return digits
-    reach = SAMPLES << own
-    steps = _sampled(own, 4 * reach + PERIOD)
-    while len(steps) < len(digits):
-        reach *= 2
-        steps = _sampled(own, 4 * reach)
-    steps = steps[: len(digits)]
-    return digits[(_mix(steps.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << level) - 1)) == 0]
+    stay = _stays.get((own, level))
+    if stay is None or len(stay) < len(digits):
+        reach = SAMPLES << own
+        steps = _sampled(own, 4 * reach + PERIOD)
+        while len(steps) < len(digits):
+            reach *= 2
+            steps = _sampled(own, 4 * reach)
+        steps = steps[: max(len(digits), 2 * SAMPLES)].astype(np.uint64)
+        stay = (_mix(steps + np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << level) - 1)) == 0
+        _stays[own, level] = stay
+    return digits[stay[: len(digits)]]
 
 
 def likeness(a: str, b: str) -> float:
@@ -169,22 +181,34 @@ def likeness(a: str, b: str) -> float:
     return max(0.0, (same - both / 16) / (most - both / 16))
 
 
-_drawn = {n: np.array([_rng.permutation(n)[:WIDTH] for _ in range(BANDS)]) for n in TIERS}
+_drawn = {n: np.array([_rng.permutation(n)[: NARROW if n < FEW else WIDTH] for _ in range(BANDS)]) for n in TIERS}
+_VALUES = np.zeros(128, np.int64)
+_VALUES[np.frombuffer(b"0123456789abcdef", np.uint8)] = np.arange(16)
+_PLACES = np.int64(1) << np.arange(0, 4 * WIDTH, 4, dtype=np.int64)
 
 
 def bands(print_: str) -> list[int]:
-    """One hash for each group of sampled digits; texts that share one are candidates. A fingerprint too short for any
-    tier is one band."""
-    keys = []
-    for level in (int(print_[:2]), int(print_[:2]) + 1):
-        digits = _thinned(print_, level)
-        tiers = [n for n in TIERS if n <= len(digits)][-2:]
-        pieces = [(n, i, digits[at].tobytes()) for n in tiers for i, at in enumerate(_drawn[n])] or [(0, 0, digits.tobytes())]
-        keys += [
-            int.from_bytes(hashlib.blake2b(piece, digest_size=8, key=f"{level}:{n}:{i}".encode()).digest(), "little", signed=True)
-            for n, i, piece in pieces
-        ]
-    return keys
+    """One number for each group of sampled digits: the digits, and the level, tier and place that they are drawn at; texts
+    that share one are candidates. A fingerprint too short for any tier is one band.
+
+    Digits are those of the level above a fingerprint's own. Those of its own are taken as well where the text may be alike to
+    one of the level below (its digits are at most RATIO times as many as such a text can have), and alone where that is a text
+    of few steps, all of which level 0 has."""
+    own = int(print_[:2])
+    digits = _thinned(print_, own)
+    half = len(_sampled(own, SAMPLES << own >> 1))
+    levels = ([own] if len(digits) <= RATIO * half else []) + ([own + 1] if own or len(digits) > half else [])
+    found = []
+    for level in levels:
+        seen = _VALUES[_thinned(print_, level)]
+        tiers = [i for i, n in enumerate(TIERS) if n <= len(seen)][-2:]
+        for i in tiers:
+            at = _drawn[TIERS[i]]
+            tag = ((np.int64(level) << np.int64(4)) + i << np.int64(5)) + np.arange(BANDS)
+            found.append((tag << np.int64(4 * WIDTH)) + (seen[at] * _PLACES[: at.shape[1]]).sum(axis=1))
+    if not found:
+        return [int.from_bytes(hashlib.blake2b(print_.encode(), digest_size=8).digest(), "little", signed=True)]
+    return np.concatenate(found).tolist()
 
 
 def edited(text: str, following: str) -> str:
@@ -388,10 +412,12 @@ def links(prints: DataFrame, least: float = LIKE, tile: int = TILE) -> DataFrame
     members; only bands that still have several components become tiles, to which fingerprints are moved."""
     banded = prints.select("fingerprint").mapInArrow(_banded, "fingerprint string, bands array<bigint>")
     entries = banded.select(F.explode("bands").alias("band"), F.xxhash64("fingerprint").alias("k"))
-    shared = entries.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    entries = cut(entries.join(shared, "band"), "edit-bands")
-    hub = entries.groupBy("band").agg(F.min("k").alias("u"))
-    pairs = entries.join(hub, "band").filter("k <> u").select("u", F.col("k").alias("v")).distinct()
+    # Bands are worked out once and move once: a join of entries with their own counts would do both twice.
+    same = W.partitionBy("band")
+    met = entries.select("band", "k", F.min("k").over(same).alias("u"), F.max("k").over(same).alias("most"))
+    entries = cut(met.filter("u < most").select("band", "k", "u"), "edit-bands")
+    pairs = entries.filter("k <> u").select("u", F.col("k").alias("v")).distinct()
+    entries = entries.select("band", "k")
     print_of = lambda c: prints.select(F.col("k").alias(c), _narrow(F.col("fingerprint")).alias(f"print_{c}"))
     met = pairs.join(print_of("u"), "u").join(print_of("v"), "v").select("u", "v", "print_u", "print_v")
     edges = cut(met.mapInArrow(_pairs_alike(least), "u bigint, v bigint"), "edit-edges")
