@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoloom.llm.simhash import BLOCK, SEED, tile_pairs
@@ -223,9 +224,10 @@ def links(one: DataFrame, texts: DataFrame, sketches: DataFrame, repeats: bool)
     """Edges (u, v) of (key, best, n, fingerprint, blocks), one row a set, whose components are those of all pairs at the bound.
     best: the row of texts (doc_id, h, text) that has the set; sketches: key, sketch, of copies as often as they come; repeats:
     whether some row comes more than once."""
+    # Blocks move once and are sorted once: a join of them with their own counts would do both twice, and hold tables of counts.
     every = one.select("key", F.explode("blocks").alias("token"))
-    groups = every.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1").select("token")
-    shared = cut(every.join(groups, "token"), "alike-shared")
+    shared = every.withColumn("many", F.count("*").over(W.partitionBy("token"))).filter("many > 1").select("token", "key")
+    shared = cut(shared, "alike-shared")
     tokens = cut(shared.join(one.select("key", "n", *PRINT), "key"), "alike-tokens")
     member = F.struct("key", "n", *PRINT)
     seen = edges = None

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Spark's setting by which a query's shuffle files go when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's bound on the bytes that a task hands to Python at once (10,000 rows otherwise, of any width).
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 #: Rows of a small side up to which it is broadcast; beyond it the join is shuffled, and AQE splits skew.
 BROADCAST_ROWS = 20_000
 
@@ -38,15 +40,18 @@ def resolved(spark: SparkSession, path: str) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back, so that later steps don't recompute it. Its shuffles' files go as soon as
-    it is written, not when the driver's garbage collector comes to them: a job takes the disk of its largest step."""
+    it is written, not when the driver's garbage collector comes to them: a job takes the disk of its largest step. Rows go to
+    Python a few MB at a time, so that a task's memory does not grow with the width of 10,000 rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
+    before = {key: spark.conf.get(key) for key in (CLEANUP, BATCH)}
     spark.conf.set(CLEANUP, "true")
+    spark.conf.set(BATCH, BATCH_BYTES)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
