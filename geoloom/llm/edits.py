@@ -9,12 +9,13 @@ the lowest level that leaves it no more than SAMPLES in expectation, so texts of
 and of unlike length the shorter one's can be thinned to the longer one's. It reads `LL:` (the level, two digits)
 and a hex digit, a hash of the character seen, for each step kept.
 
-Near copies are found by banding: groups of WIDTH digits of a fingerprint, sampled over all of its steps, are hashed, and
-fingerprints that share a band are verified by their likeness (Hamming, freed of chance). Bands are tied to steps of the
-fingerprint's level and the one above, and to two of a few tiers of its length, so texts either side of a bound still
-meet. A band that many share is many tiles, compared all against all; of a tile pair only the edges of a spanning
+Near copies are found by banding: groups of WIDTH digits of a fingerprint are sampled over two thirds of its steps or more, and
+fingerprints that share a band are verified by their likeness (Hamming, freed of chance). Bands are tied to steps of the level
+above the fingerprint's, near its lower bound to those of its own too, and to two of the tiers of its length, so texts either
+side of a bound still meet. A band that many share is many tiles, compared all against all; of a tile pair only the edges of a spanning
 forest come out, so no group's pairs are written out and none is capped. The bound is on likeness of fingerprints: two
-texts at it are missed by all bands about once in 1,000 times if they have two tiers in common, once in 30 if one.
+texts at it are missed by all bands about once in 500 to 1,000 times if they have two tiers in common (150 at 19 digits), once in
+22 to 40 if one (12 at 19 digits).
 
 Defined results: a null text is an empty one; two empty texts are alike (1.0), an empty and another are not (0.0).
 The next document is by descending doc_id, rows of one doc_id by the hash of their text, null last; the last is
